@@ -108,7 +108,8 @@ def _turn_order(a: Column, b: Column) -> Column:
 
 def chat_parse(formatted: DataFrame, template: Template = CHATML, keep: tuple[str, ...] = ()) -> DataFrame:
     """The turns read back from `formatted`: conv_id, turns (role, text) and the columns of `keep`; inverse of chat_format."""
-    body = F.slice(F.split("formatted", _quoted(template.turn_open)), 2, 2147483647)
+    parts = F.split("formatted", _quoted(template.turn_open))
+    body = F.slice(parts, F.lit(2), F.size(parts) - 1)
     cut = lambda s: F.substring_index(s, template.role_end, 1)
     turns = F.transform(
         body,
