@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import table
+from loomspan.llm.common import fold, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -14,6 +14,26 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import langid
+
+    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as bigint) doc_id", "text", "lang")
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    learn = docs.where(fold("doc_id", 5) != 0).select(F.col("doc_id").alias("key"), "text", "lang")
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return langid.predict(rows, langid.fit(learn), carry=("doc_id", "held_out"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as bigint) doc_id", "text")
+    labels = table(spark, sf_dir, "labels").selectExpr("cast(doc_id as bigint) doc_id", "toxic as label")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
+    rows = docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score(rows, model, threshold=0.7, carry=("doc_id", "held_out"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.token_count import count_tokens
 
@@ -69,7 +89,9 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op4_token_counts": op4_token_counts,
+        "op5_toxicity": op5_toxicity,
         "op8_chat_format": op8_chat_format,
         "op9_piece_codec": op9_piece_codec,
     }
