@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -202,11 +203,17 @@ class PieceCodec:
         return self.lib.decode(ids)
 
 
+@lru_cache(maxsize=1)
+def codec_of(model_path: str, check: bool) -> PieceCodec:
+    """One codec a Python worker, whose cache the worker's later tasks find filled."""
+    return PieceCodec(model_path, check)
+
+
 def encode_decode(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
     """doc_id, text, ids (with the end id), ids_text, decoded for each row; null text is empty. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path, check)
+        codec = codec_of(model_path, check)
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = codec.encode(text)
@@ -219,7 +226,7 @@ def encode_digest(docs: DataFrame, model_path: str, check: bool = True) -> DataF
     """encode_decode's rows as doc_id, n_tokens, ids_sha256, decoded_sha256, without moving ids to the JVM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path, check)
+        codec = codec_of(model_path, check)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
