@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,6 +59,12 @@ class Counter:
         return [sum(map(get, c)) for c in cut]
 
 
+@lru_cache(maxsize=1)
+def counter_of(path: str) -> Counter:
+    """One counter a Python worker, whose cache the worker's later tasks find filled."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row; null text counts as empty. No shuffle.
 
@@ -65,7 +72,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer_path)
+        counter = counter_of(tokenizer_path)
         for b in batches:
             texts = b.column(1).to_pylist()
             for i in range(0, len(texts), 256):
