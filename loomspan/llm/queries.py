@@ -40,6 +40,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.simhash import near_duplicates
+
+    rows = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.chat import CHATML, chat_format, chat_parse, unescape
 
@@ -92,6 +105,8 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op4_token_counts": op4_token_counts,
         "op5_toxicity": op5_toxicity,
+        "op6_simhash": op6_simhash,
+        "op7_decontaminate": op7_decontaminate,
         "op8_chat_format": op8_chat_format,
         "op9_piece_codec": op9_piece_codec,
     }
