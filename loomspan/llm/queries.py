@@ -40,6 +40,34 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.suffix_dedup import removed_digest
+
+    return removed_digest(table(spark, sf_dir, "documents"), window=200)
+
+
+def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.phrase_dedup import removed_digest
+
+    return removed_digest(table(spark, sf_dir, "documents"), window=13)
+
+
+OP10_SQL = """
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS key FROM places),
+holders AS (SELECT key, min(doc_id) AS holder FROM windows GROUP BY key),
+hits AS (SELECT doc_id, i FROM windows JOIN holders USING (key) WHERE holder < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS g FROM hits, range(0, 13) t(k) GROUP BY doc_id),
+flat AS (SELECT d.doc_id, d.w, coalesce(g.g, []::BIGINT[]) AS g FROM words d LEFT JOIN gone g USING (doc_id)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t FROM each e
+         ANTI JOIN (SELECT doc_id, unnest(g) AS i FROM gone) x ON e.doc_id = x.doc_id AND e.i = x.i GROUP BY e.doc_id)
+SELECT f.doc_id, CAST(len(f.w) AS BIGINT) AS n_words, CAST(len(f.g) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM flat f LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.simhash import near_duplicates
 
@@ -103,14 +131,16 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_toxicity": op5_toxicity,
         "op6_simhash": op6_simhash,
         "op7_decontaminate": op7_decontaminate,
         "op8_chat_format": op8_chat_format,
         "op9_piece_codec": op9_piece_codec,
+        "op10_phrase_dedup": op10_phrase_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL}
+    return {"op8_chat_format": OP8_SQL, "op10_phrase_dedup": OP10_SQL}
