@@ -89,11 +89,11 @@ def segment_key(key: np.ndarray, content: np.ndarray) -> np.ndarray:
     return key ^ (content * np.uint64(0x9E3779B97F4A7C15))
 
 
-def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT, array: int = ARRAY, bucket_bytes: int = BUCKET_BYTES, key_bytes: int = KEY_BYTES) -> tuple[DataFrame, DataFrame]:
+def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT, array: int = ARRAY, bucket_bytes: int = BUCKET_BYTES, key_bytes: int = KEY_BYTES, carry: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(bucketed documents, verdicts by bucket); covered() turns the pair into the removed bytes of each document."""
     n_docs = byte_buckets(docs, "text", bucket_bytes)
     n_keys = max(1, -(-n_docs * bucket_bytes // key_bytes))
-    texts = bucketed(docs, n_docs)
+    texts = bucketed(docs, n_docs, carry)
 
     def send_keys(key, group):
         b = Bucket(group["text"], window, gram)
@@ -229,18 +229,21 @@ def removal(bucket: Bucket, verdict: pa.Table) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, finish, schema: str, window: int = 200, **sizes) -> DataFrame:
-    """finish(doc_id values, bucket, removed) -> pa.Table of `schema`, called for each bucket of documents."""
+    """finish(columns, bucket, removed) -> pa.Table of `schema`, called for each bucket of documents.
+
+    columns: name -> values of doc_id and of the column named by `carry`.
+    """
     texts, verdicts = judge(docs, window, **sizes)
-    gram = sizes.get("gram", GRAM)
+    gram, names = sizes.get("gram", GRAM), [c for c in texts.columns if c not in ("db", "text")]
 
     def run(key, group, verdict):
         b = Bucket(group["text"], window, gram)
-        return finish(group["doc_id"], b, removal(b, verdict))
+        return finish({c: group[c] for c in names}, b, removal(b, verdict))
 
     return texts.groupBy("db").cogroup(verdicts.groupBy("db")).applyInArrow(run, schema)
 
 
-def digest(ids: pa.ChunkedArray, b: Bucket, removed: np.ndarray) -> pa.Table:
+def digest(columns: dict, b: Bucket, removed: np.ndarray) -> pa.Table:
     rows = []
     for s, e in zip(b.off[:-1].tolist(), b.off[1:].tolist()):
         r = removed[s:e]
@@ -249,13 +252,13 @@ def digest(ids: pa.ChunkedArray, b: Bucket, removed: np.ndarray) -> pa.Table:
         kept = b.data[s:e][~r] if n else b.data[s:e]
         rows.append((e - s, n, spans, hashlib.sha256(kept.tobytes()).hexdigest()))
     a = list(zip(*rows)) if rows else [[]] * 4
-    return pa.table({"doc_id": ids, "n_bytes": pa.array(a[0], pa.int64()), "n_removed": pa.array(a[1], pa.int64()), "n_spans": pa.array(a[2], pa.int64()), "kept_sha256": pa.array(a[3], pa.string())})
+    return pa.table({"doc_id": columns["doc_id"], "n_bytes": pa.array(a[0], pa.int64()), "n_removed": pa.array(a[1], pa.int64()), "n_spans": pa.array(a[2], pa.int64()), "kept_sha256": pa.array(a[3], pa.string())})
 
 
-def texts_left(ids: pa.ChunkedArray, b: Bucket, removed: np.ndarray) -> pa.Table:
-    """doc_id and the text that is left; a character cut in part goes whole."""
+def texts_left(columns: dict, b: Bucket, removed: np.ndarray) -> pa.Table:
+    """The columns and the text that is left; a character cut in part goes whole."""
     out = [b.data[s:e][~removed[s:e]].tobytes().decode("utf-8", "ignore") for s, e in zip(b.off[:-1].tolist(), b.off[1:].tolist())]
-    return pa.table({"doc_id": ids, "text": pa.array(out, pa.string())})
+    return pa.table({**columns, "text": pa.array(out, pa.string())})
 
 
 def removed_digest(docs: DataFrame, window: int = 200, **sizes) -> DataFrame:

@@ -210,6 +210,6 @@ def score(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.7,
                 s = m.score(part.column(k).to_pylist()) if m else [0.0] * part.num_rows
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(s, pa.float64())], [*carry, "score"])
 
-    rows = docs.select(*carry, "text")
+    rows = docs.select(*carry, F.col("text").alias("scored text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(carry)])
     return rows.mapInArrow(run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -120,9 +120,10 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start, length) + np.arange(total) - before
 
 
-def bucketed(docs: DataFrame, n: int) -> DataFrame:
-    """db (a bucket of the id's hash), doc_id, text."""
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("db"), "doc_id", "text")
+def bucketed(docs: DataFrame, n: int, carry: str | None = None) -> DataFrame:
+    """db (a bucket of the id's hash), doc_id, text, and the column that is carried along."""
+    more = [carry] if carry else []
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text", *more).select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("db"), "doc_id", "text", *more)
 
 
 PACKED = "kb int, db int, kind int, a binary, b binary, c binary, d binary"
