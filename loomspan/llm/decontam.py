@@ -1,9 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A benchmark item occurs in a text if some passage of the normalised text (lower case, white space as single
-blanks) is within `budget` edits of the normalised item, a tenth of its length. An item is split into
-budget + 1 pieces: a passage with at most that many edits holds one piece unchanged, so the exact hits
-of all pieces (one Aho-Corasick pass over the text) are the only places to verify, and none is missed.
+blanks) is within `budget` edits of the normalised item, a tenth of its length. An item is split into at least
+budget + 1 pieces, taken in pairs: a passage with at most that many edits holds a pair with one edit at most,
+so one piece of it unchanged beside a partner with one edit at most. The exact hits of all pieces (one
+Aho-Corasick pass over the text) with such a partner are the only places to verify, and none is missed.
 Hits of one item are merged where their windows meet, and each window is verified by Myers' bit-parallel
 edit distance with free ends.
 
@@ -29,11 +30,37 @@ def normal(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
-def pieces(item: str, budget: int) -> list[tuple[int, str]]:
-    """budget + 1 pieces of nearly equal length, with their offsets."""
-    n, k = len(item), budget + 1
-    cut = [n * i // k for i in range(k + 1)]
-    return [(a, item[a:b]) for a, b in zip(cut, cut[1:])]
+def pieces(item: str, budget: int) -> list[tuple[int, str, str, bool]]:
+    """At least budget + 1 pieces of nearly equal length, in pairs: (offset, piece, its partner, partner is on the right).
+
+    A passage within the budget has a pair with at most one edit, as more would make two edits a pair; one
+    piece of that pair is unchanged and its partner is within one edit.
+    """
+    n, pairs = len(item), budget // 2 + 1
+    cut = [n * i // (2 * pairs) for i in range(2 * pairs + 1)]
+    out = []
+    for a, b, c in zip(cut[::2], cut[1::2], cut[2::2]):
+        out += [(a, item[a:b], item[b:c], True), (b, item[b:c], item[a:b], False)]
+    return out
+
+
+def one_edit_ahead(text: str, at: int, want: str) -> bool:
+    """Whether some stretch of text from `at` on is within one edit of `want`."""
+    n = len(want)
+    got = text[at : at + n + 1]
+    i = 0
+    for a, b in zip(got, want):
+        if a != b:
+            break
+        i += 1
+    return i >= n - 1 or got[i + 1 : n] == want[i + 1 :] or got[i : n - 1] == want[i + 1 :] or got[i + 1 :] == want[i:]
+
+
+def one_edit_behind(text: str, end: int, want: str) -> bool:
+    """The same for stretches that end at `end`."""
+    n = len(want)
+    got = text[max(0, end - n - 1) : end][::-1]
+    return one_edit_ahead(got, 0, want[::-1])
 
 
 class Myers:
@@ -77,10 +104,10 @@ class Matcher:
         self.budget = [int(len(t) * rate) for _, t in self.items]
         self.myers: dict[int, Myers] = {}
         self.auto = ahocorasick.Automaton()
-        at: dict[str, list[tuple[int, int]]] = {}
+        at: dict[str, list[tuple[int, int, str, bool]]] = {}
         for k, (_, t) in enumerate(self.items):
-            for off, p in pieces(t, self.budget[k]):
-                at.setdefault(p, []).append((k, off))
+            for off, p, partner, right in pieces(t, self.budget[k]):
+                at.setdefault(p, []).append((k, off, partner, right))
         for p, where in at.items():
             self.auto.add_word(p, (len(p), where))
         if at:
@@ -93,8 +120,10 @@ class Matcher:
         t = normal(text)
         hits: dict[int, list[int]] = {}
         for end, (size, where) in self.auto.iter(t):
-            for k, off in where:
-                hits.setdefault(k, []).append(end + 1 - size - off)
+            for k, off, partner, right in where:
+                start = end + 1 - size
+                if one_edit_ahead(t, end + 1, partner) if right else one_edit_behind(t, start, partner):
+                    hits.setdefault(k, []).append(start - off)
         out = []
         for k, starts in hits.items():
             item, budget = self.items[k][1], self.budget[k]
@@ -139,8 +168,6 @@ def mark(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
 def _mark(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index("text")
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(shared.value, rate)
         for b in batches:
@@ -149,7 +176,8 @@ def _mark(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFra
                 found = [[{"item_id": x, "distance": d} for x, d in sorted(m.match(t), key=str)] for t in part.column(at).to_pylist()]
                 if any(found):
                     old = part.column(part.num_columns - 1).to_pylist()
-                    part = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([a + f for a, f in zip(old, found)], kind)], part.schema.names)
+                    kind = part.schema.field(part.num_columns - 1).type
+                    part = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([a + f for a, f in zip(old, found)], kind)], schema=part.schema)
                 yield part
 
     return docs.mapInArrow(run, docs.schema)
