@@ -40,6 +40,27 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.embed_graph import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+  AND NOT list_contains(list_transform(e, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true) AND list_dot_product(e, e) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+reach AS (SELECT a AS n, a AS r FROM pairs UNION SELECT reach.n, pairs.b FROM reach JOIN pairs ON reach.r = pairs.a),
+least AS (SELECT n, min(r) AS c FROM reach GROUP BY n),
+counts AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_links, coalesce(least.c, v.vec_id) AS component_id,
+  v.vec_id = coalesce(least.c, v.vec_id) AS kept
+FROM v LEFT JOIN counts ON counts.a = v.vec_id LEFT JOIN least ON least.n = v.vec_id
+"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.suffix_dedup import removed_digest
 
@@ -131,6 +152,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_toxicity": op5_toxicity,
@@ -143,4 +165,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL, "op10_phrase_dedup": OP10_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op8_chat_format": OP8_SQL, "op10_phrase_dedup": OP10_SQL}
