@@ -92,7 +92,7 @@ FROM flat f LEFT JOIN kept k USING (doc_id)
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.simhash import near_duplicates
 
-    rows = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    rows = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, bits=64)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

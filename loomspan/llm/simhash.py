@@ -1,12 +1,15 @@
-"""SimHash near-duplicates: 64-bit fingerprints of word shingles, joined by vantage-point trees.
-
-A document's fingerprint has the majority bit of its shingles' XXH64 values. Equal fingerprints are one point
-of the metric space. A vantage-point tree over a bounded sample cuts the space into shards: at each node a
-point goes inside or outside the median distance to the vantage point, and as a query also to the other
-side whenever the triangle inequality leaves a partner there (distance within `radius` of the median). Each
-shard is joined by a tree of its own down to small blocks, which are compared exactly. A block hands on one
-star per connected group, not its pairs; components of all stars give the classes. The join is exact: no
-candidate is capped.
+"""SimHash near-duplicates: fingerprints of word shingles, joined by vantage-point trees.
+
+A document's fingerprint has the majority bit of its shingles' hashes: 64 bits of XXH64, or 128 of XXH3.
+Equal fingerprints are one point of the metric space. For a small radius, a vantage-point tree over a bounded
+sample cuts the space into shards: at each node a point goes inside or outside the median distance to the
+vantage point, and as a query also to the other side whenever the triangle inequality leaves a partner
+there (distance within `radius` of the median). A radius that asks for a similarity rather than for a few
+bits leaves that test nothing to prune, distances of unrelated texts being all alike; then shards are bands
+of shingle counts, as texts of similarity 0.8 differ in length by a factor of 1.25 at most, and queries
+visit the bands beside their own. Each shard is joined by a tree of its own down to small blocks, which
+are compared exactly. A block hands on one star per connected group, not its pairs; components of all stars
+give the classes. The join is exact: no candidate is capped.
 
 Null texts count as empty; texts without words have the fingerprint zero, linked like any other. A null
 doc_id gets the component of its fingerprint, null where no known id has it.
@@ -26,43 +29,54 @@ from loomspan.llm.components import components
 
 SEED = 42
 SAMPLE = 6000
-SHARD = 16_384
+#: There are about sqrt(points) / SPREAD shards, so that neither a shard nor the copies of a query grow fast.
+SPREAD = 64
 BLOCK = 192
+#: Points of a band that one task holds as queries, about.
+QUERIES = 65_536
+BAND = 1.25
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Unsigned 64-bit fingerprint of a whole text: A-Z in lower case, words between ASCII white space."""
-    from xxhash import xxh64_intdigest
+def fingerprint(text: str | None, words: int, bits: int = 64) -> tuple[np.ndarray, int]:
+    """(fingerprint as bits / 64 unsigned numbers, number of shingles) of a whole text: A-Z in lower case, words
+    between ASCII white space."""
+    from xxhash import xxh3_128_digest, xxh64_digest
 
     ws = text.encode().lower().split() if text else []
     if not ws:
-        return 0
+        return np.zeros(bits // 64, np.uint64), 0
+    digest = xxh64_digest if bits == 64 else xxh3_128_digest
     line = b" ".join(ws)
     if len(ws) <= words:
-        h = np.array([xxh64_intdigest(line, SEED)], np.uint64)
+        got = [digest(line, SEED)]
     else:
         ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
-        h = np.array([xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts[: len(ws) - words + 1].tolist(), ends[words - 1 :].tolist())], np.uint64)
-    total = np.zeros(64, np.int64)
-    for lo in range(0, len(h), 65536):
-        total += np.unpackbits(h[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
+        got = [digest(line[s:e], SEED) for s, e in zip(starts[: len(ws) - words + 1].tolist(), ends[words - 1 :].tolist())]
+    h = np.frombuffer(b"".join(got), np.uint8).reshape(len(got), bits // 8)  # big end first
+    total = np.zeros(bits, np.int64)
+    for lo in range(0, len(h), 32768):
+        total += np.unpackbits(h[lo : lo + 32768], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(h)).view(">u8").astype(np.uint64), len(got)
 
 
-def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, fp (long, the unsigned value's bits) for each row. No shuffle."""
+def fingerprints(docs: DataFrame, words: int = 5, bits: int = 64) -> DataFrame:
+    """doc_id, fp, fp2 (longs, the unsigned values' bits; fp2 is 0 for 64 bits), size (shingles) for each row. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            got = [fingerprint(t, words, bits) for t in b.column(1).to_pylist()]
+            fp = np.zeros((len(got), 2), np.uint64)
+            if got:
+                fp[:, : bits // 64] = np.stack([g[0] for g in got])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), pa.array([g[1] for g in got], pa.int64())], ["doc_id", "fp", "fp2", "size"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long, size long")
 
 
-def distance(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int16)
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, the last axis being their words."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
 class TopTree:
@@ -70,9 +84,9 @@ class TopTree:
 
     def __init__(self, sample: np.ndarray, levels: int):
         self.levels = levels
-        self.vantage = np.zeros(2**levels, np.uint64)
+        self.vantage = np.zeros((2**levels, sample.shape[1]), np.uint64)
         self.median = np.zeros(2**levels, np.int16)
-        todo = [(1, np.sort(sample))] if levels else []
+        todo = [(1, sample[np.lexsort(sample.T)])] if levels else []
         while todo:
             node, pts = todo.pop()
             if len(pts):
@@ -101,15 +115,41 @@ class TopTree:
         return row, node, home
 
 
-def join_shard(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stars (node, centre) that connect all pairs of a point and a query within radius; both hold distinct values.
+class Bands:
+    """Shards by shingle count: points in their own band, queries also in the two beside it. `salts` tasks share a band."""
+
+    def __init__(self, salts: int):
+        self.salts = salts
+
+    def route(self, size: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard, point, query)."""
+        n, k = len(size), self.salts
+        band = np.floor(np.log(np.maximum(size, 1)) / np.log(BAND)).astype(np.int64) + 1
+        mine = node % k
+        row, shard, point, query = [], [], [], []
+        for s in range(k):  # a point in each task of its band, as a query in one of them
+            row.append(np.arange(n))
+            shard.append(band * k + s)
+            point.append(np.ones(n, bool))
+            query.append(mine == s)
+        for step in (-1, 1):
+            row.append(np.arange(n))
+            shard.append((band + step) * k + mine)
+            point.append(np.zeros(n, bool))
+            query.append(np.ones(n, bool))
+        return tuple(np.concatenate(x) for x in (row, shard, point, query))
+
+
+def join_shard(points: np.ndarray, names: np.ndarray, queries: np.ndarray, query_names: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stars (name, centre) that connect all pairs of a point and a query within radius; names are numbers.
 
     A vantage-point recursion: points inside and outside the median distance, queries to where the triangle
-    inequality leaves partners; a set that no vantage point can split is compared block by block.
+    inequality leaves partners; a set that no vantage point can split, or whose split sends nearly all
+    queries to both sides, is compared block by block.
     """
-    todo = [(points, queries)]
+    todo = [(points, names, queries, query_names)]
     while todo:
-        s, q = todo.pop()
+        s, sn, q, qn = todo.pop()
         if not len(s) or not len(q):
             continue
         if len(s) > BLOCK:
@@ -122,71 +162,90 @@ def join_shard(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator
                 inside = d <= m
             if not inside.all():
                 dq = distance(q, v)
-                todo += [(s[inside], q[dq <= m + radius]), (s[~inside], q[dq > m - radius])]
-                continue
+                left, right = dq <= m + radius, dq > m - radius
+                if left.sum() + right.sum() < 1.9 * len(q):
+                    todo += [(s[inside], sn[inside], q[left], qn[left]), (s[~inside], sn[~inside], q[right], qn[right])]
+                    continue
         for i in range(0, len(s), BLOCK):
-            for j in range(0, len(q), 8192):
-                yield from stars(s[i : i + BLOCK], q[j : j + 8192], radius)
+            for j in range(0, len(q), 4096):
+                yield from stars(s[i : i + BLOCK], sn[i : i + BLOCK], q[j : j + 4096], qn[j : j + 4096], radius)
 
 
-def stars(s: np.ndarray, q: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    x = q[:, None] ^ s[None, :]
-    near = (np.bitwise_count(x) <= radius) & (x != 0)
-    qi = np.flatnonzero(near.any(1))
+def stars(s: np.ndarray, sn: np.ndarray, q: np.ndarray, qn: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    far = np.bitwise_count(q[:, 0][:, None] ^ s[:, 0][None, :])
+    for w in range(1, s.shape[1]):
+        far += np.bitwise_count(q[:, w][:, None] ^ s[:, w][None, :])
+    qi, si = np.nonzero(far <= radius)
+    other = qn[qi] != sn[si]
+    qi, si = qi[other], si[other]
     if not len(qi):
         return
-    si = np.flatnonzero(near.any(0))
-    near, ids = near[np.ix_(qi, si)], np.concatenate([q[qi], s[si]])
+    qi_u, qa = np.unique(qi, return_inverse=True)
+    si_u, sa = np.unique(si, return_inverse=True)
+    ids = np.concatenate([qn[qi_u], sn[si_u]])
     values, label = np.unique(ids, return_inverse=True)
-    lq, ls = label[: len(qi)].copy(), label[len(qi) :].copy()
-    far = len(values)
+    one, two = label[qa], label[len(qi_u) + sa]
+    root = np.arange(len(values))
     while True:
-        nq = np.minimum(lq, np.where(near, ls[None, :], far).min(1))
-        ns = np.minimum(ls, np.where(near, nq[:, None], far).min(0))
-        if (nq == lq).all() and (ns == ls).all():
+        low = np.minimum(root[one], root[two])
+        new = root.copy()
+        np.minimum.at(new, one, low)
+        np.minimum.at(new, two, low)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
             break
-        lq, ls = nq, ns
-    yield ids, values[np.concatenate([lq, ls])]
+        root = new
+    yield values, values[root]
 
 
-def links(points: DataFrame, radius: int = 4) -> DataFrame:
-    """points: fp (distinct longs). Returns edges (a, b) of fingerprints that connect all pairs within radius."""
+def links(points: DataFrame, radius: int = 4, bits: int = 64) -> DataFrame:
+    """points: node (distinct longs), fp, fp2, size. Returns edges (a, b) of nodes that connect all pairs within radius."""
     n = points.count()
-    levels = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
-    rank = F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1 << 31)) / float(1 << 31)
-    sample = points.where(rank < min(1.0, SAMPLE / max(1, n))).limit(2 * SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64) if levels else np.zeros(0, np.uint64)
-    tree = TopTree(sample, levels)
+    width = bits // 64
+    tree, bands = None, None
+    if radius * 10 <= bits:
+        levels = max(0, round(np.log2(max(1, n) ** 0.5 / SPREAD)))
+        rank = F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1 << 31)) / float(1 << 31)
+        got = points.where(rank < min(1.0, SAMPLE / max(1, n))).select("fp", "fp2").limit(2 * SAMPLE).toArrow() if levels else None
+        sample = np.stack([got["fp"].to_numpy(), got["fp2"].to_numpy()], 1).view(np.uint64)[:, :width] if got else np.zeros((0, width), np.uint64)
+        tree = TopTree(sample, levels)
+    else:
+        bands = Bands(max(1, -(-n // QUERIES)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy()
-            for i in range(0, len(fp), 8192):
-                part = fp[i : i + 8192]
-                row, leaf, home = tree.route(part.view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(part[row]), pa.array(home)], ["leaf", "fp", "home"])
+            for i in range(0, b.num_rows, 8192):
+                node, fp, fp2, size = (c.to_numpy() for c in b.slice(i, 8192).columns)
+                if tree:
+                    row, leaf, point = tree.route(np.stack([fp, fp2], 1).view(np.uint64)[:, :width], radius)
+                    query = np.ones(len(row), bool)
+                else:
+                    row, leaf, point, query = bands.route(size, node)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(node[row]), pa.array(fp[row]), pa.array(fp2[row]), pa.array(point), pa.array(query)], ["leaf", "node", "fp", "fp2", "point", "query"])
 
     def solve(key, group):
-        fp, home = group["fp"].to_numpy().view(np.uint64), group["home"].to_numpy()
+        fp = np.stack([group["fp"].to_numpy(), group["fp2"].to_numpy()], 1).view(np.uint64)[:, :width]
+        node, point, query = (group[c].to_numpy() for c in ("node", "point", "query"))
         a, b = [], []
-        for ids, centre in join_shard(fp[home], fp, radius):
+        for ids, centre in join_shard(fp[point], node[point], fp[query], node[query], radius):
             other = ids != centre
             a.append(ids[other])
             b.append(centre[other])
-        a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": a, "b": b})
 
-    dealt = points.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean")
+    dealt = points.select("node", "fp", "fp2", "size").mapInArrow(deal, "leaf int, node long, fp long, fp2 long, point boolean, query boolean")
     return dealt.groupBy("leaf").applyInArrow(solve, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable by links) for each row."""
-    fps = settle(fingerprints(docs, words))
-    points = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = links(points.select("fp"), radius)
-    groups = components(edges)  # by fingerprint
-    # the classes' smallest document: the least `first` of a class's fingerprints
-    of = points.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
-    least = of.groupBy("class").agg(F.min("first").alias("component_id"))
-    by_fp = settle(of.join(least, "class").select("fp", "component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 22, bits: int = 128) -> DataFrame:
+    """doc_id, fp, fp2, component_id (the smallest doc_id reachable by links) for each row.
+
+    22 of 128 bits are an estimated Jaccard similarity of about 0.75, so that texts of 0.8 and more are found
+    despite the estimate's spread; chance pairs are far off (64 bits on average, deviation 6).
+    """
+    fps = settle(fingerprints(docs, words, bits))
+    points = settle(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node"), F.max("size").alias("size")))
+    groups = components(links(points.where("node is not null"), radius, bits)).withColumnRenamed("node", "of")
+    by_fp = points.join(groups, F.col("node") == F.col("of"), "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(by_fp, ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")
