@@ -70,7 +70,7 @@ class Bucket:
         self.prefix = Prefix(self.word, WORD_BASE)
         self.gram = gram
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return runs(self.prefix.grams(self.gram), self.window - self.gram + 1, self.window, self.ends)
 
     def least(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def remove_phrases(docs: DataFrame, finish, schema: str, window: int = 13, gram:
 
     def send_keys(key, group):
         b = Bucket(group["doc_id"], group["text"], window, gram)
-        first, _, keys = b.runs()
+        first, _, keys, _ = b.runs()
         doc = b.doc[first]
         order = np.lexsort((doc, keys))
         start, size = group_runs(keys[order])
@@ -186,7 +186,7 @@ def remove_phrases(docs: DataFrame, finish, schema: str, window: int = 13, gram:
             return pack_table([])
         b = Bucket(group["doc_id"], group["text"], window, gram)
         _, (known,) = unpack(verdict, 1, (np.uint64,))
-        first, last, keys = b.runs()
+        first, last, keys, _ = b.runs()
         pick = np.flatnonzero(member(keys, np.sort(known))[0])
         if not len(pick):
             return pack_table([])

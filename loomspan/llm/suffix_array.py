@@ -122,7 +122,7 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, tails: np.ndarray) ->
 
 def _place(sa: np.ndarray, p: np.ndarray, c: np.ndarray, at: np.ndarray, step: int) -> None:
     """Put p, in order, at the moving ends of their buckets."""
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(c.astype(np.uint16) if len(at) <= 65536 else c, kind="stable")  # 16 bits are sorted by radix
     c, p = c[order], p[order]
     first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
     count = np.diff(np.append(first, len(c)))

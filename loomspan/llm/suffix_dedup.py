@@ -43,10 +43,10 @@ from loomspan.llm.windows import (
 )
 
 GRAM = 50
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 KEY_BYTES = 32 << 20
 #: Symbols of one suffix array.
-ARRAY = 3_000_000
+ARRAY = 1_500_000
 HOT = 4096
 
 
@@ -58,7 +58,7 @@ class Bucket:
         self.data, self.off = text_bytes(texts)
         self.prefix = Prefix(self.data, BYTE_BASE)
         size = np.diff(self.off)
-        self.first, self.last, self.key = runs(self.prefix.grams(gram), window - gram + 1, window, np.repeat(self.off[1:], size))
+        self.first, self.last, self.key, self.place = runs(self.prefix.grams(gram), window - gram + 1, window, np.repeat(self.off[1:], size))
 
     def content(self, pick: np.ndarray) -> np.ndarray:
         return self.prefix.ranges(self.first[pick], self.last[pick] + self.window)
@@ -85,6 +85,34 @@ def repeated_windows(segments: list[np.ndarray], window: int) -> np.ndarray:
     return (out & (rest >= window))[spread(place, size)]
 
 
+def shared_part(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, key: np.ndarray, total: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """[lo, hi) of each distinct run that can share a window with another run of its minimizer; lo = hi: none.
+
+    A window around the minimizer holds half of what a window has besides, either on its left or on its right.
+    A run whose left (right) half no other run of the minimizer shares has no shared window of that kind.
+    """
+    half = (window - gram) // 2
+    need = window - gram - half  # a window with fewer than `half` bytes on the left has `need` on the right
+    prefix = Prefix(data, BYTE_BASE)
+    at = begin + place
+
+    def shared(ok: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(begin), bool)
+        rows = np.flatnonzero(ok)
+        h = segment_key(key[rows], prefix.ranges(start[rows], end[rows]))
+        order = np.argsort(h, kind="stable")
+        _, n = group_runs(h[order])
+        out[rows[order]] = np.repeat(n >= 2, n)
+        return out
+
+    left = shared(place >= half, at - half, at + gram)
+    right = shared(size - place - gram >= need, at, at + gram + need)
+    lo = np.where(left, 0, np.maximum(place - half, 0))
+    hi = np.where(right, size, np.minimum(place + gram + need, size))
+    none = ~(left | right)
+    return np.where(none, 0, lo), np.where(none, 0, hi)
+
+
 def segment_key(key: np.ndarray, content: np.ndarray) -> np.ndarray:
     return key ^ (content * np.uint64(0x9E3779B97F4A7C15))
 
@@ -134,7 +162,7 @@ def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT,
             one, content, count = one[order], content[by][start][order], count[order]
             size = b.last[one] - b.first[one] + window
             for k, s, e in zip(got, bound, bound[1:]):
-                out.append((int(k), db, 2, b.key[one[s:e]], content[s:e], np.stack([size[s:e], np.minimum(count[s:e], 2)], 1).astype(np.int32), b.data[spread(b.first[one[s:e]], size[s:e])]))
+                out.append((int(k), db, 2, b.key[one[s:e]], content[s:e], np.stack([size[s:e], np.minimum(count[s:e], 2), (b.place - b.first)[one[s:e]]], 1).astype(np.int32), b.data[spread(b.first[one[s:e]], size[s:e])]))
         pick = np.flatnonzero(is_hot)
         if len(pick):
             h, count = np.unique(b.window_hashes(spread(b.first[pick], b.last[pick] - b.first[pick] + 1)), return_counts=True)
@@ -156,40 +184,36 @@ def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT,
         db, (keys, content, shape, data) = unpack(group, 2, (np.uint64, np.uint64, np.int32, np.uint8))
         if not len(keys):
             return pack_table(out)
-        size, count = shape.reshape(-1, 2).T.astype(np.int64)
+        size, count, place = shape.reshape(-1, 3).T.astype(np.int64)
         begin = np.cumsum(size) - size
         by = np.lexsort((content, keys))
         name = segment_key(keys, content)
         start, times = group_runs(name[by])
         total = np.add.reduceat(count[by], start)
         first = by[start]
+        lo, hi = shared_part(data, begin[first], size[first], place[first], keys[first], total, window, gram)
         # arrays of bounded size, cut between minimizers only
-        new_key = np.concatenate([[True], keys[first][1:] != keys[first][:-1]])
-        group_at = np.flatnonzero(new_key)
-        group_size = np.add.reduceat(size[first], group_at)
-        part = (np.cumsum(group_size) - group_size) // array
-        for a in np.unique(part):
-            gs = group_at[part == a]
-            lo = gs[0]
-            later = group_at[part > a]
-            hi = later[0] if len(later) else len(first)
-            own = first[lo:hi]
-            flags = repeated_windows([data[begin[x] : begin[x] + size[x]] for x in own], window)
-            ends = np.cumsum(size[own])
-            starts = ends - size[own]
-            # a run that occurs twice is repeated at each of its windows
-            twice = np.flatnonzero(total[lo:hi] >= 2)
-            flags[spread(starts[twice], size[own[twice]] - window + 1)] = True
+        group_at = np.flatnonzero(np.concatenate([[True], keys[first][1:] != keys[first][:-1]]))
+        group_size = np.add.reduceat(hi - lo, group_at)
+        part = np.repeat((np.cumsum(group_size) - group_size) // array, np.diff(np.append(group_at, len(first))))
+        found: list[tuple[np.ndarray, ...]] = []
+        for a in np.unique(part[hi > lo]):
+            own = np.flatnonzero((part == a) & (hi > lo))
+            flags = repeated_windows([data[begin[first[x]] + lo[x] : begin[first[x]] + hi[x]] for x in own], window)
+            ends = np.cumsum((hi - lo)[own])
+            starts = ends - (hi - lo)[own]
             edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
             s, e = edge[::2], edge[1::2] - 1
-            if not len(s):
-                continue
             seg = np.searchsorted(ends, s, side="right")
-            which = lo + seg
-            # back to every bucket that sent the run
+            found.append((own[seg], s - starts[seg] + lo[own[seg]], e - starts[seg] + lo[own[seg]]))
+        # a run that occurs twice is repeated at each of its windows
+        twice = np.flatnonzero(total >= 2)
+        found.append((twice, np.zeros(len(twice), np.int64), size[first[twice]] - window))
+        # back to every bucket that sent the run
+        for which, s, e in found:
             n = times[which]
             src = by[spread(start[which], n)]
-            names, rel = name[src], np.stack([np.repeat(s - starts[seg], n), np.repeat(e - starts[seg], n)], 1).astype(np.int32)
+            names, rel = name[src], np.stack([np.repeat(s, n), np.repeat(e, n)], 1).astype(np.int32)
             d = db[src]
             order = np.argsort(d, kind="stable")
             out += [(0, int(d[order[x]]), 5, names[order[x : x + m]], rel[order[x : x + m]]) for x, m in zip(*group_runs(d[order]))]

@@ -70,8 +70,8 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def runs(gram_hash: np.ndarray, w: int, size: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows that share a minimizer: (first window, last window, minimizer's hash).
+def runs(gram_hash: np.ndarray, w: int, size: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows that share a minimizer: (first window, last window, minimizer's hash, its place).
 
     A window of `size` symbols from place p holds the w grams from p on and must end at ends[p] at the latest.
     The minimizer is the least hash, the leftmost of equals: a function of the window's content alone.
@@ -89,10 +89,10 @@ def runs(gram_hash: np.ndarray, w: int, size: int, ends: np.ndarray) -> tuple[np
             a = at[ok]
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (np.diff(ok) != 1)]))
             last = np.append(new[1:], len(ok)) - 1
-            out.append((ok[new] + s, ok[last] + s, gram_hash[a[new]]))
+            out.append((ok[new] + s, ok[last] + s, gram_hash[a[new]], a[new]))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64)
+        return z, z, np.zeros(0, np.uint64), z
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
