@@ -74,24 +74,52 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, tails: np.ndarray) ->
     first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
     count = np.diff(np.append(first, len(c)))
     sa[np.repeat(tails[c[first]] - count - first, count) + np.arange(len(c))] = lms[order]
+    # what a suffix induces: the symbol in front of it if that makes a larger (smaller) suffix; entry -1 is "none"
+    front = np.full(n + 1, -1, np.int32)
+    front[1:n] = np.where(s[:-1], -1, t[:-1])
+    small = np.full(n + 1, -1, np.int32)
+    small[1:n] = np.where(s[:-1], t[:-1], -1)
+    few = len(tails) <= 65536
+    count_up = np.arange(n)
     # larger suffixes, from the left
     heads = np.concatenate([[0], tails[:-1]])
     i, width = 0, 4096
     while i < n:
         seg = sa[i : i + width]
-        idx = np.flatnonzero(seg > 0)
-        p = seg[idx] - 1
-        keep = ~s[p]
-        idx, p = idx[keep], p[keep]
+        c = front[seg]
+        idx = (c >= 0).nonzero()[0]
         end = min(n, i + width)
-        if len(p):
-            c = t[p]
+        if len(idx):
+            c = c[idx]
             least = np.minimum.accumulate(heads[c])
-            good = least > i + idx
-            m = len(p) if good.all() else int(good.argmin())
+            good = least > idx + i
+            m = len(idx)
+            whole = bool(good[-1])
+            if not whole:  # the targets only come nearer and the places only go on
+                m = int(good.argmin())
+                c = c[:m]
             end = min(end, int(least[m - 1]))
-            _place(sa, p[:m], c[:m], heads, 1)
-            width = width * 2 if m == len(p) and end == i + width else max(512, 2 * (end - i))
+            p = seg[idx[:m]] - 1
+            if m > 1:
+                order = (c.astype(np.uint16) if few and m > 64 else c).argsort(kind="stable")  # 16 bits go by radix
+                c, p = c[order], p[order]
+                cut = (c[1:] != c[:-1]).nonzero()[0]
+                if len(cut):
+                    first = np.zeros(m, np.int64)
+                    first[cut + 1] = cut + 1
+                    pos = heads[c] + count_up[:m] - np.maximum.accumulate(first)
+                    sa[pos] = p
+                    heads[c[cut]] = pos[cut] + 1
+                    heads[c[-1]] = pos[-1] + 1
+                else:
+                    h = heads[c[0]]
+                    sa[h : h + m] = p
+                    heads[c[0]] = h + m
+            else:
+                h = heads[c[0]]
+                sa[h] = p[0]
+                heads[c[0]] = h + 1
+            width = width * 2 if whole and end == i + width else max(512, 2 * (end - i))
         i = end
     # smaller suffixes, from the right; the LMS entries are induced anew
     filled = sa >= 0
@@ -102,40 +130,45 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, tails: np.ndarray) ->
     while i >= 0:
         lo = max(0, i - width + 1)
         seg = sa[lo : i + 1][::-1]
-        idx = np.flatnonzero(seg > 0)
-        p = seg[idx] - 1
-        keep = s[p]
-        idx, p = idx[keep], p[keep]
+        c = small[seg]
+        idx = (c >= 0).nonzero()[0]
         stop = lo
-        if len(p):
-            c = t[p]
-            most = np.maximum.accumulate(ends[c] - 1)
-            good = most < i - idx
-            m = len(p) if good.all() else int(good.argmin())
-            stop = max(stop, int(most[m - 1]) + 1)
-            _place(sa, p[:m], c[:m], ends, -1)
-            width = width * 2 if m == len(p) and stop == lo else max(512, 2 * (i + 1 - stop))
+        if len(idx):
+            c = c[idx]
+            most = np.maximum.accumulate(ends[c])
+            good = most <= i - idx
+            m = len(idx)
+            whole = bool(good[-1])
+            if not whole:
+                m = int(good.argmin())
+                c = c[:m]
+            stop = max(stop, int(most[m - 1]))
+            p = seg[idx[:m]] - 1
+            if m > 1:
+                order = (c.astype(np.uint16) if few and m > 64 else c).argsort(kind="stable")
+                c, p = c[order], p[order]
+                cut = (c[1:] != c[:-1]).nonzero()[0]
+                if len(cut):
+                    first = np.zeros(m, np.int64)
+                    first[cut + 1] = cut + 1
+                    pos = ends[c] - 1 - count_up[:m] + np.maximum.accumulate(first)
+                    sa[pos] = p
+                    ends[c[cut]] = pos[cut]
+                    ends[c[-1]] = pos[-1]
+                else:
+                    h = ends[c[0]]
+                    sa[h - m : h] = p[::-1]
+                    ends[c[0]] = h - m
+            else:
+                h = ends[c[0]] - 1
+                sa[h] = p[0]
+                ends[c[0]] = h
+            width = width * 2 if whole and stop == lo else max(512, 2 * (i + 1 - stop))
         i = stop - 1
     sa[0] = n - 1
     return sa
 
 
-def _place(sa: np.ndarray, p: np.ndarray, c: np.ndarray, at: np.ndarray, step: int) -> None:
-    """Put p, in order, at the moving ends of their buckets."""
-    order = np.argsort(c.astype(np.uint16) if len(at) <= 65536 else c, kind="stable")  # 16 bits are sorted by radix
-    c, p = c[order], p[order]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    count = np.diff(np.append(first, len(c)))
-    rank = np.arange(len(c)) - np.repeat(first, count)
-    ch = c[first]
-    if step > 0:
-        sa[np.repeat(at[ch], count) + rank] = p
-        at[ch] += count
-    else:
-        sa[np.repeat(at[ch] - 1, count) - rank] = p
-        at[ch] -= count
-
-
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(phi, plcp): each suffix's predecessor in the array (-1: none), and the length of their common prefix.
 

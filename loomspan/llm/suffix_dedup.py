@@ -44,7 +44,7 @@ from loomspan.llm.windows import (
 
 GRAM = 50
 BUCKET_BYTES = 2 << 20
-KEY_BYTES = 32 << 20
+KEY_BYTES = 16 << 20
 #: Symbols of one suffix array.
 ARRAY = 1_500_000
 HOT = 4096
@@ -93,13 +93,24 @@ def shared_part(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np
     """
     half = (window - gram) // 2
     need = window - gram - half  # a window with fewer than `half` bytes on the left has `need` on the right
-    prefix = Prefix(data, BYTE_BASE)
     at = begin + place
 
+    def hashes(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.empty(len(start), np.uint64)
+        order = np.argsort(start)
+        for i in range(0, len(start), 4096):  # prefix sums of a stretch of the data at a time
+            rows = order[i : i + 4096]
+            for rows in np.array_split(rows, max(1, int(start[rows[-1]] - start[rows[0]]) >> 20)):
+                base, top = int(start[rows[0]]), int(end[rows].max())
+                out[rows] = Prefix(data[base:top], BYTE_BASE).ranges(start[rows] - base, end[rows] - base)
+        return out
+
     def shared(ok: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = np.zeros(len(begin), bool)
         rows = np.flatnonzero(ok)
-        h = segment_key(key[rows], prefix.ranges(start[rows], end[rows]))
+        if not len(rows):
+            return out
+        h = segment_key(key[rows], hashes(start[rows], end[rows]))
         order = np.argsort(h, kind="stable")
         _, n = group_runs(h[order])
         out[rows[order]] = np.repeat(n >= 2, n)
@@ -168,7 +179,8 @@ def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT,
             h, count = np.unique(b.window_hashes(spread(b.first[pick], b.last[pick] - b.first[pick] + 1)), return_counts=True)
             order, got, bound = deal(h, n_keys)
             h, count = h[order], np.minimum(count[order], 2).astype(np.uint8)
-            out += [(int(k), db, 3, h[s:e], count[s:e]) for k, s, e in zip(got, bound, bound[1:])]
+            hot_keys = np.unique(b.key[pick])
+            out += [(int(k), db, 3, h[s:e], count[s:e], hot_keys) for k, s, e in zip(got, bound, bound[1:])]
         return pack_table(out)
 
     def solve(key, group):
@@ -181,6 +193,8 @@ def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT,
             h, d = h[order][twice], db[order][twice]
             order = np.argsort(d, kind="stable")
             out += [(0, int(d[order[a]]), 4, h[order[a : a + m]]) for a, m in zip(*group_runs(d[order]))]
+            sent = zip(*(group[c].to_pylist() for c in ("db", "kind", "c")))
+            out += [(0, n, 6, np.frombuffer(c, np.uint64)) for n, kind, c in sent if kind == 3]
         db, (keys, content, shape, data) = unpack(group, 2, (np.uint64, np.uint64, np.int32, np.uint8))
         if not len(keys):
             return pack_table(out)
@@ -228,7 +242,12 @@ def removal(bucket: Bucket, verdict: pa.Table) -> np.ndarray:
     n, window = len(bucket.data), bucket.window
     _, (names, rel) = unpack(verdict, 5, (np.uint64, np.int32))
     _, (hot,) = unpack(verdict, 4, (np.uint64,))
-    mark = np.zeros(n + 1, np.int32)
+    mark = np.zeros(n + 1, np.int64)
+
+    def cover(first: np.ndarray, last: np.ndarray) -> None:
+        np.add(mark, np.bincount(first, minlength=n + 1), out=mark)
+        np.subtract(mark, np.bincount(last + window, minlength=n + 1), out=mark)
+
     if len(names):
         rel = rel.reshape(-1, 2).astype(np.int64)
         order = np.argsort(names, kind="stable")
@@ -239,16 +258,16 @@ def removal(bucket: Bucket, verdict: pa.Table) -> np.ndarray:
         pick = np.flatnonzero(hi > lo)
         at = spread(lo[pick], (hi - lo)[pick])
         base = np.repeat(bucket.first[pick], (hi - lo)[pick])
-        np.add.at(mark, base + rel[at, 0], 1)
-        np.add.at(mark, base + rel[at, 1] + window, -1)
+        cover(base + rel[at, 0], base + rel[at, 1])
     if len(hot):
         hot = np.sort(hot)
-        starts = spread(bucket.first, bucket.last - bucket.first + 1)
+        _, (hot_keys,) = unpack(verdict, 6, (np.uint64,))
+        pick = np.flatnonzero(member(bucket.key, np.unique(hot_keys))[0])
+        starts = spread(bucket.first[pick], (bucket.last - bucket.first)[pick] + 1)
         for i in range(0, len(starts), 1 << 20):
             s = starts[i : i + (1 << 20)]
             s = s[member(bucket.window_hashes(s), hot)[0]]
-            np.add.at(mark, s, 1)
-            np.add.at(mark, s + window, -1)
+            cover(s, s)
     return np.cumsum(mark[:n]) > 0
 
 
