@@ -23,6 +23,11 @@ BULLET = rf"\A{SPACE}*(?:[-*•]+|[0-9]{{1,4}}[:.)]|[A-Za-z][:.)]){SPACE}+"
 TERM = r"[\p{L}\p{N}]+"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value evaluated once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, STRIP, "")
 
@@ -46,14 +51,13 @@ def is_japanese(c: Column, window: int = 500, least: int = 1) -> Column:
 
 
 def split_simple(c: Column) -> Column:
-    got = extract(c, SIMPLE)
-    return F.when(F.size(got) > 0, got).otherwise(F.array(c))
+    return let(extract(c, SIMPLE), lambda got: F.when(F.size(got) > 0, got).otherwise(F.array(c)))
 
 
 def stripped(parts: Column, whole: Column) -> Column:
     """Stripped non-blank parts; the stripped whole where none is left."""
     got = F.filter(F.transform(parts, strip), lambda s: s != "")
-    return F.when(F.size(got) > 0, got).otherwise(F.array(strip(whole)))
+    return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(strip(whole))))
 
 
 def split_regex(c: Column) -> Column:
@@ -101,7 +105,7 @@ def split_english(c: Column, limit: int = 1200) -> Column:
     blocks = F.transform(english_blocks(c), lambda b: F.regexp_replace(b, rf"\A{SPACE}+", ""))
     got = F.flatten(F.transform(blocks, lambda b: extract(b, ENGLISH)))
     got = F.filter(F.flatten(F.transform(got, lambda s: split_overlong(s, limit))), lambda s: s != "")
-    return F.when(F.size(got) > 0, got).otherwise(F.array(strip(c)))
+    return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(strip(c))))
 
 
 def split_auto(c: Column) -> Column:
@@ -110,27 +114,30 @@ def split_auto(c: Column) -> Column:
 
 def split_multiline(c: Column, limit: int = 1200) -> Column:
     """Lines of a sentence that is a list of lines: two non-blank ones at least, fewer sentence marks than lines, none too long."""
-    lines = split_lines(c)
-    full = F.filter(lines, lambda x: strip(x) != "")
-    ok = (F.size(full) >= 2) & (F.regexp_count(c, F.lit("[.?!]")) < F.size(full)) & F.forall(lines, lambda x: F.length(x) <= limit)
-    return F.when(ok, lines).otherwise(F.array(c))
+    def choose(lines: Column) -> Column:
+        full = F.size(F.filter(lines, lambda x: strip(x) != ""))
+        ok = let(full, lambda n: (n >= 2) & (F.regexp_count(c, F.lit("[.?!]")) < n)) & F.forall(lines, lambda x: F.length(x) <= limit)
+        return F.when(ok, lines).otherwise(F.array(c))
+
+    return F.when(c.rlike(f"[{BREAK}]"), let(split_lines(c), choose)).otherwise(F.array(c))
 
 
 def normalize(sentences: Column, whole: Column) -> Column:
     """Sentences split by lines, blanks dropped; the stripped whole (or itself) where none is left."""
     got = F.filter(F.flatten(F.transform(sentences, split_multiline)), lambda s: strip(s) != "")
     rest = F.when(strip(whole) != "", strip(whole)).otherwise(whole)
-    return F.when(F.size(got) > 0, got).otherwise(F.array(rest))
+    return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(rest)))
 
 
 def first_line_title(c: Column) -> Column:
     """struct(title, rest): the first non-blank line and what follows it; all blank: '' and the text unchanged."""
-    lines = split_lines(c)
-    at = F.array_position(F.transform(lines, lambda x: strip(x) != ""), True).cast("int")
-    return F.when(
-        at > 0,
-        F.struct(chomp(F.get(lines, at - 1)).alias("title"), F.array_join(F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0))), "").alias("rest")),
-    ).otherwise(F.struct(F.lit("").alias("title"), c.alias("rest")))
+    def cut(lines: Column, at: Column) -> Column:
+        return F.when(
+            at > 0,
+            F.struct(chomp(F.get(lines, at - 1)).alias("title"), F.array_join(F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0))), "").alias("rest")),
+        ).otherwise(F.struct(F.lit("").alias("title"), c.alias("rest")))
+
+    return let(split_lines(c), lambda lines: let(F.array_position(F.transform(lines, lambda x: strip(x) != ""), True).cast("int"), lambda at: cut(lines, at)))
 
 
 def prefix_sentences(titles: Column) -> Column:
@@ -156,16 +163,19 @@ def text_to_spans(text: Column, sentences: Column) -> Column:
     zero = F.struct(F.array().cast("array<array<int>>").alias("spans"), F.lit(0).alias("cursor"))
 
     def step(acc: Column, sent: Column) -> Column:
-        s = strip(sent)
-        ahead = F.expr("1")
-        ahead = F.call_function("locate", s, text, acc["cursor"] + 1)
-        at = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", s, text, F.lit(1)))
-        ok = (s != "") & (at > 0)
-        end = at - 1 + F.length(s)
-        return F.struct(
-            F.when(ok, F.concat(acc["spans"], F.array(F.array(at - 1, end)))).otherwise(acc["spans"]).alias("spans"),
-            F.when(ok, end).otherwise(acc["cursor"]).alias("cursor"),
-        )
+        def place(s: Column, at: Column) -> Column:
+            ok = (s != "") & (at > 0)
+            end = at - 1 + F.length(s)
+            return F.struct(
+                F.when(ok, F.concat(acc["spans"], F.array(F.array(at - 1, end)))).otherwise(acc["spans"]).alias("spans"),
+                F.when(ok, end).otherwise(acc["cursor"]).alias("cursor"),
+            )
+
+        def seek(s: Column) -> Column:
+            ahead = F.call_function("locate", s, text, acc["cursor"] + 1)
+            return let(ahead, lambda a: F.when(a > 0, a).otherwise(F.call_function("locate", s, text, F.lit(1))))
+
+        return let(strip(sent), lambda s: let(seek(s), lambda at: place(s, at)))
 
     return F.aggregate(sentences, zero, step, lambda a: a["spans"])
 

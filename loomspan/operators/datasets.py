@@ -90,8 +90,10 @@ def sample_items(df: DataFrame, max_items: int, aligned: list[str], seed: int, r
     d = df.withColumn("n_", n).withColumn("pick_", F.array_sort(F.transform(F.slice(F.array_sort(item), F.lit(1), F.lit(max_items)), lambda x: x["i"])))
     if not keep_short:
         d = d.where(F.col("n_") >= max_items)
-    for c in aligned:
-        d = d.withColumn(c, F.when(F.size(c) == F.col("n_"), F.transform("pick_", lambda i, c=c: F.get(F.col(c), i))).otherwise(F.col(c)))
+    def cut(c: str) -> Column:
+        return F.when(F.size(c) == F.col("n_"), F.transform("pick_", lambda i: F.get(F.col(c), i))).otherwise(F.col(c))
+
+    d = d.withColumns({c: cut(c) for c in aligned})
     return d.drop("n_", "pick_")
 
 

@@ -20,6 +20,11 @@ from loomspan.functions import text as T
 THRESHOLD = 0.1
 
 
+def staged(d: DataFrame, **columns: Column) -> DataFrame:
+    """Columns evaluated once: a one-row generator keeps the optimizer from copying their expressions into every use."""
+    return d.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def fragments(sentences: Column, step: int) -> Column:
     """array<struct<text, sentence_index, fragment_index, length>>: each sentence cut into pieces of `step` characters."""
     def cut(s: Column, i: Column) -> Column:
@@ -69,14 +74,13 @@ def prune(
     """
     step = max(16, window // 2)
     prefix = T.prefix_sentences(F.array(title)) if title is not None else F.array().cast("array<string>")
-    d = contexts.withColumns({"qt_": T.terms(F.col("query")), "prefix_": prefix})
-    d = d.withColumn("sentences", F.concat("prefix_", T.normalize(splitter(F.col("context_text")), F.col("context_text"))))
-    d = d.withColumn("fragments_", fragments(F.col("sentences"), step))
-    d = d.withColumn("block_", pack(F.transform("fragments_", lambda f: f["length"]), F.length("query"), window))
-    d = d.withColumn("sentence_probs", F.transform("sentences", lambda s: overlap(F.col("qt_"), s)))
+    d = staged(contexts, qt_=T.terms(F.col("query")), prefix_=prefix)
+    d = staged(d, sentences=F.concat("prefix_", T.normalize(splitter(F.col("context_text")), F.col("context_text"))))
+    d = staged(d, fragments_=fragments(F.col("sentences"), step), sentence_probs=F.transform("sentences", lambda s: overlap(F.col("qt_"), s)))
+    d = staged(d, block_=pack(F.transform("fragments_", lambda f: f["length"]), F.length("query"), window))
     blocks = A.indices(F.coalesce(F.array_max("block_"), F.lit(-1)) + 1)
     text = lambda b: F.array_join(F.transform(F.filter("fragments_", lambda f, i: F.get(F.col("block_"), i) == b), lambda f: f["text"]), "")
-    d = d.withColumn("block_scores_", F.transform(blocks, lambda b: overlap(F.col("qt_"), text(b))))
+    d = staged(d, block_scores_=F.transform(blocks, lambda b: overlap(F.col("qt_"), text(b))))
     return finish(d, threshold, always_title, best_block, zero_when_empty).drop("qt_", "prefix_", "fragments_", "block_", "block_scores_")
 
 
@@ -85,11 +89,11 @@ def finish(d: DataFrame, threshold: float, always_title: bool, best_block: bool,
     over = F.transform("sentence_probs", lambda p: A.clip(p) > threshold)
     if always_title:
         some = F.exists("sentence_probs", lambda p: A.clip(p) > threshold)
-        d = d.withColumn("kept", F.transform(over, lambda k, i: k | (some & (i == 0))))
+        d = staged(d, kept=F.transform(over, lambda k, i: k | (some & (i == 0))))
     else:
-        d = d.withColumn("kept", over)
+        d = staged(d, kept=over)
     inside = F.filter(F.col("sentences"), lambda s, i: F.get(F.col("kept"), i) & (i >= F.size("prefix_")))
-    d = d.withColumn("pruned_context", F.array_join(inside, ""))
+    d = staged(d, pruned_context=F.array_join(inside, ""))
     score = F.array_max("block_scores_") if best_block else F.get("block_scores_", F.lit(0))
     if zero_when_empty:
         score = F.when(T.strip(F.col("pruned_context")) == "", F.when(score.isNotNull(), F.lit(0.0))).otherwise(score)
