@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,13 +75,13 @@ class ToxicityModel:
         return v
 
     def learn(self, new: list[str]) -> None:
-        ids, ends = [], []
+        ids, ends = array("i"), []
         for w in new:
-            ids += subwords(w)
+            ids.extend(subwords(w))
             ends.append(len(ids))
         if new:
             at = np.array([0, *ends[:-1]])
-            sums = np.add.reduceat(self.bucket[np.array(ids)].astype(np.float64), at)
+            sums = np.add.reduceat(self.bucket[np.frombuffer(ids, np.int32)].astype(np.float64), at)
             self.cache.update(zip(new, (sums / np.diff([0, *ends])).tolist()))
 
     def score(self, texts: list[str | None]) -> list[float]:
@@ -121,15 +122,19 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 150, rate: float =
             base += len(ws)
     word, lo, hi, owner = (np.concatenate(x) for x in (ids, starts, ends, owner))
     width = np.maximum(hi - lo, MIN_WORDS)
-    sub, cnt = [], []
+    packed, cnt = array("i"), array("i")
     for w in vocab:
         x = subwords(w)
-        sub += x
+        packed.extend(x)
         cnt.append(len(x))
-    used, sub = np.unique(np.array(sub, np.int64), return_inverse=True)
-    cnt = np.array(cnt)
-    first = np.concatenate([[0], np.cumsum(cnt)[:-1]])
-    of_sub = np.repeat(np.arange(len(cnt)), cnt)
+    sub, cnt = np.frombuffer(packed, np.int32), np.array(cnt)
+    known = np.zeros(BUCKETS, bool)
+    known[sub] = True
+    used = np.flatnonzero(known)
+    place = np.cumsum(known, dtype=np.int32) - 1
+    sub = place[sub]
+    of_sub = np.repeat(np.arange(len(cnt), dtype=np.int32), cnt)
+    del packed, ids, starts, ends, vocab
     docs, doc_at = np.unique(owner, return_index=True)
     y = labels[docs].astype(np.float64)
     rng = np.random.default_rng(seed)
@@ -191,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000,
     got = fits.join(F.broadcast(picked), "doc_id").select("rank", "label", "text").toArrow().to_pylist()
     got.sort(key=lambda r: (r["label"], r["rank"], r["text"]))
     rows = [r for y in (0, 1) for r in [g for g in got if g["label"] == y][: per_class[y]]]
+    del got
     y = np.array([r["label"] for r in rows])
     if not rows or not any(words_of(r["text"]) for r in rows) or len(set(y.tolist())) < 2:
         return None
