@@ -1,9 +1,9 @@
 """Toxicity: subword-bag embeddings averaged over windows of words into a linear softmax, trained jointly.
 
 A word's vector is the mean of the vectors of its hashed character 3- to 5-grams (with word ends) and of the
-word itself, so an unseen misspelling shares most of its vector with the word it came from. A window of
-words averages them; a two-class softmax scores the window; a text's score is its highest window's, so
-that a slur counts as much in a book as in a line. All windows of the whole text are scored.
+word itself, so an unseen misspelling shares most of its vector with the word it came from. A small
+window of words averages them; a two-class softmax scores the window; a text's score is its highest
+window's, so that a slur counts as much in a book as in a line. All windows of the whole text are scored.
 
 Embeddings and softmax are trained together in numpy by full-batch Adam, the gradient going through each
 text's highest window. Labels can be wrong: after the first steps, positives in which the model sees nothing
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[\w@$*#]+")
+WORD = re.compile(r"\w+(?:[@$*#]\w+)*")
 BUCKETS = 1 << 17
 DIM = 6
-WINDOW = 8
-STRIDE = 4
+WINDOW = 2
+STRIDE = 1
 CACHE_ENTRIES = 600_000
 
 
@@ -103,10 +103,10 @@ class ToxicityModel:
 
 
 #: A window shorter than this averages as if it had so many words, so that one word alone isn't a whole bag.
-MIN_WORDS = 8
+MIN_WORDS = 2
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 150, rate: float = 0.08, decay: float = 1e-6, trim: float = 0.1, seed: int = 7) -> ToxicityModel:
+def train(texts: list[str], labels: np.ndarray, steps: int = 150, rate: float = 0.08, decay: float = 1e-4, trim: float = 0.1, seed: int = 7) -> ToxicityModel:
     """Joint training on whole texts; labels 0/1."""
     vocab: dict[str, int] = {}
     ids, starts, ends, owner = [], [], [], []
@@ -115,9 +115,9 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 150, rate: float =
         ws = [vocab.setdefault(w, len(vocab)) for w in words_of(t)]
         if ws:
             s = window_starts(len(ws))
-            starts.append(s + base)
-            ends.append(np.minimum(s + WINDOW, len(ws)) + base)
-            owner.append(np.full(len(s), k))
+            starts.append((s + base).astype(np.int32))
+            ends.append((np.minimum(s + WINDOW, len(ws)) + base).astype(np.int32))
+            owner.append(np.full(len(s), k, np.int32))
             ids.append(np.array(ws, np.int32))
             base += len(ws)
     word, lo, hi, owner = (np.concatenate(x) for x in (ids, starts, ends, owner))
@@ -135,7 +135,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 150, rate: float =
     sub = place[sub]
     of_sub = np.repeat(np.arange(len(cnt), dtype=np.int32), cnt)
     del packed, ids, starts, ends, vocab
-    docs, doc_at = np.unique(owner, return_index=True)
+    docs, doc_at, owner = np.unique(owner, return_index=True, return_inverse=True)
+    owner = owner.astype(np.int32)
     y = labels[docs].astype(np.float64)
     rng = np.random.default_rng(seed)
     emb = np.zeros((len(used), DIM))
@@ -152,7 +153,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 150, rate: float =
         total = np.concatenate([[0.0], np.cumsum(along[word])])
         logit = (total[hi] - total[lo]) / width + bias[1] - bias[0]
         top = np.maximum.reduceat(logit, doc_at)
-        at = np.flatnonzero(logit == top[np.searchsorted(docs, owner)])
+        at = np.flatnonzero(logit == top[owner])
         at = at[np.unique(owner[at], return_index=True)[1]]  # the first of the highest windows of each text
         p = 1 / (1 + np.exp(-np.clip(logit[at], -50, 50)))
         if 3 * step > 2 * steps:
