@@ -52,7 +52,7 @@ def test_toxicity_edges(spark):
     docs = documents(spark, AWKWARD)
     labels = spark.createDataFrame([(1, 1), (2, 1), (4, 0), (None, 1), (6, None)], "doc_id long, label int")
     assert toxicity.fit(docs, labels.where("label = 1")) is None
-    rows = toxicity.score(docs, None, carry=("doc_id", "score")).collect() if False else toxicity.score(docs, None).collect()
+    rows = toxicity.score(docs, None).collect()
     assert len(rows) == len(AWKWARD) and all(r["score"] == 0 and r["predicted"] == 0 for r in rows)
 
 
