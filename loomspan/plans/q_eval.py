@@ -68,11 +68,13 @@ def threshold_sweep(spark, d):
     return x.groupBy("query_idx", "threshold").agg(F.sum(F.size(F.filter("sentence_probs", lambda p: p > F.col("threshold")))).alias("kept"))
 
 
-@query("eval_rollup", f"{PRUNED}, t AS (SELECT unnest([0.05, 0.1, 0.3, 0.5]) AS threshold) SELECT query_idx, CAST(threshold AS DOUBLE) AS threshold, count(*) AS contexts, CAST(sum(len(list_filter(probs, lambda x: x > threshold))) AS BIGINT) AS kept FROM o, t GROUP BY ROLLUP (threshold, query_idx)")
+@query("eval_rollup", f"{PRUNED}, t AS (SELECT unnest([0.05, 0.1, 0.3, 0.5]) AS threshold) SELECT coalesce(query_idx, -1) AS query_idx, coalesce(CAST(threshold AS DOUBLE), -1.0) AS threshold, contexts, kept FROM (SELECT query_idx, threshold, count(*) AS contexts, CAST(sum(len(list_filter(probs, lambda x: x > threshold))) AS BIGINT) AS kept FROM o, t GROUP BY ROLLUP (threshold, query_idx))")
 def eval_rollup(spark, d):
+    """Sums over thresholds and questions; -1 stands for all."""
     t = F.explode(F.array(*[F.lit(x) for x in THRESHOLDS]))
     x = pruned(spark, d).select("query_idx", t.alias("threshold"), "sentence_probs").select("query_idx", "threshold", F.size(F.filter("sentence_probs", lambda p: p > F.col("threshold"))).alias("k"))
-    return x.rollup("threshold", "query_idx").agg(F.count(F.lit(1)).alias("contexts"), F.sum("k").alias("kept"))
+    r = x.rollup("threshold", "query_idx").agg(F.count(F.lit(1)).alias("contexts"), F.sum("k").alias("kept"))
+    return r.select(F.coalesce("query_idx", F.lit(-1)).alias("query_idx"), F.coalesce("threshold", F.lit(-1.0)).alias("threshold"), "contexts", "kept")
 
 
 @query("teacher_scores", "WITH qs AS (SELECT item_id, text AS query FROM benchmark WHERE item_id = 0), e AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, string_agg(printf('%.4f', length(text) / 1000.0), ',' ORDER BY turn) AS scores, count(*) AS n FROM e GROUP BY conv_id")

@@ -1,9 +1,12 @@
 """Comparing a query with its SQL twin."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,9 +19,10 @@ def connection(folder=SMALL):
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and v != v):
+    """Text of a value; numbers alike whether or not a null made their column a float one."""
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
         return ""
-    return f"{v:.6f}" if isinstance(v, float) else str(v)
+    return f"{float(v):.6f}" if isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_)) else str(v)
 
 
 def rows(frame):
