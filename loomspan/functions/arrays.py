@@ -62,7 +62,7 @@ def keep_probability(drop: Column, keep: Column) -> Column:
 
 def chunks(v: Column, step: int) -> Column:
     """Slices of `step` elements."""
-    starts = F.filter(indices(F.size(v)), lambda i: i % step == 0)
+    starts = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(v, i + 1, step))
 
 

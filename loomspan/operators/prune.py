@@ -28,7 +28,7 @@ def staged(d: DataFrame, **columns: Column) -> DataFrame:
 def fragments(sentences: Column, step: int) -> Column:
     """array<struct<text, sentence_index, fragment_index, length>>: each sentence cut into pieces of `step` characters."""
     def cut(s: Column, i: Column) -> Column:
-        starts = F.filter(A.indices(F.length(s)), lambda k: k % step == 0)
+        starts = F.when(F.length(s) > 0, F.sequence(F.lit(0), F.length(s) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda k, j: F.struct(F.substr(s, k + 1, F.lit(step)).alias("text"), i.alias("sentence_index"), j.alias("fragment_index"), F.least(F.length(s) - k, F.lit(step)).alias("length")))
 
     return F.flatten(F.transform(sentences, cut))
@@ -69,19 +69,25 @@ def prune(
     """contexts: query_idx, context_idx, query, context_text. Adds sentences, sentence_probs, kept, pruned_context,
     reranking_score, compression_rate, n_blocks.
 
+    A column manual_sentences, if there is one, replaces the splitter; a table of many questions against the same contexts
+    should carry it, so that each context is split once.
     title: sentences in front of the context, scored and packed with it but never part of the pruned text.
     always_title: if any sentence passes, the title (or else the first sentence) passes too.
     """
     step = max(16, window // 2)
     prefix = T.prefix_sentences(F.array(title)) if title is not None else F.array().cast("array<string>")
     d = staged(contexts, qt_=T.terms(F.col("query")), prefix_=prefix)
-    d = staged(d, sentences=F.concat("prefix_", T.normalize(splitter(F.col("context_text")), F.col("context_text"))))
+    own = F.col("manual_sentences") if "manual_sentences" in contexts.columns else splitter(F.col("context_text"))
+    d = staged(d, sentences=F.concat("prefix_", T.normalize(own, F.col("context_text"))))
     d = staged(d, fragments_=fragments(F.col("sentences"), step), sentence_probs=F.transform("sentences", lambda s: overlap(F.col("qt_"), s)))
     d = staged(d, block_=pack(F.transform("fragments_", lambda f: f["length"]), F.length("query"), window))
-    blocks = A.indices(F.coalesce(F.array_max("block_"), F.lit(-1)) + 1)
-    text = lambda b: F.array_join(F.transform(F.filter("fragments_", lambda f, i: F.get(F.col("block_"), i) == b), lambda f: f["text"]), "")
-    d = staged(d, block_scores_=F.transform(blocks, lambda b: overlap(F.col("qt_"), text(b))))
-    return finish(d, threshold, always_title, best_block, zero_when_empty).drop("qt_", "prefix_", "fragments_", "block_", "block_scores_")
+    # a block is a stretch of fragments: its text is a slice
+    first = F.filter(A.indices(F.size("block_")), lambda i: (i == 0) | (F.get(F.col("block_"), i) != F.get(F.col("block_"), i - 1)))
+    d = staged(d, first_=first)
+    stop = lambda j: F.coalesce(F.get(F.col("first_"), j + 1), F.size("fragments_"))
+    blocks = F.transform("first_", lambda i, j: F.array_join(F.transform(F.slice("fragments_", i + 1, stop(j) - i), lambda f: f["text"]), ""))
+    d = staged(d, block_scores_=F.transform(blocks, lambda b: overlap(F.col("qt_"), b)))
+    return finish(d, threshold, always_title, best_block, zero_when_empty).drop("qt_", "prefix_", "fragments_", "block_", "first_", "block_scores_")
 
 
 def finish(d: DataFrame, threshold: float, always_title: bool, best_block: bool, zero_when_empty: bool) -> DataFrame:

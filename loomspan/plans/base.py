@@ -29,6 +29,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For text work on small inputs: at least one partition a core. Tables with more partitions stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def digest(parts: Column) -> Column:
     """One md5 of an array of strings."""
     return F.md5(F.array_join(F.transform(parts, lambda x: x.cast("string")), "\x1f", "\x00"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import arrays as A
 from loomspan.functions import text as T
 from loomspan.operators import prune as P
-from loomspan.plans.base import d_all, d_digest, d_strip, digest, load, q, query
+from loomspan.plans.base import d_all, d_digest, d_strip, digest, load, q, query, spread
 from loomspan.plans.q_text import PARTS_D
 
 WINDOW = 256
@@ -21,13 +21,10 @@ def contexts(spark, d):
     words = F.slice(T.extract(F.col("text"), T.TERM), 1, 7)
     questions = load(spark, d, "benchmark").where("item_id < 3").select(F.col("item_id").alias("query_idx"), F.array_join(words, " ").alias("query"))
     docs = load(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("context_idx"), F.col("text").alias("context_text"))
+    docs = P.staged(spread(docs), manual_sentences=T.split_generic(F.col("context_text")))
     return docs.crossJoin(F.broadcast(questions))  # three questions against all rows
 
 
-def generic(c):
-    return T.split_generic(c)
-
-
 TERMS_D = lambda x: f"list_distinct({d_all(f'lower({x})', T.TERM)})"
 OVERLAP_D = lambda x: f"CASE WHEN len(qt) > 0 THEN round(len(list_intersect(qt, {TERMS_D(x)})) / len(qt), 6) ELSE 0.0 END"
 #: sentences -> fragments -> blocks -> scores; list_reduce is the same fold as the packing's.
@@ -58,7 +55,7 @@ TITLED = f"WITH {SCORED.replace('@PREFIX@', f'[{d_strip(chr(39) + " Title " + ch
 
 
 def pruned(spark, d, **kw):
-    return P.prune(contexts(spark, d), window=WINDOW, splitter=generic, **kw)
+    return P.prune(contexts(spark, d), window=WINDOW, **kw)
 
 
 @query("prune", f"{PRUNED} SELECT query_idx, context_idx, md5(pruned) AS pruned_md5, round(score, 6) AS reranking_score, round(rate, 6) AS compression_rate, CAST(len(list_filter(kept, lambda x: x)) AS INT) AS n_kept, CAST(len(kept) AS INT) AS n_sentences, CAST(n_blocks AS INT) AS n_blocks FROM o")
@@ -108,7 +105,7 @@ def compression_rate(spark, d):
 
 @query("block_pack", f"WITH {SCORED.replace('@PREFIX@', '[]::VARCHAR[]')} SELECT query_idx, context_idx, {d_digest('block')} AS blocks_md5, CAST(len(frag) AS INT) AS n_fragments FROM p")
 def block_pack(spark, d):
-    c = contexts(spark, d).withColumn("f", P.fragments(T.split_generic(F.col("context_text")), STEP))
+    c = P.staged(contexts(spark, d), f=P.fragments(F.col("manual_sentences"), STEP))
     got = c.select("query_idx", "context_idx", P.pack(F.transform("f", lambda x: x["length"]), F.length("query"), WINDOW).alias("b"), F.size("f").alias("n_fragments"))
     return got.select("query_idx", "context_idx", digest(F.col("b")).alias("blocks_md5"), "n_fragments")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import arrays as A
 from loomspan.functions import text as T
-from loomspan.plans.base import d_all, d_chomp, d_digest, d_strip, d_stripped, digest, load, q, query
+from loomspan.plans.base import d_all, d_chomp, d_digest, d_strip, d_stripped, digest, load, q, query, spread
 
 # Texts with bullets, kana and line breaks, made from documents in both engines.
 LISTED = r"replace(replace(coalesce(text, ''), '. ', '.' || chr(10) || '- '), ', ', chr(10) || '2) ')"
@@ -16,7 +16,7 @@ SOURCE = f"SELECT doc_id, coalesce(text, '') AS t, {LISTED} AS b, CASE WHEN doc_
 def src(spark, d):
     t = F.coalesce("text", F.lit(""))
     listed = F.replace(F.replace(t, F.lit(". "), F.lit(".\n- ")), F.lit(", "), F.lit("\n2) "))
-    return load(spark, d, "documents").select("doc_id", t.alias("t"), listed.alias("b"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("これはぺんです。"), t)).otherwise(t).alias("j"))
+    return spread(load(spark, d, "documents").select("doc_id", "text")).select("doc_id", t.alias("t"), listed.alias("b"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("これはぺんです。"), t)).otherwise(t).alias("j"))
 
 
 def lists(name, column, fn, duck):
