@@ -30,7 +30,7 @@ BUCKETS = 1 << 17
 DIM = 6
 WINDOW = 2
 STRIDE = 1
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 
 
 def subwords(word: str) -> list[int]:
