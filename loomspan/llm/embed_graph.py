@@ -2,7 +2,8 @@
 
 1. Equal vectors of one label are one point with a multiplicity.
 2. A label with many points is cut into shards around sampled centroids; a point is at home with its nearest
-   centroid and a guest with the next ones as long as a point within the range could be at home there.
+   centroid and a guest with every other one where a point within the range could be at home. Many guests are
+   dealt into slices, each beside a copy of the shard's home points, so no task holds a whole label.
 3. In a shard, points fall into small overlapping clusters; each builds its own graph, the neighbours of a
    point being pruned so that no kept neighbour is much nearer to the dropped one than the point is. The
    clusters' adjacency lists are united, with their reverse edges.
@@ -12,7 +13,7 @@
 5. Each shard audits the recall on evenly spaced queries against brute force; under 0.99 the whole shard is
    joined by exact blocks.
 
-Links are counted at each point's home; a shard hands on one star per connected group for the components.
+Links are counted at each point's home and summed over its slices; a slice hands on one star per connected group for the components.
 Null, zero and non-finite vectors, and rows without a label, link with nothing. Vectors of different length
 don't link.
 """
@@ -31,7 +32,10 @@ from loomspan.llm.common import settle
 from loomspan.llm.components import components
 
 SHARD = 4096
-OVERLAP = 4
+#: Guests of a slice, in shards: what a point could bring along at most while a label has four shards.
+GUESTS = 3
+#: Rows that the dealing hands on at once.
+DEALT = 16_384
 CLUSTER = 400
 DEGREE = 12
 CANDIDATES = 48
@@ -253,7 +257,15 @@ def points_of(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("cast(vec_id as bigint) vec_id", "embedding", "cast(label as string) label").mapInArrow(run, "vec_id long, key binary, label string, vec binary")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.93, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
+def shards_of(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[int, np.ndarray]:
+    """(the shard where the unit vector x is at home, all shards where a point within reach of it can be at home)."""
+    d = np.maximum(0, 2 - 2 * (c @ x))
+    first = int(d.argmin())
+    # the bisecting plane between the two centroids must be within reach
+    return first, np.flatnonzero(d - d[first] <= 2 * reach * np.linalg.norm(c - c[first], axis=1) + 1e-9)
+
+
+def near_duplicates(rows: DataFrame, threshold: float = 0.93, shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
     points = settle(points_of(rows))
     groups = settle(points.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m"), F.first("label").alias("label"), F.first("vec").alias("vec")))
@@ -274,25 +286,29 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, shard: int = SHARD
     reach = float(np.sqrt(2 - 2 * threshold))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(b: pa.RecordBatch, out: list[tuple[int, str, bool, int]]) -> pa.RecordBatch:
+            at = pa.array([o[0] for o in out], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.bool_()), b.column(0).take(at), pa.array([o[3] for o in out], pa.int64()), b.column(3).take(at)], ["shard", "home", "node", "m", "vec"])
+
         for b in batches:
-            node, m, label, vec = (c.to_pylist() for c in b.columns)
+            m, label, vec = (b.column(k).to_pylist() for k in (1, 2, 3))
             out = []
             for i, (a, v) in enumerate(zip(label, vec)):
                 c = centres.get((a, len(v)))
                 if c is None:
-                    out.append((i, f"{len(v)} 0 {a}", True))
-                    continue
-                x = np.frombuffer(v)
-                x = x / np.linalg.norm(x)
-                d = np.maximum(0, 2 - 2 * (c @ x))
-                order = np.argsort(d, kind="stable")[: overlap + 1]
-                first = order[0]
-                for j in order[:overlap]:
-                    # the bisecting plane between the two centroids must be within reach
-                    if j == first or d[j] - d[first] <= 2 * reach * np.linalg.norm(c[j] - c[first]):
-                        out.append((i, f"{len(v)} {j} {a}", bool(j == first)))
-            at = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[1] for o in out]), pa.array([o[2] for o in out]), b.column(0).take(at), b.column(1).take(at), b.column(3).take(at)], ["shard", "home", "node", "m", "vec"])
+                    out.append((i, f"{len(v)} 0 0 {a}", True, m[i]))
+                else:
+                    x = np.frombuffer(v)
+                    first, near = shards_of(x / np.linalg.norm(x), c, reach)
+                    slices = -(-(len(c) - 1) // GUESTS) or 1
+                    # home points weigh nothing in the further slices: their links among themselves count once
+                    out += [(i, f"{len(v)} {first} {s} {a}", True, 0 if s else m[i]) for s in range(slices)]
+                    mine = int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "big") % slices
+                    out += [(i, f"{len(v)} {j} {mine} {a}", False, m[i]) for j in near.tolist() if j != first]
+                if len(out) >= DEALT:
+                    yield rows(b, out)
+                    out = []
+            yield rows(b, out)
 
     def solve(key, group):
         vec = np.stack([np.frombuffer(v) for v in group["vec"].to_pylist()])
@@ -307,7 +323,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, shard: int = SHARD
         .groupBy("shard").applyInArrow(solve, "node long, home boolean, links long, root long, recall double")
     )
     classes = components(found.where("node <> root").selectExpr("node as a", "root as b")).withColumnRenamed("node", "of")
-    counted = found.where("home").select("node", "links")
+    counted = found.where("home").groupBy("node").agg(F.sum("links").alias("links"))
     by_key = (
         groups.select("key", "node", "m").join(counted, "node", "left").join(classes, F.col("node") == F.col("of"), "left")
         .select("key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))

@@ -105,6 +105,25 @@ def test_embeddings_as_brute_force(spark):
     assert embed_graph.near_duplicates(vectors(spark, rows).where("false")).count() == 0
 
 
+def test_embeddings_across_many_shards(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(240, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.normal(size=(240, 64))
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = rng.uniform(0.94, 0.97, 240)[:, None]
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos * cos) * side, base[:40]]).astype(np.float32)
+    n = len(x)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    s = (u @ u.T >= 0.93) & ~np.eye(n, dtype=bool)
+    want = least(n, np.argwhere(s).tolist())
+    got = {r["vec_id"]: r for r in embed_graph.near_duplicates(vectors(spark, [(i, x[i].tolist(), 1) for i in range(n)]), shard=24).collect()}
+    assert [got[i]["n_links"] for i in range(n)] == s.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(n)] == want
+    assert [got[i]["kept"] for i in range(n)] == [i == w for i, w in enumerate(want)]
+
+
 def test_recall_audit(spark):
     from loomspan.llm.common import table
 
