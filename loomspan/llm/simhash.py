@@ -6,8 +6,9 @@ sample cuts the space into shards: at each node a point goes inside or outside t
 vantage point, and as a query also to the other side whenever the triangle inequality leaves a partner
 there (distance within `radius` of the median). A radius that asks for a similarity rather than for a few
 bits leaves that test nothing to prune, distances of unrelated texts being all alike; then shards are bands
-of shingle counts, as texts of similarity 0.8 differ in length by a factor of 1.25 at most, and queries
-visit the bands beside their own. Each shard is joined by a tree of its own down to small blocks, which
+of distinct shingle counts, as texts of similarity 0.8 differ in them by a factor of 1.25 at most, and queries
+visit the bands beside their own. There a fingerprint is a point in each band in which it occurs, and its
+points are linked. Each shard is joined by a tree of its own down to small blocks, which
 are compared exactly. A block hands on one star per connected group, not its pairs; components of all stars
 give the classes. The join is exact: no candidate is capped.
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import settle
@@ -38,8 +39,8 @@ BAND = 1.25
 
 
 def fingerprint(text: str | None, words: int, bits: int = 64) -> tuple[np.ndarray, int]:
-    """(fingerprint as bits / 64 unsigned numbers, number of shingles) of a whole text: A-Z in lower case, words
-    between ASCII white space."""
+    """(fingerprint as bits / 64 unsigned numbers, number of distinct shingles) of a whole text: A-Z in lower case,
+    words between ASCII white space. The majority counts a shingle as often as it occurs."""
     from xxhash import xxh3_128_digest, xxh64_digest
 
     ws = text.encode().lower().split() if text else []
@@ -57,11 +58,11 @@ def fingerprint(text: str | None, words: int, bits: int = 64) -> tuple[np.ndarra
     total = np.zeros(bits, np.int64)
     for lo in range(0, len(h), 32768):
         total += np.unpackbits(h[lo : lo + 32768], axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * total > len(h)).view(">u8").astype(np.uint64), len(got)
+    return np.packbits(2 * total > len(h)).view(">u8").astype(np.uint64), len(set(got))
 
 
 def fingerprints(docs: DataFrame, words: int = 5, bits: int = 64) -> DataFrame:
-    """doc_id, fp, fp2 (longs, the unsigned values' bits; fp2 is 0 for 64 bits), size (shingles) for each row. No shuffle."""
+    """doc_id, fp, fp2 (longs, the unsigned values' bits; fp2 is 0 for 64 bits), size (distinct shingles) for each row. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,7 +117,7 @@ class TopTree:
 
 
 class Bands:
-    """Shards by shingle count: points in their own band, queries also in the two beside it. `salts` tasks share a band."""
+    """Shards by distinct shingle count: points in their own band, queries also in the two beside it. `salts` tasks share a band."""
 
     def __init__(self, salts: int):
         self.salts = salts
@@ -198,12 +199,17 @@ def stars(s: np.ndarray, sn: np.ndarray, q: np.ndarray, qn: np.ndarray, radius:
     yield values, values[root]
 
 
+def by_bits(radius: int, bits: int) -> bool:
+    """Whether the radius is a few bits, so that trees prune, and not one that asks for a similarity."""
+    return radius * 10 <= bits
+
+
 def links(points: DataFrame, radius: int = 4, bits: int = 64) -> DataFrame:
     """points: node (distinct longs), fp, fp2, size. Returns edges (a, b) of nodes that connect all pairs within radius."""
     n = points.count()
     width = bits // 64
     tree, bands = None, None
-    if radius * 10 <= bits:
+    if by_bits(radius, bits):
         levels = max(0, round(np.log2(max(1, n) ** 0.5 / SPREAD)))
         rank = F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1 << 31)) / float(1 << 31)
         got = points.where(rank < min(1.0, SAMPLE / max(1, n))).select("fp", "fp2").limit(2 * SAMPLE).toArrow() if levels else None
@@ -245,7 +251,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 22, bits: int
     despite the estimate's spread; chance pairs are far off (64 bits on average, deviation 6).
     """
     fps = settle(fingerprints(docs, words, bits))
-    points = settle(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node"), F.max("size").alias("size")))
-    groups = components(links(points.where("node is not null"), radius, bits)).withColumnRenamed("node", "of")
-    by_fp = points.join(groups, F.col("node") == F.col("of"), "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"))
+    band = F.lit(0) if by_bits(radius, bits) else F.floor(F.log(F.greatest("size", F.lit(1))) / float(np.log(BAND)))
+    points = fps.groupBy("fp", "fp2", band.alias("band")).agg(F.min("doc_id").alias("node"), F.max("size").alias("size"))
+    points = settle(points.withColumn("least", F.min("node").over(Window.partitionBy("fp", "fp2"))))
+    same = points.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    groups = components(links(points.where("node is not null"), radius, bits).union(same)).withColumnRenamed("node", "of")
+    heads = points.select("fp", "fp2", "least").distinct()
+    by_fp = heads.join(groups, F.col("least") == F.col("of"), "left").select("fp", "fp2", F.coalesce("component", "least").alias("component_id"))
     return fps.join(by_fp, ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")

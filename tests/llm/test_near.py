@@ -79,6 +79,24 @@ def test_similar_texts_meet(spark):
     assert sum(comp[100 + i] == i for i in range(30)) >= 29 and all(comp[i] == i for i in range(30))
 
 
+def test_repeated_bodies_meet(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    base = [text(rng.randint(100, 600)) for _ in range(30)]
+    rows = list(enumerate(base)) + [(100 + i, f"{t} {t}") for i, t in enumerate(base)]
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(spark, rows)).collect()}
+    assert all(comp[i] == comp[100 + i] == i for i in range(30))
+
+
+def test_every_size_of_a_fingerprint_is_dealt(spark):
+    rng = random.Random(6)
+    short, long = (" ".join(f"u{rng.randint(0, 5000)}" for _ in range(n)) for n in (20, 300))
+    rows = [(1, "w " * 1000 + short), (2, "w " * 1000 + long), (3, "w " * 12 + short)]
+    fps = [simhash.fingerprint(t, 5, 128) for _, t in rows]
+    assert (fps[0][0] == fps[1][0]).all() and 0 < simhash.distance(fps[0][0], fps[2][0]) <= 22 and fps[0][1] == fps[2][1] < fps[1][1] / 10
+    assert {r["component_id"] for r in simhash.near_duplicates(documents(spark, rows)).collect()} == {1}
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, e, label, 1, b"k") for i, e, label in rows], "vec_id long, embedding array<float>, label int, home int, key binary").repartition(3)
 
