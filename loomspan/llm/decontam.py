@@ -8,8 +8,8 @@ Aho-Corasick pass over the text) with such a partner are the only places to veri
 Hits of one item are merged where their windows meet, and each window is verified by Myers' bit-parallel
 edit distance with free ends.
 
-Items with fewer than `min_chars` characters are no evidence and match nothing. Null and empty texts match
-nothing; repeated items are matched under each of their ids; equal distances keep the first place.
+Items with fewer than `min_chars` characters have no budget: they match verbatim, where they don't begin or end
+inside a word. Null and empty items and texts match nothing; repeated items are matched under each of their ids; equal distances keep the first place.
 Items are taken in blocks of bounded size, so a benchmark of any size is handled by more passes.
 """
 
@@ -96,17 +96,24 @@ class Myers:
         return best, end
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] neither begins nor ends inside a word."""
+    word = lambda i: text[i].isalnum() or text[i] == "_"
+    return not (start and word(start - 1) and word(start)) and not (end < len(text) and word(end - 1) and word(end))
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= min_chars]
-        self.budget = [int(len(t) * rate) for _, t in self.items]
+        self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
+        self.budget = [int(len(t) * rate) if len(t) >= min_chars else 0 for _, t in self.items]
         self.myers: dict[int, Myers] = {}
         self.auto = ahocorasick.Automaton()
-        at: dict[str, list[tuple[int, int, str, bool]]] = {}
+        at: dict[str, list[tuple[int, int, str | None, bool]]] = {}
         for k, (_, t) in enumerate(self.items):
-            for off, p, partner, right in pieces(t, self.budget[k]):
+            # a short item is one piece without a partner
+            for off, p, partner, right in pieces(t, self.budget[k]) if len(t) >= min_chars else [(0, t, None, True)]:
                 at.setdefault(p, []).append((k, off, partner, right))
         for p, where in at.items():
             self.auto.add_word(p, (len(p), where))
@@ -119,12 +126,16 @@ class Matcher:
             return []
         t = normal(text)
         hits: dict[int, list[int]] = {}
+        short = set()
         for end, (size, where) in self.auto.iter(t):
             for k, off, partner, right in where:
                 start = end + 1 - size
-                if one_edit_ahead(t, end + 1, partner) if right else one_edit_behind(t, start, partner):
+                if partner is None:
+                    if k not in short and stands_alone(t, start, end + 1):
+                        short.add(k)
+                elif one_edit_ahead(t, end + 1, partner) if right else one_edit_behind(t, start, partner):
                     hits.setdefault(k, []).append(start - off)
-        out = []
+        out = [(self.items[k][0], 0) for k in sorted(short)]
         for k, starts in hits.items():
             item, budget = self.items[k][1], self.budget[k]
             if item in t:

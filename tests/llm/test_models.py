@@ -102,6 +102,14 @@ def test_decontamination_as_brute_force(spark):
     assert decontam.contaminated(documents(spark, docs), bench.where("false")).count() == 0
 
 
+def test_short_items_match_verbatim(spark):
+    items = [(1, "Who  won?"), (2, "x"), (3, " "), (4, "a" * 23), (5, "(b)"), (6, "Who won?"), (7, "cat sat")]
+    docs = [(1, "so WHO\nwon? They"), (2, "who wonn? xx"), (3, "x"), (4, "a" * 23), (5, "a" * 24), (6, "f(b)g"), (7, "concat sat cat sat."), (8, "concat sat"), (9, ""), (10, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontam.contaminated(documents(spark, docs), bench).collect()}
+    assert got == {(1, 1, 0), (1, 6, 0), (3, 2, 0), (4, 4, 0), (6, 5, 0), (7, 7, 0)}
+
+
 def test_item_blocks_cover_all(spark):
     bench = spark.createDataFrame([(i, "x" * 50) for i in range(20)], "item_id long, text string")
     blocks = decontam.item_blocks(bench, 200)
