@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import public_tokenizers
 import sentencepiece
@@ -9,7 +10,7 @@ import sentencepiece
 import corpus_pipeline as C
 from loomspan.llm import decontam
 from loomspan.llm.common import settle, table
-from tests.llm.helpers import AWKWARD
+from tests.llm.helpers import AWKWARD, documents
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,6 +38,16 @@ def test_stages(spark):
         assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+def test_one_row_of_each_group(spark):
+    rng = random.Random(7)
+    a, b, c = (" ".join(f"w{rng.randint(0, 5000)}" for _ in range(200)) for _ in range(3))
+    rows = [(5, a), (5, a), (5, a + " more"), (9, a), (None, a), (None, b), (None, b), (None, b + " more"), (5, c), (3, c + " more")]
+    got = C.one_of_near_copies(spark, documents(spark, rows), FOLDER)
+    assert got.columns == documents(spark, rows).columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(kept) == 3 and {(i, t.removesuffix(" more")) for i, t in kept} == {(5, a), (None, b), (3, c)}
+
+
 def test_awkward_rows(spark, tmp_path):
     rows = [(i, t, None, None, None) for i, t in AWKWARD]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
