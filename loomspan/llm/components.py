@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import settle
+from loomspan.llm.common import discard, settle
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").distinct())
     seen = None
     for _ in range(rounds):
-        now = settle(_stars(settle(_stars(now, True)), False))
+        large = settle(_stars(now, True))
+        before, now = now, settle(_stars(large, False))
+        discard(before, large)
         sign = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (sign["n"], sign["s"]) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

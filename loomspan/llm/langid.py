@@ -1,13 +1,15 @@
 """Language identification: language family first, then one-versus-one linear SVMs inside the family.
 
 Features are relative frequencies of hashed byte 2-, 3- and 4-grams of the whole text, letters of ASCII in
-lower case, all other ASCII characters as one blank. A family classifier (one linear SVM a family) picks the
+lower case, all other ASCII characters as one blank; the last grams of a text end in blanks. A family classifier (one linear SVM a family) picks the
 family; inside it every pair of languages has a linear SVM, the language with the most pairs won is
 predicted (ties: the larger sum of margins). A family with one language needs no second step.
 
 Training takes a bounded sample: at most `per_language` rows of each language, those with the smallest hash
-of their id. Prediction reads nothing but the text. Null texts and texts without a letter are `und`, score 0.
-Without any labelled row every text is `und`.
+of their id; rows with equal ids share a rank, so repeated ids only widen the draw. Prediction reads nothing
+but the text: each text has its score whatever rows stand beside it, repeated rows get equal ones, and whole
+texts of any length count. Null texts and texts without a letter are `und`, score 0. Without any labelled row
+every text is `und`; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -55,9 +57,21 @@ def _fold_table() -> np.ndarray:
 FOLD = _fold_table()
 
 
+GAP = 3
+
+
+def apart(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with GAP blanks behind each, and where each begins: no gram reads two texts."""
+    size = np.diff(off)
+    first = off[:-1] + GAP * np.arange(len(size))
+    out = np.full(len(data) + GAP * len(size), 32, np.uint8)
+    out[np.arange(len(data)) + GAP * np.repeat(np.arange(len(size)), size)] = data
+    return out, first
+
+
 def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of the 2-, 3- and 4-gram that starts at each byte (the last ones wrap into blanks)."""
-    b = np.concatenate([FOLD[data], np.full(3, 32, np.uint8)]).astype(np.uint32)
+    b = np.concatenate([FOLD[data], np.full(GAP, 32, np.uint8)]).astype(np.uint32)
     two = (b[:-3] << np.uint32(8)) | b[1:-2]
     three = (two << np.uint32(8)) | b[2:-1]
     four = (three << np.uint32(8)) | b[3:]
@@ -66,21 +80,22 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def scores(data: np.ndarray, off: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Mean weight rows over all grams of each text: (texts, columns). Grams never span two texts' sums."""
+    """Mean weight rows over all grams of each text: (texts, columns), each a function of its text alone."""
     n = len(off) - 1
     out = np.zeros((n, weights.shape[1]))
     size = np.diff(off)
     full = np.flatnonzero(size > 0)
     if not len(full):
         return out
-    g = grams(data)
-    starts = off[:-1][full]
+    wide, first = apart(data, off)
+    g = grams(wide)
+    bounds = np.stack([first[full], first[full] + size[full]], 1).ravel()  # the gaps are sums of their own
     for c in range(weights.shape[1]):
-        w = weights[:, c]
+        w = weights[:, c].astype(np.float64)
         total = w[g[0]]
         total += w[g[1]]
         total += w[g[2]]
-        out[full, c] = np.add.reduceat(total.astype(np.float64), starts)
+        out[full, c] = np.add.reduceat(total, bounds)[::2]
     out[full] *= SCALE / size[full, None]
     return out
 
@@ -168,7 +183,7 @@ class LanguageModel:
                 wins[:, ic] += m[:, j] < 0
                 sums[:, ia] += m[:, j]
                 sums[:, ic] -= m[:, j]
-            best = (wins + 0.5 * np.tanh(sums / (1 + np.abs(sums).max()))).argmax(1)
+            best = (wins + 0.49 * sums / (1 + np.abs(sums))).argmax(1)
             out[rows] = np.array(own, dtype=object)[best]
             sure[rows] *= 1 / (1 + np.exp(-2 * sums[np.arange(len(rows)), best] / max(1, len(own) - 1)))
         return out.tolist(), sure
@@ -235,6 +250,6 @@ def predict(docs: DataFrame, model: LanguageModel | None, carry: tuple[str, ...]
                     sure = np.where(ok, np.clip(sure, 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(lang, pa.string()), pa.array(sure, pa.float64())], [*carry, "lang_pred", "score"])
 
-    rows = docs.select(*carry, "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("known_"))
+    rows = docs.select(*carry, "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has letters"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(carry)])
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")

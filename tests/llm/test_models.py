@@ -27,6 +27,20 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.predict(rows, None).collect()} == {"und"}
 
 
+def test_language_of_a_text_alone(spark):
+    """Each text's prediction, bit by bit, is the same alone and among any neighbours."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"), per_language=60)
+    a = {r["doc_id"]: tuple(r) for r in langid.predict(docs, model).collect()}
+    b = {r["doc_id"]: tuple(r) for r in langid.predict(docs.orderBy(F.xxhash64("doc_id")).repartition(7), model).collect()}
+    assert a == b and len(a) == 10000
+    for t in ("es ist", "a", "é", "es ist " * 500):
+        raw = t.encode()
+        lone = model.predict(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        more = model.predict(np.frombuffer(b"the of " + raw + b"que los", np.uint8), np.array([0, 7, 7 + len(raw), 14 + len(raw)]))
+        assert lone[0][0] == more[0][1] and lone[1][0] == more[1][1]
+
+
 def test_toxicity_on_held_out(spark):
     got = queries.op5_toxicity(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
