@@ -1,21 +1,28 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-1. Equal vectors of one label are one point with a multiplicity.
-2. A label with many points is cut into shards around sampled centroids; a point is at home with its nearest
-   centroid and a guest with every other one where a point within the range could be at home. Many guests are
-   dealt into slices, each beside a copy of the shard's home points, so no task holds a whole label.
+1. Equal vectors of one label are one point with a multiplicity; points have ids of their own, so repeated
+   vec_ids stay separate rows.
+2. A label with many points is cut into shards around sampled centroids, at most FAN a time, and shards that
+   are still too large are cut again, so that no centroid list grows with the table. A point is at home with
+   its nearest centroid and a guest with every other one where a point within the range could be at home: the
+   triangle inequality loses no pair. Guests are counted and dealt into slices, each beside a copy of the
+   shard's home points, so no task holds a whole label. Centroids lie in tables and meet the points in
+   cogroups; nothing but the number of shards that are too large reaches the driver.
 3. In a shard, points fall into small overlapping clusters; each builds its own graph, the neighbours of a
    point being pruned so that no kept neighbour is much nearer to the dropped one than the point is. The
    clusters' adjacency lists are united, with their reverse edges.
 4. Every point is searched from the clusters' medoids and its own node: a greedy beam first, then the range
    expands over all neighbours of points already in range. A point with very many partners reads the shard
-   as one exact block instead. All links found are verified in double precision.
-5. Each shard audits the recall on evenly spaced queries against brute force; under 0.99 the whole shard is
-   joined by exact blocks.
-
-Links are counted at each point's home and summed over its slices; a slice hands on one star per connected group for the components.
-Null, zero and non-finite vectors, and rows without a label, link with nothing. Vectors of different length
-don't link.
+   as one exact block instead. A link found from one end counts at the other end too. All links found are
+   verified in double precision.
+5. Each slice audits the recall on evenly spaced queries against brute force; under 0.99 the whole slice is
+   joined by exact blocks. As every possible partner of a home point is in one of its slices, these audits
+   speak for links across shards too. `audited` is the least recall among a point's slices.
+
+Links are counted at each point's home and summed over its slices; a slice hands on one star per connected
+group for the components. Null, zero and non-finite vectors, and rows without a label, link with nothing.
+Vectors of different length don't link. Rows with equal vec_id are rows of their own; a null vec_id takes
+part, and its component is the least known vec_id.
 """
 
 from __future__ import annotations
@@ -28,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import settle
+from loomspan.llm.common import discard, give_back, settle
 from loomspan.llm.components import components
 
 SHARD = 4096
-#: Guests of a slice, in shards: what a point could bring along at most while a label has four shards.
+#: Guests of a slice, in shards.
 GUESTS = 3
-#: Rows that the dealing hands on at once.
+#: Centroids of one cut, and rows that one task deals to them.
+FAN = 64
 DEALT = 16_384
 CLUSTER = 400
 DEGREE = 12
@@ -199,9 +207,8 @@ def solve_shard(vec: np.ndarray, weight: np.ndarray, home: np.ndarray, threshold
         ok = verified(a, p)
         return a[ok], p[ok]
 
-    def take(a: np.ndarray, p: np.ndarray) -> None:
+    def join(a: np.ndarray, p: np.ndarray) -> None:
         nonlocal root
-        np.add.at(links, a, weight[p])
         while len(a):
             low = np.minimum(root[a], root[p])
             new = root.copy()
@@ -216,25 +223,44 @@ def solve_shard(vec: np.ndarray, weight: np.ndarray, home: np.ndarray, threshold
     graph = robust_graph(x, clusters)
     block = max(64, min(512, (8 << 20) // max(1, n)))
 
-    def by_graph(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def by_graph(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(verified links of queries, and the queries that are left to exact blocks)."""
         at, p, dense = search(x, graph, medoids, q, threshold - 1e-6)
         full = np.isin(at, dense)
         a, p = q[at[~full]], p[~full]
         ok = verified(a, p)
-        a, p = a[ok], p[ok]
-        if len(dense):
-            da, dp = exact(q[dense])
-            a, p = np.concatenate([a, da]), np.concatenate([p, dp])
-        return a, p
+        return a[ok], p[ok], q[dense]
 
     audit = homes[:: max(1, len(homes) // AUDIT)][:AUDIT] if len(homes) else homes
     recall = 1.0
     if len(audit):
-        want, got = exact(audit), by_graph(audit)
-        recall = len(np.intersect1d(want[0] * n + want[1], got[0] * n + got[1])) / max(1, len(want[0])) if len(want[0]) else 1.0
-    way = by_graph if recall >= 0.99 else exact
-    for i in range(0, len(homes), block):
-        take(*way(homes[i : i + block]))
+        a, p, rest = by_graph(audit)
+        want = exact(np.setdiff1d(audit, rest))
+        recall = len(np.intersect1d(want[0] * n + want[1], a * n + p)) / len(want[0]) if len(want[0]) else 1.0
+    left = np.ones(n, bool)  # home points whose links exact blocks find
+    kept = [np.zeros(0, np.int64)]
+    if recall >= 0.99:
+        left[homes] = False
+        for i in range(0, len(homes), block):
+            a, p, rest = by_graph(homes[i : i + block])
+            left[rest] = True
+            kept.append(a * n + p)
+            join(a, p)
+    is_home = np.zeros(n, bool)
+    is_home[homes] = True
+    by_block = homes[left[homes]]
+    for i in range(0, len(by_block), block):
+        a, p = exact(by_block[i : i + block])
+        np.add.at(links, a, weight[p])
+        join(a, p)
+        back = is_home[p] & ~left[p]
+        kept.append(p[back] * n + a[back])
+    # a link that one end found is the other end's too
+    key = np.unique(np.concatenate(kept))
+    a, p = key // n, key % n
+    back = is_home[p] & ~left[p]
+    key = np.unique(np.concatenate([key, p[back] * n + a[back]]))
+    np.add.at(links, key // n, weight[key % n])
     return links, root, recall
 
 
@@ -257,58 +283,64 @@ def points_of(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("cast(vec_id as bigint) vec_id", "embedding", "cast(label as string) label").mapInArrow(run, "vec_id long, key binary, label string, vec binary")
 
 
-def shards_of(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[int, np.ndarray]:
-    """(the shard where the unit vector x is at home, all shards where a point within reach of it can be at home)."""
-    d = np.maximum(0, 2 - 2 * (c @ x))
-    first = int(d.argmin())
-    # the bisecting plane between the two centroids must be within reach
-    return first, np.flatnonzero(d - d[first] <= 2 * reach * np.linalg.norm(c - c[first], axis=1) + 1e-9)
+DEALT_ROWS = "shard string, home boolean, node long, m long, vec binary"
+
+
+def cut(dealt: DataFrame, shard: int, reach: float) -> DataFrame | None:
+    """`dealt` with every shard of more than 2 * `shard` home points cut around centroids; None if there is none."""
+    sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("rows")).where(F.col("homes") > 2 * shard)
+    large = settle(sizes.select("shard", "homes", F.least(F.lit(FAN), F.ceil(F.col("homes") / shard)).cast("int").alias("fan"), F.ceil(F.col("rows") / DEALT).cast("int").alias("parts")))
+    if not large.count():
+        discard(large)
+        return None
+    work = dealt.join(large, "shard")
+    # a few more than `fan` points of each shard pass by lot; the first ones are its centroids
+    lot = F.pmod(F.xxhash64("vec"), F.lit(1 << 31)) / float(1 << 31)
+    drawn = work.where(F.col("home") & (lot < (2 * F.col("fan") + 16) / F.col("homes"))).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct(lot.alias("lot"), "vec"))).alias("c"))
+    centres = large.join(drawn, "shard").select("shard", F.transform(F.slice("c", F.lit(1), F.col("fan")), lambda y: y["vec"]).alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def deal(key, rows: pa.Table, centroids: pa.Table) -> pa.Table:
+        c = np.stack([np.frombuffer(v) for v in centroids["c"][0].as_py()])
+        c = c / np.linalg.norm(c, axis=1, keepdims=True)
+        x = np.stack([np.frombuffer(v) for v in rows["vec"].to_pylist()])
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        d = np.maximum(0, 2 - 2 * (x @ c.T))
+        first = d.argmin(1)
+        gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+        # a partner can be at home beyond the bisecting plane between two centroids if the plane is within reach
+        near = d - d[np.arange(len(x)), first][:, None] <= 2 * reach * gap[first] + 1e-9
+        at, j = np.nonzero(near)
+        home = rows["home"].to_numpy()[at] & (j == first[at])
+        path, rest = key[0].as_py().split(" ", 1)
+        names = pa.array([f"{path}.{k} {rest}" for k in range(len(c))])
+        take = pa.array(at)
+        return pa.table({"shard": names.take(pa.array(j)), "home": home, "node": rows["node"].take(take), "m": rows["m"].take(take), "vec": rows["vec"].take(take)})
+
+    dealt_on = (
+        work.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("shard", "part", "home", "node", "m", "vec").groupBy("shard", "part")
+        .cogroup(centres.groupBy("shard", "part")).applyInArrow(deal, DEALT_ROWS)
+    )
+    return dealt.join(large.select("shard"), "shard", "left_anti").select(dealt_on.columns).union(dealt_on)
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.93, shard: int = SHARD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row."""
+    """vec_id, n_links, component_id, kept, audited (null: links with nothing) for each row."""
     points = settle(points_of(rows))
-    groups = settle(points.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m"), F.first("label").alias("label"), F.first("vec").alias("vec")))
-    labels = groups.groupBy("label", F.length("vec").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()
-    centres: dict[tuple[str, int], np.ndarray] = {}
-    many = {(r["label"], r["w"]): -(-r["n"] // shard) for r in labels if r["n"] > shard}
-    if many:
-        part = F.lit(0.0)
-        total = {(r["label"], r["w"]): r["n"] for r in labels}
-        for (a, w), k in many.items():
-            part = F.when((F.col("label") == a) & (F.length("vec") == w), F.lit(min(1.0, (2 * k + 16) / total[(a, w)]))).otherwise(part)
-        rank = F.pmod(F.xxhash64("key"), F.lit(1 << 31)) / float(1 << 31)
-        got = groups.select("label", "vec", part.alias("part"), rank.alias("rank")).where("rank < part").orderBy("rank").select("label", "vec").toArrow().to_pylist()
-        for (a, w), k in many.items():
-            own = [np.frombuffer(r["vec"]) for r in got if r["label"] == a and len(r["vec"]) == w][:k]
-            c = np.stack(own)
-            centres[(a, w)] = c / np.linalg.norm(c, axis=1, keepdims=True)
+    groups = points.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("m"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    groups = settle(groups.withColumn("node", F.monotonically_increasing_id()))
+    # a shard's name: its path of cuts, the vectors' length, the label
+    dealt = settle(groups.select(F.concat_ws(" ", F.lit("0"), F.length("vec").cast("string"), "label").alias("shard"), F.lit(True).alias("home"), "node", "m", "vec"))
     reach = float(np.sqrt(2 - 2 * threshold))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(b: pa.RecordBatch, out: list[tuple[int, str, bool, int]]) -> pa.RecordBatch:
-            at = pa.array([o[0] for o in out], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.bool_()), b.column(0).take(at), pa.array([o[3] for o in out], pa.int64()), b.column(3).take(at)], ["shard", "home", "node", "m", "vec"])
-
-        for b in batches:
-            m, label, vec = (b.column(k).to_pylist() for k in (1, 2, 3))
-            out = []
-            for i, (a, v) in enumerate(zip(label, vec)):
-                c = centres.get((a, len(v)))
-                if c is None:
-                    out.append((i, f"{len(v)} 0 0 {a}", True, m[i]))
-                else:
-                    x = np.frombuffer(v)
-                    first, near = shards_of(x / np.linalg.norm(x), c, reach)
-                    slices = -(-(len(c) - 1) // GUESTS) or 1
-                    # home points weigh nothing in the further slices: their links among themselves count once
-                    out += [(i, f"{len(v)} {first} {s} {a}", True, 0 if s else m[i]) for s in range(slices)]
-                    mine = int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "big") % slices
-                    out += [(i, f"{len(v)} {j} {mine} {a}", False, m[i]) for j in near.tolist() if j != first]
-                if len(out) >= DEALT:
-                    yield rows(b, out)
-                    out = []
-            yield rows(b, out)
+    while (finer := cut(dealt, shard, reach)) is not None:
+        before, dealt = dealt, settle(finer)
+        discard(before)
+    guests = dealt.groupBy("shard").agg(F.count_if(~F.col("home")).alias("guests")).select("shard", F.greatest(F.lit(1), F.ceil(F.col("guests") / (GUESTS * shard))).cast("int").alias("slices"))
+    told = dealt.join(guests, "shard")
+    mine = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    # home points weigh nothing in the further slices: their links among themselves count once
+    sliced = told.where("home").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("m", F.when(F.col("slice") == 0, F.col("m")).otherwise(F.lit(0))).union(
+        told.where("not home").withColumn("slice", mine)
+    )
 
     def solve(key, group):
         vec = np.stack([np.frombuffer(v) for v in group["vec"].to_pylist()])
@@ -316,20 +348,19 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, shard: int = SHARD
         order = np.argsort(node, kind="stable")
         vec, node, m, home = vec[order], node[order], m[order], home[order]
         links, root, recall = solve_shard(vec, m, home, threshold)
+        give_back()
         return pa.table({"node": node, "home": home, "links": links, "root": node[root], "recall": np.full(len(node), recall)})
 
-    found = settle(
-        groups.where("node is not null").select("node", "m", "label", "vec").mapInArrow(deal, "shard string, home boolean, node long, m long, vec binary")
-        .groupBy("shard").applyInArrow(solve, "node long, home boolean, links long, root long, recall double")
-    )
-    classes = components(found.where("node <> root").selectExpr("node as a", "root as b")).withColumnRenamed("node", "of")
-    counted = found.where("home").groupBy("node").agg(F.sum("links").alias("links"))
-    by_key = (
-        groups.select("key", "node", "m").join(counted, "node", "left").join(classes, F.col("node") == F.col("of"), "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    )
+    found = settle(sliced.select("shard", "slice", "home", "node", "m", "vec").groupBy("shard", "slice").applyInArrow(solve, "node long, home boolean, links long, root long, recall double"))
+    discard(dealt)
+    classes = components(found.where("node <> root").selectExpr("node as a", "root as b")).select(F.col("node").alias("of"), "component")
+    counted = found.where("home").groupBy("node").agg(F.sum("links").alias("links"), F.min("recall").alias("audited"))
+    known = groups.select("key", "node", "m", "least").join(counted, "node").join(classes, F.col("node") == F.col("of"), "left").withColumn("class", F.coalesce("component", "node"))
+    least = known.groupBy("class").agg(F.min("least").alias("component_id"))
+    by_key = known.join(least, "class").select("key", (F.col("links") + F.col("m") - 1).alias("n_links"), "component_id", "audited")
     out = points.select("vec_id", "key").join(by_key, "key", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.isnull("n_links"), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"), "audited")
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), "audited")
 
 
 def audit_recall(rows: DataFrame, threshold: float = 0.93, every: int = 100) -> DataFrame:

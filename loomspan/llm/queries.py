@@ -43,7 +43,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.embed_graph import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93).drop("audited")
 
 
 OP2_SQL = """
