@@ -1,30 +1,35 @@
 """Removal of repeated phrases: words covered by a window of `window` words that an earlier document holds too.
 
 1. Confirm. Each window has a minimizer among its `gram`-word phrases, a function of its words alone. Buckets
-   of documents send their distinct minimizers to key buckets; those held by one document only can't lie in a
-   recurring window. Buckets then send the windows around recurring minimizers, each distinct one once with
-   its least doc_id, and get back those that a smaller doc_id elsewhere holds.
-2. Compile. A bucket's recurring passages are the longest stretches of windows that start in a document with
-   a smaller doc_id; each keeps the largest of its windows' least holders. They are compiled into the
-   bucket's Aho-Corasick automaton, one shard of the corpus' automaton: it holds the passages which the
-   bucket's documents can match, so that no document meets a shard in vain.
-3. Stream. All of the bucket's documents run through the automaton; each occurrence of a passage in a
-   document behind its largest holder covers its words.
-
-Words are `[^\\x20\\x09-\\x0D]+`, unchanged; null texts have none. Equal doc_ids don't remove from each other; a
-null doc_id counts as larger than all others. Windows are judged on the input. The text is shuffled once;
-one entry a bucket and window travels, so a phrase that all documents share stays small.
+   of documents send their distinct minimizers to key buckets; those that occur in one document only can't lie
+   in a recurring window. The runs of windows around the other ones are the candidate passages.
+2. Compile. Buckets send each distinct candidate, its words and the least and largest doc_id that hold it, to
+   the minimizer's shard. A shard codes the words, compared byte by byte, as characters, and compiles the
+   stretches of windows that several documents seem to hold into its Aho-Corasick automaton.
+3. Stream. Every candidate of every document that reached the shard runs through the automaton. Its
+   occurrences say which documents hold each window, hence the least doc_id that does; each bucket gets back
+   the windows of its candidates with that holder, and removes the words of those whose holder has a smaller id.
+
+A document meets exactly the shards of its minimizers, so streaming costs no more than the text that recurs.
+A minimizer with more than `hot` candidates would gather one shard's load: its windows go one by one to shards
+by their own hash; they are coded, compiled and streamed like any candidate.
+
+Hashes only deal and pre-sort; whether words are equal is decided by the words. Words are
+`[^\\x20\\x09-\\x0D]+`, unchanged; null texts have none, an empty table stays empty. Rows with equal doc_ids
+don't remove from each other; a null doc_id counts as larger than all others. Windows are judged on the input.
+A bucket is one task, so a single text of hundreds of megabytes needs that many times a hundred bytes a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomspan.llm.common import byte_buckets, text_bytes
+from loomspan.llm.common import byte_buckets, give_back, text_bytes
 from loomspan.llm.windows import (
     BYTE_BASE,
     PACKED,
@@ -32,7 +37,9 @@ from loomspan.llm.windows import (
     Prefix,
     bucketed,
     deal,
+    exact_groups,
     group_runs,
+    in_order,
     member,
     pack_table,
     runs,
@@ -42,184 +49,245 @@ from loomspan.llm.windows import (
 
 GRAM = 4
 BUCKET_BYTES = 4 << 20
-KEY_BYTES = 16 << 20
+KEY_BYTES = 6 << 20
+HOT = 4096
 NO_ID = np.iinfo(np.int64).max
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+#: Kinds of candidates: a run of windows, or one window of a hot minimizer.
+RUN, ONE = 0, 1
 
 
 class Bucket:
-    """The words of one document bucket: hashes, owners' ids, minimizer runs and window hashes."""
+    """The words of one document bucket: their bytes and hashes, owners' ids, and runs of windows with their minimizers."""
 
-    def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, window: int, gram: int):
-        self.window = window
-        self.ids = ids.fill_null(int(NO_ID)).to_numpy().astype(np.int64)
-        data, off = text_bytes(texts)
+    def __init__(self, group: pa.Table, window: int, gram: int):
+        group = in_order(group)
+        self.window, self.doc_id = window, group["doc_id"]
+        self.ids = self.doc_id.fill_null(int(NO_ID)).to_numpy().astype(np.int64)
+        data, off = text_bytes(group["text"])
         edge = np.zeros(len(data) + 1, bool)
         edge[off] = True
         black = ~SPACE[data]
         start = np.flatnonzero(black & (edge[:-1] | np.concatenate([[True], ~black[:-1]]))) if len(data) else np.zeros(0, np.int64)
         end = np.flatnonzero(black & (edge[1:] | np.concatenate([~black[1:], [True]]))) + 1 if len(data) else start
         self.data, self.start, self.end = data, start, end
-        self.word = Prefix(data, BYTE_BASE).ranges(start, end)
+        word = Prefix(data, BYTE_BASE).ranges(start, end)
         self.bound = np.searchsorted(start, off)  # words of document i: bound[i] .. bound[i + 1]
         count = np.diff(self.bound)
-        self.owner = np.repeat(np.arange(len(self.ids)), count)
         self.doc = np.repeat(self.ids, count)
-        self.ends = np.repeat(self.bound[1:], count)
-        self.prefix = Prefix(self.word, WORD_BASE)
-        self.gram = gram
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return runs(self.prefix.grams(self.gram), self.window - self.gram + 1, self.window, self.ends)
-
-    def least(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct hashes, least id, order, starts of groups) of the windows at these places."""
-        h = self.prefix.ranges(starts, starts + self.window)
-        order = np.lexsort((self.doc[starts], h))
-        begin, _ = group_runs(h[order])
-        return h[order][begin], self.doc[starts][order][begin], order, begin
-
-    def all_windows(self) -> np.ndarray:
-        return np.flatnonzero(np.arange(len(self.word)) + self.window <= self.ends)
-
-
-def first_holders(b: Bucket, verdict: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of all windows, least doc_id that holds each, of the whole corpus)."""
-    starts = b.all_windows()
-    if not len(starts):
-        return starts, starts
-    keys, least, order, begin = b.least(starts)
-    _, (far, holder) = unpack(verdict, 3, (np.uint64, np.int64))
-    if len(far):
-        by = np.lexsort((holder, far))
-        far, holder = far[by], holder[by]
-        g, _ = group_runs(far)
-        found, at = member(keys, far[g])
-        least = np.where(found, np.minimum(least, holder[g][at]), least)
-    out = np.empty(len(starts), np.int64)
-    out[order] = np.repeat(least, np.diff(np.append(begin, len(starts))))
-    return starts, out
-
-
-#: Two characters a word: 512 * 1024 codes; then three.
-HIGH, LOW, TOP = 0x100, 0x400, 0x900
-
-
-def coded(b: Bucket) -> tuple[str, int]:
-    """The bucket's words as characters of a small alphabet, and how many characters each word has.
-
-    Alphabets differ by place in the word, so a match can only start at a word's start.
-    """
-    _, code = np.unique(b.word, return_inverse=True)
-    code = code.astype(np.uint32)
-    wide = len(code) and int(code.max()) >= 512 * 1024
-    cols = [(code >> 10) % 512 + HIGH, code % 1024 + LOW]
-    if wide:
-        cols.insert(0, (code >> 19) + TOP)
-    return np.stack(cols, 1).astype("<u4").tobytes().decode("utf-32-le"), len(cols)
+        self.prefix = Prefix(word, WORD_BASE)
+        self.first, self.last, self.key, _ = runs(self.prefix.grams(gram), window - gram + 1, window, np.repeat(self.bound[1:], count))
+        self.word = exact_groups(word, data, start, end - start)  # the first word with the same bytes
+
+    def alike(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each stretch of n words from `at` on the first one with the same words."""
+        return exact_groups(self.prefix.ranges(at, at + n), self.word, at, n)
+
+    def run_words(self, pick: np.ndarray) -> np.ndarray:
+        return self.last[pick] - self.first[pick] + self.window
+
+    def text(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The words of the stretches, one blank behind each."""
+        w = spread(at, n)
+        size = self.end[w] - self.start[w] + 1
+        out = np.full(int(size.sum()), 32, np.uint8)
+        to = np.cumsum(size) - size
+        out[spread(to, size - 1)] = self.data[spread(self.start[w], size - 1)]
+        return out
+
+    def entries(self, kind: int, at: np.ndarray, n: np.ndarray, key: np.ndarray, n_keys: int, db: int) -> list[tuple]:
+        """Packed rows that send each distinct stretch, with the least and the largest doc_id that hold it, to its shard."""
+        head = self.alike(at, n)
+        order = np.lexsort((self.doc[at], head))
+        begin, many = group_runs(head[order])
+        one = head[order][begin]
+        least, most = self.doc[at][order][begin], self.doc[at][order][begin + many - 1]
+        by, got, bound = deal(key[one], n_keys)
+        one, least, most = one[by], least[by], most[by]
+        out = []
+        for k, s, e in zip(got, bound, bound[1:]):
+            x = one[s:e]
+            shape = np.stack([np.full(e - s, kind), at[x], n[x]], 1).astype(np.int32)
+            out.append((int(k), db, 2, shape, np.stack([least[s:e], most[s:e]], 1), self.text(at[x], n[x])))
+        return out
 
 
-def covered(b: Bucket, verdict: pa.Table) -> np.ndarray:
-    """True at each word that an occurrence of a recurring passage covers."""
+def occurrences(code: np.ndarray, begin: np.ndarray, size: np.ndarray, stretch: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All occurrences of the stretches [first word, behind the last) in the pieces, found by an automaton compiled from
+    them: (first word of an occurrence, where its pattern stands, words). Words are one or two characters each; two
+    alphabets that differ by place keep matches on words' starts."""
     import ahocorasick
 
-    starts, holder = first_holders(b, verdict)
-    recurring = holder < b.doc[starts] if len(starts) else np.zeros(0, bool)
-    pick = starts[recurring]
-    mark = np.zeros(len(b.word) + 1, np.int64)
-    if not len(pick):
-        return mark[:-1] > 0
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(pick) != 1) | (np.diff(b.owner[pick]) != 0)]))
-    last = np.append(new[1:], len(pick)) - 1
-    latest = np.maximum.reduceat(holder[recurring], new)
-    text, width = coded(b)
-    passages: dict[str, int] = {}
-    for s, e, m in zip(pick[new].tolist(), (pick[last] + b.window).tolist(), latest.tolist()):
-        passages[text[s * width : e * width]] = m
+    top = int(code.max()) + 2
+    if top < 0x10F000:
+        cols = [code + 1]
+    else:
+        cols = [(code >> 10) + 0x10000, code % 1024 + 1]
+    width = len(cols)
+    # one character 0 behind each piece keeps matches inside
+    place = np.arange(len(code)) * width + np.repeat(np.arange(len(size)), size)
+    flat = np.zeros(len(code) * width + len(size), np.uint32)
+    for i, c in enumerate(cols):
+        flat[place + i] = np.where(c < 0xD800, c, c + 0x800)
+    text = flat.astype("<u4").tobytes().decode("utf-32-le")
+    patterns: dict[str, int] = {}
+    for s, e in stretch:
+        patterns.setdefault(text[place[s] : place[e - 1] + width], s)
     auto = ahocorasick.Automaton()
-    for p, m in passages.items():
-        auto.add_word(p, (len(p) // width, m))
+    for k, p in enumerate(patterns):
+        auto.add_word(p, k)
     auto.make_automaton()
-    for i, (s, e) in enumerate(zip(b.bound[:-1].tolist(), b.bound[1:].tolist())):
-        own = b.ids[i]
-        for at, (n, m) in auto.iter(text[s * width : e * width]):
-            if m < own:
-                stop = s + (at + 1) // width
-                mark[stop - n] += 1
-                mark[stop] -= 1
+    source, words = np.fromiter(patterns.values(), np.int64), np.fromiter(map(len, patterns), np.int64) // width
+    ends, which = array("q"), array("q")
+    for at, k in auto.iter(text):
+        ends.append(at)
+        which.append(k)
+    k = np.frombuffer(which, np.int64)
+    return np.searchsorted(place, np.frombuffer(ends, np.int64) + 1 - words[k] * width), source[k], words[k]
+
+
+def hold(shape: np.ndarray, ids: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the candidates of a shard: (where each begins among the words, for each word the least doc_id that holds the window
+    which begins there and recurs; NO_ID: none)."""
+    end = np.flatnonzero(data == 32)
+    start = np.concatenate([[0], end[:-1] + 1])
+    code = np.unique(exact_groups(Prefix(data, BYTE_BASE).ranges(start, end), data, start, end - start), return_inverse=True)[1]
+    size = shape[:, 2].astype(np.int64)
+    begin = np.cumsum(size) - size
+    holder = np.full(len(code), NO_ID)
+    # windows that several documents seem to hold: the longest stretches of them are the passages
+    at = spread(begin, size - window + 1)
+    piece = np.repeat(np.arange(len(size)), size - window + 1)
+    h = Prefix(code, WORD_BASE).ranges(at, at + window)
+    order = np.argsort(h, kind="stable")
+    first, many = group_runs(h[order])
+    p = piece[order]
+    several = np.empty(len(at), bool)
+    several[order] = np.repeat(np.minimum.reduceat(ids[p, 0], first) < np.maximum.reduceat(ids[p, 1], first), many)
+    at, piece, h = at[several], piece[several], h[several]
+    if not len(at):
+        return begin, holder
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece) != 0)]))
+    behind = at[np.append(new[1:], len(at)) - 1] + window
+    found, source, n = occurrences(code, begin, size, list(zip(at[new].tolist(), behind.tolist())))
+    # each window of a pattern by its first equal, and the least id of the pieces in which the automaton found it
+    name = np.full(len(code), -1)
+    name[at] = exact_groups(h, code, at, np.full(len(at), window))
+    windows = n - window + 1
+    where, which = spread(found, windows), name[spread(source, windows)]
+    inside = np.repeat(np.searchsorted(begin, found, side="right") - 1, windows)
+    least = np.full(len(at), NO_ID)
+    np.minimum.at(least, which, ids[inside, 0])
+    holder[where] = least[which]
+    return begin, holder
+
+
+def covered(b: Bucket, verdict: pa.Table) -> np.ndarray:
+    """True at each word that a window with an earlier holder covers."""
+    mark = np.zeros(len(b.doc) + 1, np.int64)
+    _, (told, holder) = unpack(verdict, 3, (np.int32, np.int64))
+    told = told.reshape(-1, 4).astype(np.int64)  # kind, first word of the candidate, first and last window
+    for kind in (RUN, ONE):
+        pick = told[:, 0] == kind
+        t, held = told[pick], holder[pick]
+        if not len(t):
+            continue
+        if kind == RUN:
+            at, n = b.first, b.run_words(np.arange(len(b.first)))
+        else:  # windows of the minimizers that the told ones have
+            own = np.unique(b.key[np.searchsorted(b.first, t[:, 1], side="right") - 1])
+            some = np.flatnonzero(member(b.key, own)[0])
+            at = spread(b.first[some], b.last[some] - b.first[some] + 1)
+            n = np.full(len(at), b.window)
+        head = at[b.alike(at, n)]
+        by = np.argsort(t[:, 1], kind="stable")
+        t, held = t[by], held[by]
+        lo, hi = np.searchsorted(t[:, 1], head, "left"), np.searchsorted(t[:, 1], head, "right")
+        mine, which = np.repeat(at, hi - lo), spread(lo, hi - lo)
+        ok = held[which] < b.doc[mine]
+        mine, which = mine[ok], which[ok]
+        mark += np.bincount(mine + t[which, 2], minlength=len(mark))
+        mark -= np.bincount(mine + t[which, 3] + b.window, minlength=len(mark))
     return np.cumsum(mark[:-1]) > 0
 
 
-def remove_phrases(docs: DataFrame, finish, schema: str, window: int = 13, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, key_bytes: int = KEY_BYTES) -> DataFrame:
-    """finish(doc_id column, bucket, covered) -> pa.Table of `schema`, called for each bucket of documents."""
+def remove_phrases(docs: DataFrame, finish, schema: str, window: int = 13, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """finish(bucket, covered) -> pa.Table of `schema`, called for each bucket of documents."""
     n_docs = byte_buckets(docs, "text", bucket_bytes)
     n_keys = max(1, -(-n_docs * bucket_bytes // key_bytes))
     texts = bucketed(docs, n_docs)
 
     def send_keys(key, group):
-        b = Bucket(group["doc_id"], group["text"], window, gram)
-        first, _, keys, _ = b.runs()
-        doc = b.doc[first]
-        order = np.lexsort((doc, keys))
-        start, size = group_runs(keys[order])
-        keys = keys[order][start]
-        several = (doc[order][start] != doc[order][start + size - 1]).astype(np.uint8) + np.uint8(1)
+        b = Bucket(group, window, gram)
+        order = np.lexsort((b.doc[b.first], b.key))
+        start, size = group_runs(b.key[order])
+        doc = b.doc[b.first][order]
+        several = doc[start] != doc[start + size - 1]
+        keys = b.key[order][start]
         order, got, bound = deal(keys, n_keys)
-        return pack_table([(int(k), key[0].as_py(), 0, keys[order[s:e]], several[order[s:e]]) for k, s, e in zip(got, bound, bound[1:])])
+        # how many runs, and whether of several documents
+        count = (np.minimum(size, 32767) * 2 + several).astype(np.uint16)[order]
+        keys = keys[order]
+        return pack_table([(int(k), key[0].as_py(), 0, keys[s:e], count[s:e]) for k, s, e in zip(got, bound, bound[1:])])
 
     def count_keys(key, group):
-        db, (keys, several) = unpack(group, 0, (np.uint64, np.uint8))
+        db, (keys, count) = unpack(group, 0, (np.uint64, np.uint16))
         order = np.argsort(keys, kind="stable")
         start, size = group_runs(keys[order])
         if not len(start):
             return pack_table([])
-        again = np.repeat(np.add.reduceat(several[order].astype(np.int64), start) >= 2, size)
+        total = np.add.reduceat(count[order].astype(np.int64) >> 1, start)
+        again = np.repeat((size > 1) | (count[order][start] & 1 == 1), size)
+        much = np.repeat(total > hot, size)[again].astype(np.uint8)
         keys, db = keys[order][again], db[order][again]
         order = np.argsort(db, kind="stable")
-        return pack_table([(0, int(db[order[a]]), 1, keys[order[a : a + m]]) for a, m in zip(*group_runs(db[order]))])
+        return pack_table([(0, int(db[order[a]]), 1, keys[order[a : a + m]], much[order[a : a + m]]) for a, m in zip(*group_runs(db[order]))])
 
     recurring = texts.groupBy("db").applyInArrow(send_keys, PACKED).groupBy("kb").applyInArrow(count_keys, PACKED)
 
-    def send_windows(key, group, verdict):
+    def send_candidates(key, group, verdict):
         if not group.num_rows or not verdict.num_rows:
             return pack_table([])
-        b = Bucket(group["doc_id"], group["text"], window, gram)
-        _, (known,) = unpack(verdict, 1, (np.uint64,))
-        first, last, keys, _ = b.runs()
-        pick = np.flatnonzero(member(keys, np.sort(known))[0])
-        if not len(pick):
-            return pack_table([])
-        h, least, _, _ = b.least(spread(first[pick], last[pick] - first[pick] + 1))
-        order, got, bound = deal(h, n_keys)
-        h, least = h[order], least[order]
-        out = []
-        for k, s, e in zip(got, bound, bound[1:]):
-            ids, at = np.unique(least[s:e], return_inverse=True)
-            out.append((int(k), key[0].as_py(), 2, h[s:e], ids, at.astype(np.uint32)))
+        b, db = Bucket(group, window, gram), key[0].as_py()
+        _, (known, much) = unpack(verdict, 1, (np.uint64, np.uint8))
+        order = np.argsort(known)
+        found, at = member(b.key, known[order])
+        single = found & (much[order][at] == 1)
+        pick, hot_runs = np.flatnonzero(found & ~single), np.flatnonzero(single)
+        out = b.entries(RUN, b.first[pick], b.run_words(pick), b.key[pick], n_keys, db) if len(pick) else []
+        if len(hot_runs):
+            at = spread(b.first[hot_runs], b.last[hot_runs] - b.first[hot_runs] + 1)
+            out += b.entries(ONE, at, np.full(len(at), window), b.prefix.ranges(at, at + window), n_keys, db)
         return pack_table(out)
 
-    def find_first(key, group):
-        parts = [(r[0], np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], np.int64)[np.frombuffer(r[3], np.uint32)]) for r in zip(*(group[c].to_pylist() for c in ("db", "a", "b", "c")))]
-        if not parts:
+    def stream(key, group):
+        db, (shape, ids, data) = unpack(group, 2, (np.int32, np.int64, np.uint8))
+        if not len(shape):
             return pack_table([])
-        db = np.repeat(np.array([p[0] for p in parts]), [len(p[1]) for p in parts])
-        h, least = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-        order = np.lexsort((least, h))
-        start, size = group_runs(h[order])
-        holder = np.repeat(least[order][start], size)
-        told = holder < least[order]
-        h, db, holder = h[order][told], db[order][told], holder[told]
-        order = np.argsort(db, kind="stable")
-        return pack_table([(0, int(db[order[a]]), 3, h[order[a : a + m]], holder[order[a : a + m]]) for a, m in zip(*group_runs(db[order]))])
+        shape, ids, db = shape.reshape(-1, 3), ids.reshape(-1, 2), db[::3]
+        begin, holder = hold(shape, ids, data, window)
+        # stretches of windows with one holder, where a larger id of the bucket holds them
+        piece = np.repeat(np.arange(len(shape)), shape[:, 2])
+        at = np.flatnonzero(holder < ids[piece, 1])
+        out = []
+        if len(at):
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece[at]) != 0) | (np.diff(holder[at]) != 0)]))
+            p, first, last = piece[at[new]], at[new], at[np.append(new[1:], len(at)) - 1]
+            told = np.stack([shape[p, 0], shape[p, 1], first - begin[p], last - begin[p]], 1).astype(np.int32)
+            held = holder[first]
+            order = np.argsort(db[p], kind="stable")
+            out = [(0, int(db[p][order[a]]), 3, told[order[a : a + m]], held[order[a : a + m]]) for a, m in zip(*group_runs(db[p][order]))]
+        give_back()
+        return pack_table(out)
 
-    first = texts.groupBy("db").cogroup(recurring.groupBy("db")).applyInArrow(send_windows, PACKED).groupBy("kb").applyInArrow(find_first, PACKED)
+    told = texts.groupBy("db").cogroup(recurring.groupBy("db")).applyInArrow(send_candidates, PACKED).groupBy("kb").applyInArrow(stream, PACKED)
 
     def run(key, group, verdict):
-        b = Bucket(group["doc_id"], group["text"], window, gram)
-        return finish(group["doc_id"], b, covered(b, verdict))
+        b = Bucket(group, window, gram)
+        return finish(b, covered(b, verdict))
 
-    return texts.groupBy("db").cogroup(first.groupBy("db")).applyInArrow(run, schema)
+    return texts.groupBy("db").cogroup(told.groupBy("db")).applyInArrow(run, schema)
 
 
 def kept_words(b: Bucket, removed: np.ndarray) -> list[bytes]:
@@ -229,12 +297,12 @@ def kept_words(b: Bucket, removed: np.ndarray) -> list[bytes]:
     return [b" ".join([data[start[i] : end[i]] for i in range(s, e) if keep[i]]) for s, e in zip(b.bound[:-1].tolist(), b.bound[1:].tolist())]
 
 
-def digest(ids: pa.ChunkedArray, b: Bucket, removed: np.ndarray) -> pa.Table:
+def digest(b: Bucket, removed: np.ndarray) -> pa.Table:
     count = np.diff(b.bound)
     total = np.concatenate([[0], np.cumsum(removed)])
     return pa.table(
         {
-            "doc_id": ids,
+            "doc_id": b.doc_id,
             "n_words": pa.array(count.astype(np.int64)),
             "n_removed": pa.array((total[b.bound[1:]] - total[b.bound[:-1]]).astype(np.int64)),
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept_words(b, removed)], pa.string()),
@@ -250,7 +318,7 @@ def removed_digest(docs: DataFrame, window: int = 13, **sizes) -> DataFrame:
 def without_phrases(docs: DataFrame, window: int = 13, **sizes) -> DataFrame:
     """doc_id and the words that are left, joined by one blank, for each row."""
 
-    def texts(ids, b, removed):
-        return pa.table({"doc_id": ids, "text": pa.array([x.decode() for x in kept_words(b, removed)], pa.string())})
+    def texts(b, removed):
+        return pa.table({"doc_id": b.doc_id, "text": pa.array([x.decode() for x in kept_words(b, removed)], pa.string())})
 
     return remove_phrases(docs, texts, "doc_id long, text string", window, **sizes)

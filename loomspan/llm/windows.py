@@ -1,7 +1,7 @@
 """Rolling hashes, minimizers and packed exchanges that the two substring operators share.
 
 Hashes are polynomials modulo 2**64 with odd multipliers, mixed afterwards, so that any range's hash comes
-from two prefix sums. Two different strings share a 64-bit value with probability about 2**-64 a pair.
+from two prefix sums. They only say where equal strings can be: exact_groups() compares the strings.
 """
 
 from __future__ import annotations
@@ -120,10 +120,43 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start, length) + np.arange(total) - before
 
 
+def exact_groups(hashes: np.ndarray, values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each range of `values` the first range with the same content. Equal hashes are compared value by value; ranges
+    that share a hash with a different one are grouped anew among themselves."""
+    out = np.arange(len(hashes))
+    todo = out
+    while len(todo) > 1:
+        order = todo[np.argsort(hashes[todo], kind="stable")]
+        first, n = group_runs(hashes[order])
+        head = np.repeat(order[first], n)
+        again = head != order
+        a, b = order[again], head[again]
+        same = length[a] == length[b]
+        a, b = a[same], b[same]
+        for i in range(0, len(a), 4096):  # comparisons of a stretch at a time
+            x, y = a[i : i + 4096], b[i : i + 4096]
+            differ = values[spread(start[x], length[x])] != values[spread(start[y], length[y])]
+            if differ.any():
+                bad = np.zeros(len(x), bool)
+                bad[np.repeat(np.arange(len(x)), length[x])[differ]] = True
+                x, y = x[~bad], y[~bad]
+            out[x] = y
+        left = order[again]
+        todo = np.sort(left[out[left] == left])
+    return out
+
+
 def bucketed(docs: DataFrame, n: int, carry: str | None = None) -> DataFrame:
-    """db (a bucket of the id's hash), doc_id, text, and the column that is carried along."""
+    """db, doc_id, text, and the column that is carried along. A bucket is a hash of the row and of the partition it is read
+    from, so that rows without an id, repeated ids and equal rows never gather in one."""
     more = [carry] if carry else []
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text", *more).select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("db"), "doc_id", "text", *more)
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text", *more)
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int").alias("db"), "doc_id", "text", *more)
+
+
+def in_order(group: pa.Table) -> pa.Table:
+    """A bucket's rows in an order of their own, the same in every task that reads the bucket."""
+    return group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 PACKED = "kb int, db int, kind int, a binary, b binary, c binary, d binary"

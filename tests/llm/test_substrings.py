@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomspan.llm import phrase_dedup, suffix_dedup
 from loomspan.llm.suffix_array import permuted_lcp, suffix_array
+from loomspan.llm.windows import exact_groups
 from tests.llm.helpers import AWKWARD, brute_bytes, brute_words, corpus, documents, grouped
 
 
@@ -47,13 +49,31 @@ def test_texts_left(spark):
     assert got == {1: "ab", 2: "c", 3: ""}
 
 
-@pytest.mark.parametrize("window,gram,size", [(6, 2, 700), (3, 1, 100_000), (13, 4, 5000)])
-def test_words_as_brute_force(spark, window, gram, size):
+@pytest.mark.parametrize("window,gram,size,hot", [(6, 2, 700, 4096), (6, 2, 700, 4), (3, 1, 100_000, 4096), (13, 4, 5000, 2)])
+def test_words_as_brute_force(spark, window, gram, size, hot):
     docs = corpus(5) + AWKWARD
-    got = phrase_dedup.removed_digest(documents(spark, docs), window, gram=gram, bucket_bytes=size, key_bytes=2000)
+    got = phrase_dedup.removed_digest(documents(spark, docs), window, gram=gram, hot=hot, bucket_bytes=size, key_bytes=2000)
     assert grouped(got.collect()) == {k: sorted(v) for k, v in brute_words(docs, window).items()}
 
 
+def test_equal_hashes_are_compared():
+    values = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4, 1, 2, 4, 1, 2])
+    start, length = np.array([0, 3, 6, 9, 12]), np.array([3, 3, 3, 3, 2])
+    assert exact_groups(np.zeros(5, np.uint64), values, start, length).tolist() == [0, 0, 2, 2, 4]
+    assert exact_groups(np.arange(5).astype(np.uint64), values, start, length).tolist() == [0, 1, 2, 3, 4]
+
+
+def test_words_that_share_a_hash(spark, monkeypatch):
+    """With hashes of three bits nearly everything collides; only the words' bytes tell."""
+    real = phrase_dedup.Prefix.ranges
+    docs = corpus(11)[:80]
+    monkeypatch.setattr(phrase_dedup.Prefix, "ranges", lambda self, a, b: real(self, a, b) & np.uint64(7))
+    table = pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs])})
+    b = phrase_dedup.Bucket(table, 5, 2)
+    words = [bytes(b.data[s:e]) for s, e in zip(b.start, b.end)]
+    assert all(words[i] == words[h] and words.index(words[i]) == h for i, h in enumerate(b.word))
+
+
 def test_empty_tables(spark):
     empty = documents(spark, [(1, "x")]).where("false")
     assert suffix_dedup.removed_digest(empty).count() == 0
