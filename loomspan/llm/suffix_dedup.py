@@ -7,15 +7,17 @@
 2. Buckets send the text of each run of windows that share a repeated minimizer, equal runs once with a
    count, to the minimizer's shard. A shard joins its runs into arrays of bounded size (a minimizer is
    never split), sorts their suffixes by induced sorting and computes permuted common prefixes: a window
-   is repeated if it shares `window` bytes with its neighbour in the array or its run was counted twice.
-   Minimizers that occur more than `hot` times, such as a line that a third of all documents share, would
-   gather unbounded runs; their windows travel as hashes of the whole window instead, pre-aggregated in
-   each bucket, and are counted exactly.
+   is repeated if it shares `window` bytes with its neighbour in the array or its run, byte by byte, occurs
+   twice. Minimizers that occur more than `hot` times, such as a line that a third of all documents share,
+   would gather unbounded runs in one task; their windows travel as 128-bit hashes, pre-aggregated in each
+   bucket, and are counted. That is the one place where no bytes are compared: at 10^14 windows two
+   different ones share such a hash with a probability of about 10^-11.
 3. Each bucket gets back which window starts of its runs are repeated, and removes the covered bytes.
 
 Texts are UTF-8 bytes, null is empty, matches never cross documents, overlaps count, strings are judged on
-the input. Rows with equal doc_id are separate documents. The text is shuffled once, and that exchange serves
-all three steps.
+the input. Rows with equal doc_id, or without one, are separate documents; an empty table stays empty. The
+text is shuffled once, and that exchange serves all three steps. A bucket is one task, so a single text of
+hundreds of megabytes needs that many times fifty bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomspan.llm.common import byte_buckets, text_bytes
+from loomspan.llm.common import byte_buckets, give_back, text_bytes
 from loomspan.llm.suffix_array import permuted_lcp, suffix_array
 from loomspan.llm.windows import (
     BYTE_BASE,
@@ -34,7 +36,9 @@ from loomspan.llm.windows import (
     Prefix,
     bucketed,
     deal,
+    exact_groups,
     group_runs,
+    in_order,
     member,
     pack_table,
     runs,
@@ -50,21 +54,38 @@ ARRAY = 1_500_000
 HOT = 4096
 
 
+OTHER_BASE = 0xA24BAED4963EE407
+
+
 class Bucket:
-    """The texts of one document bucket and their runs of windows."""
+    """The texts of one document bucket, in an order of their own, and their runs of windows."""
 
-    def __init__(self, texts: pa.ChunkedArray, window: int, gram: int):
-        self.window = window
-        self.data, self.off = text_bytes(texts)
+    def __init__(self, group: pa.Table, window: int, gram: int):
+        self.rows, self.window = in_order(group), window
+        self.data, self.off = text_bytes(self.rows["text"])
         self.prefix = Prefix(self.data, BYTE_BASE)
         size = np.diff(self.off)
         self.first, self.last, self.key, self.place = runs(self.prefix.grams(gram), window - gram + 1, window, np.repeat(self.off[1:], size))
 
-    def content(self, pick: np.ndarray) -> np.ndarray:
-        return self.prefix.ranges(self.first[pick], self.last[pick] + self.window)
+    def alike(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For these runs (the first of them with the same bytes, a hash of the bytes)."""
+        content = self.prefix.ranges(self.first[pick], self.last[pick] + self.window)
+        return exact_groups(content, self.data, self.first[pick], self.last[pick] - self.first[pick] + self.window), content
+
+    def window_hashes(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, two hashes) of all windows of these runs."""
+        starts = spread(self.first[pick], self.last[pick] - self.first[pick] + 1)
+        return starts, self.prefix.ranges(starts, starts + self.window), Prefix(self.data, OTHER_BASE).ranges(starts, starts + self.window)
 
-    def window_hashes(self, starts: np.ndarray) -> np.ndarray:
-        return self.prefix.ranges(starts, starts + self.window)
+
+def twin_groups(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, sizes) of the groups of equal pairs."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    if not len(a):
+        return order, order, order
+    start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return order, start, np.diff(np.append(start, len(a)))
 
 
 def repeated_windows(segments: list[np.ndarray], window: int) -> np.ndarray:
@@ -135,7 +156,7 @@ def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT,
     texts = bucketed(docs, n_docs, carry)
 
     def send_keys(key, group):
-        b = Bucket(group["text"], window, gram)
+        b = Bucket(group, window, gram)
         keys, count = np.unique(b.key, return_counts=True)
         order, got, bound = deal(keys, n_keys)
         keys, count = keys[order], np.minimum(count[order], 65535).astype(np.uint16)
@@ -157,7 +178,7 @@ def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT,
     def send_runs(key, group, verdict):
         if not group.num_rows or not verdict.num_rows:
             return pack_table([])
-        b = Bucket(group["text"], window, gram)
+        b = Bucket(group, window, gram)
         _, (keys, much) = unpack(verdict, 1, (np.uint64, np.uint8))
         order = np.argsort(keys)
         found, at = member(b.key, keys[order])
@@ -165,43 +186,45 @@ def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT,
         out, db = [], key[0].as_py()
         pick = np.flatnonzero(found & ~is_hot)
         if len(pick):
-            content = b.content(pick)
-            by = np.lexsort((content, b.key[pick]))
-            start, count = group_runs(segment_key(b.key[pick], content)[by])
-            one = pick[by][start]
-            order, got, bound = deal(b.key[one], n_keys)
-            one, content, count = one[order], content[by][start][order], count[order]
+            head, content = b.alike(pick)
+            by = np.argsort(head, kind="stable")
+            start, count = group_runs(head[by])
+            rep = by[start]
+            order, got, bound = deal(b.key[pick[rep]], n_keys)
+            one, content, count = pick[rep][order], content[rep][order], count[order]
             size = b.last[one] - b.first[one] + window
+            shape = np.stack([size, np.minimum(count, 2), (b.place - b.first)[one], b.first[one]], 1).astype(np.int32)
             for k, s, e in zip(got, bound, bound[1:]):
-                out.append((int(k), db, 2, b.key[one[s:e]], content[s:e], np.stack([size[s:e], np.minimum(count[s:e], 2), (b.place - b.first)[one[s:e]]], 1).astype(np.int32), b.data[spread(b.first[one[s:e]], size[s:e])]))
+                out.append((int(k), db, 2, b.key[one[s:e]], content[s:e], shape[s:e], b.data[spread(b.first[one[s:e]], size[s:e])]))
         pick = np.flatnonzero(is_hot)
         if len(pick):
-            h, count = np.unique(b.window_hashes(spread(b.first[pick], b.last[pick] - b.first[pick] + 1)), return_counts=True)
+            _, h, g = b.window_hashes(pick)
+            order, start, count = twin_groups(h, g)
+            h, g, count = h[order][start], g[order][start], np.minimum(count, 2).astype(np.uint8)
             order, got, bound = deal(h, n_keys)
-            h, count = h[order], np.minimum(count[order], 2).astype(np.uint8)
+            h, g, count = h[order], g[order], count[order]
             hot_keys = np.unique(b.key[pick])
-            out += [(int(k), db, 3, h[s:e], count[s:e], hot_keys) for k, s, e in zip(got, bound, bound[1:])]
+            out += [(int(k), db, 3, h[s:e], g[s:e], count[s:e], hot_keys) for k, s, e in zip(got, bound, bound[1:])]
         return pack_table(out)
 
     def solve(key, group):
         out = []
-        db, (h, count) = unpack(group, 3, (np.uint64, np.uint8))
+        db, (h, g, count) = unpack(group, 3, (np.uint64, np.uint64, np.uint8))
         if len(h):
-            order = np.argsort(h, kind="stable")
-            start, size = group_runs(h[order])
+            order, start, size = twin_groups(h, g)
             twice = np.repeat(np.add.reduceat(count[order].astype(np.int64), start) >= 2, size)
-            h, d = h[order][twice], db[order][twice]
+            h, g, d = h[order][twice], g[order][twice], db[order][twice]
             order = np.argsort(d, kind="stable")
-            out += [(0, int(d[order[a]]), 4, h[order[a : a + m]]) for a, m in zip(*group_runs(d[order]))]
-            sent = zip(*(group[c].to_pylist() for c in ("db", "kind", "c")))
+            out += [(0, int(d[order[a]]), 4, h[order[a : a + m]], g[order[a : a + m]]) for a, m in zip(*group_runs(d[order]))]
+            sent = zip(*(group[c].to_pylist() for c in ("db", "kind", "d")))
             out += [(0, n, 6, np.frombuffer(c, np.uint64)) for n, kind, c in sent if kind == 3]
         db, (keys, content, shape, data) = unpack(group, 2, (np.uint64, np.uint64, np.int32, np.uint8))
         if not len(keys):
             return pack_table(out)
-        size, count, place = shape.reshape(-1, 3).T.astype(np.int64)
+        size, count, place, at = shape.reshape(-1, 4).T.astype(np.int64)
         begin = np.cumsum(size) - size
-        by = np.lexsort((content, keys))
-        name = segment_key(keys, content)
+        name = exact_groups(content, data, begin, size)
+        by = np.lexsort((name, keys))
         start, times = group_runs(name[by])
         total = np.add.reduceat(count[by], start)
         first = by[start]
@@ -227,10 +250,11 @@ def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT,
         for which, s, e in found:
             n = times[which]
             src = by[spread(start[which], n)]
-            names, rel = name[src], np.stack([np.repeat(s, n), np.repeat(e, n)], 1).astype(np.int32)
+            told = np.stack([at[src], np.repeat(s, n), np.repeat(e, n)], 1).astype(np.int32)
             d = db[src]
             order = np.argsort(d, kind="stable")
-            out += [(0, int(d[order[x]]), 5, names[order[x : x + m]], rel[order[x : x + m]]) for x, m in zip(*group_runs(d[order]))]
+            out += [(0, int(d[order[x]]), 5, told[order[x : x + m]]) for x, m in zip(*group_runs(d[order]))]
+        give_back()
         return pack_table(out)
 
     solved = texts.groupBy("db").cogroup(repeated.groupBy("db")).applyInArrow(send_runs, PACKED).groupBy("kb").applyInArrow(solve, PACKED)
@@ -240,34 +264,29 @@ def judge(docs: DataFrame, window: int = 200, gram: int = GRAM, hot: int = HOT,
 def removal(bucket: Bucket, verdict: pa.Table) -> np.ndarray:
     """True at each byte of the bucket's texts that a repeated window covers."""
     n, window = len(bucket.data), bucket.window
-    _, (names, rel) = unpack(verdict, 5, (np.uint64, np.int32))
-    _, (hot,) = unpack(verdict, 4, (np.uint64,))
+    _, (told,) = unpack(verdict, 5, (np.int32,))
+    _, (hot, hot_too) = unpack(verdict, 4, (np.uint64, np.uint64))
     mark = np.zeros(n + 1, np.int64)
 
     def cover(first: np.ndarray, last: np.ndarray) -> None:
         np.add(mark, np.bincount(first, minlength=n + 1), out=mark)
         np.subtract(mark, np.bincount(last + window, minlength=n + 1), out=mark)
 
-    if len(names):
-        rel = rel.reshape(-1, 2).astype(np.int64)
-        order = np.argsort(names, kind="stable")
-        names, rel = names[order], rel[order]
-        all_runs = np.arange(len(bucket.first))
-        own = segment_key(bucket.key, bucket.content(all_runs))
-        lo, hi = np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")
-        pick = np.flatnonzero(hi > lo)
-        at = spread(lo[pick], (hi - lo)[pick])
-        base = np.repeat(bucket.first[pick], (hi - lo)[pick])
-        cover(base + rel[at, 0], base + rel[at, 1])
+    if len(told):
+        told = told.reshape(-1, 3).astype(np.int64)  # begin of the first equal run, first and last window
+        told = told[np.argsort(told[:, 0], kind="stable")]
+        head = bucket.first[bucket.alike(np.arange(len(bucket.first)))[0]]
+        lo, hi = np.searchsorted(told[:, 0], head, "left"), np.searchsorted(told[:, 0], head, "right")
+        at, base = spread(lo, hi - lo), np.repeat(bucket.first, hi - lo)
+        cover(base + told[at, 1], base + told[at, 2])
     if len(hot):
-        hot = np.sort(hot)
         _, (hot_keys,) = unpack(verdict, 6, (np.uint64,))
-        pick = np.flatnonzero(member(bucket.key, np.unique(hot_keys))[0])
-        starts = spread(bucket.first[pick], (bucket.last - bucket.first)[pick] + 1)
-        for i in range(0, len(starts), 1 << 20):
-            s = starts[i : i + (1 << 20)]
-            s = s[member(bucket.window_hashes(s), hot)[0]]
-            cover(s, s)
+        starts, h, g = bucket.window_hashes(np.flatnonzero(member(bucket.key, np.unique(hot_keys))[0]))
+        # a window is told if its pair of hashes is among the pairs: one more entry of its group
+        order, start, size = twin_groups(np.concatenate([hot, h]), np.concatenate([hot_too, g]))
+        known = np.repeat(np.logical_or.reduceat(order < len(hot), start), size)
+        s = starts[order[known & (order >= len(hot))] - len(hot)]
+        cover(s, s)
     return np.cumsum(mark[:n]) > 0
 
 
@@ -280,8 +299,10 @@ def remove_repeats(docs: DataFrame, finish, schema: str, window: int = 200, **si
     gram, names = sizes.get("gram", GRAM), [c for c in texts.columns if c not in ("db", "text")]
 
     def run(key, group, verdict):
-        b = Bucket(group["text"], window, gram)
-        return finish({c: group[c] for c in names}, b, removal(b, verdict))
+        b = Bucket(group, window, gram)
+        out = finish({c: b.rows[c] for c in names}, b, removal(b, verdict))
+        give_back()
+        return out
 
     return texts.groupBy("db").cogroup(verdicts.groupBy("db")).applyInArrow(run, schema)
 

@@ -133,8 +133,9 @@ def exact_groups(hashes: np.ndarray, values: np.ndarray, start: np.ndarray, leng
         a, b = order[again], head[again]
         same = length[a] == length[b]
         a, b = a[same], b[same]
-        for i in range(0, len(a), 4096):  # comparisons of a stretch at a time
-            x, y = a[i : i + 4096], b[i : i + 4096]
+        part = np.cumsum(length[a]) >> 18  # so many values at a time
+        for i, m in zip(*group_runs(part)):
+            x, y = a[i : i + m], b[i : i + m]
             differ = values[spread(start[x], length[x])] != values[spread(start[y], length[y])]
             if differ.any():
                 bad = np.zeros(len(x), bool)
