@@ -1,16 +1,16 @@
-"""Toxicity: subword-bag embeddings averaged over windows of words into a linear softmax, trained jointly.
+"""Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly.
 
 A word's vector is the mean of the vectors of its hashed character 3- to 5-grams (with word ends) and of the
-word itself, so an unseen misspelling shares most of its vector with the word it came from. A small
-window of words averages them; a two-class softmax scores the window; a text's score is its highest
-window's, so that a slur counts as much in a book as in a line. All windows of the whole text are scored.
+word itself, so an unseen misspelling shares most of its vector with the word it came from. A text is the bag
+of all its words: their vectors are averaged, each weighted by its salience, the exponential of a learned
+linear function of the same vector, so that one slur counts in a book as it does in a line. A two-class
+softmax scores the average; embeddings, salience and softmax are trained together in numpy by full-batch Adam.
 
-Embeddings and softmax are trained together in numpy by full-batch Adam, the gradient going through each
-text's highest window. Labels can be wrong: after the first steps, positives in which the model sees nothing
-(probability under `trim`) are left out.
 Training takes a bounded sample: at most `per_class` labelled rows of each class, those with the smallest hash
-of their id, none longer than `max_bytes`. Texts without words, null ones too, get the score 0. Without
-both classes in the labels every score is 0.
+of their id, as whole texts; of repeated ids each row counts as one. It is all that reaches the driver, as
+bags of distinct words. Scores read nothing but the text: repeated rows get equal ones. Texts without words,
+null ones too, get the score 0; very long texts are read whole. Without both classes in the labels every
+score is 0. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -18,23 +18,26 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 WORD = re.compile(r"\w+(?:[@$*#]\w+)*")
 BUCKETS = 1 << 17
 DIM = 6
-WINDOW = 2
-STRIDE = 1
-CACHE_ENTRIES = 300_000
+#: Words whose score and salience a worker keeps; a longer one than LONG characters is not kept.
+CACHE_ENTRIES, LONG = 200_000, 64
+#: Saliences lie between exp(-SPAN) and exp(SPAN).
+SPAN = 12.0
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of the word and of its character n-grams; of very long words only ends of n-grams differ in cost."""
+    """Buckets of the word and of its character n-grams."""
     w = f"<{word}>".encode("utf-32-le")
     n = len(w) // 4
     crc = zlib.crc32
@@ -45,83 +48,75 @@ def subwords(word: str) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words; a word repeated on the spot counts once, so that a filler line isn't a bag of one word."""
-    ws = WORD.findall(text.lower()) if text else []
-    return [w for w, before in zip(ws, [None, *ws]) if w != before]
+    return WORD.findall(text.lower()) if text else []
 
 
-def window_starts(n: int) -> np.ndarray:
-    """Starts of the windows of n words: every STRIDE, the last one reaching the end."""
-    if n <= WINDOW:
-        return np.zeros(1, np.int64)
-    s = np.arange(0, n - WINDOW + 1, STRIDE)
-    return s if s[-1] == n - WINDOW else np.append(s, n - WINDOW)
+def means(words: list[str], *columns: np.ndarray) -> list[np.ndarray]:
+    """The mean of each column over each word's subwords."""
+    ids, ends = array("i"), [0]
+    for w in words:
+        ids.extend(subwords(w))
+        ends.append(len(ids))
+    at = np.frombuffer(ids, np.int32)
+    size = np.diff(ends)
+    return [np.add.reduceat(c[at], ends[:-1]) / size for c in columns]
 
 
 class ToxicityModel:
-    """What prediction needs: the score direction of each bucket, and a bias."""
+    """What prediction needs: the score and the salience of each bucket, and a bias."""
 
-    def __init__(self, bucket: np.ndarray, bias: float):
-        self.bucket, self.bias = bucket.astype(np.float32), float(bias)
-        self.cache: dict[str, float] = {}
+    def __init__(self, score: np.ndarray, salience: np.ndarray, bias: float):
+        self.bucket, self.salience, self.bias = score.astype(np.float64), salience.astype(np.float64), float(bias)
+        self.reset()
+
+    def reset(self) -> None:
+        self.place: dict[str, int] = {}
+        self.value, self.weight = np.zeros(0), np.zeros(0)
 
     def __getstate__(self):
-        return {"bucket": self.bucket, "bias": self.bias, "cache": {}}
+        return {"bucket": self.bucket, "salience": self.salience, "bias": self.bias}
 
-    def word(self, w: str) -> float:
-        v = self.cache.get(w)
-        if v is None:
-            v = self.cache[w] = float(self.bucket[subwords(w)].mean())
-        return v
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.reset()
 
     def learn(self, new: list[str]) -> None:
-        ids, ends = array("i"), []
-        for w in new:
-            ids.extend(subwords(w))
-            ends.append(len(ids))
         if new:
-            at = np.array([0, *ends[:-1]])
-            sums = np.add.reduceat(self.bucket[np.frombuffer(ids, np.int32)].astype(np.float64), at)
-            self.cache.update(zip(new, (sums / np.diff([0, *ends])).tolist()))
+            s, z = means(new, self.bucket, self.salience)
+            self.place.update(zip(new, range(len(self.value), len(self.value) + len(new))))
+            self.value = np.concatenate([self.value, s])
+            self.weight = np.concatenate([self.weight, np.exp(np.clip(z, -SPAN, SPAN))])
 
     def score(self, texts: list[str | None]) -> list[float]:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache = {}
+        if len(self.place) > CACHE_ENTRIES:
+            self.reset()
         cut = [words_of(t) for t in texts]
-        self.learn([w for w in set().union(*cut) if w not in self.cache])
-        get, out = self.cache.__getitem__, []
-        for ws in cut:
-            if not ws:
-                out.append(0.0)
-                continue
-            total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(get, ws), np.float64, len(ws)))])
-            s = window_starts(len(ws))
-            e = np.minimum(s + WINDOW, len(ws))
-            best = ((total[e] - total[s]) / np.maximum(e - s, MIN_WORDS)).max() + self.bias
-            out.append(float(1 / (1 + np.exp(-np.clip(best, -50, 50)))))
-        return out
-
-
-#: A window shorter than this averages as if it had so many words, so that one word alone isn't a whole bag.
-MIN_WORDS = 2
-
-
-def train(texts: list[str], labels: np.ndarray, steps: int = 150, rate: float = 0.08, decay: float = 1e-4, trim: float = 0.1, seed: int = 7) -> ToxicityModel:
-    """Joint training on whole texts; labels 0/1."""
+        new = set().union(*cut).difference(self.place)
+        self.learn(sorted(new))
+        size = np.fromiter(map(len, cut), np.int64, len(cut))
+        full = np.flatnonzero(size)
+        out = np.zeros(len(cut))
+        if len(full):
+            get = self.place.__getitem__
+            at = np.fromiter((get(w) for ws in cut for w in ws), np.int64, int(size.sum()))
+            start = (np.cumsum(size) - size)[full]
+            a = self.weight[at]
+            logit = np.add.reduceat(a * self.value[at], start) / np.add.reduceat(a, start) + self.bias
+            out[full] = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+        if any(len(w) > LONG for w in new):
+            self.reset()
+        return out.tolist()
+
+
+def train(bags: list[dict[str, int]], labels: np.ndarray, steps: int = 160, rate: float = 0.06, decay: float = 1e-4, seed: int = 7) -> ToxicityModel:
+    """Joint training on whole texts' bags (word -> how often, none empty); labels 0/1, both weighing the same in all."""
     vocab: dict[str, int] = {}
-    ids, starts, ends, owner = [], [], [], []
-    base = 0
-    for k, t in enumerate(texts):
-        ws = [vocab.setdefault(w, len(vocab)) for w in words_of(t)]
-        if ws:
-            s = window_starts(len(ws))
-            starts.append((s + base).astype(np.int32))
-            ends.append((np.minimum(s + WINDOW, len(ws)) + base).astype(np.int32))
-            owner.append(np.full(len(s), k, np.int32))
-            ids.append(np.array(ws, np.int32))
-            base += len(ws)
-    word, lo, hi, owner = (np.concatenate(x) for x in (ids, starts, ends, owner))
-    width = np.maximum(hi - lo, MIN_WORDS)
+    word, count, size = array("i"), array("f"), []
+    for bag in bags:
+        for w, n in bag.items():
+            word.append(vocab.setdefault(w, len(vocab)))
+            count.append(n)
+        size.append(len(bag))
     packed, cnt = array("i"), array("i")
     for w in vocab:
         x = subwords(w)
@@ -131,56 +126,49 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 150, rate: float =
     known = np.zeros(BUCKETS, bool)
     known[sub] = True
     used = np.flatnonzero(known)
-    place = np.cumsum(known, dtype=np.int32) - 1
-    sub = place[sub]
+    sub = (np.cumsum(known, dtype=np.int32) - 1)[sub]
+    sub_at = np.cumsum(cnt) - cnt
     of_sub = np.repeat(np.arange(len(cnt), dtype=np.int32), cnt)
-    del packed, ids, starts, ends, vocab
-    docs, doc_at, owner = np.unique(owner, return_index=True, return_inverse=True)
-    owner = owner.astype(np.int32)
-    y = labels[docs].astype(np.float64)
+    del packed, vocab
+    word, count = np.frombuffer(word, np.int32), np.frombuffer(count, np.float32).astype(np.float64)
+    text_at = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    y = labels.astype(np.float64)
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     rng = np.random.default_rng(seed)
-    emb = np.zeros((len(used), DIM))
+    # salience begins along the score's direction: what speaks for toxicity speaks loudest
     soft = rng.normal(0, 1, (DIM, 2))
-    bias = np.array([0.0, -2.0])
-    par = [emb, soft, bias]
+    par = [np.zeros((len(used), DIM)), soft, np.array([0.0, -2.0]), 0.5 * (soft[:, 1] - soft[:, 0])]
     mom = [[np.zeros_like(p), np.zeros_like(p)] for p in par]
-    keep = np.ones(len(docs), bool)
     for step in range(1, steps + 1):
-        emb, soft, bias = par
-        # words' scores along the softmax difference are all that picking the highest window needs
+        emb, soft, bias, salient = par
         diff = soft[:, 1] - soft[:, 0]
-        along = np.bincount(of_sub, (emb @ diff)[sub], len(cnt)) / cnt
-        total = np.concatenate([[0.0], np.cumsum(along[word])])
-        logit = (total[hi] - total[lo]) / width + bias[1] - bias[0]
-        top = np.maximum.reduceat(logit, doc_at)
-        at = np.flatnonzero(logit == top[owner])
-        at = at[np.unique(owner[at], return_index=True)[1]]  # the first of the highest windows of each text
-        p = 1 / (1 + np.exp(-np.clip(logit[at], -50, 50)))
-        if 3 * step > 2 * steps:
-            keep = (y == 0) | (p >= trim)
-        weight = keep * np.where(y == 1, 0.5 / max(1, (y[keep] == 1).sum()), 0.5 / max(1, (y[keep] == 0).sum()))
+        s = np.add.reduceat((emb @ diff)[sub], sub_at) / cnt
+        z = np.add.reduceat((emb @ salient)[sub], sub_at) / cnt
+        a = np.exp(np.clip(z, -SPAN, SPAN))[word] * count
+        total = np.add.reduceat(a, text_at)
+        share = a / total[owner]
+        mean = np.add.reduceat(share * s[word], text_at)
+        p = 1 / (1 + np.exp(-np.clip(mean + bias[1] - bias[0], -50, 50)))
         d = weight * (p - y)
-        # back through the windows' words to the subwords
-        n = hi[at] - lo[at]
-        flat = np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        share = np.repeat(d / width[at], n)
-        by_word = np.bincount(word[flat], share, len(cnt)) / cnt
-        by_sub = np.bincount(sub, by_word[of_sub], len(used))
-        g_emb = np.outer(by_sub, diff) + decay * emb
-        g_diff = by_sub @ emb
-        grads = [g_emb, np.stack([-g_diff, g_diff], 1), np.array([-d.sum(), d.sum()])]
+        back = d[owner] * share
+        g_s = np.bincount(word, back, len(cnt)) / cnt
+        g_z = np.bincount(word, back * (s[word] - mean[owner]), len(cnt)) * (np.abs(z) < SPAN) / cnt
+        by_s, by_z = np.bincount(sub, g_s[of_sub], len(used)), np.bincount(sub, g_z[of_sub], len(used))
+        g_diff = by_s @ emb
+        grads = [np.outer(by_s, diff) + np.outer(by_z, salient) + decay * emb, np.stack([-g_diff, g_diff], 1), np.array([-d.sum(), d.sum()]), by_z @ emb]
         for i, g in enumerate(grads):
             m, v = mom[i]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             par[i] = par[i] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    emb, soft, bias = par
-    bucket = np.zeros(BUCKETS)
-    bucket[used] = emb @ (soft[:, 1] - soft[:, 0])
-    return ToxicityModel(bucket, bias[1] - bias[0])
+    emb, soft, bias, salient = par
+    value, loud = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    value[used], loud[used] = emb @ (soft[:, 1] - soft[:, 0]), emb @ salient
+    return ToxicityModel(value, loud, bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 1200), max_bytes: int = 40_000) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 1200)) -> ToxicityModel | None:
     """docs: doc_id, text; labels: doc_id, label 0/1 (the caller leaves out what mustn't be learned from).
 
     At most per_class[label] rows of each class are taken, by the smallest hash of their id.
@@ -192,20 +180,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000,
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 31)) / float(1 << 31)
     limit = F.when(F.col("label") == 1, min(1.0, (1.3 * per_class[1] + 40) / n[1])).otherwise(min(1.0, (1.3 * per_class[0] + 40) / n[0]))
     picked = known.withColumn("rank", rank).where(F.col("rank") < limit)
-    # the sample's ids are bounded by per_class, so they may be broadcast; the texts stay in place
-    fits = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    got = fits.join(F.broadcast(picked), "doc_id").select("rank", "label", "text").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["label"], r["rank"], r["text"]))
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rank, label, text in zip(*(c.to_pylist() for c in b.columns)):
+                got = sorted(Counter(words_of(text)).items())
+                yield pa.RecordBatch.from_pydict({"rank": [rank], "label": pa.array([label], pa.int32()), "words": pa.array(["\n".join(w for w, _ in got)]), "counts": pa.array([np.array([c for _, c in got], np.int32).tobytes()], pa.binary())})
+
+    # the sample's ids are bounded by per_class, so they may be broadcast; the texts become bags in place
+    drawn = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("rank", F.col("label").cast("int").alias("label"), "text")
+    got = drawn.mapInArrow(bags, "rank double, label int, words string, counts binary").where("words <> ''").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["label"], r["rank"], r["words"], r["counts"]))
     rows = [r for y in (0, 1) for r in [g for g in got if g["label"] == y][: per_class[y]]]
     del got
     y = np.array([r["label"] for r in rows])
-    if not rows or not any(words_of(r["text"]) for r in rows) or len(set(y.tolist())) < 2:
+    if len(set(y.tolist())) < 2:
         return None
-    return train([r["text"] for r in rows], y)
+    return train([dict(zip(r["words"].split("\n"), np.frombuffer(r["counts"], np.int32).tolist())) for r in rows], y)
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.7, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, score and predicted for each row. No shuffle; the model has a fixed size."""
+    """The carried columns, score and predicted for each row. No shuffle; the model has a fixed size. Carried columns named
+    score or predicted are an error: pack them in a struct."""
+    if {"score", "predicted"} & {c.lower() for c in carry}:
+        raise ValueError("score and predicted are names of results")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +212,11 @@ def score(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.7,
             k = b.num_columns - 1
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                s = m.score(part.column(k).to_pylist()) if m else [0.0] * part.num_rows
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(s, pa.float64())], [*carry, "score"])
+                s = np.array(m.score(part.column(k).to_pylist()) if m else [0.0] * part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*carry, "score", "predicted"])
+        if m:
+            m.reset()
 
     rows = docs.select(*carry, F.col("text").alias("scored text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(carry)])
-    return rows.mapInArrow(run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = StructType([*rows.schema.fields[: len(carry)], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(run, schema)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -57,11 +58,34 @@ def test_misspellings_share_grams():
         ws = texts[i].split()
         ws[rng.randrange(30)] = rng.choice(["horrible", "horribly", "horrid"])
         texts[i] = " ".join(ws)
-    m = toxicity.train(texts, np.array([1] * 60 + [0] * 140))
+    m = toxicity.train([Counter(toxicity.words_of(t)) for t in texts], np.array([1] * 60 + [0] * 140))
     a, b, c, none = m.score(["river stone horribble green paper table stone garden", "river stone green paper table", "", None])
     assert a > 0.7 > 0.2 > b and c == none == 0
 
 
+def test_score_is_the_softmax_of_the_weighted_average():
+    """Against a plain loop over words and their subwords."""
+    rng = np.random.default_rng(2)
+    m = toxicity.ToxicityModel(rng.normal(size=toxicity.BUCKETS), rng.normal(size=toxicity.BUCKETS), -0.3)
+    texts = ["a b b c", "lonely", "x" * 3000 + " y", "the " * 500 + "end", None, " ", "a b b c"]
+    got = m.score(texts)
+    for t, g in zip(texts, got):
+        top = low = 0.0
+        for w in toxicity.words_of(t):
+            ids = toxicity.subwords(w)
+            a = np.exp(np.clip(np.mean([m.salience[i] for i in ids]), -12, 12))
+            top, low = top + a * np.mean([m.bucket[i] for i in ids]), low + a
+        assert g == 0 if not low else abs(g - 1 / (1 + np.exp(-(top / low - 0.3)))) < 1e-9
+    assert got[0] == got[6] and m.score([texts[3]])[0] == got[3]
+
+
+def test_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 30, f"plain words here {i}" if i % 2 else f"nasty words there {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 30, 1 - i % 2) for i in range(60)], "doc_id long, label int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(out) == 60 and all(r["predicted"] == 1 - r["doc_id"] % 2 for r in out)
+
+
 def test_toxicity_edges(spark):
     docs = documents(spark, AWKWARD)
     labels = spark.createDataFrame([(1, 1), (2, 1), (4, 0), (None, 1), (6, None)], "doc_id long, label int")
