@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from loomspan.llm import embed_graph, simhash
 from loomspan.llm.components import components
@@ -37,10 +38,9 @@ def test_fingerprint_by_hand():
     low = ["the", "quick", "brown", "fox", "É", "jumps", "over"]
     h = [xxhash.xxh64_intdigest(" ".join(low[i : i + 4]), 42) for i in range(4)]
     want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > 4)
-    fp, n = simhash.fingerprint("\t".join(words), 4)
-    assert int(fp[0]) == want and n == 4
-    assert int(simhash.fingerprint("a b", 4)[0][0]) == xxhash.xxh64_intdigest("a b", 42)
-    assert int(simhash.fingerprint(None, 4)[0][0]) == 0
+    assert int(simhash.fingerprint("\t".join(words), 4)[0]) == want
+    assert int(simhash.fingerprint("a b", 4)[0]) == xxhash.xxh64_intdigest("a b", 42)
+    assert int(simhash.fingerprint(None, 4)[0]) == 0
 
 
 def test_join_is_exact():
@@ -88,13 +88,84 @@ def test_repeated_bodies_meet(spark):
     assert all(comp[i] == comp[100 + i] == i for i in range(30))
 
 
-def test_every_size_of_a_fingerprint_is_dealt(spark):
-    rng = random.Random(6)
-    short, long = (" ".join(f"u{rng.randint(0, 5000)}" for _ in range(n)) for n in (20, 300))
-    rows = [(1, "w " * 1000 + short), (2, "w " * 1000 + long), (3, "w " * 12 + short)]
-    fps = [simhash.fingerprint(t, 5, 128) for _, t in rows]
-    assert (fps[0][0] == fps[1][0]).all() and 0 < simhash.distance(fps[0][0], fps[2][0]) <= 22 and fps[0][1] == fps[2][1] < fps[1][1] / 10
-    assert {r["component_id"] for r in simhash.near_duplicates(documents(spark, rows)).collect()} == {1}
+def brute_classes(spark, rows, words, radius, bits):
+    """The least known id reachable, by all pairs of fingerprints."""
+    fp = np.stack([simhash.fingerprint(t, words, bits) for _, t in rows])
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= radius
+    root = least(len(rows), [(int(a), int(b)) for a, b in np.argwhere(near)])
+    ids = {}
+    for (i, _), r in zip(rows, root):
+        ids.setdefault(r, []).append(i)
+    return [min((x for x in ids[r] if x is not None), default=None) for r in root]
+
+
+def family(seed=12):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(30, 200))]
+        for _ in range(rng.randint(1, 12)):
+            base = [rng.choice(words) if rng.random() < 0.02 else w for w in base]
+            rows.append((len(rows), " ".join(base)))
+    return rows
+
+
+def test_classes_as_brute_force(spark):
+    """op6's settings, exactly; with points that only rows without an id have."""
+    rows = family() + [(9000 + i, t) for i, t in AWKWARD if i is not None] + [(None, t) for _, t in family(3)[:40]] + [(None, None)]
+    got = simhash.near_duplicates(documents(spark, rows), words=4, radius=12, bits=64).collect()
+    want = brute_classes(spark, rows, 4, 12, 64)
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=key) == sorted(zip([i for i, _ in rows], want), key=key)
+    got = simhash.near_duplicates(documents(spark, rows), words=4, radius=4, bits=64).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=key) == sorted(zip([i for i, _ in rows], brute_classes(spark, rows, 4, 4, 64)), key=key)
+
+
+def test_a_row_without_id_connects(spark):
+    zero = np.uint64(0)
+    points = [(zero, 1), (zero ^ np.uint64(15), None), (zero ^ np.uint64(255), 2)]
+    fps = spark.createDataFrame([(i, int(f.astype(np.int64)), 0) for f, i in points], "doc_id long, fp long, fp2 long")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simhash, "fingerprints", lambda *a: fps)
+        assert {r["component_id"] for r in simhash.near_duplicates(fps, words=4, radius=4, bits=64).collect()} == {1}
+
+
+@pytest.mark.parametrize("shard", [1024, 8])
+def test_forest_as_brute_force(spark, shard):
+    """The pipeline's settings: with one shard exactly; with many, every class of near texts still holds together."""
+    rows = family(5) + [(5000, None), (5001, ""), (None, "a b"), (5002, "a b")]
+    got = simhash.near_duplicates(documents(spark, rows), shard=shard).collect()
+    want = brute_classes(spark, rows, 5, 26, 128)
+    key = lambda x: (str(x[0]), str(x[1]))
+    a, b = sorted(((r["doc_id"], r["component_id"]) for r in got), key=key), sorted(zip([i for i, _ in rows], want), key=key)
+    assert a == b if shard == 1024 else sum(x == y for x, y in zip(a, b)) >= 0.99 * len(b)
+
+
+def test_forest_meets_pairs_at_the_radius():
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 2**63, (20000, 2)).astype(np.uint64)
+    flip = np.zeros((20000, 128), np.uint8)
+    for row in flip:
+        row[rng.choice(128, 26, replace=False)] = 1
+    other = fp ^ np.packbits(flip, axis=1).view(np.uint64)
+    forest = simhash.Forest(2_000_000, 26, 128)
+    met = np.zeros(20000, bool)
+    for a, b in zip(forest.route(fp), forest.route(other)):
+        met |= a == b
+    assert forest.depth == 11 and met.mean() >= 0.985
+
+
+def test_cells_are_exact():
+    """One shard with a dense group, joined by vantage points and blocks, against all pairs."""
+    rng = np.random.default_rng(6)
+    noise = lambda n, k: np.packbits(rng.random((n, 128)) < k / 128, axis=1).view(np.uint64)
+    fp = np.unique(np.concatenate([noise(900, 10) ^ np.uint64(7), noise(500, 16), rng.integers(0, 2**63, (700, 2)).astype(np.uint64)]), axis=0)
+    fp = np.concatenate([fp, fp[:200] ^ noise(200, 22)])
+    names = rng.permutation(len(fp))
+    want = least(len(fp), [(int(names[i]), int(names[j])) for i in range(len(fp)) for j in np.flatnonzero(simhash.distance(fp, fp[i]) <= 26)])
+    pairs = [p for a, b in simhash.join_cell(fp, names, 26) for p in zip(a.tolist(), b.tolist())]
+    assert least(len(fp), pairs) == want
 
 
 def vectors(spark, rows):
