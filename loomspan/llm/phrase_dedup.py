@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,17 @@ class Bucket:
         start = np.flatnonzero(black & (edge[:-1] | np.concatenate([[True], ~black[:-1]]))) if len(data) else np.zeros(0, np.int64)
         end = np.flatnonzero(black & (edge[1:] | np.concatenate([~black[1:], [True]]))) + 1 if len(data) else start
         self.data, self.start, self.end = data, start, end
-        word = Prefix(data, BYTE_BASE).ranges(start, end)
+        self.hash = Prefix(data, BYTE_BASE).ranges(start, end)
         self.bound = np.searchsorted(start, off)  # words of document i: bound[i] .. bound[i + 1]
         count = np.diff(self.bound)
         self.doc = np.repeat(self.ids, count)
-        self.prefix = Prefix(word, WORD_BASE)
+        self.prefix = Prefix(self.hash, WORD_BASE)
         self.first, self.last, self.key, _ = runs(self.prefix.grams(gram), window - gram + 1, window, np.repeat(self.bound[1:], count))
-        self.word = exact_groups(word, data, start, end - start)  # the first word with the same bytes
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        """For each word the first one with the same bytes."""
+        return exact_groups(self.hash, self.data, self.start, self.end - self.start)
 
     def alike(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """For each stretch of n words from `at` on the first one with the same words."""
@@ -152,7 +157,8 @@ def hold(shape: np.ndarray, ids: np.ndarray, data: np.ndarray, window: int) -> t
     which begins there and recurs; NO_ID: none)."""
     end = np.flatnonzero(data == 32)
     start = np.concatenate([[0], end[:-1] + 1])
-    code = np.unique(exact_groups(Prefix(data, BYTE_BASE).ranges(start, end), data, start, end - start), return_inverse=True)[1]
+    word = exact_groups(Prefix(data, BYTE_BASE).ranges(start, end), data, start, end - start)
+    code = (np.cumsum(word == np.arange(len(word))) - 1)[word]
     size = shape[:, 2].astype(np.int64)
     begin = np.cumsum(size) - size
     holder = np.full(len(code), NO_ID)
