@@ -10,7 +10,10 @@ edit distance with free ends.
 
 Items with fewer than `min_chars` characters have no budget: they match verbatim, where they don't begin or end
 inside a word. Null and empty items and texts match nothing; repeated items are matched under each of their ids; equal distances keep the first place.
-Items are taken in blocks of bounded size, so a benchmark of any size is handled by more passes.
+Items are taken in blocks of bounded size, one pass over the texts a block, each pass written before the next
+one begins: neither the driver nor a worker holds more than one block's items and automaton. Cost grows with
+the number of blocks; a block has room for some thousands of items. Whole texts of any length are read;
+repeated rows and ids get equal matches, rows of their own; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.common import discard, settle
+
 MIN_CHARS = 24
 RATE = 0.1
 BLOCK_BYTES = 1_500_000
@@ -168,17 +173,28 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFr
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
 
 
-def mark(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """All columns of docs and `matches`, array<struct<item_id, distance>> (empty: clean). No shuffle of texts."""
-    out = docs.withColumn("matches", F.array().cast("array<struct<item_id:bigint,distance:int>>"))
-    for block in item_blocks(items):
+def mark(docs: DataFrame, items: DataFrame, rate: float = RATE, into: str = "matches") -> DataFrame:
+    """All columns of docs and `into`, array<struct<item_id, distance>> (empty: clean). No shuffle of texts. A column of docs
+    named like `into` is an error."""
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {into}")
+    out = docs.withColumn(into, F.array().cast("array<struct<item_id:bigint,distance:int>>"))
+    blocks = item_blocks(items)
+    before = None
+    for k, block in enumerate(blocks):
         out = _mark(out, [(r["item_id"], r["text"]) for r in block.collect()], rate)
+        if k + 1 < len(blocks):
+            out = settle(out)
+            if before is not None:
+                discard(before)
+            before = out
     return out
 
 
 def _mark(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(shared.value, rate)
         for b in batches:

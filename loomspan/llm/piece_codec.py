@@ -6,8 +6,11 @@ keep their agendas as rows of one matrix, so that a batch of them advances toget
 whose outdated entries are skipped. Characters
 outside the vocabulary fall back to byte pieces. Text is cut where no piece of the vocabulary can cross
 (in front of blanks, around line ends), which is read from the vocabulary itself; the encoding of each
-distinct cut is kept in a bounded cache and compared with the sentencepiece library, batch by batch: a
-difference is an error.
+distinct cut is compared with the sentencepiece library, batch by batch: a difference is an error. Encodings of
+short cuts are kept in a cache bounded in entries and bytes.
+
+Null and empty texts encode to the end id alone; repeated rows are encoded row by row; very long texts are cut
+like any other, and a cut of any length has its own heap. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 LETTER = r"[^\W\d_]"
 MIXED = re.compile(rf"{LETTER}(?!{LETTER})[^{SPACE}]|(?!{LETTER})[^{SPACE}]{LETTER}")
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES, CACHE_BYTES = 600_000, 48 << 20
+#: Longer cuts are not kept.
+LONG = 64
 WIDE, FAR = 1 << 21, 1 << 40
 #: Cuts of at most SHORT characters advance together, ROWS at a time.
 SHORT, ROWS = 32, 4096
@@ -55,6 +60,7 @@ class PieceCodec:
         words = rf" *{LETTER}+| *[^ \n]+?(?= |\n|{LETTER}|\Z)" if not mixed else r" *[^ \n]+"
         self.cut = re.compile(rf"\n|{words}| +" if self.line_cut else r"(?s).+")
         self.cache: dict[str, str] = {}  # a cut's ids as text
+        self.kept = 0
         # pairs of pieces that make a piece: key left * WIDE + right -> (rank of the piece's score, the piece)
         order = {p: r for r, p in enumerate(sorted(self.score, key=lambda p: -self.score[p]))}
         rank = {p: order[p] for p in order}
@@ -159,14 +165,20 @@ class PieceCodec:
                 out.append(i)
         return tuple(out)
 
-    def learn(self, cuts: list[str]) -> None:
+    def learn(self, cuts: list[str]) -> dict[str, str]:
+        """The cuts' ids as text; those of short cuts are kept."""
         ids = self.encode_cuts(cuts)
         if self.check:
             self.compare(cuts, ids)
-        self.cache.update(zip(cuts, [repr(x)[1:-1].replace(",", "") for x in ids]))
+        told = dict(zip(cuts, [repr(x)[1:-1].replace(",", "") for x in ids]))
+        short = {c: t for c, t in told.items() if len(c) <= LONG}
+        self.cache.update(short)
+        self.kept += sum(len(c) + len(t) for c, t in short.items())
+        return told
 
     def compare(self, cuts: list[str], ids: list[tuple[int, ...]]) -> None:
-        """Against the library: many cuts in one call, with line ends between them where these are isolated."""
+        """Against the library: many cuts in one call, with line ends between them where these are isolated; else a cut is a
+        whole text."""
         if self.line_cut:
             lines = "\n".join([c for c in cuts if c != "\n"])
             got = self.lib.encode("\n" + lines) if lines else []
@@ -176,18 +188,21 @@ class PieceCodec:
                 if c != "\n":
                     want.append(mark)
                     want += x
-            if want != got:
-                raise RuntimeError("the agenda's encoding differs from the library's")
+        else:
+            want, got = list(map(list, ids)), self.lib.encode([c[1:] for c in cuts])
+        if want != got:
+            raise RuntimeError("the agenda's encoding differs from the library's")
 
     def ids(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """For each whole text the ids with the end id, and the same as decimals joined by one blank."""
         cut = [self.cuts(t) for t in texts]
-        if len(self.cache) > self.cache_entries:
-            self.cache = {}
+        if len(self.cache) > self.cache_entries or self.kept > CACHE_BYTES:
+            self.cache, self.kept = {}, 0
         new = [c for c in set().union(*cut) if c not in self.cache]
-        if new:
-            self.learn(new)
+        told = self.learn(new) if new else {}
         get, end, out = self.cache.__getitem__, str(self.eos), []
+        if any(len(c) > LONG for c in new):
+            get = lambda c: told[c] if c in told else self.cache[c]
         for cuts in cut:
             joined = " ".join([*map(get, cuts), end])
             out.append((list(map(int, joined.split(" "))), joined))
@@ -210,14 +225,15 @@ def codec_of(model_path: str, check: bool) -> PieceCodec:
 
 
 def encode_decode(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
-    """doc_id, text, ids (with the end id), ids_text, decoded for each row; null text is empty. No shuffle."""
+    """doc_id, ids (with the end id), decoded for each row; null text is empty. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model_path, check)
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = codec.encode(text)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int32())), "decoded": pa.array([codec.decode(ids)])})
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for i in range(0, len(texts), 128):
+                got = [g[0] for g in codec.ids(texts[i : i + 128])]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 128], pa.array(got, pa.list_(pa.int32())), pa.array(codec.lib.decode(got, num_threads=1), pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

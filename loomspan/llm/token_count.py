@@ -2,9 +2,12 @@
 
 Texts are cut at boundaries which the byte-level pre-tokenizer always cuts at itself: in front of a run of
 blanks, tabs and line ends that follows any other character. A piece's count is then independent of its
-neighbours, so each worker keeps the counts of pieces it has met (a bounded cache) and the library is
-called on batches of unmet pieces, balanced by bytes. Texts with other Unicode white space, in which a cut
-could fall inside one run of white space, go to the library whole.
+neighbours, so each worker keeps the counts of short pieces it has met (a cache bounded in entries and bytes)
+and the library is called on batches of unmet pieces, balanced by their UTF-8 bytes. Other Unicode white
+space joins the blanks beside it to one run, in front of which no cut is made: a piece then begins at the run.
+
+Null and empty texts have no tokens; repeated rows are counted row by row; very long texts are cut like any
+other, and a single piece of any length (no blank in it) goes to the library alone. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -19,10 +22,13 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import single_thread
 
-PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
-OTHER_SPACE = re.compile("[\x0b\x0c\x85\xa0  -     　]")
+# Unicode's white space.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PIECE = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BATCH_BYTES = 256 * 1024
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES, CACHE_BYTES = 600_000, 32 << 20
+#: Longer pieces are not kept.
+LONG = 64
 
 
 class Counter:
@@ -34,15 +40,17 @@ class Counter:
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.cache: dict[str, int] = {}
+        self.kept = 0
         self.cache_entries, self.batch_bytes = cache_entries, batch_bytes
 
     def lengths(self, pieces: list[str]) -> list[int]:
-        """Library counts, in batches of about batch_bytes characters, short pieces with short ones."""
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        """Library counts, in batches of about batch_bytes UTF-8 bytes, short pieces with short ones."""
+        bytes_ = [len(p) if p.isascii() else len(p.encode()) for p in pieces]
+        order = sorted(range(len(pieces)), key=bytes_.__getitem__)
         out, batch, size = [0] * len(pieces), [], 0
         for n, i in enumerate(order):
             batch.append(i)
-            size += len(pieces[i])
+            size += bytes_[i]
             if size >= self.batch_bytes or n + 1 == len(order):
                 for j, e in zip(batch, self.encode([pieces[j] for j in batch], add_special_tokens=False)):
                     out[j] = len(e)
@@ -50,13 +58,18 @@ class Counter:
         return out
 
     def count(self, texts: list[str | None]) -> list[int]:
-        cut = [[] if not t else [t] if OTHER_SPACE.search(t) else PIECE.findall(t) for t in texts]
-        if len(self.cache) > self.cache_entries:
-            self.cache = {}
+        cut = [PIECE.findall(t) if t else [] for t in texts]
+        if len(self.cache) > self.cache_entries or self.kept > CACHE_BYTES:
+            self.cache, self.kept = {}, 0
         new = [c for c in set().union(*cut) if c not in self.cache]
-        self.cache.update(zip(new, self.lengths(new)))
-        get = self.cache.__getitem__
-        return [sum(map(get, c)) for c in cut]
+        told = dict(zip(new, self.lengths(new)))
+        short = {c: n for c, n in told.items() if len(c) <= LONG}
+        self.cache.update(short)
+        self.kept += sum(map(len, short))
+        if len(short) == len(told):
+            get = self.cache.__getitem__
+            return [sum(map(get, c)) for c in cut]
+        return [sum(self.cache[p] if p in self.cache else told[p] for p in c) for c in cut]
 
 
 @lru_cache(maxsize=1)
