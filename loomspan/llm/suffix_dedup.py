@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from loomspan.llm.common import byte_buckets, give_back, text_bytes
 from loomspan.llm.suffix_array import permuted_lcp, suffix_array
@@ -290,7 +291,7 @@ def removal(bucket: Bucket, verdict: pa.Table) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, finish, schema: str, window: int = 200, **sizes) -> DataFrame:
+def remove_repeats(docs: DataFrame, finish, schema: str | StructType, window: int = 200, **sizes) -> DataFrame:
     """finish(columns, bucket, removed) -> pa.Table of `schema`, called for each bucket of documents.
 
     columns: name -> values of doc_id and of the column named by `carry`.

@@ -54,6 +54,20 @@ def brute_words(docs, n):
     return out
 
 
+def least(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
 def grouped(rows):
     out = {}
     for r in rows:

@@ -5,21 +5,7 @@ import pytest
 
 from loomspan.llm import embed_graph, simhash
 from loomspan.llm.components import components
-from tests.llm.helpers import AWKWARD, documents
-
-
-def least(n, pairs):
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(n)]
+from tests.llm.helpers import AWKWARD, documents, least
 
 
 def test_components(spark):
