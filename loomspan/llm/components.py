@@ -41,3 +41,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = (sign["n"], sign["s"])
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def class_least(members: DataFrame, klass: str, value: str, spread_by: str, into: str, salts: int = 16) -> DataFrame:
+    """members and `into`, the least value of each row's class. Only the classes' least values are copied, `salts` times, so
+    that the rows of one very large class meet theirs in as many tasks."""
+    least = members.groupBy(klass).agg(F.min(value).alias(into)).withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return members.withColumn("salt_", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).join(least, [klass, "salt_"]).drop("salt_")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import discard, give_back, settle
-from loomspan.llm.components import components
+from loomspan.llm.components import class_least, components
 
 SHARD = 4096
 #: Guests of a slice, in shards.
@@ -355,9 +355,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, shard: int = SHARD
     discard(dealt)
     classes = components(found.where("node <> root").selectExpr("node as a", "root as b")).select(F.col("node").alias("of"), "component")
     counted = found.where("home").groupBy("node").agg(F.sum("links").alias("links"), F.min("recall").alias("audited"))
-    known = groups.select("key", "node", "m", "least").join(counted, "node").join(classes, F.col("node") == F.col("of"), "left").withColumn("class", F.coalesce("component", "node"))
-    least = known.groupBy("class").agg(F.min("least").alias("component_id"))
-    by_key = known.join(least, "class").select("key", (F.col("links") + F.col("m") - 1).alias("n_links"), "component_id", "audited")
+    known = groups.select("key", "node", "m", "least").join(counted, "node").join(classes, F.col("node") == F.col("of"), "left")
+    alone = known.where("component is null").withColumn("component_id", F.col("least"))
+    together = class_least(known.where("component is not null"), "component", "least", "node", "component_id")
+    by_key = alone.unionByName(together).select("key", (F.col("links") + F.col("m") - 1).alias("n_links"), "component_id", "audited")
     out = points.select("vec_id", "key").join(by_key, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.isnull("n_links"), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"), "audited")
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), "audited")

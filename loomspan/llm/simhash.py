@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import discard, give_back, settle
-from loomspan.llm.components import components
+from loomspan.llm.components import class_least, components
 from loomspan.llm.windows import PACKED, deal, group_runs, mix, pack_table, unpack
 
 SEED = 42
@@ -306,6 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 26, bits: int
     found = settle(links(points, radius, bits, shard))
     groups = components(found).select(F.col("node").alias("of"), "component")
     discard(found)
-    known = points.join(groups, F.col("node") == F.col("of"), "left").withColumn("class", F.coalesce("component", "node"))
-    least = known.groupBy("class").agg(F.min("least").alias("component_id"))
-    return fps.join(known.join(least, "class").select("fp", "fp2", "component_id"), ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")
+    known = points.join(groups, F.col("node") == F.col("of"), "left")
+    alone = known.where("component is null").select("fp", "fp2", F.col("least").alias("component_id"))
+    together = class_least(known.where("component is not null"), "component", "least", "node", "component_id").select("fp", "fp2", "component_id")
+    return fps.join(alone.union(together), ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")
