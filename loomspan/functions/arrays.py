@@ -6,6 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: How many results a scan gathers before it puts them away; appending copies no more than that many.
+CHUNK = 256
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value evaluated once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def scan(items: Column, zero: Column, kind: str, step, follow, state: str = "int") -> Column:
+    """array<kind>: step(state, item) for every item in order, the state, a value of type `state`, starting at zero and going
+    on as follow(state, result). Results gather in stretches, so a long array isn't copied for each of its items."""
+    start = F.struct(zero.cast(state).alias("state"), F.array().cast(f"array<array<{kind}>>").alias("done"), F.array().cast(f"array<{kind}>").alias("open"))
+
+    def one(acc: Column, item: Column) -> Column:
+        def put(got: Column) -> Column:
+            full = F.size(acc["open"]) >= CHUNK
+            return F.struct(
+                follow(acc["state"], got).cast(state).alias("state"),
+                F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
+                F.when(full, F.array(got)).otherwise(F.concat(acc["open"], F.array(got))).alias("open"),
+            )
+
+        return let(step(acc["state"], item).cast(kind), put)
+
+    return F.aggregate(items, start, one, lambda a: F.flatten(F.concat(a["done"], F.array(a["open"]))))
+
+
 def indices(n: Column) -> Column:
     """0 .. n - 1; empty for n <= 0."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

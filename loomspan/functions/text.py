@@ -8,24 +8,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspan.functions.arrays import let, scan
+
 # The characters that str.strip removes, and the line breaks of str.splitlines.
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 BREAK = r"\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
 # Kana letters.
 KANA = r"[\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{31F0}-\x{31FF}\x{FF71}-\x{FF9D}]"
 
-STRIP = rf"\A{SPACE}+|{SPACE}+\z"
-LINES = rf"[^{BREAK}]*(?:\r\n|[{BREAK}])|[^{BREAK}]+"
+# What ends a line for rstrip, a list item's mark at a line's start, and sentence marks.
+LINE_END = r"[\r\n]+\z"
+BULLET = rf"\A{SPACE}*(?:[-*•]+|\p{{Nd}}{{1,4}}[:.)]|[A-Za-z][:.)]){SPACE}+"
 SIMPLE = r"(?s).+?(?:。|！|？|!|\?|\n|\z)"
 GENERIC = r"(?s).+?(?:[.!?]|\n|\z)"
-ENGLISH = rf"(?s).+?(?:[.!?]+[\"')\]]*(?:{SPACE}+|\z)|\z)"
-BULLET = rf"\A{SPACE}*(?:[-*•]+|[0-9]{{1,4}}[:.)]|[A-Za-z][:.)]){SPACE}+"
-TERM = r"[\p{L}\p{N}]+"
+
+STRIP = rf"\A{SPACE}+|{SPACE}+\z"
+LINES = rf"[^{BREAK}]*(?:\r\n|[{BREAK}])|[^{BREAK}]+"
+
+
+def sentence_pattern(more: str = "") -> str:
+    """A sentence: up to a run of marks, closing quotes and brackets, and white space or the end."""
+    return rf"(?s).+?(?:[.!?{more}]+[\"')\]]*(?:{SPACE}+|\z)|\z)"
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with the value evaluated once, however often `use` names it."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+ENGLISH = sentence_pattern()
+TERM = r"[\p{L}\p{N}]+"
+OVERLONG = 1200
 
 
 def strip(c: Column) -> Column:
@@ -42,8 +50,8 @@ def split_lines(c: Column) -> Column:
 
 
 def chomp(c: Column) -> Column:
-    """A line without its end."""
-    return F.regexp_replace(c, rf"(?:\r\n|[{BREAK}])\z", "")
+    """A line without the carriage returns and line feeds at its end."""
+    return F.regexp_replace(c, LINE_END, "")
 
 
 def is_japanese(c: Column, window: int = 500, least: int = 1) -> Column:
@@ -51,13 +59,14 @@ def is_japanese(c: Column, window: int = 500, least: int = 1) -> Column:
 
 
 def split_simple(c: Column) -> Column:
-    return let(extract(c, SIMPLE), lambda got: F.when(F.size(got) > 0, got).otherwise(F.array(c)))
+    """Sentences by their marks or line ends, white space kept; nothing from an empty text."""
+    return extract(c, SIMPLE)
 
 
 def stripped(parts: Column, whole: Column) -> Column:
-    """Stripped non-blank parts; the stripped whole where none is left."""
+    """Stripped non-blank parts; the stripped whole, if it isn't blank, where none is left."""
     got = F.filter(F.transform(parts, strip), lambda s: s != "")
-    return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(strip(whole))))
+    return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.filter(F.array(strip(whole)), lambda s: s != "")))
 
 
 def split_regex(c: Column) -> Column:
@@ -74,58 +83,65 @@ def is_bullet(line: Column) -> Column:
 
 def english_blocks(c: Column) -> Column:
     """Blocks of lines: a bullet line opens a new one."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, line: Column) -> Column:
-        cut = is_bullet(line) & (acc["open"] != "")
-        return F.struct(
-            F.when(cut, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(cut, line).otherwise(F.concat(acc["open"], line)).alias("open"),
-        )
+    def cut(lines: Column) -> Column:
+        n = F.size(lines)
+        first = F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | is_bullet(x), i)), lambda i: i.isNotNull())
+        return let(first, lambda at: F.transform(at, lambda i, k: F.array_join(F.slice(lines, i + 1, F.coalesce(F.get(at, k + 1), n) - i), "")))
 
-    return F.aggregate(split_lines(c), empty, step, lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+    return let(split_lines(c), cut)
 
 
 def overlong_pattern(limit: int) -> str:
-    """Pieces of at most `limit` characters: the rest if it fits, else up to the last line end, else up to the last
-    sentence mark, else a hard cut."""
+    """Pieces of at most `limit` characters, up to the last line end in reach that isn't the first character, else up to the
+    last sentence mark in reach, else as long as they can be. The rest of a text is cut in the same way."""
     def upto(a: int, n: int) -> str:  # counted repeats of at most 900 each, as some engines bound them
-        return "".join(f".{{{min(a, 1) if i == 0 else 0},{min(900, n - 900 * i)}}}" for i in range(-(-n // 900))) if n else ""
+        return "".join(f".{{{a if i == 0 else 0},{min(900, n - 900 * i)}}}" for i in range(-(-n // 900)))
 
-    hard = "".join(f".{{{min(900, limit - 900 * i)}}}" for i in range(-(-limit // 900)))
-    return rf"(?s){upto(1, limit)}\z|{upto(1, limit - 1)}\n|{upto(0, limit - 1)}[.?!;:\n]|{hard}"
+    return rf"(?s){upto(1, limit - 1)}\n|{upto(0, limit - 1)}[.?!;:\n]|{upto(1, limit)}"
 
 
-def split_overlong(c: Column, limit: int = 1200) -> Column:
-    return F.when(F.length(c) <= limit, F.array(c)).otherwise(extract(c, overlong_pattern(limit)))
+def split_overlong(c: Column, limit: int = OVERLONG) -> Column:
+    """A text of more than `limit` characters in pieces, white space kept; nothing from an empty text."""
+    return F.when(c == "", F.array().cast("array<string>")).when(F.length(c) <= limit, F.array(c)).otherwise(extract(c, overlong_pattern(limit)))
 
 
-def split_english(c: Column, limit: int = 1200) -> Column:
-    """Rule-based sentences inside bullet blocks, trailing white space kept, overlong ones cut."""
+def english_splitter(limit: int = OVERLONG):
+    """A splitter by rules: sentences inside bullet blocks, trailing white space kept, blank ones dropped, overlong ones cut."""
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    return lambda c: split_english(c, limit)
+
+
+def split_english(c: Column, limit: int = OVERLONG) -> Column:
     blocks = F.transform(english_blocks(c), lambda b: F.regexp_replace(b, rf"\A{SPACE}+", ""))
-    got = F.flatten(F.transform(blocks, lambda b: extract(b, ENGLISH)))
-    got = F.filter(F.flatten(F.transform(got, lambda s: split_overlong(s, limit))), lambda s: s != "")
-    return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(strip(c))))
+    got = F.filter(F.flatten(F.transform(blocks, lambda b: extract(b, ENGLISH))), lambda s: strip(s) != "")
+    got = F.flatten(F.transform(got, lambda s: split_overlong(s, limit)))
+    return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.filter(F.array(strip(c)), lambda s: s != "")))
 
 
 def split_auto(c: Column) -> Column:
+    """The simple splitter for texts with kana, else the English one."""
     return F.when(is_japanese(c), split_simple(c)).otherwise(split_english(c))
 
 
-def split_multiline(c: Column, limit: int = 1200) -> Column:
-    """Lines of a sentence that is a list of lines: two non-blank ones at least, fewer sentence marks than lines, none too long."""
+def split_multiline(c: Column, strip_sentences: bool = False, limit: int = OVERLONG) -> Column:
+    """Non-blank lines of a sentence that is a list of lines: it has a line feed, two non-blank lines at least, fewer sentence
+    marks than those, and none of them too long without the white space around it."""
+    trimmed = strip if strip_sentences else (lambda x: x)
+
     def choose(lines: Column) -> Column:
-        full = F.size(F.filter(lines, lambda x: strip(x) != ""))
-        ok = let(full, lambda n: (n >= 2) & (F.regexp_count(c, F.lit("[.?!]")) < n)) & F.forall(lines, lambda x: F.length(x) <= limit)
-        return F.when(ok, lines).otherwise(F.array(c))
+        n = F.size(lines)
+        ok = (n > 1) & (F.regexp_count(c, F.lit("[.?!]")) < n) & F.forall(lines, lambda x: F.length(strip(x)) <= limit)
+        return F.when(ok, F.transform(lines, trimmed)).otherwise(F.array(trimmed(c)))
 
-    return F.when(c.rlike(f"[{BREAK}]"), let(split_lines(c), choose)).otherwise(F.array(c))
+    return F.when(F.contains(c, F.lit("\n")), let(F.filter(split_lines(c), lambda x: strip(x) != ""), choose)).otherwise(F.array(trimmed(c)))
 
 
-def normalize(sentences: Column, whole: Column) -> Column:
-    """Sentences split by lines, blanks dropped; the stripped whole (or itself) where none is left."""
-    got = F.filter(F.flatten(F.transform(sentences, split_multiline)), lambda s: strip(s) != "")
-    rest = F.when(strip(whole) != "", strip(whole)).otherwise(whole)
+def normalize(sentences: Column, whole: Column, strip_sentences: bool = False) -> Column:
+    """Sentences split by lines, empty ones dropped; where none is left the whole text (stripped if it is asked for and leaves
+    something)."""
+    got = F.filter(F.flatten(F.transform(F.array_compact(sentences), lambda s: split_multiline(s, strip_sentences))), lambda s: s != "")
+    rest = F.when(strip(whole) != "", strip(whole)).otherwise(whole) if strip_sentences else whole
     return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(rest)))
 
 
@@ -137,14 +153,28 @@ def first_line_title(c: Column) -> Column:
             F.struct(chomp(F.get(lines, at - 1)).alias("title"), F.array_join(F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0))), "").alias("rest")),
         ).otherwise(F.struct(F.lit("").alias("title"), c.alias("rest")))
 
-    return let(split_lines(c), lambda lines: let(F.array_position(F.transform(lines, lambda x: strip(x) != ""), True).cast("int"), lambda at: cut(lines, at)))
+    return let(split_lines(c), lambda lines: let(first_filled(lines), lambda at: cut(lines, at)))
+
+
+def first_item_title(items: Column) -> Column:
+    """struct(title, rest) of a list of sentences: its first non-blank one and those behind it; all blank: '' and the list."""
+    def cut(at: Column) -> Column:
+        return F.when(at > 0, F.struct(chomp(F.get(items, at - 1)).alias("title"), F.slice(items, at + 1, F.greatest(F.size(items) - at, F.lit(0))).alias("rest"))).otherwise(
+            F.struct(F.lit("").alias("title"), items.alias("rest"))
+        )
+
+    return let(first_filled(items), cut)
+
+
+def first_filled(items: Column) -> Column:
+    """The place, from 1, of the first item that isn't blank; 0 if there is none."""
+    return F.array_position(F.transform(items, lambda x: strip(x) != ""), True).cast("int")
 
 
 def prefix_sentences(titles: Column) -> Column:
-    """Stripped titles; the last one gets exactly one line end."""
-    got = F.filter(F.transform(titles, strip), lambda s: s != "")
-    n = F.size(got)
-    return F.transform(got, lambda s, i: F.when(i == n - 1, F.concat(s, F.lit("\n"))).otherwise(s))
+    """Stripped titles, blank ones dropped; the last one gets exactly one line end."""
+    got = F.filter(F.transform(F.array_compact(titles), strip), lambda s: s != "")
+    return let(got, lambda g: F.transform(g, lambda s, i: F.when(i == F.size(g) - 1, F.concat(s, F.lit("\n"))).otherwise(s)))
 
 
 def extract_spans(text: Column, spans: Column) -> Column:
@@ -157,27 +187,33 @@ def extract_spans(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.transform(spans, cut)).otherwise(F.array(text))
 
 
+def chunk_texts(text: Column, spans: Column) -> Column:
+    """The stripped texts of [start, end) spans that hold something."""
+    return F.transform(F.filter(spans, lambda s: s[1] > s[0]), lambda s: strip(F.substr(text, s[0] + 1, s[1] - s[0])))
+
+
 def text_to_spans(text: Column, sentences: Column) -> Column:
     """[start, end) of each stripped sentence, sought from the end of the one before, else from the start; absent ones
     are skipped."""
-    zero = F.struct(F.array().cast("array<array<int>>").alias("spans"), F.lit(0).alias("cursor"))
+    def step(cursor: Column, sent: Column) -> tuple[Column, Column]:
+        s = strip(sent)
+        ahead = F.call_function("locate", s, text, cursor + 1)
+        at = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", s, text, F.lit(1)))
+        return F.when((s != "") & (at > 0), F.array(at - 1, at - 1 + F.length(s)))
+
+    return F.filter(scan(sentences, F.lit(0), "array<int>", step, lambda cursor, span: F.coalesce(F.get(span, F.lit(1)), cursor)), lambda x: x.isNotNull())
 
-    def step(acc: Column, sent: Column) -> Column:
-        def place(s: Column, at: Column) -> Column:
-            ok = (s != "") & (at > 0)
-            end = at - 1 + F.length(s)
-            return F.struct(
-                F.when(ok, F.concat(acc["spans"], F.array(F.array(at - 1, end)))).otherwise(acc["spans"]).alias("spans"),
-                F.when(ok, end).otherwise(acc["cursor"]).alias("cursor"),
-            )
 
-        def seek(s: Column) -> Column:
-            ahead = F.call_function("locate", s, text, acc["cursor"] + 1)
-            return let(ahead, lambda a: F.when(a > 0, a).otherwise(F.call_function("locate", s, text, F.lit(1))))
+def similar(text: Column, part: Column) -> Column:
+    """struct<equal, contained, words_contained>: how a text and a decoded part of it agree, white space and case aside; words
+    are looked for in the text without its blanks, as tokens may cut them."""
+    flat = lambda c: F.trim(F.lower(F.regexp_replace(c, r"[ \t\n\r\x0B\x0C]+", " ")))
 
-        return let(strip(sent), lambda s: let(seek(s), lambda at: place(s, at)))
+    def told(a: Column, b: Column) -> Column:
+        joined = F.replace(a, F.lit(" "), F.lit(""))
+        return let(joined, lambda j: F.struct((a == b).alias("equal"), F.contains(a, b).alias("contained"), F.forall(F.split(b, " "), lambda w: F.contains(j, w)).alias("words_contained")))
 
-    return F.aggregate(sentences, zero, step, lambda a: a["spans"])
+    return let(flat(text), lambda a: let(flat(part), lambda b: told(a, b)))
 
 
 def terms(c: Column) -> Column:

@@ -6,10 +6,14 @@ repeat it. Ranks over a whole table come from range counts, not from one sorted
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import arrays as A
+from loomspan.functions import text as T
+from loomspan.sinks.files import discard, settle
 
 
 def lot(seed: int, *ids: str) -> Column:
@@ -34,13 +38,30 @@ def ranked_by_lot(df: DataFrame, seed: int, *ids: str, name: str = "rank") -> Da
     return ranked(df.withColumn("lot_", lot(seed, *ids)), "lot_", *ids, name=name).drop("lot_")
 
 
+def first_by_lot(df: DataFrame, seed: int, n: int, *ids: str) -> DataFrame:
+    """The first n rows in drawing order, by the least n of each partition, without ranking the others."""
+    return df.withColumn("lot_", lot(seed, *ids)).orderBy("lot_", *ids).limit(n).drop("lot_")
+
+
+#: From so many rows on a sample is taken by rank, as a limit gathers its rows in one task.
+MANY = 100_000
+
+
 def sample_rows(df: DataFrame, seed: int, n: int, *ids: str) -> DataFrame:
     """n rows by lot, all of them if there are fewer."""
     if n <= 0:
         raise ValueError("n must be positive")
+    if n <= MANY:
+        return first_by_lot(df, seed, n, *ids)
     return ranked_by_lot(df, seed, *ids, name="rank_").where(F.col("rank_") <= n).drop("rank_")
 
 
+def shuffle_take(df: DataFrame, seed: int, n: int, *ids: str, name: str = "place") -> DataFrame:
+    """The first n rows in drawing order, numbered from 1."""
+    few = sample_rows(df, seed, n, *ids)
+    return ranked_by_lot(few, seed, *ids, name=name)
+
+
 def wanted(n_samples: float, rows: int) -> int:
     """A fraction (up to 1) or a number of rows."""
     import math
@@ -101,56 +122,145 @@ def frequency_filter(rows: DataFrame, limit: int, idx: str = "idx", texts: str =
     """idx, dup_count, kept: in row order, a row's dup_count is how many of its texts (with multiplicity) were seen in kept
     rows before; it is dropped if dup_count > limit.
 
-    A decision depends only on earlier kept rows that share a text, so rows of different connected components of
-    the row-text graph are independent: components are labelled by DataFrame joins, and only rows that share a
-    text with another one are replayed, component by component.
+    Decided in parallel rounds. A text of a row surely counts once an earlier row that has it is kept, and surely doesn't
+    once no earlier row that has it is kept or open. A row whose sure texts pass the limit goes; one whose possible texts
+    don't reach it stays; the others wait for the next round, of which there are a handful, each on the texts of open
+    rows alone. Texts that only one row has are left out from the start. The first open row is always decided, so rounds
+    end; a chain of rows each of which depends on the one before takes as many.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
     hashed = rows.select(F.col(idx).alias("idx"), F.explode(F.transform(texts, F.md5)).alias("h")).groupBy("h", "idx").agg(F.count(F.lit(1)).alias("m"))
-    least = hashed.groupBy("h").agg(F.min("idx").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = hashed.join(least, "h")
-    edges = shared.select(F.col("idx").alias("b"), "a")
-    comp = component_labels(edges)
-    work = shared.join(comp, F.col("idx") == F.col("node")).select("comp", "idx", "h", "m")
-
-    def replay(pdf):
-        import pandas as pd
-
-        seen: dict[str, int] = {}
-        out = []
-        for i, g in pdf.sort_values(["idx", "h"]).groupby("idx", sort=True):
-            dup = int(sum(m for h, m in zip(g.h, g.m) if seen.get(h, 0) > 0))
-            keep = dup <= limit
-            if keep:
-                for h, m in zip(g.h, g.m):
-                    seen[h] = seen.get(h, 0) + int(m)
-            out.append((i, dup, keep))
-        return pd.DataFrame(out, columns=["idx", "dup_count", "kept"])
-
-    told = work.groupBy("comp").applyInPandas(replay, "idx long, dup_count long, kept boolean")
-    return rows.select(F.col(idx).alias("idx")).join(told, "idx", "left").select("idx", F.coalesce("dup_count", F.lit(0)).cast("long").alias("dup_count"), F.coalesce("kept", F.lit(True)).alias("kept"))
-
-
-def component_labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, comp: the least node reachable over edges (a, b), by propagating the least label until nothing changes."""
-    base = (edges.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/loomspan-scratch").rstrip("/")
-    import uuid
-
-    def settle(df: DataFrame) -> DataFrame:
-        path = f"{base}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))
-    label = settle(label)
-    for _ in range(rounds):
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("m"))
-        nxt = label.join(near, F.col("node") == F.col("a")).select("node", F.least("comp", "m").alias("comp"), (F.col("m") < F.col("comp")).alias("moved"))
-        jump = nxt.alias("x").join(nxt.alias("y"), F.col("x.comp") == F.col("y.node")).select("x.node", F.least("x.comp", "y.comp").alias("comp"), "x.moved")
-        jump = settle(jump)
-        label = jump.select("node", "comp")
-        if not jump.where("moved").limit(1).count():
-            return label
-    raise RuntimeError("labels did not settle")
+    several = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    shared = settle(hashed.join(several, "h").select("idx", "h", "m"))
+    nothing = F.lit(None).cast("bigint")
+    open_ = settle(shared.withColumn("held", nothing))  # held: the least kept row that has the text
+    told = []
+    while open_.limit(1).count():
+        first = open_.groupBy("h").agg(F.min("idx").alias("first"))
+        both = open_.join(first, "h")
+        sure = F.when(F.col("held") < F.col("idx"), F.col("m")).otherwise(0)
+        may = F.when(F.least("held", "first") < F.col("idx"), F.col("m")).otherwise(0)
+        bounds = both.groupBy("idx").agg(F.sum(sure).alias("sure"), F.sum(may).alias("may"))
+        done = settle(bounds.select("idx", F.when(F.col("may") <= limit, True).when(F.col("sure") > limit, False).alias("kept")))
+        told.append(done)
+        marked = open_.join(done, "idx")
+        new = marked.where("kept").groupBy("h").agg(F.min("idx").alias("new"))
+        rest = marked.where("kept is null").join(new, "h", "left")
+        before, open_ = open_, settle(rest.select("idx", "h", "m", F.least("held", "new").alias("held")))
+        discard(before)
+    discard(open_)
+    decided = reduce(DataFrame.union, [t.where("kept is not null") for t in told]) if told else shared.select("idx").withColumn("kept", F.lit(True)).limit(0)
+    decided = settle(decided)
+    discard(*told)
+    held = shared.join(decided.where("kept").select("idx"), "idx", "left_semi").groupBy("h").agg(F.min("idx").alias("held"))
+    counts = shared.join(held, "h").where("held < idx").groupBy("idx").agg(F.sum("m").alias("dup_count"))
+    out = rows.select(F.col(idx).alias("idx")).join(decided, "idx", "left").join(counts, "idx", "left")
+    return out.select("idx", F.coalesce("dup_count", F.lit(0)).cast("long").alias("dup_count"), F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def dup_histogram(decided: DataFrame) -> DataFrame:
+    """dup_count, total, kept, removed."""
+    return decided.groupBy("dup_count").agg(F.count(F.lit(1)).alias("total"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("removed"))
+
+
+def duplicate_stats(texts: DataFrame, text: str = "text") -> DataFrame:
+    """One row: total, n_unique, duplicates and their ratio (0 without texts)."""
+    g = texts.where(F.col(text).isNotNull()).groupBy(F.md5(text).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    s = g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n_unique"))
+    d = s.withColumn("duplicates", F.col("total") - F.col("n_unique"))
+    return d.withColumn("ratio", F.coalesce(F.try_divide("duplicates", "total"), F.lit(0.0)))
+
+
+def extract_fields(df: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns, query, positive and negatives of a triplet table. query: first filled of query/question/prompt;
+    positive: of answer/positive/pos/target; negatives: all columns that start with neg, in the order of their names, empty
+    ones dropped. A column of string arrays counts as its filled texts joined by blanks. Rows without query or positive are
+    an error."""
+    def text(c: str) -> Column:
+        listed = df.schema[c].dataType.typeName() == "array"
+        return F.nullif(F.array_join(F.filter(F.col(c), lambda x: x != ""), " ") if listed else F.col(c), F.lit(""))
+
+    def pick(names: tuple[str, ...], what: str) -> Column:
+        found = F.coalesce(*[text(c) for c in names if c in df.columns], F.lit(None).cast("string"))
+        return F.when(found.isNull(), F.raise_error(F.lit(f"empty {what}")).cast("string")).otherwise(found)
+
+    negs = sorted(c for c in df.columns if c.startswith("neg"))
+    negatives = F.array_compact(F.array(*[text(c) for c in negs])) if negs else F.array().cast("array<string>")
+    return df.select(*keep, pick(QUERY_NAMES, "query").alias("query"), pick(POSITIVE_NAMES, "positive").alias("positive"), negatives.alias("negatives"))
+
+
+# The columns that hold a question or a positive text, in the order in which they are looked for.
+QUERY_NAMES = ("query", "question", "prompt")
+POSITIVE_NAMES = ("answer", "positive", "pos", "target")
+
+
+def slug(name: str, subset: str | None = None) -> str:
+    """A dataset's name as part of ids and folder names."""
+    base = name.replace("/", "_")
+    return f"{base}_{subset}" if subset else base
+
+
+def build_records(fields: DataFrame, dataset: str, split: str, number: str, splitter=T.split_generic) -> DataFrame:
+    """id (dataset:split:number), query, texts (the positive one first), labels, context_spans ([start, end) of each text's
+    sentences) from extract_fields' columns."""
+    texts = F.concat(F.array("positive"), "negatives")
+    labels = F.concat(F.array(F.lit(1)), F.transform("negatives", lambda x: F.lit(0)))
+    spans = F.transform(texts, lambda t: T.text_to_spans(t, splitter(t)))
+    return fields.select(F.concat_ws(":", F.lit(slug(dataset)), F.lit(split), F.col(number).cast("string")).alias("id"), "query", texts.alias("texts"), labels.alias("labels"), spans.alias("context_spans"))
+
+
+def long_groups(rows: DataFrame, key: str, text: Column, most: int) -> DataFrame:
+    """key, longest (characters of the longest stripped text), too_long."""
+    return rows.groupBy(key).agg(F.max(F.length(T.strip(text))).cast("long").alias("longest")).withColumn("too_long", F.col("longest") > most)
+
+
+def score_stats(rows: DataFrame, scores: str, order: str | None = None, first: int | None = None) -> DataFrame:
+    """One row: mean, std (of the population), least, most and n of all numbers in an array column; with `first` those of the
+    first rows by `order`, a smoke check."""
+    some = rows.orderBy(order).limit(first) if first is not None else rows
+    x = some.select(F.explode(scores).alias("x")).select(F.col("x").cast("double").alias("x"))
+    return x.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+def item_means(relevance: Column) -> Column:
+    """The mean of each item's relevance flags; 0 for an item without any."""
+    return F.transform(relevance, lambda v: A.mean(F.transform(v, lambda x: x.cast("double")), F.lit(0.0)))
+
+
+def filter_items(df: DataFrame, relevance: str, max_items: int, aligned: list[str], reverse: bool = False, keep_first: bool = False) -> DataFrame:
+    """Items without any relevant span go; of the others the max_items of the largest mean relevance stay (of the least, if
+    reverse; ties: the earlier), in their order; with keep_first the first item always stays. Columns of `aligned` are cut
+    alike where they are as long as the relevance. Rows that are left with fewer than max_items items go; rows without
+    relevance are as they were, and go."""
+    rel = F.col(relevance)
+    sign = 1.0 if reverse else -1.0
+    item = F.transform(rel, lambda v, i: F.struct((A.mean(F.transform(v, lambda x: x.cast("double")), F.lit(0.0)) * sign).alias("o"), i.alias("i"), F.exists(v, lambda x: x != 0).alias("some")))
+    own = F.filter(item, lambda x: x["some"] & (x["i"] > 0 if keep_first else F.lit(True)))
+    slots = max_items - 1 if keep_first else max_items
+    top = F.transform(F.slice(F.array_sort(F.transform(own, lambda x: F.struct(x["o"].alias("o"), x["i"].alias("i")))), F.lit(1), F.lit(max(0, slots))), lambda x: x["i"])
+    pick = F.array_sort(F.concat(F.array(F.lit(0)), top) if keep_first else top)
+    d = df.withColumn("pick_", pick).withColumn("n_", F.size(rel)).where(F.coalesce(F.size("pick_") >= max_items, F.lit(False)))
+    cut = lambda c: F.when(F.size(c) == F.col("n_"), F.transform("pick_", lambda i: F.get(F.col(c), i))).otherwise(F.col(c))
+    return d.withColumns({c: cut(c) for c in dict.fromkeys([*aligned, relevance])}).drop("pick_", "n_")
+
+
+def flatten_pairs(df: DataFrame, key: str, labels: str, scores: str | None = None) -> DataFrame:
+    """One row a pair: key, doc_index, target (the teacher's score where there is one, else the label), docs_per_query. Rows with
+    neither are an error."""
+    target = F.coalesce(F.col(scores), F.col(labels)) if scores else F.col(labels)
+    checked = F.when(target.isNull(), F.raise_error(F.lit("neither scores nor labels")).cast("array<double>")).otherwise(target.cast("array<double>"))
+    flat = df.select(key, F.size(checked).cast("long").alias("docs_per_query"), F.posexplode(checked).alias("i", "target"))
+    return flat.select(key, F.col("i").cast("long").alias("doc_index"), "target", "docs_per_query")
+
+
+def mix(parts: list[DataFrame], first: tuple[str, ...] = ("id", "text")) -> DataFrame:
+    """Bag union over the common columns of several datasets, `first` in front, the others by name."""
+    shared = set.intersection(*[set(p.columns) for p in parts])
+    columns = [c for c in first if c in shared] + sorted(shared - set(first))
+    return reduce(DataFrame.unionByName, [p.select(columns) for p in parts])
+
+
+def step_schedule(total_steps: int) -> tuple[int, int]:
+    """(steps between evaluations, steps between log lines) of a training run."""
+    return max(1, total_steps // 20), max(1, total_steps // 100)

@@ -1,20 +1,18 @@
-"""Evaluation of pruned contexts: predictions read back from pruned text, confusion counts, F2, judge answers."""
+"""Evaluation of pruned contexts: predictions read back from pruned text, confusion counts, F2, long documents, losses."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import arrays as A
+from loomspan.functions import text as T
+
 
 def infer_predictions(pruned: Column, sentences: Column) -> Column:
     """1 for each sentence found at the cursor of the pruned text, which then moves behind it."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        hit = (F.length(s) > 0) & (F.substr(pruned, acc["at"] + 1, F.length(s)) == s)
-        return F.struct((acc["at"] + F.when(hit, F.length(s)).otherwise(0)).alias("at"), F.concat(acc["out"], F.array(hit.cast("int"))).alias("out"))
-
-    return F.aggregate(sentences, zero, step, lambda a: a["out"])
+    ends = A.scan(sentences, F.lit(0), "int", lambda at, s: F.when((F.length(s) > 0) & (F.substr(pruned, at + 1, F.length(s)) == s), at + F.length(s)).otherwise(at), lambda at, end: end)
+    return T.let(ends, lambda e: F.transform(e, lambda x, i: (x > F.coalesce(F.get(e, i - 1), F.lit(0))).cast("int")))
 
 
 def confusion(rows: DataFrame, *keys: str) -> DataFrame:
@@ -32,11 +30,94 @@ def scores(c: DataFrame) -> DataFrame:
     return d.withColumn("f2", F.try_divide(5 * F.col("precision") * F.col("recall"), 4 * F.col("precision") + F.col("recall")))
 
 
-def judge_parse(reply: Column) -> Column:
-    """struct(has_answer, answer_score, reasoning) of a judge's JSON reply; anything out of range is null."""
-    j = F.from_json(reply, "has_answer int, answer_score double, reasoning string, reason string")
-    return F.struct(
-        F.when(j["has_answer"].isin(0, 1), j["has_answer"]).alias("has_answer"),
-        F.when(j["answer_score"].between(0, 1), j["answer_score"]).alias("answer_score"),
-        F.substring(F.coalesce(j["reasoning"], j["reason"]), 1, 16000).alias("reasoning"),
-    )
+def thresholds_of(text: str | list[float]) -> list[float]:
+    """Thresholds of a comma-separated text or a list: blanks left out, each once, in the order of their first places."""
+    parts = [p.strip() for p in text.split(",")] if isinstance(text, str) else text
+    return list(dict.fromkeys(float(p) for p in parts if p != ""))
+
+
+def threshold_label(value: float) -> str:
+    """A threshold as a heading: whole numbers without a point, others with six digits at most."""
+    return str(int(value)) if float(value).is_integer() else f"{float(value):.6g}"
+
+
+def pick_targets(known: list[str], wanted: list[str] | None) -> list[str]:
+    """The wanted datasets (name or name:subset) among the known ones, all without a wish; unknown ones are an error."""
+    if not wanted:
+        return known
+    missing = [w for w in wanted if w not in known]
+    if missing:
+        raise ValueError(f"unknown datasets {', '.join(missing)}; there are {', '.join(known)}")
+    return [k for k in known if k in set(wanted)]
+
+
+def sweep(scored: DataFrame, thresholds: list[float], *keys: str) -> DataFrame:
+    """keys, threshold, kept: sentences above each threshold, from one scoring (sentence_probabilities)."""
+    t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds]))
+    x = scored.select(*keys, "sentence_probabilities", t.alias("threshold"))
+    return x.groupBy(*keys, "threshold").agg(F.sum(F.size(F.filter("sentence_probabilities", lambda p: p > F.col("threshold")))).alias("kept"))
+
+
+def label_stats(records: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """label, mean_score (NaN and null left out), n."""
+    known = F.when(~F.isnan(score), F.col(score))
+    return records.groupBy(label).agg(F.avg(known).alias("mean_score"), F.count(F.lit(1)).alias("n"))
+
+
+def eligible(records: DataFrame, ignored: DataFrame | None = None, key: str = "query_id", include_negatives: bool = False, max_text_chars: int = 60_000) -> DataFrame:
+    """Records to judge: ignored queries out, positives alone unless negatives are asked for, texts cut at max_text_chars (0:
+    whole)."""
+    d = records if ignored is None else records.join(ignored.select(key), key, "left_anti")
+    d = d if include_negatives else d.where("label = 1")
+    return d.withColumn("text", F.substring("text", 1, max_text_chars)) if max_text_chars else d
+
+
+def original_records(records: DataFrame) -> DataFrame:
+    """The baseline that prunes nothing: text as pruned_text, no score, and the stored compression 100."""
+    return records.withColumns({"pruned_text": F.col("text"), "reranking_score": F.lit(None).cast("double"), "compression_rate": F.lit(100.0)})
+
+
+def long_records(pruned: DataFrame) -> DataFrame:
+    """One record a passage of long-document evaluation, from prune()'s columns and label, given_title: query_id, doc_index,
+    query, label, title (the given one, else the model's), original_chars, pruned_text, pruned_chars, reranking_score,
+    compression_rate, n_kept, n_removed."""
+    own = F.nullif(F.array_join(F.filter(F.transform("title", T.strip), lambda s: s != ""), " "), F.lit(""))
+    return pruned.select(
+        F.col("query_idx").alias("query_id"), F.col("context_idx").alias("doc_index"), "query", "label", F.coalesce(F.nullif(T.strip(F.col("given_title")), F.lit("")), own).alias("title"),
+        F.length("context_text").alias("original_chars"), F.col("pruned_context").alias("pruned_text"), F.length("pruned_context").alias("pruned_chars"),
+        "reranking_score", "compression_rate", F.size("kept_sentences").alias("n_kept"), F.size("removed_sentences").alias("n_removed"),
+    )
+
+
+def report_rows(records: DataFrame, first: int = 5) -> DataFrame:
+    """The records of the first queries by id, numbered in `place`: positives first, then by score."""
+    some = records.select("query_id").distinct().orderBy("query_id").limit(first)
+    w = Window.partitionBy("query_id").orderBy(F.desc("label"), F.col("reranking_score").desc_nulls_last(), "doc_index")
+    return records.join(F.broadcast(some), "query_id").withColumn("place", F.row_number().over(w))
+
+
+# What padded or unlabelled places hold, and the weights of the two losses.
+IGNORED = -100
+RANKING_WEIGHT, PRUNING_WEIGHT = 0.05, 1.0
+
+
+def ranking_mse(rows: DataFrame, logit: Column, target: Column) -> DataFrame:
+    """One row: ranking_loss, the mean squared difference over targets that aren't ignored; 0 without any."""
+    return rows.agg(F.coalesce(F.avg(F.when(target != IGNORED, F.pow(logit - target, F.lit(2)))), F.lit(0.0)).alias("ranking_loss"))
+
+
+def pruning_ce(rows: DataFrame, drop: Column, keep: Column, label: Column) -> DataFrame:
+    """One row: pruning_loss, the mean cross-entropy of two logits over labels 0 and 1; 0 without any, 0.001 if undefined."""
+    top = F.greatest(drop, keep)
+    each = top + F.ln(F.exp(drop - top) + F.exp(keep - top)) - F.when(label == 1, keep).otherwise(drop)
+    return rows.agg(F.coalesce(F.nanvl(F.avg(F.when(label.isin(0, 1), each)), F.lit(0.001)), F.lit(0.0)).alias("pruning_loss"))
+
+
+def total_loss(ranking: Column, pruning: Column) -> Column:
+    return RANKING_WEIGHT * ranking + PRUNING_WEIGHT * pruning
+
+
+def loss_means(rows: DataFrame, step: str, window: int, *losses: str) -> DataFrame:
+    """log_step (the last step of each window of steps) and the mean of each loss in it."""
+    end = (F.floor((F.col(step) - 1) / window) + 1) * window
+    return rows.groupBy(end.cast("long").alias("log_step")).agg(*[F.avg(c).alias(c) for c in losses])

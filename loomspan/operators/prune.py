@@ -1,23 +1,29 @@
 """Query-dependent pruning of contexts, one row per question and context.
 
 The text is split into sentences, these into fragments of bounded length, fragments are packed into blocks
-that fit the scorer's window, the scorer gives each block a ranking score and each fragment a keep
-probability, and sentences above the threshold are put together again. All of it happens inside the row
-with array expressions: no shuffle until contexts of one question are ranked against each other.
+that fit the scorer's window, the scorer gives each block a ranking score and each fragment the mean keep
+probability of its tokens; a sentence's probability is the mean of its fragments', and sentences above the
+threshold are put together again. All of it happens inside the row with array expressions: no shuffle until
+contexts of one question are ranked against each other.
 
-The default scorer is lexical and deterministic: a sentence's keep probability is the share of the
-question's terms that it has, a block's ranking score the same share for the block's text.
+The default tokenizer has one token a character, so lengths and windows are in characters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import arrays as A
+from loomspan.functions import splitters
 from loomspan.functions import text as T
+from loomspan.operators.scorers import LexicalScorer, Scorer
 
 THRESHOLD = 0.1
+FIRST_SENTENCE = "first_sentence"
+FRAGMENT = "struct<text:string,sentence_index:int,fragment_index:int,length:int>"
 
 
 def staged(d: DataFrame, **columns: Column) -> DataFrame:
@@ -25,87 +31,151 @@ def staged(d: DataFrame, **columns: Column) -> DataFrame:
     return d.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def fragments(sentences: Column, step: int) -> Column:
-    """array<struct<text, sentence_index, fragment_index, length>>: each sentence cut into pieces of `step` characters."""
-    def cut(s: Column, i: Column) -> Column:
-        starts = F.when(F.length(s) > 0, F.sequence(F.lit(0), F.length(s) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda k, j: F.struct(F.substr(s, k + 1, F.lit(step)).alias("text"), i.alias("sentence_index"), j.alias("fragment_index"), F.least(F.length(s) - k, F.lit(step)).alias("length")))
+def fragment_limit(window: int, whole_sentences: bool = False) -> int:
+    """The longest fragment: half a window, or nearly all of it where sentences are to stay whole."""
+    return max(16, window - 2 if whole_sentences else window // 2)
 
-    return F.flatten(F.transform(sentences, cut))
 
+def fragments(sentences: Column, step: int, strip_sentences: bool = False) -> Column:
+    """For each sentence its pieces of `step` characters, array<array<struct<text, sentence_index, fragment_index, length>>>;
+    with strip_sentences pieces are stripped and blank ones dropped, their length staying that of their tokens."""
+    step = max(1, int(step))
+    pieces = "(?s)" + "".join(f".{{{1 if k == 0 else 0},{min(900, step - k)}}}" for k in range(0, step, 900))
 
-def pack(lengths: Column, query_length: Column, window: int) -> Column:
-    """Block number of each fragment: a block starts with the question's length and a separator, and closes when the next
-    fragment would pass window - 2; the fragment that opens a block is cut to what fits (its tail isn't scored)."""
-    base = query_length + 1
-    zero = F.struct(F.lit(0).alias("block"), base.cast("int").alias("used"), F.array().cast("array<int>").alias("out"))
+    def cut(s: Column, i: Column) -> Column:
+        got = F.transform(T.extract(s, pieces), lambda x, j: F.struct((T.strip(x) if strip_sentences else x).alias("text"), i.alias("sentence_index"), j.alias("fragment_index"), F.length(x).alias("length")))
+        return F.filter(got, lambda f: f["text"] != "") if strip_sentences else got
 
-    def step(acc: Column, n: Column) -> Column:
-        over = (acc["used"] + n > window - 2) & (acc["used"] > base)
-        block = F.when(over, acc["block"] + 1).otherwise(acc["block"])
-        room = F.greatest(F.lit(1), F.lit(window - 2) - base).cast("int")
-        used = F.when(over, base.cast("int") + F.least(n, room)).otherwise(acc["used"] + n)
-        return F.struct(block.alias("block"), used.cast("int").alias("used"), F.concat(acc["out"], F.array(block)).alias("out"))
+    return F.transform(sentences, cut)
 
-    return F.aggregate(lengths, zero, step, lambda a: a["out"])
 
+def or_one(flat: Column, whole: Column) -> Column:
+    """The fragments; where there is none, the whole text as one."""
+    one = F.struct(whole.alias("text"), F.lit(0).alias("sentence_index"), F.lit(0).alias("fragment_index"), F.length(whole).alias("length"))
+    return T.let(flat, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(one)))
 
-def overlap(question_terms: Column, text: Column) -> Column:
-    """Share of the question's terms in a text, rounded to six places; 0 without terms."""
-    n = F.size(question_terms)
-    return F.when(n > 0, F.round(F.size(F.array_intersect(question_terms, T.terms(text))) / n, 6)).otherwise(F.lit(0.0))
+
+def pack(lengths: Column, query_length: Column, window: int) -> Column:
+    """array<struct<block, taken, used>>: for each fragment its block and how many of its tokens the block takes. A block
+    starts with the question and a separator; a fragment that would pass window - 2 closes it, opens the next one and is cut
+    to what fits there (its tail isn't scored)."""
+    base = (query_length + 1).cast("int")
+    room = F.greatest(F.lit(1), F.lit(window - 2) - base)
+
+    def step(state: Column, n: Column) -> Column:
+        fits = state["used"] + n <= window - 2
+        taken = F.when(fits, n).otherwise(F.least(n, room))
+        return F.struct(
+            F.when(fits | ~state["filled"], state["block"]).otherwise(state["block"] + 1).alias("block"),
+            taken.alias("taken"),
+            F.when(fits, state["used"] + n).otherwise(base + taken).alias("used"),
+        )
+
+    zero = F.struct(F.lit(0).alias("block"), base.alias("used"), F.lit(False).alias("filled"))
+    follow = lambda state, got: F.struct(got["block"].alias("block"), got["used"].alias("used"), F.lit(True).alias("filled"))
+    return A.scan(lengths, zero, "struct<block:int,taken:int,used:int>", step, follow, "struct<block:int,used:int,filled:boolean>")
+
+
+def sentence_means(fragment_probs: Column, fragment_counts: Column) -> Column:
+    """The mean of each sentence's fragment probabilities, which lie one sentence behind the other; 0 without any; within
+    0 and 1."""
+    ends = A.scan(fragment_counts, F.lit(0), "int", lambda at, n: at + n, lambda at, end: end)
+    return T.let(ends, lambda e: F.transform(fragment_counts, lambda n, i: A.clip(A.mean(F.slice(fragment_probs, F.get(e, i) - n + 1, n), F.lit(0.0)))))
+
+
+def titles_of(contexts: DataFrame, title: str | Column | None, first_line_as_title: bool) -> tuple[DataFrame, bool]:
+    """(contexts with `prefix_`, the title sentences in front, and with the title taken out of the context where it is its
+    first line; whether the first sentence is the title)."""
+    none = F.array().cast("array<string>")
+    if first_line_as_title:
+        if title is not None and not (isinstance(title, str) and title == FIRST_SENTENCE):
+            raise ValueError("first_line_as_title cannot be combined with a title")
+        cut = staged(contexts, of_text_=T.first_line_title(F.col("context_text")), of_list_=T.first_item_title(F.coalesce("manual_", none)))
+        listed = F.col("manual_").isNotNull()
+        own = F.when(listed, F.col("of_list_.title")).otherwise(F.col("of_text_.title"))
+        rest = F.when(listed, F.col("of_list_.rest"))
+        d = staged(cut, prefix_=T.prefix_sentences(F.array(own)), rest_=rest)
+        text = F.when(listed, F.array_join("rest_", "")).otherwise(F.col("of_text_.rest"))
+        return d.withColumns({"context_text": text, "manual_": F.col("rest_")}).drop("of_text_", "of_list_", "rest_"), False
+    if title is None or (isinstance(title, str) and title == FIRST_SENTENCE):
+        return contexts.withColumn("prefix_", none), title is not None
+    given = F.lit(title) if isinstance(title, str) else title
+    kind = contexts.select(given.alias("t")).schema["t"].dataType.typeName()
+    return staged(contexts, prefix_=T.prefix_sentences(F.coalesce(given, none) if kind == "array" else F.array(given))), False
 
 
 def prune(
     contexts: DataFrame,
+    title: str | Column | None = FIRST_SENTENCE,
+    first_line_as_title: bool = False,
+    *,
     threshold: float = THRESHOLD,
+    always_select_title: bool = False,
+    reorder: bool = False,
+    top_k: int | None = None,
+    sentence_splitter: splitters.Splitter | Mapping[str, splitters.Splitter] | None = None,
+    language: str | None = None,
+    use_best_reranker_score: bool = True,
+    zero_score_when_empty: bool = True,
+    strip_sentences: bool = False,
+    respect_sentence_boundaries: bool = False,
     window: int = 512,
-    title: Column | None = None,
-    always_title: bool = False,
-    best_block: bool = True,
-    zero_when_empty: bool = True,
-    splitter=T.split_auto,
+    scorer: Scorer | None = None,
 ) -> DataFrame:
-    """contexts: query_idx, context_idx, query, context_text. Adds sentences, sentence_probs, kept, pruned_context,
-    reranking_score, compression_rate, n_blocks.
-
-    A column manual_sentences, if there is one, replaces the splitter; a table of many questions against the same contexts
-    should carry it, so that each context is split once.
-    title: sentences in front of the context, scored and packed with it but never part of the pruned text.
-    always_title: if any sentence passes, the title (or else the first sentence) passes too.
+    """contexts: query_idx, context_idx, query, context_text; further columns stay. A column manual_sentences (array<string>),
+    where it isn't null, is the context instead, split already. Adds sentences, sentence_probabilities, kept (flags),
+    pruned_context, reranking_score, compression_rate, title (the sentences in front), kept_sentences, removed_sentences,
+    block_scores.
+
+    title: sentences in front of the context, scored and packed with it but never part of the pruned text: a column of
+    strings or string arrays, or one string for all. "first_sentence" (default) has none, but makes the first sentence the
+    title; None has no title at all. first_line_as_title takes the first non-blank line out of the context.
+    always_select_title: if any sentence passes, the title passes too.
+    reorder: contexts of a question get a `rank` by score, and with top_k only the first ones stay.
+    Null texts count as empty; questions without contexts aren't rows.
     """
-    step = max(16, window // 2)
-    prefix = T.prefix_sentences(F.array(title)) if title is not None else F.array().cast("array<string>")
-    d = staged(contexts, qt_=T.terms(F.col("query")), prefix_=prefix)
-    own = F.col("manual_sentences") if "manual_sentences" in contexts.columns else splitter(F.col("context_text"))
-    d = staged(d, sentences=F.concat("prefix_", T.normalize(own, F.col("context_text"))))
-    d = staged(d, fragments_=fragments(F.col("sentences"), step), sentence_probs=F.transform("sentences", lambda s: overlap(F.col("qt_"), s)))
-    d = staged(d, block_=pack(F.transform("fragments_", lambda f: f["length"]), F.length("query"), window))
+    splitter, scorer = splitters.resolve(sentence_splitter, language), scorer or LexicalScorer()
+    manual = F.col("manual_sentences") if "manual_sentences" in contexts.columns else F.lit(None).cast("array<string>")
+    d = staged(contexts, manual_=F.filter(manual, lambda s: T.strip(s) != ""))
+    d = d.withColumn("context_text", F.when(F.col("manual_").isNotNull(), F.array_join("manual_", "")).otherwise(F.coalesce("context_text", F.lit(""))))
+    d, first_is_title = titles_of(d, title, first_line_as_title)
+    own = F.coalesce("manual_", splitter(F.col("context_text")))
+    d = staged(d, sentences=T.normalize(F.concat("prefix_", own), F.col("context_text"), strip_sentences))
+    d = staged(d, cut_=fragments(F.col("sentences"), fragment_limit(window, respect_sentence_boundaries), strip_sentences))
+    d = staged(d, fragments_=or_one(F.flatten("cut_"), F.col("context_text")))
+    d = staged(d, packed_=pack(F.transform("fragments_", lambda f: f["length"]), F.length("query"), window))
+    d = staged(d, texts_=F.transform("fragments_", lambda f, i: F.substr(f["text"], F.lit(1), F.get(F.col("packed_"), i)["taken"])))
     # a block is a stretch of fragments: its text is a slice
-    first = F.filter(A.indices(F.size("block_")), lambda i: (i == 0) | (F.get(F.col("block_"), i) != F.get(F.col("block_"), i - 1)))
-    d = staged(d, first_=first)
-    stop = lambda j: F.coalesce(F.get(F.col("first_"), j + 1), F.size("fragments_"))
-    blocks = F.transform("first_", lambda i, j: F.array_join(F.transform(F.slice("fragments_", i + 1, stop(j) - i), lambda f: f["text"]), ""))
-    d = staged(d, block_scores_=F.transform(blocks, lambda b: overlap(F.col("qt_"), b)))
-    return finish(d, threshold, always_title, best_block, zero_when_empty).drop("qt_", "prefix_", "fragments_", "block_", "first_", "block_scores_")
-
-
-def finish(d: DataFrame, threshold: float, always_title: bool, best_block: bool, zero_when_empty: bool) -> DataFrame:
-    """From scores to the pruned text; independent of the scorer, so a sweep over thresholds scores once."""
-    over = F.transform("sentence_probs", lambda p: A.clip(p) > threshold)
-    if always_title:
-        some = F.exists("sentence_probs", lambda p: A.clip(p) > threshold)
-        d = staged(d, kept=F.transform(over, lambda k, i: k | (some & (i == 0))))
-    else:
-        d = staged(d, kept=over)
-    inside = F.filter(F.col("sentences"), lambda s, i: F.get(F.col("kept"), i) & (i >= F.size("prefix_")))
-    d = staged(d, pruned_context=F.array_join(inside, ""))
-    score = F.array_max("block_scores_") if best_block else F.get("block_scores_", F.lit(0))
-    if zero_when_empty:
-        score = F.when(T.strip(F.col("pruned_context")) == "", F.when(score.isNotNull(), F.lit(0.0))).otherwise(score)
+    at = F.transform("packed_", lambda p, i: F.when((i == 0) | (p["block"] != F.get(F.col("packed_"), i - 1)["block"]), i))
+    d = staged(d, first_=F.filter(at, lambda i: i.isNotNull()))
+    stop = lambda j: F.coalesce(F.get(F.col("first_"), j + 1), F.size("texts_"))
+    d = staged(d, blocks_=F.transform("first_", lambda i, j: F.array_join(F.slice("texts_", i + 1, stop(j) - i), "")))
+    d = staged(d, block_scores=scorer.rank(F.col("query"), F.col("blocks_")), keep_=scorer.keep(F.col("query"), F.col("texts_")))
+    d = staged(d, sentence_probabilities=sentence_means(F.col("keep_"), F.transform("cut_", F.size)))
+    d = d.withColumn("title", F.col("prefix_")).drop("manual_", "cut_", "fragments_", "packed_", "texts_", "first_", "blocks_", "keep_")
+    out = finish(d, threshold, always_select_title, first_is_title, use_best_reranker_score, zero_score_when_empty).drop("prefix_")
+    return rerank(out, top_k) if reorder else out
+
+
+def finish(d: DataFrame, threshold: float, always_select_title: bool = False, first_is_title: bool = False, use_best_reranker_score: bool = True, zero_score_when_empty: bool = True) -> DataFrame:
+    """From sentences, sentence_probabilities, block_scores and prefix_ to the pruned text; independent of the scorer, so a
+    sweep over thresholds scores once."""
+    over = F.transform("sentence_probabilities", lambda p: A.clip(p) > threshold)
+    prefix = F.size("prefix_")
+    if always_select_title:
+        some = F.exists("sentence_probabilities", lambda p: A.clip(p) > threshold)
+        # the first sentence, if it is a title; without titles nothing is forced
+        forced = F.lit(True) if first_is_title else prefix > 0
+        over = F.transform(over, lambda k, i: k | (some & forced & (i == 0)))
+    d = staged(d, kept=over)
+    side = lambda want: F.filter(F.col("sentences"), lambda s, i: F.get(F.col("kept"), i) == want)
+    d = staged(d, kept_sentences=side(True), removed_sentences=side(False), pruned_context=F.array_join(F.filter(F.col("sentences"), lambda s, i: F.get(F.col("kept"), i) & (i >= prefix)), ""))
+    score = F.array_max(F.filter("block_scores", lambda x: x.isNotNull())) if use_best_reranker_score else F.get(F.filter("block_scores", lambda x: x.isNotNull()), F.lit(0))
+    if zero_score_when_empty:
+        score = F.when(T.strip(F.col("pruned_context")) == "", F.lit(0.0)).otherwise(score)
     whole = F.length("context_text")
     rate = (whole - F.length("pruned_context")) / F.greatest(whole, F.lit(1)) * 100.0
-    return d.withColumns({"reranking_score": score, "compression_rate": rate, "n_blocks": F.size("block_scores_")})
+    return d.withColumns({"reranking_score": score, "compression_rate": rate})
 
 
 def rerank(pruned: DataFrame, top_k: int | None = None) -> DataFrame:

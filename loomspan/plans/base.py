@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions import text as T
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -29,10 +27,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables below this size are dealt over all cores for text work; larger ones are read as they lie.
+SMALL_BYTES = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """For text work on small inputs: at least one partition a core. Tables with more partitions stay as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """For text work on small inputs: one partition a core. The size is the planner's estimate; nothing is read for it, and a
+    table that isn't small is never shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 
 def digest(parts: Column) -> Column:
@@ -49,18 +52,18 @@ def d_digest(parts: str) -> str:
     return f"md5(coalesce(array_to_string(list_transform({parts}, lambda x: coalesce(CAST(x AS VARCHAR), chr(0))), chr(31)), ''))"
 
 
+# Written by hand, apart from the library's own pattern.
+STRIP_D = r"\A[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+\z"
+
+
 def d_strip(x: str) -> str:
-    return f"regexp_replace({x}, {q(T.STRIP)}, '', 'g')"
+    return f"regexp_replace({x}, {q(STRIP_D)}, '', 'g')"
 
 
 def d_all(x: str, pattern: str) -> str:
     return f"regexp_extract_all({x}, {q(pattern)})"
 
 
-def d_chomp(x: str) -> str:
-    return f"regexp_replace({x}, {q(f'(?:\\r\\n|[{T.BREAK}])\\z')}, '')"
-
-
 def d_stripped(parts: str, whole: str) -> str:
     kept = f"list_filter(list_transform({parts}, lambda s: {d_strip('s')}), lambda s: s <> '')"
-    return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE [{d_strip(whole)}] END"
+    return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE list_filter([{d_strip(whole)}], lambda s: s <> '') END"

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from loomspan.functions import arrays as A
 from loomspan.functions import text as T
 from loomspan.operators import datasets as D
-from loomspan.plans.base import d_all, d_digest, d_strip, digest, load, query
-from loomspan.plans.q_text import PARTS_D
+from loomspan.operators import labeling as L
+from loomspan.operators import prune as P
+from loomspan.plans.base import d_all, d_digest, d_strip, digest, load, query, spread
+from loomspan.plans.q_text import LINE_D, PARTS_D
+from loomspan.sources import datasets as S
 
 #: Triplets: a user turn, the assistant turn behind it, two other assistant texts of the table as negatives.
 TRIPLETS = """u AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
@@ -30,53 +33,39 @@ def triplets(spark, d):
     return got.select("conv_id", "turn", "question", "answer", "negative_1", F.when(F.col("turn") % 4 == 0, "").otherwise(F.col("o")).alias("negative_2"), F.concat("negative_1", F.lit(" x")).alias("neg_10"))
 
 
-def extract_fields(df):
-    """query: first truthy of query/question/prompt; positive: of answer/positive/pos/target; negatives: all columns that start
-    with neg, in the order of their names, empties dropped. Rows without query or positive are an error."""
-    def pick(names):
-        return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names if c in df.columns])
-
-    negs = sorted(c for c in df.columns if c.startswith("neg"))
-    query_, positive = pick(["query", "question", "prompt"]), pick(["answer", "positive", "pos", "target"])
-    checked = lambda c, what: F.when(c.isNull(), F.raise_error(F.lit(f"empty {what}")).cast("string")).otherwise(c)
-    return df.select("conv_id", "turn", checked(query_, "query").alias("query"), checked(positive, "positive").alias("positive"), F.array_compact(F.array(*[F.nullif(F.col(c), F.lit("")) for c in negs])).alias("negatives"))
-
-
 NEGS_D = "list_filter([nullif(neg_10, ''), nullif(negative_1, ''), nullif(negative_2, '')], lambda x: x IS NOT NULL)"
 
 
 @query("triplet_extract", f"WITH {TRIPLETS} SELECT conv_id, turn, md5(question) AS query_md5, md5(answer) AS positive_md5, {d_digest(NEGS_D)} AS negatives_md5 FROM tri")
 def triplet_extract(spark, d):
-    return extract_fields(triplets(spark, d)).select("conv_id", "turn", F.md5("query").alias("query_md5"), F.md5("positive").alias("positive_md5"), digest(F.col("negatives")).alias("negatives_md5"))
+    return D.extract_fields(triplets(spark, d), "conv_id", "turn").select("conv_id", "turn", F.md5("query").alias("query_md5"), F.md5("positive").alias("positive_md5"), digest(F.col("negatives")).alias("negatives_md5"))
 
 
-@query("build_record", f"WITH {TRIPLETS} SELECT 'conv:train:' || (conv_id * 1000 + turn) AS id, CAST(len({NEGS_D}) + 1 AS INT) AS n_texts, array_to_string(list_transform(list_concat([answer], {NEGS_D}), lambda x, i: CASE WHEN i = 1 THEN 1 ELSE 0 END), '') AS labels FROM tri")
+@query("build_record", f"WITH {TRIPLETS} SELECT 'my_convs_all:train:' || (conv_id * 1000 + turn) AS id, md5(question) AS query_md5, CAST(len({NEGS_D}) + 1 AS INT) AS n_texts, array_to_string(list_transform(list_concat([answer], {NEGS_D}), lambda x, i: CASE WHEN i = 1 THEN 1 ELSE 0 END), '') AS labels FROM tri")
 def build_record(spark, d):
-    e = extract_fields(triplets(spark, d))
-    texts = F.concat(F.array("positive"), "negatives")
-    labels = F.concat(F.array(F.lit(1)), F.transform("negatives", lambda x: F.lit(0)))
-    return e.select(F.concat_ws(":", F.lit("conv"), F.lit("train"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string")).alias("id"), F.size(texts).alias("n_texts"), F.array_join(F.transform(labels, lambda x: x.cast("string")), "").alias("labels"))
+    e = D.extract_fields(triplets(spark, d), "conv_id", "turn").withColumn("number", F.col("conv_id") * 1000 + F.col("turn"))
+    r = D.build_records(e, D.slug("my/convs", "all"), "train", "number")
+    return r.select("id", F.md5("query").alias("query_md5"), F.size("texts").alias("n_texts"), F.array_join(F.transform("labels", lambda x: x.cast("string")), "").alias("labels"))
 
 
-@query("convert_triplets", f"WITH {TRIPLETS}, t AS (SELECT conv_id, turn, list_concat([answer], {NEGS_D}) AS texts FROM tri), e AS (SELECT conv_id, turn, unnest(texts) AS t, generate_subscripts(texts, 1) AS k FROM t), p AS (SELECT conv_id, turn, k, {PARTS_D} AS p FROM e) SELECT 'conv:' || conv_id || ':' || turn AS id, CAST(sum(len(list_filter(p, lambda x: x <> ''))) AS BIGINT) AS n_spans, count(*) AS n_texts FROM p GROUP BY conv_id, turn")
+@query("convert_triplets", f"WITH {TRIPLETS}, t AS (SELECT conv_id, turn, list_concat([answer], {NEGS_D}) AS texts FROM tri), e AS (SELECT conv_id, turn, unnest(texts) AS t, generate_subscripts(texts, 1) AS k FROM t), p AS (SELECT conv_id, turn, k, {PARTS_D} AS p FROM e) SELECT 'conv:train:' || (conv_id * 1000 + turn) AS id, CAST(sum(len(list_filter(p, lambda x: x <> ''))) AS BIGINT) AS n_spans, count(*) AS n_texts FROM p GROUP BY conv_id, turn")
 def convert_triplets(spark, d):
     """Records with the character spans of each text's sentences."""
-    e = extract_fields(triplets(spark, d)).withColumn("texts", F.concat(F.array("positive"), "negatives"))
-    spans = F.transform("texts", lambda t: T.text_to_spans(t, T.split_generic(t)))
-    s = e.select(F.concat_ws(":", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), spans.alias("context_spans"))
+    e = D.extract_fields(triplets(spark, d), "conv_id", "turn").withColumn("number", F.col("conv_id") * 1000 + F.col("turn"))
+    s = D.build_records(e, "conv", "train", "number")
     return s.select("id", F.aggregate("context_spans", F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("n_spans"), F.size("context_spans").cast("long").alias("n_texts"))
 
 
-@query("scan_split", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents WHERE doc_id % 10 = 0")
+@query("scan_split", "SELECT doc_id, lang AS split FROM documents WHERE lang = 'de'")
 def scan_split(spark, d):
     """One split of a table whose split is a column (a partition column when written)."""
-    return load(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train").alias("split")).where("split = 'validation'")
+    return S.load_split(load(spark, d, "documents").withColumnRenamed("lang", "split"), "de").select("doc_id", "split")
 
 
 @query("scan_head_n", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
 def scan_head_n(spark, d):
     """The first n rows of a stable id: the feature is the limit."""
-    return load(spark, d, "documents").orderBy("doc_id").limit(50).select("doc_id", "lang")
+    return S.head(load(spark, d, "documents"), 50, "doc_id").select("doc_id", "lang")
 
 
 @query("resume_unscored", "SELECT doc_id FROM documents ANTI JOIN (SELECT doc_id FROM labels) USING (doc_id)")
@@ -85,20 +74,25 @@ def resume_unscored(spark, d):
     return load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("merge_results", "SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.toxic, o.quality) AS value FROM (SELECT doc_id, toxic FROM labels WHERE doc_id % 2 = 0) n FULL JOIN (SELECT doc_id, quality FROM labels WHERE doc_id % 3 = 0) o ON n.doc_id = o.doc_id")
+@query("merge_results", "SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.value, o.value) AS value FROM (SELECT doc_id, n_chars AS value FROM documents WHERE lang = 'de') n FULL JOIN (SELECT doc_id, CAST(quality AS BIGINT) AS value FROM labels) o ON n.doc_id = o.doc_id")
 def merge_results(spark, d):
     """Cached and fresh results; fresh ones win."""
-    l = load(spark, d, "labels")
-    n, o = l.where("doc_id % 2 = 0").select("doc_id", "toxic"), l.where("doc_id % 3 = 0").select(F.col("doc_id").alias("old"), "quality")
-    return n.join(o, F.col("doc_id") == F.col("old"), "full").select(F.coalesce("doc_id", "old").alias("doc_id"), F.coalesce("toxic", "quality").alias("value"))
+    fresh = load(spark, d, "documents").where("lang = 'de'").select("doc_id", F.col("n_chars").alias("value"))
+    return L.upsert(load(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("value")), fresh, "doc_id")
+
 
+@query("resume_work", "SELECT d.doc_id, coalesce(CAST(l.quality AS BIGINT), length(d.text)) AS value FROM documents d LEFT JOIN labels l USING (doc_id)")
+def resume_work(spark, d):
+    """Stored results where there are any, work on the other rows alone."""
+    stored = load(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("value"))
+    return L.resume(load(spark, d, "documents").select("doc_id", "text"), stored, "doc_id", lambda rows: rows.select("doc_id", F.length("text").cast("long").alias("value")))
 
-@query("ignore_upsert", "SELECT coalesce(n.qid, o.qid) AS qid, coalesce(n.reason, o.reason) AS reason FROM (SELECT item_id AS qid, 'old' AS reason FROM benchmark WHERE item_id < 20) o FULL JOIN (SELECT item_id AS qid, 'new' AS reason FROM benchmark WHERE item_id BETWEEN 10 AND 30) n ON n.qid = o.qid")
+
+@query("ignore_upsert", "SELECT coalesce(n.qid, o.qid) AS qid, coalesce(n.reason, o.reason) AS reason FROM (SELECT item_id AS qid, 'old' AS reason FROM benchmark) o FULL JOIN (SELECT DISTINCT conv_id AS qid, 'new' AS reason FROM conversations) n ON n.qid = o.qid")
 def ignore_upsert(spark, d):
-    b = load(spark, d, "benchmark")
-    o = b.where("item_id < 20").select(F.col("item_id").alias("oq"), F.lit("old").alias("orr"))
-    n = b.where("item_id between 10 and 30").select(F.col("item_id").alias("nq"), F.lit("new").alias("nr"))
-    return o.join(n, F.col("oq") == F.col("nq"), "full").select(F.coalesce("nq", "oq").alias("qid"), F.coalesce("nr", "orr").alias("reason"))
+    """The benchmark's ids as the old list, the conversations' as the new one."""
+    old = load(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.lit("old").alias("reason"))
+    return L.upsert(old, load(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.lit("new").alias("reason")).distinct(), "qid")
 
 
 @query("ignore_antijoin", "SELECT conv_id, turn FROM conversations ANTI JOIN (SELECT item_id * 3 AS conv_id FROM benchmark) USING (conv_id)")
@@ -125,8 +119,7 @@ def rename_teacher(spark, d):
 
 @query("min_items_filter", "SELECT conv_id, count(*) AS n_items FROM conversations GROUP BY conv_id HAVING count(*) >= 4")
 def min_items_filter(spark, d):
-    c = load(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("items"))
-    return c.where(F.size("items") >= 4).select("conv_id", F.size("items").cast("long").alias("n_items"))
+    return load(spark, d, "conversations").groupBy("conv_id").agg(F.count("turn").alias("n_items")).where("n_items >= 4")
 
 
 @query("null_query_skip", "SELECT doc_id FROM documents WHERE lang IS NOT NULL AND length(text) > 0")
@@ -149,17 +142,14 @@ def zip_truncate(spark, d):
 
 @query("unnest_passages", "SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS label, md5(text) AS text_md5 FROM conversations WHERE role <> 'system'")
 def unnest_passages(spark, d):
-    """Nested positives and negatives as flat rows with their label."""
-    c = load(spark, d, "conversations").where("role <> 'system'").groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text"))).alias("pos"), F.collect_list(F.when(F.col("role") != "assistant", F.struct("turn", "text"))).alias("neg"))
-    side = lambda col, y: c.select("conv_id", F.explode(col).alias("x"), F.lit(y).alias("label"))
-    return side("pos", 1).unionByName(side("neg", 0)).select("conv_id", "x.turn", "label", F.md5("x.text").alias("text_md5"))
+    """Positives and negatives as flat rows with their label."""
+    c = load(spark, d, "conversations").where("role <> 'system'")
+    return c.select("conv_id", "turn", (F.col("role") == "assistant").cast("int").alias("label"), F.md5("text").alias("text_md5"))
 
 
 @query("dup_stats", "SELECT count(*) AS total, count(DISTINCT md5(text)) AS n_unique, count(*) - count(DISTINCT md5(text)) AS duplicates, CASE WHEN count(*) = 0 THEN 0.0 ELSE round((count(*) - count(DISTINCT md5(text))) / count(*), 6) END AS ratio FROM documents WHERE text IS NOT NULL")
 def dup_stats(spark, d):
-    g = load(spark, d, "documents").where("text is not null").groupBy(F.md5("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    s = g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n_unique"))
-    return s.select("total", "n_unique", (F.col("total") - F.col("n_unique")).alias("duplicates"), F.when(F.col("total") == 0, 0.0).otherwise(F.round((F.col("total") - F.col("n_unique")) / F.col("total"), 6)).alias("ratio"))
+    return D.duplicate_stats(load(spark, d, "documents")).withColumn("ratio", F.round("ratio", 6))
 
 
 def dedup_rows(spark, d):
@@ -167,15 +157,25 @@ def dedup_rows(spark, d):
     return load(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("idx"), T.split_lines(F.col("text")).alias("texts"))
 
 
-@query("freq_filter")
+#: The definition itself, one row after the other; lines that one row alone has can't have been seen.
+FILTERED_D = f"""l AS (SELECT doc_id, unnest({d_all('text', LINE_D)}) AS t FROM documents WHERE text IS NOT NULL),
+often AS (SELECT t FROM l GROUP BY t HAVING count(DISTINCT doc_id) > 1),
+own AS (SELECT doc_id, list(md5(t)) AS h FROM l SEMI JOIN often USING (t) GROUP BY doc_id),
+rows AS (SELECT d.doc_id, coalesce(own.h, []::VARCHAR[]) AS h, row_number() OVER (ORDER BY d.doc_id) AS k FROM documents d LEFT JOIN own USING (doc_id) WHERE d.text IS NOT NULL),
+run AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS idx, CAST(0 AS BIGINT) AS dup_count, true AS kept, []::VARCHAR[] AS seen
+  UNION ALL SELECT k, doc_id, dup, dup <= @N@, CASE WHEN dup <= @N@ THEN list_distinct(list_concat(seen, h)) ELSE seen END
+  FROM (SELECT rows.k, rows.doc_id, rows.h, run.seen, CAST(len(list_filter(rows.h, lambda x: list_contains(run.seen, x))) AS BIGINT) AS dup FROM run JOIN rows ON rows.k = run.k + 1)),
+done AS (SELECT idx, dup_count, kept FROM run WHERE k > 0)"""
+
+
+@query("freq_filter", f"WITH RECURSIVE {FILTERED_D.replace('@N@', '1')} SELECT * FROM done")
 def freq_filter(spark, d):
     return D.frequency_filter(dedup_rows(spark, d), 1)
 
 
-@query("dup_histogram")
+@query("dup_histogram", f"WITH RECURSIVE {FILTERED_D.replace('@N@', '3')} SELECT dup_count, count(*) AS total, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS removed FROM done GROUP BY dup_count")
 def dup_histogram(spark, d):
-    got = D.frequency_filter(dedup_rows(spark, d), 1)
-    return got.groupBy("dup_count").agg(F.count(F.lit(1)).alias("total"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("removed"))
+    return D.dup_histogram(D.frequency_filter(dedup_rows(spark, d), 3))
 
 
 @query("group_by_query", "SELECT conv_id, count(*) AS n_rows, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
@@ -186,21 +186,30 @@ def group_by_query(spark, d):
 
 @query("flag_too_long", f"SELECT conv_id, max(length({d_strip("'T' || chr(10) || text")})) AS longest, max(length({d_strip("'T' || chr(10) || text")})) > 800 AS too_long FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def flag_too_long(spark, d):
-    n = F.length(T.strip(F.concat(F.lit("T\n"), "text")))
-    return load(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max(n).cast("long").alias("longest")).withColumn("too_long", F.col("longest") > 800)
+    return D.long_groups(load(spark, d, "conversations").where("role = 'assistant'"), "conv_id", F.concat(F.lit("T\n"), "text"), 800)
 
 
-@query("score_stats", "SELECT round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std, round(min(x), 6) AS least, round(max(x), 6) AS most, count(*) AS n FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 1000)")
+@query("score_stats", "SELECT round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std, round(min(x), 6) AS least, round(max(x), 6) AS most, count(*) AS n FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)")
 def score_stats(spark, d):
-    x = load(spark, d, "embeddings").where("vec_id < 1000").select(F.explode("embedding").alias("x")).select(F.col("x").cast("double").alias("x"))
-    return x.agg(F.round(F.avg("x"), 5).alias("mean"), F.round(F.stddev_pop("x"), 5).alias("std"), F.round(F.min("x"), 6).alias("least"), F.round(F.max("x"), 6).alias("most"), F.count(F.lit(1)).alias("n"))
+    s = D.score_stats(load(spark, d, "embeddings"), "embedding")
+    return s.select(*[F.round(c, k).alias(c) for c, k in (("mean", 5), ("std", 5), ("least", 6), ("most", 6))], "n")
 
 
-@query("item_relevance", "WITH x AS (SELECT doc_id, list_transform(range(0, 6), lambda i: list_transform(range(0, i % 3), lambda j: CASE WHEN (doc_id + i * j) % 2 = 0 THEN 1 ELSE 0 END)) AS r FROM documents) SELECT doc_id, array_to_string(list_transform(r, lambda v: CASE WHEN len(v) = 0 THEN '0.00' ELSE printf('%.2f', list_sum(v) / len(v)) END), ' ') AS means, CAST(len(list_filter(r, lambda v: list_sum(v) > 0)) AS INT) AS n_nonzero FROM x")
+#: Relevance of a document's sentences for its language's name: whether they have its first letter; five sentences an item.
+ITEMS_D = f"s AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(substring(source, 1, 1), 'e') AS key FROM documents), p AS (SELECT doc_id, key, {PARTS_D} AS p FROM s), f AS (SELECT doc_id, list_transform(p, lambda x: CASE WHEN contains(x, key) THEN 1 ELSE 0 END) AS f FROM p), r AS (SELECT doc_id, list_transform(range(0, len(f), 5), lambda i: f[i + 1:i + 5]) AS r FROM f)"
+
+
+def item_flags(spark, d):
+    """doc_id and r, array<array<int>>: the flags of each item's sentences."""
+    s = spread(load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.coalesce(F.substring("source", 1, 1), F.lit("e")).alias("key")))
+    f = P.staged(s, f=F.transform(T.split_generic(F.col("t")), lambda x: F.contains(x, F.col("key")).cast("int")))
+    return f.select("doc_id", A.chunks(F.col("f"), 5).alias("r"))
+
+
+@query("item_relevance", f"WITH {ITEMS_D}, e AS (SELECT doc_id, unnest(r) AS v FROM r) SELECT doc_id, count(*) AS n_items, round(sum(list_sum(v) / len(v)), 6) AS mean_sum, count(*) FILTER (WHERE list_sum(v) > 0) AS n_nonzero FROM e GROUP BY doc_id")
 def item_relevance(spark, d):
-    r = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.transform(A.indices((i % 3).cast("int")), lambda j: F.when((F.col("doc_id") + i * j) % 2 == 0, 1.0).otherwise(0.0)))
-    x = load(spark, d, "documents").select("doc_id", r.alias("r"))
-    return x.select("doc_id", F.array_join(F.transform("r", lambda v: F.format_string("%.2f", A.mean(v, F.lit(0.0)))), " ").alias("means"), F.size(F.filter("r", lambda v: F.exists(v, lambda y: y != 0))).alias("n_nonzero"))
+    x = P.staged(item_flags(spark, d).where(F.size("r") > 0), m=D.item_means(F.col("r")))
+    return x.select("doc_id", F.size("r").cast("long").alias("n_items"), F.round(F.aggregate("m", F.lit(0.0), lambda a, v: a + v), 6).alias("mean_sum"), F.size(F.filter("r", lambda v: F.exists(v, lambda y: y != 0))).cast("long").alias("n_nonzero"))
 
 
 REL_D = "list_transform(range(0, doc_id % 9), lambda i: (doc_id * 3 + i * i) % 4)"
@@ -211,13 +220,18 @@ def relevance(spark, d):
     return load(spark, d, "documents").select("doc_id", r.alias("r"))
 
 
-@query("filter_items", f"WITH x AS (SELECT doc_id, {REL_D} AS r FROM documents), e AS (SELECT doc_id, unnest(r) AS v, generate_subscripts(r, 1) AS i FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, i) AS n, count(*) OVER (PARTITION BY doc_id) AS c FROM e WHERE v <> 0) SELECT doc_id, string_agg(CAST(i - 1 AS VARCHAR), ',' ORDER BY i) AS items FROM k WHERE n <= 3 AND c >= 3 GROUP BY doc_id")
+@query("filter_items", f"WITH {ITEMS_D}, e AS (SELECT doc_id, unnest(r) AS v, generate_subscripts(r, 1) AS i FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(list_sum(v) / len(v), 9) DESC, i) AS n, count(*) OVER (PARTITION BY doc_id) AS c FROM e WHERE list_sum(v) > 0) SELECT doc_id, string_agg('t' || (i - 1), ',' ORDER BY i) AS items FROM k WHERE n <= 3 AND c >= 3 GROUP BY doc_id")
 def filter_items(spark, d):
-    """All-zero items go, the three most relevant stay (ties: the earlier), in their order; rows with fewer go."""
-    item = F.filter(F.transform("r", lambda v, i: F.struct((-v).alias("v"), i.alias("i"))), lambda x: x["v"] != 0)
-    top = F.array_sort(F.transform(F.slice(F.array_sort(item), 1, 3), lambda x: x["i"]))
-    x = relevance(spark, d).select("doc_id", top.alias("t")).where(F.size("t") >= 3)
-    return x.select("doc_id", F.array_join(F.transform("t", lambda i: i.cast("string")), ",").alias("items"))
+    """Items without a relevant sentence go, the three most relevant stay (ties: the earlier), in their order; rows with fewer go."""
+    x = item_flags(spark, d).withColumn("texts", F.transform("r", lambda v, i: F.concat(F.lit("t"), i.cast("string"))))
+    return D.filter_items(x, "r", 3, ["texts"]).select("doc_id", F.array_join("texts", ",").alias("items"))
+
+
+@query("filter_items_keep_first", f"WITH {ITEMS_D}, e AS (SELECT doc_id, unnest(r) AS v, generate_subscripts(r, 1) AS i FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN i = 1 THEN 0 ELSE 1 END, round(list_sum(v) / len(v), 9), i) AS n, count(*) OVER (PARTITION BY doc_id) AS c FROM e WHERE list_sum(v) > 0 OR i = 1) SELECT doc_id, string_agg('t' || (i - 1), ',' ORDER BY i) AS items FROM k WHERE n <= 3 AND c >= 3 GROUP BY doc_id")
+def filter_items_keep_first(spark, d):
+    """The first item always, then the two least relevant ones that have a relevant sentence."""
+    x = item_flags(spark, d).where(F.size("r") > 0).withColumn("texts", F.transform("r", lambda v, i: F.concat(F.lit("t"), i.cast("string"))))
+    return D.filter_items(x, "r", 3, ["texts"], reverse=True, keep_first=True).select("doc_id", F.array_join("texts", ",").alias("items"))
 
 
 def items_sql(labels: bool) -> str:
@@ -251,7 +265,7 @@ def sample_fraction(spark, d):
 
 @query("shuffle_take", f"SELECT doc_id, row_number() OVER (ORDER BY {LOT(13)}, doc_id) AS place FROM documents QUALIFY place <= 40")
 def shuffle_take(spark, d):
-    return D.ranked_by_lot(load(spark, d, "documents").select("doc_id"), 13, "doc_id", name="place").where("place <= 40").select("doc_id", F.col("place").cast("long").alias("place"))
+    return D.shuffle_take(load(spark, d, "documents").select("doc_id"), 13, 40, "doc_id").select("doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query("carve_splits", f"WITH n AS (SELECT count(*) AS n FROM documents), z AS (SELECT n, greatest(0, least(least(greatest(1, round_even(n * 0.01, 0)), 5000), (n - 1) // 2)) AS v FROM n), y AS (SELECT v, greatest(0, least(least(greatest(1, round_even((n - v) * 0.01, 0)), 5000), (n - v - 1) // 2)) AS t FROM z) SELECT doc_id, CASE WHEN r <= v THEN 'validation' WHEN r <= v + t THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY {LOT(14)}, doc_id) AS r FROM documents), y")
@@ -278,11 +292,7 @@ def mix_union(spark, d):
         load(spark, d, "benchmark").withColumnRenamed("item_id", "id").withColumn("origin", F.lit("benchmark")),
         load(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")).withColumn("origin", F.lit("conversations")),
     ]
-    common = ["id", "text"] + sorted(set.intersection(*[set(p.columns) for p in parts]) - {"id", "text"})
-    out = parts[0].select(common)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(common))
-    return out
+    return D.mix(parts)
 
 
 @query("prepare_mix", f"""WITH a AS (SELECT doc_id AS id, unnest([1, 2]) AS copy, 'docs' AS origin FROM documents WHERE length(text) >= 1000),
@@ -315,10 +325,11 @@ def to_flags(spark, d):
     return relevance(spark, d).select("doc_id", F.array_join(F.transform(A.to_flags(F.col("r"), F.lit(5)), lambda x: x.cast("string")), "").alias("flags"))
 
 
-@query("collate_pairs", f"WITH x AS (SELECT doc_id, {REL_D} AS r FROM documents), e AS (SELECT doc_id, unnest(r) AS label, generate_subscripts(r, 1) - 1 AS doc_index, len(r) AS docs_per_query FROM x) SELECT doc_id AS batch_index, doc_index, CAST(label AS DOUBLE) AS target, docs_per_query FROM e")
+@query("collate_pairs", f"WITH {ITEMS_D}, x AS (SELECT doc_id, list_transform(r, lambda v: list_sum(v)) AS r FROM r), e AS (SELECT doc_id, unnest(r) AS label, generate_subscripts(r, 1) - 1 AS doc_index, len(r) AS docs_per_query FROM x) SELECT doc_id AS batch_index, doc_index, CAST(label AS DOUBLE) AS target, docs_per_query FROM e")
 def collate_pairs(spark, d):
     """One row per pair: ranking targets as (row, column, value), no padding."""
-    return relevance(spark, d).select(F.col("doc_id").alias("batch_index"), F.posexplode("r").alias("i", "v"), F.size("r").cast("long").alias("docs_per_query")).select("batch_index", F.col("i").cast("long").alias("doc_index"), F.col("v").cast("double").alias("target"), "docs_per_query")
+    x = item_flags(spark, d).select(F.col("doc_id").alias("batch_index"), F.transform("r", lambda v: F.aggregate(v, F.lit(0), lambda a, y: a + y)).alias("labels"))
+    return D.flatten_pairs(x, "batch_index", "labels")
 
 
 @query("window_average", "SELECT conv_id, turn, round(avg(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean_last_10 FROM conversations")

@@ -6,96 +6,124 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import arrays as A
 from loomspan.functions import text as T
+from loomspan.operators import datasets as D
 from loomspan.operators import prune as P
-from loomspan.plans.base import d_all, d_digest, d_strip, digest, load, q, query, spread
-from loomspan.plans.q_text import PARTS_D
+from loomspan.operators import tokens as K
+from loomspan.operators.scorers import LexicalScorer
+from loomspan.plans.base import d_all, d_digest, d_strip, digest, load, query, spread
+from loomspan.plans.q_text import PARTS_D, d_multiline
 
 WINDOW = 256
 STEP = 128
-
-#: The questions: the first words of three benchmark items, a stated set of bounded size.
-QUESTIONS_D = f"SELECT item_id AS query_idx, array_to_string({d_all('text', T.TERM)}[1:7], ' ') AS query FROM benchmark WHERE item_id < 3"
+THRESHOLD = 0.1
 
 
 def contexts(spark, d):
-    words = F.slice(T.extract(F.col("text"), T.TERM), 1, 7)
-    questions = load(spark, d, "benchmark").where("item_id < 3").select(F.col("item_id").alias("query_idx"), F.array_join(words, " ").alias("query"))
-    docs = load(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("context_idx"), F.col("text").alias("context_text"))
-    docs = P.staged(spread(docs), manual_sentences=T.split_generic(F.col("context_text")))
-    return docs.crossJoin(F.broadcast(questions))  # three questions against all rows
+    """Every document is asked one benchmark item, whole texts both: document i the item in place i modulo their number."""
+    items = load(spark, d, "benchmark").select(F.col("item_id").alias("query_idx"), F.col("text").alias("query")).where("query is not null")
+    n = max(1, items.count())
+    asked = D.ranked(items.withColumn("order", F.format_string("%020d", "query_idx")), "order", name="place").drop("order").withColumn("place", F.col("place") - 1)
+    docs = load(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("context_idx"), F.col("text").alias("context_text"), F.pmod("doc_id", F.lit(n)).cast("int").alias("place"))
+    return spread(docs).join(asked, "place").drop("place")
+
+
+#: Sentences up to their marks, white space kept, line feeds as they stand.
+MARKED = r"(?s).+?(?:[.!?]+[\"')\]]*(?:[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|\z)|\z)"
+WORD_D = r"[\p{L}\p{N}]+"
+
 
+def marked(c):
+    return T.extract(c, T.ENGLISH)
 
-TERMS_D = lambda x: f"list_distinct({d_all(f'lower({x})', T.TERM)})"
+
+TERMS_D = lambda x: f"list_distinct({d_all(f'lower({x})', WORD_D)})"
 OVERLAP_D = lambda x: f"CASE WHEN len(qt) > 0 THEN round(len(list_intersect(qt, {TERMS_D(x)})) / len(qt), 6) ELSE 0.0 END"
-#: sentences -> fragments -> blocks -> scores; list_reduce is the same fold as the packing's.
-SCORED = f"""qs AS ({QUESTIONS_D}),
-c AS (SELECT query_idx, doc_id AS context_idx, query, text AS context_text, text AS t, {TERMS_D('query')} AS qt FROM documents, qs WHERE text IS NOT NULL),
-s AS (SELECT *, list_concat(@PREFIX@, {PARTS_D}) AS sentences, len(@PREFIX@) AS np FROM c),
-f AS (SELECT *, flatten(list_transform(sentences, lambda x: list_transform(range(0, length(x), {STEP}), lambda k: substring(x, CAST(k + 1 AS INT), {STEP})))) AS frag FROM s),
-b AS (SELECT *, list_reduce(list_transform(frag, lambda x: {{'n': length(x), 'block': 0, 'used': 0, 'out': []::INT[]}}), lambda a, x:
-  CASE WHEN a.used + x.n > {WINDOW - 2} AND a.used > length(query) + 1
-    THEN {{'n': 0, 'block': a.block + 1, 'used': CAST(length(query) + 1 + least(x.n, greatest(1, {WINDOW - 2} - length(query) - 1)) AS INT), 'out': list_concat(a.out, [a.block + 1])}}
-    ELSE {{'n': 0, 'block': a.block, 'used': CAST(a.used + x.n AS INT), 'out': list_concat(a.out, [a.block])}} END,
-  {{'n': 0, 'block': 0, 'used': CAST(length(query) + 1 AS INT), 'out': []::INT[]}}).out AS block FROM f),
-p AS (SELECT *, list_transform(sentences, lambda x: {OVERLAP_D('x')}) AS probs,
-  list_transform(range(0, coalesce(list_max(block), -1) + 1), lambda j: {OVERLAP_D("array_to_string(list_filter(frag, lambda x, i: block[i] = j), '')")}) AS scores FROM b)"""
-
-
-def finish_d(threshold="0.1", kept="list_transform(probs, lambda x: least(greatest(x, 0.0), 1.0) > @T@)"):
+ASKED = f"""qs AS (SELECT item_id AS query_idx, text AS query, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark WHERE text IS NOT NULL),
+c AS (SELECT query_idx, doc_id AS context_idx, doc_id, query, text AS context_text, {TERMS_D('query')} AS qt FROM documents JOIN qs ON doc_id % n = place WHERE text IS NOT NULL)"""
+#: sentences -> fragments -> blocks -> probabilities and scores; list_reduce is the same fold as the packing's.
+SCORED = f"""{ASKED},
+s0 AS (SELECT *, list_concat(@PREFIX@, {d_all('context_text', MARKED)}) AS raw FROM c),
+s1 AS (SELECT *, list_filter(flatten(list_transform(raw, lambda s: {d_multiline('s')})), lambda s: s <> '') AS p FROM s0),
+s AS (SELECT *, len(@PREFIX@) AS np, CASE WHEN len(p) > 0 THEN p ELSE [context_text] END AS sentences FROM s1),
+f0 AS (SELECT *, list_transform(sentences, lambda x: list_transform(range(0, length(x), {STEP}), lambda k: substring(x, CAST(k + 1 AS INT), {STEP}))) AS nested FROM s),
+f AS (SELECT *, CASE WHEN len(flatten(nested)) > 0 THEN flatten(nested) ELSE [context_text] END AS frag FROM f0),
+b AS (SELECT *, list_reduce(list_transform(frag, lambda x: {{'n': length(x), 'block': 0, 'used': 0, 'out': []::STRUCT(b INT, t INT)[]}}), lambda a, x:
+  CASE WHEN a.used + x.n <= {WINDOW - 2}
+    THEN {{'n': 0, 'block': a.block, 'used': CAST(a.used + x.n AS INT), 'out': list_concat(a.out, [{{'b': a.block, 't': CAST(x.n AS INT)}}])}}
+    ELSE {{'n': 0, 'block': CAST(a.block + CASE WHEN len(a.out) > 0 THEN 1 ELSE 0 END AS INT), 'used': CAST(length(query) + 1 + least(x.n, greatest(1, {WINDOW - 2} - length(query) - 1)) AS INT),
+      'out': list_concat(a.out, [{{'b': CAST(a.block + CASE WHEN len(a.out) > 0 THEN 1 ELSE 0 END AS INT), 't': CAST(least(x.n, greatest(1, {WINDOW - 2} - length(query) - 1)) AS INT)}}])}} END,
+  {{'n': 0, 'block': 0, 'used': CAST(length(query) + 1 AS INT), 'out': []::STRUCT(b INT, t INT)[]}}).out AS packed FROM f),
+cf AS (SELECT *, list_transform(packed, lambda x: x.b) AS block, list_transform(frag, lambda x, i: substring(x, 1, packed[i].t)) AS cut FROM b),
+fp AS (SELECT *, list_transform(cut, lambda x: {OVERLAP_D('x')}) AS fprobs,
+  list_transform(range(0, list_max(block) + 1), lambda j: {OVERLAP_D("array_to_string(list_filter(cut, lambda x, i: block[i] = j), '')")}) AS scores FROM cf),
+ct AS (SELECT *, list_transform(nested, lambda x: len(x)) AS cnt FROM fp),
+p AS (SELECT *, list_transform(cnt, lambda n, i: CASE WHEN n = 0 THEN 0.0 ELSE least(greatest(list_sum(fprobs[coalesce(list_sum(cnt[1:i - 1]), 0) + 1:list_sum(cnt[1:i])]) / n, 0.0), 1.0) END) AS probs FROM ct)"""
+
+
+def finish_d(threshold="0.1", kept="list_transform(probs, lambda x: x > @T@)"):
     kept = kept.replace("@T@", threshold)
     return f""", k AS (SELECT *, {kept} AS kept FROM p),
 r AS (SELECT *, coalesce(array_to_string(list_filter(sentences, lambda x, i: kept[i] AND i > np), ''), '') AS pruned FROM k),
-o AS (SELECT query_idx, context_idx, sentences, probs, kept, pruned, context_text, len(scores) AS n_blocks,
-  CASE WHEN {d_strip('pruned')} = '' THEN CASE WHEN len(scores) > 0 THEN 0.0 END ELSE list_max(scores) END AS score,
+o AS (SELECT query_idx, context_idx, query, sentences, probs, kept, pruned, context_text, len(scores) AS n_blocks,
+  CASE WHEN {d_strip('pruned')} = '' THEN 0.0 ELSE list_max(scores) END AS score,
   (length(context_text) - length(pruned)) / greatest(length(context_text), 1) * 100.0 AS rate, scores FROM r)"""
 
 
 PRUNED = f"WITH {SCORED.replace('@PREFIX@', '[]::VARCHAR[]')}{finish_d()}"
-TITLED = f"WITH {SCORED.replace('@PREFIX@', f'[{d_strip(chr(39) + " Title " + chr(39) + " || doc_id")} || chr(10)]').replace('doc_id AS context_idx, query', 'doc_id AS context_idx, doc_id, query')}" + finish_d(kept="list_transform(probs, lambda x, i: least(greatest(x, 0.0), 1.0) > @T@ OR (i = 1 AND len(list_filter(probs, lambda y: y > @T@)) > 0))")
+FORCED = "list_transform(probs, lambda x, i: x > @T@ OR (i = 1 AND len(list_filter(probs, lambda y: y > @T@)) > 0))"
+TITLED = f"WITH {SCORED.replace('@PREFIX@', "['Title ' || doc_id || chr(10)]")}" + finish_d(kept=FORCED)
 
 
-def pruned(spark, d, **kw):
-    return P.prune(contexts(spark, d), window=WINDOW, **kw)
+def pruned(spark, d, title=None, **kw):
+    return P.prune(contexts(spark, d), title, window=WINDOW, threshold=THRESHOLD, sentence_splitter=marked, **kw)
 
 
 @query("prune", f"{PRUNED} SELECT query_idx, context_idx, md5(pruned) AS pruned_md5, round(score, 6) AS reranking_score, round(rate, 6) AS compression_rate, CAST(len(list_filter(kept, lambda x: x)) AS INT) AS n_kept, CAST(len(kept) AS INT) AS n_sentences, CAST(n_blocks AS INT) AS n_blocks FROM o")
 def prune(spark, d):
-    return pruned(spark, d).select("query_idx", "context_idx", F.md5("pruned_context").alias("pruned_md5"), F.round("reranking_score", 6).alias("reranking_score"), F.round("compression_rate", 6).alias("compression_rate"), F.size(F.filter("kept", lambda x: x)).alias("n_kept"), F.size("kept").alias("n_sentences"), "n_blocks")
+    return pruned(spark, d).select("query_idx", "context_idx", F.md5("pruned_context").alias("pruned_md5"), F.round("reranking_score", 6).alias("reranking_score"), F.round("compression_rate", 6).alias("compression_rate"), F.size("kept_sentences").alias("n_kept"), F.size("kept").alias("n_sentences"), F.size("block_scores").alias("n_blocks"))
 
 
 @query("force_title", f"{TITLED} SELECT query_idx, context_idx, md5(pruned) AS pruned_md5, kept[1] AS title_kept, round(rate, 6) AS compression_rate FROM o")
 def force_title(spark, d):
-    got = pruned(spark, d, title=F.concat(F.lit(" Title "), F.col("context_idx").cast("string")), always_title=True)
+    """A title in front of each context, kept whenever a sentence is; never part of the pruned text."""
+    got = pruned(spark, d, title=F.concat(F.lit(" Title "), F.col("context_idx").cast("string")), always_select_title=True)
     return got.select("query_idx", "context_idx", F.md5("pruned_context").alias("pruned_md5"), F.get("kept", F.lit(0)).alias("title_kept"), F.round("compression_rate", 6).alias("compression_rate"))
 
 
+@query("force_first_sentence", f"WITH {SCORED.replace('@PREFIX@', '[]::VARCHAR[]')}{finish_d(kept=FORCED)} SELECT query_idx, context_idx, md5(pruned) AS pruned_md5, kept[1] AS first_kept FROM o")
+def force_first_sentence(spark, d):
+    """The default title: the first sentence itself, kept whenever a sentence is."""
+    got = pruned(spark, d, title=P.FIRST_SENTENCE, always_select_title=True)
+    return got.select("query_idx", "context_idx", F.md5("pruned_context").alias("pruned_md5"), F.get("kept", F.lit(0)).alias("first_kept"))
+
+
 @query("prune_keep", f"{PRUNED} SELECT query_idx, context_idx, coalesce(array_to_string(list_transform(kept, lambda x: CASE WHEN x THEN '1' ELSE '0' END), ''), '') AS kept FROM o")
 def prune_keep(spark, d):
     return pruned(spark, d).select("query_idx", "context_idx", F.array_join(F.transform("kept", lambda x: F.when(x, "1").otherwise("0")), "").alias("kept"))
 
 
-@query("pruned_text", f"{PRUNED} SELECT query_idx, context_idx, pruned AS pruned_context FROM o WHERE query_idx = 0")
+@query("pruned_text", f"{PRUNED} SELECT query_idx, context_idx, pruned AS pruned_context FROM o")
 def pruned_text(spark, d):
-    return pruned(spark, d).where("query_idx = 0").select("query_idx", "context_idx", "pruned_context")
+    return pruned(spark, d).select("query_idx", "context_idx", "pruned_context")
 
 
 @query("prune_postprocess", f"{PRUNED} SELECT query_idx, context_idx, {d_digest('list_filter(sentences, lambda x, i: kept[i])')} AS kept_md5, {d_digest('list_filter(sentences, lambda x, i: NOT kept[i])')} AS removed_md5 FROM o")
 def prune_postprocess(spark, d):
-    side = lambda want: digest(F.filter("sentences", lambda s, i: F.get(F.col("kept"), i) == want))
-    return pruned(spark, d).select("query_idx", "context_idx", side(True).alias("kept_md5"), side(False).alias("removed_md5"))
+    return pruned(spark, d).select("query_idx", "context_idx", digest(F.col("kept_sentences")).alias("kept_md5"), digest(F.col("removed_sentences")).alias("removed_md5"))
 
 
-@query("sentence_scores", f"{PRUNED} SELECT query_idx, context_idx, round(list_sum(probs), 4) AS total, round(list_max(probs), 6) AS best FROM o")
+@query("sentence_scores", f"{PRUNED} SELECT query_idx, context_idx, round(list_sum(probs), 4) AS total, round(list_max(probs), 6) AS best, round(list_sum(list_transform(probs, lambda x, i: x * i)), 4) AS weighted FROM o")
 def sentence_scores(spark, d):
-    return pruned(spark, d).select("query_idx", "context_idx", F.round(F.aggregate("sentence_probs", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(F.array_max("sentence_probs"), 6).alias("best"))
+    """Fragment probabilities as sentence probabilities."""
+    p = "sentence_probabilities"
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
+    return pruned(spark, d).select("query_idx", "context_idx", total(p).alias("total"), F.round(F.array_max(p), 6).alias("best"), total(F.transform(p, lambda x, i: x * (i + 1))).alias("weighted"))
 
 
 @query("doc_score", f"{PRUNED} SELECT query_idx, context_idx, round(list_max(scores), 6) AS best, round(scores[1], 6) AS first FROM o")
 def doc_score(spark, d):
-    kw = {"zero_when_empty": False}
-    best = pruned(spark, d, **kw).select("query_idx", "context_idx", F.round("reranking_score", 6).alias("best"))
-    first = pruned(spark, d, best_block=False, **kw).select("query_idx", "context_idx", F.round("reranking_score", 6).alias("first"))
-    return best.join(first, ["query_idx", "context_idx"])
+    """The best and the first block's score, from one scoring."""
+    return pruned(spark, d).select("query_idx", "context_idx", F.round(F.array_max("block_scores"), 6).alias("best"), F.round(F.get("block_scores", F.lit(0)), 6).alias("first"))
 
 
 @query("compression_rate", f"{PRUNED} SELECT query_idx, round(avg(rate), 4) AS mean_rate, round(min(rate), 4) AS least_rate FROM o GROUP BY query_idx")
@@ -103,11 +131,13 @@ def compression_rate(spark, d):
     return pruned(spark, d).groupBy("query_idx").agg(F.round(F.avg("compression_rate"), 4).alias("mean_rate"), F.round(F.min("compression_rate"), 4).alias("least_rate"))
 
 
-@query("block_pack", f"WITH {SCORED.replace('@PREFIX@', '[]::VARCHAR[]')} SELECT query_idx, context_idx, {d_digest('block')} AS blocks_md5, CAST(len(frag) AS INT) AS n_fragments FROM p")
+@query("block_pack", f"WITH {SCORED.replace('@PREFIX@', '[]::VARCHAR[]')} SELECT query_idx, context_idx, {d_digest('block')} AS blocks_md5, CAST(list_sum(list_transform(packed, lambda x: x.t)) AS BIGINT) AS tokens_taken, CAST(len(frag) AS INT) AS n_fragments FROM p")
 def block_pack(spark, d):
-    c = P.staged(contexts(spark, d), f=P.fragments(F.col("manual_sentences"), STEP))
-    got = c.select("query_idx", "context_idx", P.pack(F.transform("f", lambda x: x["length"]), F.length("query"), WINDOW).alias("b"), F.size("f").alias("n_fragments"))
-    return got.select("query_idx", "context_idx", digest(F.col("b")).alias("blocks_md5"), "n_fragments")
+    c = P.staged(contexts(spark, d), s=T.normalize(marked(F.col("context_text")), F.col("context_text")))
+    c = P.staged(c, f=P.or_one(F.flatten(P.fragments(F.col("s"), STEP)), F.col("context_text")))
+    got = P.staged(c, b=P.pack(F.transform("f", lambda x: x["length"]), F.length("query"), WINDOW))
+    taken = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["taken"])
+    return got.select("query_idx", "context_idx", digest(F.transform("b", lambda x: x["block"])).alias("blocks_md5"), taken.alias("tokens_taken"), F.size("f").alias("n_fragments"))
 
 
 RANKED = f"{PRUNED}, ranked AS (SELECT query_idx, context_idx, score, row_number() OVER (PARTITION BY query_idx ORDER BY score DESC NULLS LAST, context_idx) AS rank FROM o)"
@@ -115,145 +145,161 @@ RANKED = f"{PRUNED}, ranked AS (SELECT query_idx, context_idx, score, row_number
 
 @query("rerank", f"{RANKED} SELECT query_idx, context_idx, CAST(rank AS INT) AS rank FROM ranked")
 def rerank(spark, d):
-    return P.rerank(pruned(spark, d)).select("query_idx", "context_idx", "rank")
+    return pruned(spark, d, reorder=True).select("query_idx", "context_idx", "rank")
 
 
 @query("rerank_topk", f"{RANKED} SELECT query_idx, context_idx, CAST(rank AS INT) AS rank, round(score, 6) AS reranking_score FROM ranked WHERE rank <= 10")
 def rerank_topk(spark, d):
-    return P.rerank(pruned(spark, d), 10).select("query_idx", "context_idx", "rank", F.round("reranking_score", 6).alias("reranking_score"))
+    return pruned(spark, d, reorder=True, top_k=10).select("query_idx", "context_idx", "rank", F.round("reranking_score", 6).alias("reranking_score"))
 
 
-@query("rank_only", f"WITH qs AS ({QUESTIONS_D}), c AS (SELECT query_idx, doc_id AS context_idx, text, {TERMS_D('query')} AS qt FROM documents, qs WHERE text IS NOT NULL) SELECT query_idx, context_idx, {OVERLAP_D('text')} AS score FROM c")
+@query("rank_only", f"WITH {ASKED} SELECT query_idx, context_idx, {OVERLAP_D('context_text')} AS score FROM c")
 def rank_only(spark, d):
-    return contexts(spark, d).select("query_idx", "context_idx", P.overlap(T.terms(F.col("query")), F.col("context_text")).alias("score"))
+    """Raw ranking scores of whole texts."""
+    return contexts(spark, d).select("query_idx", "context_idx", F.get(LexicalScorer().rank(F.col("query"), F.array("context_text")), F.lit(0)).alias("score"))
 
 
-FRAGS_D = f"flatten(list_transform(p, lambda x, i: list_transform(range(0, length(x), {STEP}), lambda k: i || ':' || CAST(k / {STEP} AS INT) || ':' || least(length(x) - k, {STEP}))))"
+#: Whole sentences where they fit: fragments of 256 characters instead of 128.
+FRAGS_D = "list_transform(p, lambda x, i: list_transform(range(0, length(x), @S@), lambda k: i || ':' || CAST(k / @S@ AS INT) || ':' || least(length(x) - k, @S@)))"
+FRAG_SQL = f"WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {PARTS_D} AS p FROM s), f AS (SELECT doc_id, list_transform(flatten({FRAGS_D}), lambda x, g: x || ':' || g) AS f, list_transform(flatten({FRAGS_D.replace('@S@', str(WINDOW - 2))}), lambda x, g: x || ':' || g) AS w FROM p) SELECT doc_id, CAST(len(f) AS INT) AS n_fragments, {d_digest('f')} AS fragments_md5, {d_digest('w')} AS whole_md5 FROM f"
 
 
-@query("fragmentize", f"WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {PARTS_D} AS p FROM s), f AS (SELECT doc_id, list_transform({FRAGS_D}, lambda x, g: x || ':' || g) AS f FROM p) SELECT doc_id, CAST(len(f) AS INT) AS n_fragments, {d_digest('f')} AS fragments_md5 FROM f")
+@query("fragmentize", FRAG_SQL.replace("@S@", str(STEP)))
 def fragmentize(spark, d):
-    """sentence:fragment:length:global index of each fragment (sentences and global index from 1)."""
-    f = load(spark, d, "documents").select("doc_id", P.fragments(T.split_generic(F.coalesce("text", F.lit(""))), STEP).alias("f"))
-    told = F.transform("f", lambda x, g: F.concat_ws(":", (x["sentence_index"] + 1).cast("string"), x["fragment_index"].cast("string"), x["length"].cast("string"), (g + 1).cast("string")))
-    return f.select("doc_id", F.size("f").alias("n_fragments"), digest(told).alias("fragments_md5"))
+    """sentence:fragment:length:global index of each fragment (sentences and global index from 1); whole_md5 with the limit
+    that keeps sentences whole."""
+    s = P.staged(load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")), p=T.split_generic(F.col("t")))
+    cut = lambda whole: F.flatten(P.fragments(F.col("p"), P.fragment_limit(WINDOW, whole)))
+    f = P.staged(s, f=cut(False), w=cut(True))
+    told = lambda c: F.transform(c, lambda x, g: F.concat_ws(":", (x["sentence_index"] + 1).cast("string"), x["fragment_index"].cast("string"), x["length"].cast("string"), (g + 1).cast("string")))
+    return f.select("doc_id", F.size("f").alias("n_fragments"), digest(told("f")).alias("fragments_md5"), digest(told("w")).alias("whole_md5"))
+
+
+LENGTHS_D = f"WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, list_transform({PARTS_D}, lambda x: length(x)) AS n FROM s)"
+
+
+def lengths(spark, d):
+    return P.staged(load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")), n=F.transform(T.split_generic(F.col("t")), F.length))
+
+
+def ranges_told(c):
+    return F.transform(c, lambda r: F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string")))
 
 
-@query("context_ranges", f"WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, list_transform({PARTS_D}, lambda x: length(x)) AS n FROM s) SELECT doc_id, {d_digest('list_transform(n, lambda x, i: coalesce(list_sum(n[1:i - 1]), 0) || chr(45) || list_sum(n[1:i]))')} AS ranges_md5 FROM p")
+@query("context_ranges", f"{LENGTHS_D}, e AS (SELECT doc_id, unnest(n) AS n, generate_subscripts(n, 1) AS i FROM p), r AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS b, n FROM e) SELECT doc_id, md5(string_agg((b - n) || '-' || b, chr(31) ORDER BY i)) AS ranges_md5 FROM r GROUP BY doc_id")
 def context_ranges(spark, d):
     """Running start and end of each sentence's tokens."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(F.concat_ws("-", a["at"].cast("string"), (a["at"] + n).cast("string")))).alias("out"))
-    n = load(spark, d, "documents").select("doc_id", F.transform(T.split_generic(F.coalesce("text", F.lit(""))), F.length).alias("n"))
-    return n.select("doc_id", digest(F.aggregate("n", zero, step, lambda a: a["out"])).alias("ranges_md5"))
+    return lengths(spark, d).where(F.size("n") > 0).select("doc_id", digest(ranges_told(K.running_ranges(F.col("n")))).alias("ranges_md5"))
 
 
-@query("cumulative_ranges", f"WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, list_transform({PARTS_D}, lambda x: length(x)) AS n FROM s), e AS (SELECT doc_id, list_transform(n, lambda x, i: least(list_sum(n[1:i]) + i - 1, 1000)) AS e FROM p) SELECT doc_id, {d_digest('list_transform(e, lambda x, i: coalesce(e[i - 1], 0) || chr(45) || x)')} AS ranges_md5 FROM e")
+@query("cumulative_ranges", f"{LENGTHS_D}, e AS (SELECT doc_id, unnest(n) AS n, generate_subscripts(n, 1) AS i FROM p), r AS (SELECT doc_id, i, least(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1, 1000) AS b FROM e), l AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY i), 0) AS a FROM r) SELECT doc_id, md5(string_agg(a || '-' || b, chr(31) ORDER BY i)) AS ranges_md5 FROM l GROUP BY doc_id")
 def cumulative_ranges(spark, d):
-    """Boundaries of sentences in the joined text, cut at 1000 tokens: the length of each longer start of it."""
-    n = load(spark, d, "documents").select("doc_id", F.transform(T.split_generic(F.coalesce("text", F.lit(""))), F.length).alias("n"))
-    zero = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out"))
-    ends = F.aggregate("n", zero, lambda a, x: F.struct((a["at"] + x + 1).alias("at"), F.concat(a["out"], F.array(F.least(a["at"] + x + 1, F.lit(1000)))).alias("out")), lambda a: a["out"])
-    e = n.select("doc_id", ends.alias("e"))
-    told = F.transform("e", lambda x, i: F.concat_ws("-", F.coalesce(F.get(F.col("e"), i - 1), F.lit(0)).cast("string"), x.cast("string")))
-    return e.select("doc_id", digest(told).alias("ranges_md5"))
+    """Boundaries of sentences in the joined text, cut at 1000 tokens."""
+    return lengths(spark, d).where(F.size("n") > 0).select("doc_id", digest(ranges_told(K.cumulative_ranges(F.col("n"), 1000))).alias("ranges_md5"))
 
 
-#: Token probabilities for the token-level operators: a stated function of document and position.
-PROB_D = "list_transform(range(0, 24), lambda i: ((doc_id * 7 + i * 13) % 100) / 100.0)"
+#: Tokens for the token-level operators: five characters each, over the whole text, with a stated probability.
+TOKENS_D = "list_transform(range(0, CAST(ceil(length(text) / 5.0) AS BIGINT)), lambda i: ((doc_id * 7 + i * 13) % 100) / 100.0)"
 
 
 def probs(spark, d):
-    p = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: ((F.col("doc_id") * 7 + i * 13) % 100) / 100.0)
-    return load(spark, d, "documents").select("doc_id", p.alias("p"))
+    """doc_id, text, tok (ranges) and p (probabilities) of every text that isn't empty."""
+    docs = spread(load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", "text"))
+    tok = P.staged(docs, tok=K.pieces(F.length("text"), 5))
+    return P.staged(tok, p=F.transform("tok", lambda t: ((F.col("doc_id") * 7 + t["i"] * 13) % 100) / 100.0))
 
 
-@query("fragment_mean", f"WITH x AS (SELECT doc_id, {PROB_D} AS p FROM documents) SELECT doc_id, round(list_sum(p[3:9]) / 7, 6) AS mean_probability, 1.0 AS empty_mean FROM x")
+X_D = f"x AS (SELECT doc_id, text, {TOKENS_D} AS p FROM documents WHERE length(text) > 0)"
+
+
+@query("fragment_mean", f"WITH {X_D} SELECT doc_id, round(list_sum(p[3:9]) / len(p[3:9]), 6) AS mean_probability, 1.0 AS empty_mean FROM x WHERE len(p) >= 3")
 def fragment_mean(spark, d):
-    return probs(spark, d).select("doc_id", F.round(A.mean(F.slice("p", 3, 7), F.lit(1.0)), 6).alias("mean_probability"), A.mean(F.slice("p", 1, 0), F.lit(1.0)).alias("empty_mean"))
+    """The mean over a fragment's range of tokens, as far as there are any; an empty range has 1."""
+    x = probs(spark, d).where(F.size("p") >= 3)
+    return x.select("doc_id", F.round(A.mean(F.slice("p", 3, 7), F.lit(1.0)), 6).alias("mean_probability"), A.mean(F.slice("p", 1, 0), F.lit(1.0)).alias("empty_mean"))
 
 
-@query("sentence_mean", f"WITH x AS (SELECT doc_id, {PROB_D} AS p FROM documents) SELECT doc_id, round((list_sum(p[1:4]) / 4 + list_sum(p[5:6]) / 2 + 1.0) / 3, 6) AS mean_probability FROM x")
+@query("sentence_mean", f"WITH {X_D}, f AS (SELECT doc_id, list_transform(range(0, len(p), 7), lambda i: list_sum(p[i + 1:i + 7]) / len(p[i + 1:i + 7])) AS m FROM x), s AS (SELECT doc_id, list_transform(range(0, len(m), 3), lambda i: list_sum(m[i + 1:i + 3]) / len(m[i + 1:i + 3])) AS s FROM f) SELECT doc_id, CAST(len(s) AS INT) AS n_sentences, md5(array_to_string(list_transform(s, lambda v: printf('%.4f', v)), ' ')) AS means_md5 FROM s")
 def sentence_mean(spark, d):
-    """Mean of three fragments' means, not weighted by tokens; the third one is empty."""
-    parts = F.array(A.mean(F.slice("p", 1, 4), F.lit(1.0)), A.mean(F.slice("p", 5, 2), F.lit(1.0)), A.mean(F.slice("p", 7, 0), F.lit(1.0)))
-    return probs(spark, d).select("doc_id", F.round(A.clip(A.mean(parts, F.lit(0.0))), 6).alias("mean_probability"))
+    """Fragments of seven tokens, sentences of three fragments: means of means, not weighted by tokens."""
+    x = P.staged(probs(spark, d), m=F.transform(A.chunks(F.col("p"), 7), lambda v: A.mean(v, F.lit(1.0))))
+    counts = F.transform(A.chunks(F.col("m"), 3), F.size)
+    x = P.staged(x, s=P.sentence_means(F.col("m"), counts))
+    return x.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join(F.transform("s", lambda v: F.format_string("%.4f", v)), " ")).alias("means_md5"))
 
 
-@query("pool", f"WITH x AS (SELECT doc_id, {PROB_D}[4:10] AS p FROM documents) SELECT doc_id, round(list_sum(p) / len(p), 6) AS pool_mean, list_max(p) AS pool_max, p[1] AS pool_first, p[len(p)] AS pool_last, 0.5 AS pool_none FROM x")
+@query("pool", f"WITH {X_D} SELECT doc_id, round(list_sum(p) / len(p), 6) AS pool_mean, list_max(p) AS pool_max, p[1] AS pool_first, p[len(p)] AS pool_last, 0.5 AS pool_none FROM x")
 def pool(spark, d):
-    s = probs(spark, d).select("doc_id", F.slice("p", 4, 7).alias("p"))
-    return s.select("doc_id", F.round(A.mean(F.col("p"), F.lit(0.5)), 6).alias("pool_mean"), F.array_max("p").alias("pool_max"), F.element_at("p", 1).alias("pool_first"), F.element_at("p", -1).alias("pool_last"), A.mean(F.slice("p", 1, 0), F.lit(0.5)).alias("pool_none"))
+    x = probs(spark, d)
+    none = K.pool(F.slice("p", 1, 0))
+    return x.select("doc_id", F.round(K.pool(F.col("p")), 6).alias("pool_mean"), *[K.pool(F.col("p"), m).alias(f"pool_{m}") for m in K.POOLINGS[1:]], none.alias("pool_none"))
 
 
-@query("predict_thresholds", f"WITH x AS (SELECT doc_id, {PROB_D} AS p FROM documents), t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7]) AS threshold), y AS (SELECT doc_id, threshold, p, len(list_filter(p, lambda v: v > threshold)) AS over FROM x, t) SELECT doc_id, threshold, list_sum(p) / len(p) > threshold AS by_mean, over >= len(p) / 2.0 AS by_majority FROM y")
+@query("predict_thresholds", f"WITH {X_D}, t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7]) AS threshold), y AS (SELECT doc_id, threshold, p, len(list_filter(p, lambda v: v > threshold)) AS over FROM x, t) SELECT doc_id, threshold, list_sum(p) / len(p) > threshold AS by_mean, over >= len(p) / 2.0 AS by_majority FROM y")
 def predict_thresholds(spark, d):
     x = probs(spark, d).select("doc_id", "p", F.explode(F.array(*[F.lit(t) for t in (0.1, 0.3, 0.5, 0.7)])).alias("threshold"))
-    over = F.size(F.filter("p", lambda v: v > F.col("threshold")))
-    return x.select("doc_id", "threshold", (A.mean(F.col("p"), F.lit(1.0)) > F.col("threshold")).alias("by_mean"), (over >= F.size("p") / 2.0).alias("by_majority"))
+    return x.select("doc_id", "threshold", K.threshold_decisions(F.col("p"), F.col("threshold")).alias("k")).select("doc_id", "threshold", "k.*")
+
+
+#: Chunks of 50 characters against tokens of six, one every seven, over whole texts.
+RANGES_D = """s AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0),
+tok AS (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 7.0) AS BIGINT))) AS i FROM s),
+ch AS (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 50.0) AS BIGINT))) AS chunk FROM s),
+hit AS (SELECT ch.doc_id, chunk, i, ((ch.doc_id * 7 + i * 13) % 100) / 100.0 AS p FROM ch JOIN tok ON tok.doc_id = ch.doc_id
+  AND i >= (chunk * 50) // 7 - 1 AND i <= (chunk * 50 + 50) // 7 + 1
+  WHERE i * 7 < least(chunk * 50 + 50, ch.n) AND least(i * 7 + 6, ch.n) > chunk * 50)"""
 
 
-#: Tokens are the words of a text with their character ranges, chunks the sentences.
-@query("chunk_overlap", f"""WITH s AS (SELECT doc_id, substring(text, 1, 400) AS t FROM documents WHERE text IS NOT NULL),
-tok AS (SELECT doc_id, i, i * 7 AS a, i * 7 + 6 AS b FROM s, range(0, 40) r(i) WHERE i * 7 < length(t)),
-ch AS (SELECT doc_id, j, j * 50 AS a, j * 50 + 50 AS b FROM s, range(0, 8) r(j) WHERE j * 50 < length(t))
-SELECT tok.doc_id, j AS chunk, count(*) AS tokens, CAST(sum(i) AS BIGINT) AS index_sum FROM tok JOIN ch ON tok.doc_id = ch.doc_id AND tok.a < ch.b AND tok.b > ch.a GROUP BY ALL""")
+def ranges(spark, d):
+    """(tokens, chunks) of whole texts as rows."""
+    n = spread(load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.length("text").alias("n")))
+    tok = n.select("doc_id", F.inline(K.pieces(F.col("n"), 6, 7))).select("doc_id", F.col("i").cast("long").alias("i"), "a", "b")
+    tok = tok.withColumn("p", ((F.col("doc_id") * 7 + F.col("i") * 13) % 100) / 100.0)
+    ch = n.select("doc_id", F.inline(K.pieces(F.col("n"), 50))).select("doc_id", F.col("i").cast("long").alias("chunk"), F.col("a").alias("c"), F.col("b").alias("d"))
+    return tok, ch
+
+
+@query("chunk_overlap", f"WITH {RANGES_D} SELECT doc_id, chunk, count(*) AS tokens, CAST(sum(i) AS BIGINT) AS index_sum FROM hit GROUP BY ALL")
 def chunk_overlap(spark, d):
-    """Tokens of every chunk by overlapping ranges, inside the row."""
-    s = load(spark, d, "documents").where("text is not null").select("doc_id", F.length(F.substring("text", 1, 400)).alias("n"))
-    toks = F.transform(F.filter(F.sequence(F.lit(0), F.lit(39)), lambda i: i * 7 < F.col("n")), lambda i: F.struct(i.alias("i"), (i * 7).alias("a"), (i * 7 + 6).alias("b")))
-    c = s.withColumn("tok", toks).select("doc_id", "tok", F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda j: j * 50 < F.col("n"))).alias("j"))
-    hit = c.select("doc_id", F.col("j").cast("long").alias("chunk"), F.filter("tok", lambda t: (t["a"] < F.col("j") * 50 + 50) & (t["b"] > F.col("j") * 50)).alias("h")).where(F.size("h") > 0)
-    return hit.select("doc_id", "chunk", F.size("h").cast("long").alias("tokens"), F.aggregate("h", F.lit(0).cast("long"), lambda a, t: a + t["i"]).alias("index_sum"))
+    """Tokens of every chunk by overlapping ranges."""
+    tok, ch = ranges(spark, d)
+    return K.overlap_join(tok, ch, "doc_id").groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("tokens"), F.sum("i").alias("index_sum"))
 
 
-CHUNKS_D = f"list_transform(range(0, 6), lambda j: CASE j WHEN 5 THEN []::DOUBLE[] ELSE list_transform({PROB_D}[j * 4 + 1:j * 4 + 4], lambda v: CAST(v AS DOUBLE)) END)"
+CHUNKS_D = f"WITH {RANGES_D}, e AS (SELECT ch.doc_id, ch.chunk, avg(p) AS m, avg(CASE WHEN p > 0.4 THEN 1.0 ELSE 0.0 END) AS share FROM ch LEFT JOIN hit ON hit.doc_id = ch.doc_id AND hit.chunk = ch.chunk GROUP BY ALL), k AS (SELECT doc_id, chunk, coalesce(m, 0.0) AS score, coalesce(share >= 0.5, false) AS keep FROM e)"
 
 
-@query("chunk_eval", f"WITH x AS (SELECT doc_id, unnest({CHUNKS_D}) AS p, unnest(range(0, 6)) AS chunk FROM documents) SELECT doc_id, chunk, CASE WHEN len(p) > 0 THEN round(list_sum(p) / len(p), 6) ELSE 0.0 END AS score, len(p) > 0 AND len(list_filter(p, lambda v: v > 0.4)) >= 0.5 * len(p) AS keep FROM x")
+@query("chunk_eval", f"{CHUNKS_D} SELECT doc_id, chunk, round(score, 6) AS score, keep FROM k")
 def chunk_eval(spark, d):
-    """Mean probability of a chunk's tokens, and whether at least half of them pass; no tokens: 0 and drop."""
-    chunks = F.concat(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.slice("p", j * 4 + 1, F.lit(4))), F.array(F.array().cast("array<double>")))
-    x = probs(spark, d).select("doc_id", F.posexplode(chunks).alias("chunk", "c"))
-    return x.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.round(A.mean(F.col("c"), F.lit(0.0)), 6).alias("score"), ((F.size("c") > 0) & (F.size(F.filter("c", lambda v: v > 0.4)) >= 0.5 * F.size("c"))).alias("keep"))
+    """Mean probability of a chunk's tokens, and whether at least half of them pass."""
+    tok, ch = ranges(spark, d)
+    return K.chunk_scores(tok, ch, "doc_id", 0.4, 0.5).withColumn("score", F.round("score", 6))
 
 
-@query("chunk_predict", f"WITH x AS (SELECT doc_id, unnest({CHUNKS_D}) AS p FROM documents), y AS (SELECT doc_id, len(p) > 0 AND len(list_filter(p, lambda v: v > 0.4)) >= 0.5 * len(p) AS keep FROM x) SELECT doc_id, 1.0 - count(*) FILTER (WHERE keep) / count(*) AS compression_ratio FROM y GROUP BY doc_id")
+@query("chunk_predict", f"{CHUNKS_D} SELECT doc_id, count(*) FILTER (WHERE keep) AS kept, round(1.0 - count(*) FILTER (WHERE keep) / count(*), 6) AS compression FROM k GROUP BY doc_id")
 def chunk_predict(spark, d):
-    return chunk_eval(spark, d).groupBy("doc_id").agg((1.0 - F.count_if("keep") / F.count(F.lit(1))).alias("compression_ratio"))
+    tok, ch = ranges(spark, d)
+    return K.chunk_predict(K.chunk_scores(tok, ch, "doc_id", 0.4, 0.5), "doc_id").withColumn("compression", F.round("compression", 6))
 
 
-@query("token_prune", f"""WITH x AS (SELECT doc_id, text, {PROB_D} AS p FROM documents WHERE text IS NOT NULL),
-k AS (SELECT doc_id, text, unnest(range(0, 24)) AS i, unnest(p) AS v FROM x), kept AS (SELECT doc_id, text, i * 5 AS a, least(i * 5 + 5, length(text)) AS b FROM k WHERE v > 0.3 AND i * 5 < length(text)),
-m AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM kept),
-g AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS island FROM m),
-r AS (SELECT doc_id, island, any_value(text) AS text, min(a) AS a, max(b) AS b FROM g GROUP BY doc_id, island)
-SELECT doc_id, count(*) AS islands, string_agg(substring(text, CAST(a + 1 AS INT), CAST(b - a AS INT)), ' ' ORDER BY a) AS pruned FROM r GROUP BY doc_id""")
+@query("token_prune", f"""WITH {X_D},
+k AS (SELECT doc_id, text, unnest(range(0, len(p))) AS i, unnest(p) AS v FROM x), kept AS (SELECT doc_id, i, i * 5 AS a, least(i * 5 + 5, length(text)) AS b, substring(text, CAST(i * 5 + 1 AS INT), 5) AS t FROM k WHERE v > 0.3),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM kept),
+r AS (SELECT doc_id, min(i) AS first, string_agg(t, '' ORDER BY i) AS piece FROM g GROUP BY doc_id, g),
+o AS (SELECT doc_id, count(*) AS islands, md5(string_agg(piece, ' ' ORDER BY first)) AS pruned_md5 FROM r GROUP BY doc_id)
+SELECT x.doc_id, coalesce(islands, 0) AS islands, coalesce(pruned_md5, md5('')) AS pruned_md5, round(1.0 - len(list_filter(p, lambda v: v > 0.3)) / len(p), 6) AS compression FROM x LEFT JOIN o USING (doc_id)""")
 def token_prune(spark, d):
-    """Kept tokens' character ranges merged where they touch, their pieces joined by one blank (merge_ranges in the row)."""
-    x = probs(spark, d).join(load(spark, d, "documents").select("doc_id", "text").where("text is not null"), "doc_id")
-    kept = F.filter(F.transform("p", lambda v, i: F.struct((i * 5).alias("a"), F.least(i * 5 + 5, F.length("text")).alias("b"), v.alias("v"))), lambda t: (t["v"] > 0.3) & (t["a"] < F.length("text")))
-    none = F.array().cast("array<struct<a:int,b:int>>")
-
-    def step(acc, t):
-        last = F.get(acc, F.size(acc) - 1)
-        join = (F.size(acc) > 0) & (t["a"] <= last["b"])
-        tail = F.struct(F.when(join, last["a"]).otherwise(t["a"]).alias("a"), F.when(join, F.greatest(last["b"], t["b"])).otherwise(t["b"]).alias("b"))
-        return F.concat(F.when(join, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc), F.array(tail))
+    """Kept tokens' character ranges merged where they touch, their pieces joined by one blank."""
+    got = P.staged(probs(spark, d), k=K.prune_tokens(F.col("text"), F.col("tok"), F.col("p"), 0.3))
+    return got.select("doc_id", F.col("k.islands").cast("long").alias("islands"), F.md5("k.pruned").alias("pruned_md5"), F.round("k.compression", 6).alias("compression"))
 
-    m = x.select("doc_id", "text", F.aggregate(kept, none, step).alias("m")).where(F.size("m") > 0)
-    return m.select("doc_id", F.size("m").cast("long").alias("islands"), F.array_join(F.transform("m", lambda r: F.substr("text", r["a"] + 1, r["b"] - r["a"])), " ").alias("pruned"))
 
-
-@query("merge_ranges", f"""WITH x AS (SELECT doc_id, {PROB_D} AS p FROM documents), k AS (SELECT doc_id, unnest(range(0, 24)) AS i, unnest(p) AS v FROM x), kept AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM k WHERE v > 0.3)
-SELECT doc_id, min(i) AS first, max(i) AS last FROM kept GROUP BY doc_id, g""")
+@query("merge_ranges", f"""WITH {X_D}, k AS (SELECT doc_id, unnest(range(0, len(p))) AS i, unnest(p) AS v FROM x), kept AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM k WHERE v > 0.3)
+SELECT doc_id, min(i) AS a, max(i) + 1 AS b FROM kept GROUP BY doc_id, g""")
 def merge_ranges(spark, d):
     """Gaps and islands as windows, one row an island."""
-    from pyspark.sql import Window
-
     k = probs(spark, d).select("doc_id", F.posexplode("p").alias("i", "v")).where("v > 0.3")
-    k = k.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i")))
-    return k.groupBy("doc_id", "g").agg(F.min("i").cast("long").alias("first"), F.max("i").cast("long").alias("last")).drop("g")
+    return K.merged_rows(k.select("doc_id", F.col("i").cast("long").alias("a"), (F.col("i") + 1).cast("long").alias("b")), "doc_id")
 
 
 @query("sigmoid_softmax", "SELECT doc_id, round(1 / (1 + exp(-x)), 6) AS score, round(1 / (1 + exp(y - x)), 6) AS keep FROM (SELECT doc_id, (doc_id % 21 - 10) / 2.0 AS x, (doc_id % 13 - 6) / 2.0 AS y FROM documents)")
@@ -268,29 +314,37 @@ def subsequence_find(spark, d):
     return load(spark, d, "documents").select("doc_id", A.find(h, F.array(F.col("doc_id") % 5, (F.col("doc_id") + 1) % 5)).alias("found"), A.find(h, F.array().cast("array<bigint>")).alias("none"))
 
 
-@query("tokenize", "SELECT doc_id, length(text) AS n_tokens, CAST(list_sum(list_transform(string_split(substring(text, 1, 50), ''), lambda c: ascii(c))) AS BIGINT) AS id_sum FROM documents WHERE length(text) > 0")
+@query("tokenize", "WITH e AS (SELECT doc_id, length(text) AS n, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents WHERE length(text) > 0) SELECT doc_id, n AS n_tokens, CAST(sum(unicode(c)) AS BIGINT) AS id_sum FROM e GROUP BY ALL")
 def tokenize(spark, d):
     """The default tokenizer: code points as token ids."""
-    ids = F.transform(F.split(F.substring("text", 1, 50), ""), lambda c: F.ascii(c))
-    return load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.length("text").cast("long").alias("n_tokens"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+    got = P.staged(spread(load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", "text")), ids=K.tokenize(F.col("text")))
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+
 
+def pairs(spark, d):
+    """Conversations' turns as question ids (the role's code points) and context ids (the text's)."""
+    c = spread(load(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
+    return P.staged(c, q=K.tokenize(F.col("role")), c=K.tokenize(F.col("text")))
 
-@query("block_inputs", "WITH x AS (SELECT doc_id, list_concat([1], list_concat(list_transform(range(0, doc_id % 4 + 1), lambda i: 10 + i), [2])) AS head, list_transform(range(0, doc_id % 7), lambda i: 100 + i) AS body FROM documents) SELECT doc_id, array_to_string(list_concat(list_concat(head, body), [2]), ' ') AS input_ids, array_to_string(list_concat(list_transform(head, lambda v: 0), list_transform(list_concat(body, [2]), lambda v: 1)), ' ') AS token_types, CAST(len(head) AS INT) AS context_start, CAST(len(head) + len(body) AS INT) AS context_end FROM x")
+
+@query("block_inputs", "WITH x AS (SELECT conv_id, turn, length(coalesce(role, '')) AS q, length(coalesce(text, '')) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations) SELECT conv_id, turn, CAST(q + c + 2 + CASE WHEN c > 0 THEN 1 ELSE 0 END AS INT) AS n_ids, CAST(c + CASE WHEN c > 0 THEN 1 ELSE 0 END AS BIGINT) AS type_sum, CAST(q + 2 AS INT) AS a, CAST(q + 2 + c AS INT) AS b, md5(array_to_string(list_concat(list_concat([1], list_transform(regexp_extract_all(role, '(?s).'), lambda x: unicode(x))), list_concat(list_concat([2], list_transform(regexp_extract_all(text, '(?s).'), lambda x: unicode(x))), CASE WHEN c > 0 THEN [2] ELSE []::INT[] END)), ' ')) AS ids_md5 FROM x")
 def block_inputs(spark, d):
     """Start, question, separator, context, separator; token types; the context's range."""
-    doc = F.col("doc_id")
-    head = F.concat(F.array(F.lit(1)), F.transform(A.indices((doc % 4 + 1).cast("int")), lambda i: i + 10), F.array(F.lit(2)))
-    x = load(spark, d, "documents").select("doc_id", head.alias("h"), F.transform(A.indices((doc % 7).cast("int")), lambda i: i + 100).alias("b"))
-    told = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
-    tail = F.concat("b", F.array(F.lit(2)))
-    return x.select("doc_id", told(F.concat("h", tail)).alias("input_ids"), told(F.concat(F.transform("h", lambda v: F.lit(0)), F.transform(tail, lambda v: F.lit(1)))).alias("token_types"), F.size("h").alias("context_start"), (F.size("h") + F.size("b")).alias("context_end"))
+    x = P.staged(pairs(spark, d), x=K.block_inputs(F.col("q"), F.col("c")))
+    ids = F.array_join(F.transform("x.input_ids", lambda v: v.cast("string")), " ")
+    return x.select("conv_id", "turn", F.size("x.input_ids").alias("n_ids"), F.aggregate("x.token_types", F.lit(0).cast("long"), lambda a, v: a + v).alias("type_sum"), "x.a", "x.b", F.md5(ids).alias("ids_md5"))
 
 
-@query("doc_span", "WITH x AS (SELECT doc_id, list_concat(list_concat([1], list_transform(range(0, doc_id % 5), lambda i: 10)), list_concat([2], list_concat(list_transform(range(0, doc_id % 9), lambda i: 20), [2]))) AS ids FROM documents) SELECT doc_id, list_position(ids, 2) AS span_start, len(ids) - 1 AS span_end FROM x")
+@query("doc_span", "WITH x AS (SELECT conv_id, turn, length(coalesce(role, '')) AS q, length(coalesce(text, '')) AS c FROM conversations) SELECT conv_id, turn, CAST(q + 2 AS INT) AS a, CAST(q + 2 + c AS INT) AS b, CAST(q + 2 AS INT) AS a_by_mark, CAST(q + 2 + c AS INT) AS b_by_mark FROM x WHERE c > 0")
 def doc_span(spark, d):
-    """The document's token range: behind the first separator, up to the last one."""
-    doc = F.col("doc_id")
-    rep = lambda v, n: F.transform(A.indices(n.cast("int")), lambda i: F.lit(v))
-    ids = F.concat(F.array(F.lit(1)), rep(10, doc % 5), F.array(F.lit(2)), rep(20, doc % 9), F.array(F.lit(2)))
-    x = load(spark, d, "documents").select("doc_id", ids.alias("ids"))
-    return x.select("doc_id", F.array_position("ids", 2).cast("long").alias("span_start"), (F.size("ids") - 1).cast("long").alias("span_end"))
+    """The document's token range: by token types, and by separators alone."""
+    x = P.staged(pairs(spark, d).where(F.size("c") > 0), x=K.block_inputs(F.col("q"), F.col("c")))
+    x = P.staged(x, t=K.document_span(F.col("x.input_ids"), F.col("x.token_types")), m=K.document_span(F.col("x.input_ids")))
+    return x.select("conv_id", "turn", "t.a", "t.b", F.col("m.a").alias("a_by_mark"), F.col("m.b").alias("b_by_mark"))
+
+
+@query("pad_ids", "SELECT conv_id, turn, CAST(greatest(length(coalesce(text, '')), 200) AS INT) AS n_ids, CAST(greatest(200 - length(coalesce(text, '')), 0) AS INT) AS n_padding FROM conversations")
+def pad_ids(spark, d):
+    """Ids filled up to 200 with zeros."""
+    x = P.staged(pairs(spark, d), x=K.pad(F.col("c"), F.lit(200)))
+    return x.select("conv_id", "turn", F.size("x").alias("n_ids"), F.size(F.filter("x", lambda v: v == 0)).alias("n_padding"))

@@ -1,6 +1,9 @@
 """Operators on small hand-made inputs."""
 
-import random
+import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,6 @@ from loomspan.functions import arrays as A
 from loomspan.functions import text as T
 from loomspan.operators import datasets as D
 from loomspan.operators import evaluate as E
-from loomspan.operators import prune as P
 
 
 def one(spark, value, fn, kind="string"):
@@ -26,22 +28,6 @@ def test_strip_as_python(spark, text):
     assert one(spark, text, T.strip) == text.strip()
 
 
-def test_simple_splitter(spark):
-    assert one(spark, "これはペン。本！End? tail", T.split_simple) == ["これはペン。", "本！", "End?", " tail"]
-    assert one(spark, "", T.split_simple) == [""]
-
-
-def test_english_splitter_keeps_everything_but_leading_space(spark):
-    text = "First one. Second (two)!  \n- item a\n- item b. More\n"
-    assert "".join(one(spark, text, T.split_english)) == text
-    assert one(spark, "   ", T.split_english) == [""]
-
-
-def test_overlong(spark):
-    text = "a" * 10 + "\n" + "b" * 30
-    assert one(spark, text, lambda c: T.split_overlong(c, 20)) == ["a" * 10 + "\n", "b" * 20, "b" * 10]
-
-
 def test_title_and_prefix(spark):
     got = one(spark, "\n  \nTitle \nBody\n", T.first_line_title)
     assert (got["title"], got["rest"]) == ("Title ", "Body\n")
@@ -64,32 +50,6 @@ def test_arrays(spark):
     assert one(spark, [1, 2, 3, 2, 3], lambda c: A.find(c, F.array(F.lit(2), F.lit(3))), "array<int>") == 1
 
 
-def test_prune_small(spark):
-    df = spark.createDataFrame([(0, 0, "red fox", "A red fox ran. The sky is blue. Foxes sleep."), (0, 1, "red fox", ""), (0, 2, "red fox", "Nothing here.")], "query_idx int, context_idx int, query string, context_text string")
-    rows = {r["context_idx"]: r for r in P.rerank(P.prune(df, threshold=0.3, splitter=T.split_generic)).collect()}
-    assert rows[0]["pruned_context"] == "A red fox ran." and rows[0]["rank"] == 1 and rows[0]["reranking_score"] == 1.0
-    assert rows[2]["pruned_context"] == "" and rows[2]["reranking_score"] == 0.0 and rows[2]["compression_rate"] == 100.0
-    assert rows[1]["compression_rate"] == 0.0
-    assert P.rerank(P.prune(df), top_k=0).count() == 0
-
-
-def test_frequency_filter_equals_sequential(spark):
-    rng = random.Random(4)
-    for limit in (0, 1, 2):
-        rows = [(i, [str(rng.randint(0, 25)) for _ in range(rng.randint(0, 4))]) for i in range(40)]
-        seen, want = {}, {}
-        for i, texts in rows:
-            dup = sum(1 for t in texts if seen.get(t, 0) > 0)
-            want[i] = (dup, dup <= limit)
-            if dup <= limit:
-                for t in texts:
-                    seen[t] = seen.get(t, 0) + 1
-        got = {r["idx"]: (r["dup_count"], r["kept"]) for r in D.frequency_filter(spark.createDataFrame(rows, "idx long, texts array<string>"), limit).collect()}
-        assert got == want
-    with pytest.raises(ValueError):
-        D.frequency_filter(spark.createDataFrame(rows, "idx long, texts array<string>"), -1)
-
-
 def test_sampling(spark):
     df = spark.range(100).withColumnRenamed("id", "doc")
     a = [r["doc"] for r in D.sample_rows(df, 3, 10, "doc").collect()]
@@ -110,9 +70,18 @@ def test_scores_null_on_zero(spark):
     assert rows[1]["span_skipped"] == 1 and rows[1]["accuracy"] is None
 
 
-def test_llm_is_optional(spark, monkeypatch):
-    import __spark_entry__
-
-    monkeypatch.setattr(__spark_entry__, "_llm", lambda: None)
-    monkeypatch.setattr(__spark_entry__, "_pipeline", lambda: None)
-    assert "prune" in __spark_entry__.queries() and not any(k.startswith("op") and k[2].isdigit() for k in __spark_entry__.queries())
+def test_without_the_llm_folders(tmp_path):
+    """A copy without loomspan/llm, tests/llm and corpus_pipeline.py imports, and lists and runs the other queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".*"))
+    code = """
+import sys, __spark_entry__ as e
+names = set(e.queries())
+assert "prune" in names and "pipeline" not in names and not any(n.startswith("op") and n[2].isdigit() for n in names), names
+assert set(e.oracle_sql()) <= names
+assert not any(m.startswith("loomspan.llm") for m in sys.modules)
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, check=True, timeout=120)
+    for p in copy.rglob("*.py"):
+        assert "loomspan.llm" not in p.read_text() or p.name in ("__spark_entry__.py", "test_operators.py")
