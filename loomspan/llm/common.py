@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCRATCH_DEFAULT = "/tmp/loomspan-scratch"
+from loomspan.sinks.files import discard, scratch, settle
+
+__all__ = ["byte_buckets", "discard", "fold", "give_back", "scratch", "settle", "single_thread", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,51 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared spark.checkpoint.dir. Where that is unset, a local folder serves a local master (tests);
-    on a cluster, whose machines don't share local folders, it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master.split("[")[0] != "local":
-            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share (master {master})")
-        base = f"file://{SCRATCH_DEFAULT}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def _files(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: the lineage is cut and any executor may go. The folder is
-    deleted when the application ends, or by discard()."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
-    files, at = _files(spark, path)
-    files.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.settled_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing reads any more."""
-    for t in tables:
-        files, at = _files(t.sparkSession, t.__dict__["settled_at"])
-        files.delete(at, True)
-        files.cancelDeleteOnExit(at)
-
-
-def free_name(columns: list[str], wish: str) -> str:
-    """`wish`, with as many underscores behind it as keep it apart from the columns (upper and lower case are alike)."""
-    taken = {c.lower() for c in columns}
-    while wish.lower() in taken:
-        wish += "_"
-    return wish
-
-
 def give_back() -> None:
     """Freed memory of this Python worker goes back to the machine: idle workers keep none from an earlier stage."""
     import ctypes
