@@ -177,31 +177,51 @@ def prefix_sentences(titles: Column) -> Column:
     return let(got, lambda g: F.transform(g, lambda s, i: F.when(i == F.size(g) - 1, F.concat(s, F.lit("\n"))).otherwise(s)))
 
 
+#: Characters of the stretches in which a text is kept for many cuts.
+STRETCH = 512
+
+
+def cut_up(text: Column) -> Column:
+    """The text in stretches, for cut(): a place of a long text is found without reading all that is in front of it."""
+    return extract(text, f"(?s).{{1,{STRETCH}}}")
+
+
+def cut(stretches: Column, start: Column, end: Column) -> Column:
+    """Characters [start, end) of a text that cut_up() made stretches of; empty where end <= start."""
+    first = F.floor(start / STRETCH).cast("int")
+    count = F.floor((end - 1) / STRETCH).cast("int") - first + 1
+    own = F.array_join(F.slice(stretches, first + 1, F.greatest(count, F.lit(0))), "")
+    return F.when(end > start, F.substr(own, start - first * STRETCH + 1, end - start)).otherwise(F.lit(""))
+
+
 def extract_spans(text: Column, spans: Column) -> Column:
     """Substrings of [start, end) spans, clamped; inverted ones are empty; no spans: the whole text."""
     n = F.length(text)
-    cut = lambda s: F.when(
-        F.least(F.greatest(s[1], F.lit(0)), n) > F.least(F.greatest(s[0], F.lit(0)), n),
-        F.substr(text, F.least(F.greatest(s[0], F.lit(0)), n) + 1, F.least(F.greatest(s[1], F.lit(0)), n) - F.least(F.greatest(s[0], F.lit(0)), n)),
-    ).otherwise(F.lit(""))
-    return F.when(F.size(spans) > 0, F.transform(spans, cut)).otherwise(F.array(text))
+    inside = lambda x: F.least(F.greatest(x, F.lit(0)), n)
+    got = let(cut_up(text), lambda parts: F.transform(spans, lambda s: cut(parts, inside(s[0]), inside(s[1]))))
+    return F.when(F.size(spans) > 0, got).otherwise(F.array(text))
 
 
 def chunk_texts(text: Column, spans: Column) -> Column:
     """The stripped texts of [start, end) spans that hold something."""
-    return F.transform(F.filter(spans, lambda s: s[1] > s[0]), lambda s: strip(F.substr(text, s[0] + 1, s[1] - s[0])))
+    return let(cut_up(text), lambda parts: F.transform(F.filter(spans, lambda s: s[1] > s[0]), lambda s: strip(cut(parts, s[0], s[1]))))
 
 
 def text_to_spans(text: Column, sentences: Column) -> Column:
     """[start, end) of each stripped sentence, sought from the end of the one before, else from the start; absent ones
     are skipped."""
-    def step(cursor: Column, sent: Column) -> tuple[Column, Column]:
-        s = strip(sent)
-        ahead = F.call_function("locate", s, text, cursor + 1)
-        at = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", s, text, F.lit(1)))
-        return F.when((s != "") & (at > 0), F.array(at - 1, at - 1 + F.length(s)))
-
-    return F.filter(scan(sentences, F.lit(0), "array<int>", step, lambda cursor, span: F.coalesce(F.get(span, F.lit(1)), cursor)), lambda x: x.isNotNull())
+    def found(parts: Column) -> Column:
+        def step(cursor: Column, sent: Column) -> Column:
+            s = strip(sent)
+            # sentences mostly follow one another: a look at what comes next spares reading the text from its start
+            near = F.call_function("locate", s, cut(parts, cursor, cursor + F.length(s) + 64), F.lit(1))
+            ahead = let(near, lambda k: F.when(k > 0, cursor + k).otherwise(F.call_function("locate", s, text, cursor + 1)))
+            at = let(ahead, lambda k: F.when(k > 0, k).otherwise(F.call_function("locate", s, text, F.lit(1))))
+            return let(at, lambda k: F.when((s != "") & (k > 0), F.array(k - 1, k - 1 + F.length(s))))
+
+        return scan(sentences, F.lit(0), "array<int>", step, lambda cursor, span: F.coalesce(F.get(span, F.lit(1)), cursor))
+
+    return F.filter(let(cut_up(text), found), lambda x: x.isNotNull())
 
 
 def similar(text: Column, part: Column) -> Column:

@@ -11,7 +11,11 @@ from loomspan.functions import text as T
 
 def infer_predictions(pruned: Column, sentences: Column) -> Column:
     """1 for each sentence found at the cursor of the pruned text, which then moves behind it."""
-    ends = A.scan(sentences, F.lit(0), "int", lambda at, s: F.when((F.length(s) > 0) & (F.substr(pruned, at + 1, F.length(s)) == s), at + F.length(s)).otherwise(at), lambda at, end: end)
+    def found(parts: Column) -> Column:
+        step = lambda at, s: F.when((F.length(s) > 0) & (T.cut(parts, at, at + F.length(s)) == s), at + F.length(s)).otherwise(at)
+        return A.scan(sentences, F.lit(0), "int", step, lambda at, end: end)
+
+    ends = T.let(T.cut_up(pruned), found)
     return T.let(ends, lambda e: F.transform(e, lambda x, i: (x > F.coalesce(F.get(e, i - 1), F.lit(0))).cast("int")))
 
 

@@ -72,7 +72,8 @@ def prune_tokens(text: Column, tokens: Column, probs: Column, threshold: float)
 
     def told(k: Column) -> Column:
         share = F.when(F.size(tokens) > 0, 1.0 - F.size(k) / F.size(tokens)).otherwise(F.lit(0.0))
-        return T.let(merge_ranges(k), lambda m: F.struct(F.array_join(F.transform(m, lambda r: F.substr(text, r["a"] + 1, r["b"] - r["a"])), " ").alias("pruned"), F.size(m).alias("islands"), F.size(k).alias("kept"), share.alias("compression")))
+        pieces_of = lambda m: T.let(T.cut_up(text), lambda parts: F.array_join(F.transform(m, lambda r: T.cut(parts, r["a"], r["b"])), " "))
+        return T.let(merge_ranges(k), lambda m: F.struct(pieces_of(m).alias("pruned"), F.size(m).alias("islands"), F.size(k).alias("kept"), share.alias("compression")))
 
     return T.let(kept, told)
 

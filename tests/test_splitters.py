@@ -137,3 +137,25 @@ def test_titles(spark):
     assert tuple(one(spark, ["", "List Title", "Item A", "Item B"], T.first_item_title, "array<string>")) == ("List Title", ["Item A", "Item B"])
     assert tuple(one(spark, [" ", ""], T.first_item_title, "array<string>")) == ("", [" ", ""])
     assert one(spark, "- a\x0b", T.is_bullet) and one(spark, "-\x0b", T.is_bullet) and not one(spark, "-\n", T.is_bullet) and one(spark, "٣. a", T.is_bullet)
+
+
+def test_cuts_of_long_texts(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice("aé寿😀 .") for _ in range(3000))
+    spans = [sorted((rng.randint(-5, 3010), rng.randint(-5, 3010))) for _ in range(80)] + [[10, 5], [0, 0], [511, 513], [512, 1024]]
+    got = spark.createDataFrame([(text, spans)], "t string, s array<array<int>>").select(T.extract_spans(F.col("t"), F.col("s")).alias("y")).first()["y"]
+    assert got == [text[max(a, 0) : max(b, 0)] if b > a else "" for a, b in spans]
+
+
+def test_sentences_far_apart(spark):
+    text = "One. " + "x " * 400 + "Two. One. " + "y " * 400 + "Two."
+    sentences = ["One.", "Two.", "One.", "absent", "Two.", "One."]
+    got = spark.createDataFrame([(text, sentences)], "t string, s array<string>").select(T.text_to_spans(F.col("t"), F.col("s")).alias("y")).first()["y"]
+    want, cursor = [], 0
+    for s in sentences:
+        at = text.find(s, cursor)
+        at = text.find(s) if at < 0 else at
+        if at >= 0:
+            want.append([at, at + len(s)])
+            cursor = at + len(s)
+    assert got == want
