@@ -6,6 +6,8 @@ repeat it. Ranks over a whole table come from range counts, not from one sorted
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,8 +66,6 @@ def shuffle_take(df: DataFrame, seed: int, n: int, *ids: str, name: str = "place
 
 def wanted(n_samples: float, rows: int) -> int:
     """A fraction (up to 1) or a number of rows."""
-    import math
-
     return max(1, math.ceil(rows * n_samples)) if n_samples <= 1 else int(n_samples)
 
 
@@ -256,9 +256,116 @@ def flatten_pairs(df: DataFrame, key: str, labels: str, scores: str | None = Non
 
 def mix(parts: list[DataFrame], first: tuple[str, ...] = ("id", "text")) -> DataFrame:
     """Bag union over the common columns of several datasets, `first` in front, the others by name."""
+    return reduce(DataFrame.unionByName, [only(p, common_columns(parts, first)) for p in parts])
+
+
+def only(df: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns, whatever characters their names have."""
+    return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def common_columns(parts: list[DataFrame], first: tuple[str, ...] = ()) -> list[str]:
     shared = set.intersection(*[set(p.columns) for p in parts])
-    columns = [c for c in first if c in shared] + sorted(shared - set(first))
-    return reduce(DataFrame.unionByName, [p.select(columns) for p in parts])
+    return [c for c in first if c in shared] + sorted(shared - set(first))
+
+
+def reference_column(df: DataFrame) -> str | None:
+    """The array column whose length counts a row's items where there are no labels: a usual one, else the first of any."""
+    lists = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
+    return next((c for c in ITEM_COLUMNS if c in df.columns), lists[0] if lists else None)
+
+
+def sample_any_items(df: DataFrame, max_items: int, seed: int, row_id: str) -> DataFrame:
+    """sample_items() over all array columns, by labels if there are any, else by the reference column; without one the rows
+    stay as they are."""
+    lists = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
+    if "labels" in lists:
+        return sample_items(df, max_items, lists, seed, row_id, "labels")
+    one = reference_column(df)
+    return df if one is None else sample_items(df, max_items, [one, *[c for c in lists if c != one]], seed, row_id, None)
+
+
+def validation_split(df: DataFrame, size: float, seed: int, *ids: str) -> DataFrame:
+    """Adds `validation`: a share of the rows (below 1), or a number of them (from 1 to all but one), by lot."""
+    n = df.count()
+    if not 0 < size < max(n, 1):
+        raise ValueError(f"a validation split is a share between 0 and 1 or a number from 1 to {n - 1}")
+    most = int(n * size) if size < 1 else int(size)
+    return ranked_by_lot(df, seed, *ids, name="rank_").withColumn("validation", F.col("rank_") <= most).drop("rank_")
+
+
+# Array columns that count items, and the columns that come first in a training mix.
+ITEM_COLUMNS = ("texts", "context_spans", "context", "passages")
+MIX_COLUMNS = ("query", "positive", "negative", "teacher_score", "context_spans", "context_spans_relevance")
+
+
+@dataclass(frozen=True)
+class Part:
+    """One dataset of a training mix: its rows, its validation rows, and what is done to them."""
+
+    train: DataFrame
+    validation: DataFrame | None = None
+    ids: tuple[str, ...] = ("id",)
+    teacher_column: str | None = None
+    upsample: float | None = None
+    n_samples: float | None = None
+
+
+def prepare(
+    parts: list[Part],
+    seed: int = 42,
+    items: int | None = None,
+    relevant_items: int | None = None,
+    relevance: str = "context_spans_relevance",
+    reverse: bool = False,
+    keep_first: bool = False,
+    validation: float | None = None,
+    max_train: int | None = None,
+    max_validation: int | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """(training rows, validation rows) of several datasets, each through the same steps: items without relevance out, items
+    sampled, the teacher's column renamed, rows upsampled, rows sampled; then the union over their common columns.
+    Validation rows aren't upsampled, are sampled in the same proportion, and a validation set that lacks a common column is
+    left out. Without any, `validation` carves one from the training rows. max_train and max_validation keep the first rows
+    by lot. A column `copy` tells upsampled copies apart."""
+    train, held = [], []
+    for part in parts:
+        ratio = 1.0
+        for rows, is_train in ((part.train, True), (part.validation, False)):
+            if rows is None:
+                continue
+            if relevant_items is not None:
+                lists = [f.name for f in rows.schema.fields if f.dataType.typeName() == "array"]
+                rows = filter_items(rows, relevance, relevant_items, lists, reverse, keep_first)
+            if items is not None:
+                rows = sample_any_items(rows, items, seed, part.ids[0])
+            if part.teacher_column and part.teacher_column != "teacher_score" and part.teacher_column in rows.columns:
+                rows = rows.withColumnRenamed(part.teacher_column, "teacher_score")
+            ids = part.ids
+            if is_train:
+                rows = upsample(rows, part.upsample, seed, *ids) if part.upsample is not None else rows.withColumn("copy", F.lit(1))
+                ids = (*ids, "copy")
+            if part.n_samples is not None:
+                if part.n_samples <= 0:
+                    raise ValueError("n_samples must be greater than 0")
+                n = rows.count()
+                keep = min(n, wanted(part.n_samples, n)) if is_train else min(n, max(1, math.ceil(n * ratio)))
+                ratio = keep / n if is_train and n else ratio
+                rows = sample_rows(rows, seed, max(1, keep), *ids)
+            (train if is_train else held).append(rows if is_train else rows.withColumn("copy", F.lit(1)))
+    columns = common_columns(train, MIX_COLUMNS) if len(train) > 1 else train[0].columns
+    out = reduce(DataFrame.unionByName, [only(t, columns) for t in train])
+    held = [only(h, columns) for h in held if set(columns) <= set(h.columns)]
+    val = reduce(DataFrame.unionByName, held) if held else None
+    keys = [c for c in (*parts[0].ids, "copy") if c in columns]
+    if val is None and validation is not None:
+        marked = validation_split(out, validation, seed, *keys)
+        out, val = marked.where("not validation").drop("validation"), marked.where("validation").drop("validation")
+    if max_train is not None:
+        out = sample_rows(out, seed, max_train, *keys)
+    if val is not None and max_validation is not None:
+        val = sample_rows(val, seed, max_validation, *keys)
+    return out, val
 
 
 def step_schedule(total_steps: int) -> tuple[int, int]:

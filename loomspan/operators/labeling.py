@@ -141,3 +141,27 @@ def teacher_scores(rows: DataFrame, key: str, texts: str, score: Callable[[DataF
     pairs = rows.select(key, F.posexplode(texts).alias("pos", "text"))
     back = score(pairs).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "score"))), lambda x: x["score"]).alias(into))
     return rows.join(back, key, "left").withColumn(into, F.coalesce(into, F.array().cast("array<double>")))
+
+
+IGNORE_INSTRUCTION = "Is the question itself malformed, incoherent or empty? Reply in JSON with ignore (0 or 1) and reason. A passage that doesn't answer is no reason."
+
+
+def ignore_prompt(question: Column, positives: Column, instruction: str = IGNORE_INSTRUCTION) -> Column:
+    """The instruction, the question and its numbered positive passages, (none) without any."""
+    listed = F.array_join(F.transform(positives, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    return F.concat_ws("\n", F.lit(instruction), F.concat(F.lit("Question: "), question), F.lit("Positive passages:"), F.coalesce(F.nullif(listed, F.lit("")), F.lit("(none)")))
+
+
+def ignore_flags(passages: DataFrame, most_chars: int, ask: Replies | None = None) -> DataFrame:
+    """qid, question, reason of the questions to leave out, from positive passages (qid, question, title, text): those whose
+    longest passage, title and text, has more than most_chars characters, and those that a model flags with a reason that is
+    about the question. A question's text is that of its first passage by title and text; its passages meet in one row."""
+    whole = T.strip(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))
+    grouped = passages.withColumn("whole", whole).groupBy("qid").agg(F.min_by("question", F.struct("title", "text")).alias("question"), F.max(F.length("whole")).alias("longest"), F.array_sort(F.collect_list("whole")).alias("positives"))
+    long_ = grouped.where(F.col("longest") > most_chars).select("qid", "question", F.concat(F.lit("positive passage of "), F.col("longest").cast("string"), F.lit(" characters")).alias("reason"))
+    if ask is None:
+        return long_
+    asked = staged(grouped.where(F.col("longest") <= most_chars), prompt_=ignore_prompt(F.col("question"), F.col("positives")))
+    told = staged(asked, reply_=ask(F.col("prompt_"))).withColumn("j_", F.from_json("reply_", "ignore int, reason string"))
+    flagged = told.where((F.col("j_.ignore") == 1) & accepted_reason(F.col("j_.reason"))).select("qid", "question", T.strip(F.col("j_.reason")).alias("reason"))
+    return long_.unionByName(flagged)

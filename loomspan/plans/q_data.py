@@ -275,8 +275,7 @@ def carve_splits(spark, d):
 
 @query("validation_split", f"SELECT doc_id, r <= (SELECT count(*) FROM documents) // 10 AS validation FROM (SELECT doc_id, row_number() OVER (ORDER BY {LOT(15)}, doc_id) AS r FROM documents)")
 def validation_split(spark, d):
-    x = load(spark, d, "documents").select("doc_id")
-    return D.ranked_by_lot(x, 15, "doc_id", name="r").select("doc_id", (F.col("r") <= x.count() // 10).alias("validation"))
+    return D.validation_split(load(spark, d, "documents").select("doc_id"), 0.1, 15, "doc_id")
 
 
 @query("upsample", f"SELECT doc_id, unnest([1, 2]) AS copy FROM documents UNION ALL SELECT doc_id, 3 AS copy FROM (SELECT doc_id, row_number() OVER (ORDER BY {LOT(16)}, doc_id) AS r FROM documents) WHERE r <= round_even(0.25 * (SELECT count(*) FROM documents), 0)")
@@ -295,17 +294,29 @@ def mix_union(spark, d):
     return D.mix(parts)
 
 
-@query("prepare_mix", f"""WITH a AS (SELECT doc_id AS id, unnest([1, 2]) AS copy, 'docs' AS origin FROM documents WHERE length(text) >= 1000),
-b AS (SELECT item_id AS id, 1 AS copy, 'bench' AS origin FROM (SELECT item_id, row_number() OVER (ORDER BY {LOT(17, 'item_id')}, item_id) AS r FROM benchmark) WHERE r <= 20),
-m AS (SELECT * FROM a UNION ALL SELECT * FROM b)
-SELECT id, copy, origin, row_number() OVER (ORDER BY md5('18:' || origin || ':' || id || ':' || copy)) <= (SELECT count(*) FROM m) // 20 AS validation FROM m""")
+#: Two datasets: documents by twos and a half, and a fifth of the benchmark; a twentieth of the mix for validation.
+@query("prepare_mix", f"""WITH d AS (SELECT doc_id AS id, 'docs' AS origin, row_number() OVER (ORDER BY {LOT(42)}, doc_id) AS r, count(*) OVER () AS n FROM documents),
+a AS (SELECT id, origin, unnest([1, 2]) AS copy FROM d UNION ALL SELECT id, origin, 3 FROM d WHERE r <= round_even(0.5 * n, 0)),
+b AS (SELECT item_id AS id, 'bench' AS origin, 1 AS copy FROM (SELECT item_id, row_number() OVER (ORDER BY md5('42:' || item_id || ':1'), item_id) AS r, count(*) OVER () AS n FROM benchmark) WHERE r <= greatest(1, ceil(0.2 * n))),
+m AS (SELECT * FROM a UNION ALL SELECT * FROM b), z AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id || ':' || copy), id, copy, origin) AS r, count(*) OVER () AS n FROM m)
+SELECT origin, r <= n // 20 AS validation, count(*) AS n FROM z GROUP BY ALL""")
 def prepare_mix(spark, d):
-    """Filter, upsample, sample, union, and a validation split by lot."""
-    a = D.upsample(load(spark, d, "documents").where(F.length("text") >= 1000).select(F.col("doc_id").alias("id")), 2.0, 16, "id").withColumn("origin", F.lit("docs"))
-    b = D.sample_rows(load(spark, d, "benchmark").select(F.col("item_id").alias("id")), 17, 20, "id").withColumn("copy", F.lit(1)).withColumn("origin", F.lit("bench"))
-    m = a.unionByName(b)
-    n = m.count() // 20
-    return D.ranked_by_lot(m, 18, "origin", "id", "copy", name="r").select("id", "copy", "origin", (F.col("r") <= n).alias("validation"))
+    """Upsample, sample, union, and a validation split by lot."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("docs").alias("origin"))
+    bench = load(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("bench").alias("origin"))
+    train, held = D.prepare([D.Part(docs, upsample=2.5), D.Part(bench, n_samples=0.2)], validation=0.05)
+    both = train.withColumn("validation", F.lit(False)).unionByName(held.withColumn("validation", F.lit(True)))
+    return both.groupBy("origin", "validation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ignore_flags", f"""WITH p AS (SELECT conv_id AS qid, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id), w AS (SELECT c.conv_id AS qid, {d_strip("c.role || chr(10) || coalesce(c.text, '')")} AS whole FROM conversations c WHERE role = 'assistant'),
+g AS (SELECT qid, max(length(whole)) AS longest FROM w GROUP BY qid) SELECT qid, question, 'positive passage of ' || longest || ' characters' AS reason FROM g JOIN p USING (qid) WHERE longest > 600""")
+def ignore_flags(spark, d):
+    """Questions with a positive passage that is too long; no model is asked."""
+    c = load(spark, d, "conversations")
+    asked = c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    passages = c.where("role = 'assistant'").join(asked, "conv_id").select(F.col("conv_id").alias("qid"), "question", F.col("role").alias("title"), "text")
+    return L.ignore_flags(passages, 600)
 
 
 @query("norm_relevance", f"WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE {REL_D} END AS v FROM documents) SELECT doc_id, array_to_string(list_transform(range(0, 4), lambda i: CASE WHEN v IS NULL THEN 0 WHEN len(v) = 4 THEN CASE WHEN v[i + 1] <> 0 THEN 1 ELSE 0 END WHEN list_contains(v, i) THEN 1 ELSE 0 END), '') AS flags FROM x")

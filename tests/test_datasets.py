@@ -74,6 +74,50 @@ def test_items(spark):
     assert D.filter_items(df, "r", 2, ["t"], keep_first=True).first()["t"] == ["t0", "t2"]
 
 
+def test_sampled_items(spark):
+    kind = "id string, labels array<int>, texts array<string>, scores array<double>"
+    df = spark.createDataFrame([("long", [1, 0, 0, 0], ["p", "a", "b", "c"], [0.1, 0.2, 0.3, 0.4]), ("short", [1, 0], ["p", "a"], [0.1, 0.2])], kind)
+    got = D.sample_any_items(df, 3, 1, "id").collect()
+    assert [r["id"] for r in got] == ["long"] and got[0]["texts"][0] == "p" and len(got[0]["texts"]) == len(got[0]["scores"]) == 3
+    both = D.sample_any_items(spark.createDataFrame([("x", [1, 1, 0, 0], ["p1", "p2", "n1", "n2"], None)], kind), 2, 1, "id").first()
+    assert both["texts"] == ["p1", "p2"] and both["scores"] is None
+    assert len(D.sample_any_items(spark.createDataFrame([("x", [0] * 4, list("abcd"), [0.0] * 4)], kind), 2, 1, "id").first()["texts"]) == 2
+    plain = df.drop("labels")
+    assert D.reference_column(plain) == "texts" and D.reference_column(df.select("scores", "id")) == "scores" and D.reference_column(df.select("id")) is None
+    one, two = (D.sample_any_items(plain, 2, 5, "id").orderBy("id").collect() for _ in range(2))
+    assert one == two and all(len(r["texts"]) == len(r["scores"]) == 2 for r in one)
+    assert D.sample_any_items(df.select("id"), 2, 1, "id").count() == 2
+
+
+def test_prepared_mix(spark):
+    a = spark.range(10).select(F.col("id").cast("string").alias("id"), F.lit("q").alias("query"), F.lit(1.0).alias("teacher.x"), F.lit(1).alias("only_a"))
+    b = spark.range(10, 14).select(F.col("id").cast("string").alias("id"), F.lit("q").alias("query"), F.lit(2.0).alias("teacher_score"))
+    train, val = D.prepare([D.Part(a, a.limit(6), teacher_column="teacher.x", n_samples=5), D.Part(b, upsample=1.5)])
+    assert train.columns == ["query", "teacher_score", "copy", "id"] and train.count() == 5 + 6 and val.count() == 3
+    train, val = D.prepare([D.Part(a, n_samples=0.2), D.Part(b, b.drop("query"))], validation=2)
+    assert train.count() + val.count() == 2 + 4 and val.count() == 2
+    assert D.prepare([D.Part(a)], max_train=3)[0].count() == 3 and D.prepare([D.Part(a)])[1] is None
+    for bad in (0, 10, 1.5e9):
+        with pytest.raises(ValueError):
+            D.prepare([D.Part(a)], validation=bad)
+    with pytest.raises(ValueError):
+        D.prepare([D.Part(a, n_samples=0)])
+    items = spark.createDataFrame([("x", [[1], [0], [1]], ["a", "b", "c"]), ("y", [[0]], ["d"])], "id string, context_spans_relevance array<array<int>>, texts array<string>")
+    assert [r["texts"] for r in D.prepare([D.Part(items)], relevant_items=2, items=1)[0].collect()] in (["a"], [["a"]], [["c"]])
+
+
+def test_ignored_questions(spark):
+    p = spark.createDataFrame([(1, "fine?", "T", "x" * 50), (1, "fine?", "T", "y"), (2, "??", None, None), (3, "ok", "", "short")], "qid int, question string, title string, text string")
+
+    def ask(prompt):
+        assert "Positive passages:" in prompt
+        return json.dumps({"ignore": 1, "reason": " malformed question" if "??" in prompt else "no answer in the passage"})
+
+    got = rows(L.ignore_flags(p, 40, L.python_replies(ask)), "qid", "question", "reason")
+    assert got == [(1, "fine?", "positive passage of 52 characters"), (2, "??", "malformed question")]
+    assert L.ignore_flags(p, 1000).count() == 0
+
+
 def test_pairs(spark):
     df = spark.createDataFrame([(1, [1, 0], None), (2, [1], [0.5])], "k int, l array<int>, s array<double>")
     assert rows(D.flatten_pairs(df, "k", "l", "s"), "k", "doc_index", "target", "docs_per_query") == [(1, 0, 1.0, 2), (1, 1, 0.0, 2), (2, 0, 0.5, 1)]
