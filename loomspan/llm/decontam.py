@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import discard, settle
+from loomspan.llm.common import discard, give_back, settle
 
 MIN_CHARS = 24
 RATE = 0.1
@@ -206,6 +206,7 @@ def _mark(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFra
                     kind = part.schema.field(part.num_columns - 1).type
                     part = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([a + f for a, f in zip(old, found)], kind)], schema=part.schema)
                 yield part
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -152,16 +152,20 @@ def occurrences(code: np.ndarray, begin: np.ndarray, size: np.ndarray, stretch:
     return np.searchsorted(place, np.frombuffer(ends, np.int64) + 1 - words[k] * width), source[k], words[k]
 
 
-def hold(shape: np.ndarray, ids: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the candidates of a shard: (where each begins among the words, for each word the least doc_id that holds the window
-    which begins there and recurs; NO_ID: none)."""
+def hold(size: np.ndarray, ids: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """For the candidates of a shard (words of each, least and largest doc_id, text): which of the distinct ones each is, and
+    the stretches of windows that recur and have one least holder: (distinct candidate, first window, last, holder)."""
     end = np.flatnonzero(data == 32)
     start = np.concatenate([[0], end[:-1] + 1])
     word = exact_groups(Prefix(data, BYTE_BASE).ranges(start, end), data, start, end - start)
     code = (np.cumsum(word == np.arange(len(word))) - 1)[word]
-    size = shape[:, 2].astype(np.int64)
     begin = np.cumsum(size) - size
-    holder = np.full(len(code), NO_ID)
+    one, which_one = np.unique(exact_groups(Prefix(code, WORD_BASE).ranges(begin, begin + size), code, begin, size), return_inverse=True)
+    least, most = np.full(len(one), NO_ID), np.full(len(one), np.iinfo(np.int64).min)
+    np.minimum.at(least, which_one, ids[:, 0])
+    np.maximum.at(most, which_one, ids[:, 1])
+    code, size = code[spread(begin[one], size[one])], size[one]
+    begin = np.cumsum(size) - size
     # windows that several documents seem to hold: the longest stretches of them are the passages
     at = spread(begin, size - window + 1)
     piece = np.repeat(np.arange(len(size)), size - window + 1)
@@ -170,23 +174,29 @@ def hold(shape: np.ndarray, ids: np.ndarray, data: np.ndarray, window: int) -> t
     first, many = group_runs(h[order])
     p = piece[order]
     several = np.empty(len(at), bool)
-    several[order] = np.repeat(np.minimum.reduceat(ids[p, 0], first) < np.maximum.reduceat(ids[p, 1], first), many)
+    several[order] = np.repeat(np.minimum.reduceat(least[p], first) < np.maximum.reduceat(most[p], first), many)
     at, piece, h = at[several], piece[several], h[several]
     if not len(at):
-        return begin, holder
+        return which_one, at, at, at, at
     new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece) != 0)]))
     behind = at[np.append(new[1:], len(at)) - 1] + window
     found, source, n = occurrences(code, begin, size, list(zip(at[new].tolist(), behind.tolist())))
-    # each window of a pattern by its first equal, and the least id of the pieces in which the automaton found it
+    # each window of a pattern by its first equal, and the least id of the candidates in which the automaton found it
     name = np.full(len(code), -1)
     name[at] = exact_groups(h, code, at, np.full(len(at), window))
     windows = n - window + 1
     where, which = spread(found, windows), name[spread(source, windows)]
-    inside = np.repeat(np.searchsorted(begin, found, side="right") - 1, windows)
-    least = np.full(len(at), NO_ID)
-    np.minimum.at(least, which, ids[inside, 0])
-    holder[where] = least[which]
-    return begin, holder
+    earliest = np.full(len(at), NO_ID)
+    np.minimum.at(earliest, which, np.repeat(least[np.searchsorted(begin, found, side="right") - 1], windows))
+    holder = np.full(len(code), NO_ID)
+    holder[where] = earliest[which]
+    # stretches of windows with one holder, where a larger id holds them
+    piece = np.repeat(np.arange(len(size)), size)
+    at = np.flatnonzero(holder < most[piece])
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece[at]) != 0) | (np.diff(holder[at]) != 0)])) if len(at) else at
+    first, last = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at
+    p = piece[first]
+    return which_one, p, first - begin[p], last - begin[p], holder[first]
 
 
 def covered(b: Bucket, verdict: pa.Table) -> np.ndarray:
@@ -272,18 +282,18 @@ def remove_phrases(docs: DataFrame, finish, schema: str, window: int = 13, gram:
         if not len(shape):
             return pack_table([])
         shape, ids, db = shape.reshape(-1, 3), ids.reshape(-1, 2), db[::3]
-        begin, holder = hold(shape, ids, data, window)
-        # stretches of windows with one holder, where a larger id of the bucket holds them
-        piece = np.repeat(np.arange(len(shape)), shape[:, 2])
-        at = np.flatnonzero(holder < ids[piece, 1])
+        which, p, first, last, holder = hold(shape[:, 2].astype(np.int64), ids, data, window)
         out = []
-        if len(at):
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece[at]) != 0) | (np.diff(holder[at]) != 0)]))
-            p, first, last = piece[at[new]], at[new], at[np.append(new[1:], len(at)) - 1]
-            told = np.stack([shape[p, 0], shape[p, 1], first - begin[p], last - begin[p]], 1).astype(np.int32)
-            held = holder[first]
-            order = np.argsort(db[p], kind="stable")
-            out = [(0, int(db[p][order[a]]), 3, told[order[a : a + m]], held[order[a : a + m]]) for a, m in zip(*group_runs(db[p][order]))]
+        if len(p):
+            # to every bucket that sent the candidate and holds a larger id
+            by = np.argsort(which, kind="stable")
+            start, n = group_runs(which[by])
+            src, at = by[spread(start[p], n[p])], np.repeat(np.arange(len(p)), n[p])
+            later = holder[at] < ids[src, 1]
+            src, at = src[later], at[later]
+            told = np.stack([shape[src, 0], shape[src, 1], first[at], last[at]], 1).astype(np.int32)
+            order = np.argsort(db[src], kind="stable")
+            out = [(0, int(db[src][order[a]]), 3, told[order[a : a + m]], holder[at][order[a : a + m]]) for a, m in zip(*group_runs(db[src][order]))]
         give_back()
         return pack_table(out)
 

@@ -26,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomspan.llm.common import give_back
+
 SPACE = "▁"
 LETTER = r"[^\W\d_]"
 MIXED = re.compile(rf"{LETTER}(?!{LETTER})[^{SPACE}]|(?!{LETTER})[^{SPACE}]{LETTER}")
-CACHE_ENTRIES, CACHE_BYTES = 600_000, 48 << 20
+CACHE_ENTRIES, CACHE_BYTES = 300_000, 24 << 20
 #: Longer cuts are not kept.
 LONG = 64
 WIDE, FAR = 1 << 21, 1 << 40
@@ -254,5 +256,6 @@ def encode_digest(docs: DataFrame, model_path: str, check: bool = True) -> DataF
                     [b.column(0)[i : i + 128], pa.array([len(g[0]) for g in got], pa.int64()), pa.array([sha(g[1]) for g in got]), pa.array([sha(d) for d in decoded])],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        give_back()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

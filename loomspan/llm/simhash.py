@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, words: int = 5, bits: int = 64) -> DataFrame:
             if got:
                 fp[:, : bits // 64] = np.stack(got)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp[:, 0].copy().view(np.int64)), pa.array(fp[:, 1].copy().view(np.int64))], ["doc_id", "fp", "fp2"])
+        give_back()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long")
 

@@ -49,9 +49,9 @@ from loomspan.llm.windows import (
 
 GRAM = 50
 BUCKET_BYTES = 2 << 20
-KEY_BYTES = 16 << 20
+KEY_BYTES = 10 << 20
 #: Symbols of one suffix array.
-ARRAY = 1_500_000
+ARRAY = 1_000_000
 HOT = 4096
 
 

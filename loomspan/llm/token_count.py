@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import single_thread
+from loomspan.llm.common import give_back, single_thread
 
 # Unicode's white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BATCH_BYTES = 256 * 1024
-CACHE_ENTRIES, CACHE_BYTES = 600_000, 32 << 20
+CACHE_ENTRIES, CACHE_BYTES = 400_000, 24 << 20
 #: Longer pieces are not kept.
 LONG = 64
 
@@ -91,6 +91,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
             for i in range(0, len(texts), 256):
                 part = counter.count(texts[i : i + 256])
                 yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], b.column(2)[i : i + 256], pa.array(part, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

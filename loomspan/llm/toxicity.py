@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from loomspan.llm.common import give_back
+
 WORD = re.compile(r"\w+(?:[@$*#]\w+)*")
 BUCKETS = 1 << 17
 DIM = 6
@@ -216,6 +218,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.7,
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*carry, "score", "predicted"])
         if m:
             m.reset()
+        give_back()
 
     rows = docs.select(*carry, F.col("text").alias("scored text"))
     schema = StructType([*rows.schema.fields[: len(carry)], StructField("score", DoubleType()), StructField("predicted", IntegerType())])

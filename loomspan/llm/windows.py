@@ -19,17 +19,32 @@ U64 = (1 << 64) - 1
 POSITION_BITS = 24
 
 
-@lru_cache(maxsize=8)
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    inv = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, np.uint64), np.full(n, inv, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+LOW = 12
 
 
-def room(n: int) -> int:
-    return max(1 << 16, 1 << int(n).bit_length())
+@lru_cache(maxsize=24)
+def _powers(base: int, step: int, n: int) -> np.ndarray:
+    """base**(step * i) modulo 2**64 for i < n."""
+    out = np.full(n, pow(base, step, 1 << 64), np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _tables(base: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i for i < 2**LOW, and base**(i * 2**LOW) as far as exponents up to `most` need it: nothing as long as a text."""
+    return _powers(base, 1, 1 << LOW), _powers(base, 1 << LOW, 1 << max(LOW, (most >> LOW).bit_length()))
+
+
+def power(base: int, at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64."""
+    low, high = _tables(base, int(at.max()) if len(at) else 0)
+    return low[at & ((1 << LOW) - 1)] * high[at >> LOW]
+
+
+def first_powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**64 for i < n, made anew."""
+    low, high = _tables(base, n)
+    return (high[: -(-n // len(low)), None] * low[None, :]).ravel()[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,18 +59,24 @@ class Prefix:
     """Hashes of ranges of a sequence of unsigned numbers."""
 
     def __init__(self, values: np.ndarray, base: int):
-        n = len(values)
-        up, self.down = powers(base, room(n + 1))
-        self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sum[1:])
+        self.inverse = pow(base, -1, 1 << 64)
+        self.sum = np.zeros(len(values) + 1, np.uint64)
+        terms = first_powers(base, len(values))
+        terms *= values.astype(np.uint64) + np.uint64(1)
+        np.cumsum(terms, out=self.sum[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sum[end] - self.sum[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        return mix((self.sum[end] - self.sum[start]) * power(self.inverse, start) + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k values from each place on."""
         n = len(self.sum) - k
-        return mix((self.sum[k:] - self.sum[:n]) * self.down[:n] + np.uint64(k * 0xA0761D6478BD642F & U64)) if n > 0 else np.zeros(0, np.uint64)
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        out = self.sum[k:] - self.sum[:n]
+        out *= first_powers(self.inverse, n)
+        out += np.uint64(k * 0xA0761D6478BD642F & U64)
+        return mix(out)
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -70,17 +91,21 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+#: Windows that runs() looks at in one go.
+STEP = 1 << 17
+
+
 def runs(gram_hash: np.ndarray, w: int, size: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows that share a minimizer: (first window, last window, minimizer's hash, its place).
 
     A window of `size` symbols from place p holds the w grams from p on and must end at ends[p] at the latest.
     The minimizer is the least hash, the leftmost of equals: a function of the window's content alone.
     """
-    out: list[tuple[np.ndarray, ...]] = []
-    n, step = len(gram_hash) - w + 1, (1 << POSITION_BITS) - 4096
-    low = np.uint64((1 << POSITION_BITS) - 1)
-    for s in range(0, max(0, n), step):
-        e = min(n, s + step)
+    z = np.zeros(0, np.int64)
+    first, last, place = [z], [z], [z]
+    n, low = len(gram_hash) - w + 1, np.uint64((1 << POSITION_BITS) - 1)
+    for s in range(0, max(0, n), STEP):
+        e = min(n, s + STEP)
         g = gram_hash[s : e + w - 1]
         least = sliding_min((g & ~low) | np.arange(len(g), dtype=np.uint64), w)
         at = (least & low).astype(np.int64) + s
@@ -88,12 +113,19 @@ def runs(gram_hash: np.ndarray, w: int, size: int, ends: np.ndarray) -> tuple[np
         if len(ok):
             a = at[ok]
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (np.diff(ok) != 1)]))
-            last = np.append(new[1:], len(ok)) - 1
-            out.append((ok[new] + s, ok[last] + s, gram_hash[a[new]], a[new]))
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), z
-    return tuple(np.concatenate(x) for x in zip(*out))
+            first.append(ok[new] + s)
+            last.append(ok[np.append(new[1:], len(ok)) - 1] + s)
+            place.append(a[new])
+    first, last, place = (np.concatenate(x) for x in (first, last, place))
+    # a run that goes on in the next step is one
+    same = np.flatnonzero((place[1:] == place[:-1]) & (first[1:] == last[:-1] + 1))
+    last[same] = last[same + 1]
+    keep = np.ones(len(first), bool)
+    keep[same + 1] = False
+    for i in same[::-1]:  # runs over more than two steps
+        last[i] = max(last[i], last[i + 1])
+    first, last, place = first[keep], last[keep], place[keep]
+    return first, last, gram_hash[place] if len(place) else np.zeros(0, np.uint64), place
 
 
 def member(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
