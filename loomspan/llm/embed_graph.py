@@ -288,7 +288,8 @@ DEALT_ROWS = "shard string, home boolean, node long, m long, vec binary"
 
 def cut(dealt: DataFrame, shard: int, reach: float) -> DataFrame | None:
     """`dealt` with every shard of more than 2 * `shard` home points cut around centroids; None if there is none."""
-    sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("rows")).where(F.col("homes") > 2 * shard)
+    whole = F.substring_index("shard", " ", 1).endswith("x")  # its points have one direction: nothing to cut
+    sizes = dealt.where(~whole).groupBy("shard").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("rows")).where(F.col("homes") > 2 * shard)
     large = settle(sizes.select("shard", "homes", F.least(F.lit(FAN), F.ceil(F.col("homes") / shard)).cast("int").alias("fan"), F.ceil(F.col("rows") / DEALT).cast("int").alias("parts")))
     if not large.count():
         discard(large)
@@ -302,6 +303,9 @@ def cut(dealt: DataFrame, shard: int, reach: float) -> DataFrame | None:
     def deal(key, rows: pa.Table, centroids: pa.Table) -> pa.Table:
         c = np.stack([np.frombuffer(v) for v in centroids["c"][0].as_py()])
         c = c / np.linalg.norm(c, axis=1, keepdims=True)
+        # centroids of one direction would share all points: one of them stays
+        same = 2 - 2 * (c @ c.T) <= (reach / 1000) ** 2
+        c = c[[not same[i, :i].any() for i in range(len(c))]]
         x = np.stack([np.frombuffer(v) for v in rows["vec"].to_pylist()])
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         d = np.maximum(0, 2 - 2 * (x @ c.T))
@@ -312,7 +316,7 @@ def cut(dealt: DataFrame, shard: int, reach: float) -> DataFrame | None:
         at, j = np.nonzero(near)
         home = rows["home"].to_numpy()[at] & (j == first[at])
         path, rest = key[0].as_py().split(" ", 1)
-        names = pa.array([f"{path}.{k} {rest}" for k in range(len(c))])
+        names = pa.array([f"{path}.{k}{'' if len(c) > 1 else 'x'} {rest}" for k in range(len(c))])
         take = pa.array(at)
         return pa.table({"shard": names.take(pa.array(j)), "home": home, "node": rows["node"].take(take), "m": rows["m"].take(take), "vec": rows["vec"].take(take)})
 

@@ -204,6 +204,13 @@ def test_one_row_per_vector(spark):
     assert sorted(tuple(map(str, r[:4])) for r in got) == sorted(tuple(map(str, r)) for r in [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 0, 2, True), (None, 1, 1, False), (None, 0, None, False), (3, 0, 3, True)])
 
 
+def test_one_direction_in_many_lengths(spark):
+    x = np.random.default_rng(1).normal(size=8)
+    rows = [(i, (x * (i + 1)).tolist(), 1) for i in range(300)] + [(400 + i, (-x * (i + 1)).tolist(), 1) for i in range(5)]
+    got = {r["vec_id"]: tuple(r)[1:4] for r in embed_graph.near_duplicates(vectors(spark, rows), shard=20).collect()}
+    assert all(got[i] == (299, 0, i == 0) for i in range(300)) and all(got[400 + i] == (4, 400, i == 0) for i in range(5))
+
+
 def test_recall_with_one_large_label(spark):
     """20000 vectors of one label, cut into shards twice over: links against brute force over all pairs."""
     rng = np.random.default_rng(8)
