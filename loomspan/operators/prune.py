@@ -132,11 +132,11 @@ def prune(
     title; None has no title at all. first_line_as_title takes the first non-blank line out of the context.
     always_select_title: if any sentence passes, the title passes too.
     reorder: contexts of a question get a `rank` by score, and with top_k only the first ones stay.
-    Null texts count as empty; questions without contexts aren't rows.
+    Null texts and null questions count as empty; questions without contexts aren't rows.
     """
     splitter, scorer = splitters.resolve(sentence_splitter, language), scorer or LexicalScorer()
     manual = F.col("manual_sentences") if "manual_sentences" in contexts.columns else F.lit(None).cast("array<string>")
-    d = staged(contexts, manual_=F.filter(manual, lambda s: T.strip(s) != ""))
+    d = staged(contexts.withColumn("query", F.coalesce("query", F.lit(""))), manual_=F.filter(manual, lambda s: T.strip(s) != ""))
     d = d.withColumn("context_text", F.when(F.col("manual_").isNotNull(), F.array_join("manual_", "")).otherwise(F.coalesce("context_text", F.lit(""))))
     d, first_is_title = titles_of(d, title, first_line_as_title)
     own = F.coalesce("manual_", splitter(F.col("context_text")))
