@@ -31,7 +31,7 @@ from loomspan.llm.common import give_back
 SPACE = "▁"
 LETTER = r"[^\W\d_]"
 MIXED = re.compile(rf"{LETTER}(?!{LETTER})[^{SPACE}]|(?!{LETTER})[^{SPACE}]{LETTER}")
-CACHE_ENTRIES, CACHE_BYTES = 300_000, 24 << 20
+CACHE_ENTRIES, CACHE_BYTES = 500_000, 40 << 20
 #: Longer cuts are not kept.
 LONG = 64
 WIDE, FAR = 1 << 21, 1 << 40

@@ -42,7 +42,7 @@ BLOCK = 192
 #: The forest: points of a shard, about; the chance to miss a pair at the radius; points of one task, in all its shards.
 SHARD = 1024
 MISS = 0.01
-TASK = 200_000
+TASK = 50_000
 
 
 def fingerprint(text: str | None, words: int, bits: int = 64) -> np.ndarray:
