@@ -19,10 +19,10 @@ THRESHOLD = 0.1
 
 
 def contexts(spark, d):
-    """Every document is asked one benchmark item, whole texts both: document i the item in place i modulo their number."""
+    """Every document is asked one benchmark item, whole texts both: document i the item drawn in place i modulo their number."""
     items = load(spark, d, "benchmark").select(F.col("item_id").alias("query_idx"), F.col("text").alias("query")).where("query is not null")
     n = max(1, items.count())
-    asked = D.ranked(items.withColumn("order", F.format_string("%020d", "query_idx")), "order", name="place").drop("order").withColumn("place", F.col("place") - 1)
+    asked = D.ranked_by_lot(items, 7, "query_idx", name="place").withColumn("place", F.col("place") - 1)
     docs = load(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("context_idx"), F.col("text").alias("context_text"), F.pmod("doc_id", F.lit(n)).cast("int").alias("place"))
     return spread(docs).join(asked, "place").drop("place")
 
@@ -38,7 +38,7 @@ def marked(c):
 
 TERMS_D = lambda x: f"list_distinct({d_all(f'lower({x})', WORD_D)})"
 OVERLAP_D = lambda x: f"CASE WHEN len(qt) > 0 THEN round(len(list_intersect(qt, {TERMS_D(x)})) / len(qt), 6) ELSE 0.0 END"
-ASKED = f"""qs AS (SELECT item_id AS query_idx, text AS query, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark WHERE text IS NOT NULL),
+ASKED = f"""qs AS (SELECT item_id AS query_idx, text AS query, row_number() OVER (ORDER BY md5('7:' || item_id), item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark WHERE text IS NOT NULL),
 c AS (SELECT query_idx, doc_id AS context_idx, doc_id, query, text AS context_text, {TERMS_D('query')} AS qt FROM documents JOIN qs ON doc_id % n = place WHERE text IS NOT NULL)"""
 #: sentences -> fragments -> blocks -> probabilities and scores; list_reduce is the same fold as the packing's.
 SCORED = f"""{ASKED},
