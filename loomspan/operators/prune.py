@@ -11,6 +11,7 @@ The default tokenizer has one token a character, so lengths and windows are in c
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,10 +132,13 @@ def prune(
     strings or string arrays, or one string for all. "first_sentence" (default) has none, but makes the first sentence the
     title; None has no title at all. first_line_as_title takes the first non-blank line out of the context.
     always_select_title: if any sentence passes, the title passes too.
-    reorder: contexts of a question get a `rank` by score, and with top_k only the first ones stay.
+    reorder: contexts of a question get a `rank` by score, and with top_k only the first ones stay; top_k alone does
+    nothing, with a warning.
     Null texts and null questions count as empty; questions without contexts aren't rows.
     """
     splitter, scorer = splitters.resolve(sentence_splitter, language), scorer or LexicalScorer()
+    if top_k is not None and not reorder:
+        warnings.warn("top_k has no effect without reorder", stacklevel=2)
     manual = F.col("manual_sentences") if "manual_sentences" in contexts.columns else F.lit(None).cast("array<string>")
     d = staged(contexts.withColumn("query", F.coalesce("query", F.lit(""))), manual_=F.filter(manual, lambda s: T.strip(s) != ""))
     d = d.withColumn("context_text", F.when(F.col("manual_").isNotNull(), F.array_join("manual_", "")).otherwise(F.coalesce("context_text", F.lit(""))))

@@ -125,6 +125,11 @@ def test_reordering(spark):
     assert order(None) == [2, 0, 3, 1] and order(2) == [2, 0] and order(0) == [] and order(-3) == []
 
 
+def test_top_k_needs_reordering(spark):
+    with pytest.warns(UserWarning, match="reorder"):
+        assert P.prune(table(spark, "a", "b"), top_k=1).count() == 2
+
+
 def test_input_shapes():
     assert shape_inputs("question", [["s1", "s2"], ["s3"]]) == (["question"], [[["s1", "s2"], ["s3"]]], "list")
     assert shape_inputs(["a", "b"], [[["s1"], ["s2"]], [["s3"], ["s4"]]])[2] == "nested"
