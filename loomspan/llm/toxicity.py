@@ -19,7 +19,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +110,7 @@ class ToxicityModel:
         return out.tolist()
 
 
-def train(bags: list[dict[str, int]], labels: np.ndarray, steps: int = 160, rate: float = 0.06, decay: float = 1e-4, seed: int = 7) -> ToxicityModel:
+def train(bags: Iterable[dict[str, int]], labels: np.ndarray, steps: int = 160, rate: float = 0.06, decay: float = 1e-4, seed: int = 7) -> ToxicityModel:
     """Joint training on whole texts' bags (word -> how often, none empty); labels 0/1, both weighing the same in all."""
     vocab: dict[str, int] = {}
     word, count, size = array("i"), array("f"), []
@@ -130,7 +130,6 @@ def train(bags: list[dict[str, int]], labels: np.ndarray, steps: int = 160, rate
     used = np.flatnonzero(known)
     sub = (np.cumsum(known, dtype=np.int32) - 1)[sub]
     sub_at = np.cumsum(cnt) - cnt
-    of_sub = np.repeat(np.arange(len(cnt), dtype=np.int32), cnt)
     del packed, vocab
     word, count = np.frombuffer(word, np.int32), np.frombuffer(count, np.float32).astype(np.float64)
     text_at = np.cumsum(size) - size
@@ -156,7 +155,7 @@ def train(bags: list[dict[str, int]], labels: np.ndarray, steps: int = 160, rate
         back = d[owner] * share
         g_s = np.bincount(word, back, len(cnt)) / cnt
         g_z = np.bincount(word, back * (s[word] - mean[owner]), len(cnt)) * (np.abs(z) < SPAN) / cnt
-        by_s, by_z = np.bincount(sub, g_s[of_sub], len(used)), np.bincount(sub, g_z[of_sub], len(used))
+        by_s, by_z = np.bincount(sub, np.repeat(g_s, cnt), len(used)), np.bincount(sub, np.repeat(g_z, cnt), len(used))
         g_diff = by_s @ emb
         grads = [np.outer(by_s, diff) + np.outer(by_z, salient) + decay * emb, np.stack([-g_diff, g_diff], 1), np.array([-d.sum(), d.sum()]), by_z @ emb]
         for i, g in enumerate(grads):
@@ -198,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000,
     y = np.array([r["label"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    return train([dict(zip(r["words"].split("\n"), np.frombuffer(r["counts"], np.int32).tolist())) for r in rows], y)
+    return train((dict(zip(r["words"].split("\n"), np.frombuffer(r["counts"], np.int32).tolist())) for r in rows), y)
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.7, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
