@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 #: How many results a scan gathers before it puts them away; appending copies no more than that many.
-CHUNK = 256
+CHUNK = 32
 
 
 def let(value: Column, use) -> Column:

@@ -196,9 +196,8 @@ def cut(stretches: Column, start: Column, end: Column) -> Column:
 
 def extract_spans(text: Column, spans: Column) -> Column:
     """Substrings of [start, end) spans, clamped; inverted ones are empty; no spans: the whole text."""
-    n = F.length(text)
-    inside = lambda x: F.least(F.greatest(x, F.lit(0)), n)
-    got = let(cut_up(text), lambda parts: F.transform(spans, lambda s: cut(parts, inside(s[0]), inside(s[1]))))
+    inside = lambda x, n: F.least(F.greatest(x, F.lit(0)), n)
+    got = let(F.length(text), lambda n: let(cut_up(text), lambda parts: F.transform(spans, lambda s: cut(parts, inside(s[0], n), inside(s[1], n)))))
     return F.when(F.size(spans) > 0, got).otherwise(F.array(text))
 
 

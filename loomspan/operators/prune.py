@@ -60,21 +60,23 @@ def pack(lengths: Column, query_length: Column, window: int) -> Column:
     """array<struct<block, taken, used>>: for each fragment its block and how many of its tokens the block takes. A block
     starts with the question and a separator; a fragment that would pass window - 2 closes it, opens the next one and is cut
     to what fits there (its tail isn't scored)."""
-    base = (query_length + 1).cast("int")
-    room = F.greatest(F.lit(1), F.lit(window - 2) - base)
-
-    def step(state: Column, n: Column) -> Column:
-        fits = state["used"] + n <= window - 2
-        taken = F.when(fits, n).otherwise(F.least(n, room))
-        return F.struct(
-            F.when(fits | ~state["filled"], state["block"]).otherwise(state["block"] + 1).alias("block"),
-            taken.alias("taken"),
-            F.when(fits, state["used"] + n).otherwise(base + taken).alias("used"),
-        )
-
-    zero = F.struct(F.lit(0).alias("block"), base.alias("used"), F.lit(False).alias("filled"))
-    follow = lambda state, got: F.struct(got["block"].alias("block"), got["used"].alias("used"), F.lit(True).alias("filled"))
-    return A.scan(lengths, zero, "struct<block:int,taken:int,used:int>", step, follow, "struct<block:int,used:int,filled:boolean>")
+    def packed(base: Column) -> Column:
+        room = F.greatest(F.lit(1), F.lit(window - 2) - base)
+
+        def step(state: Column, n: Column) -> Column:
+            fits = state["used"] + n <= window - 2
+            taken = F.when(fits, n).otherwise(F.least(n, room))
+            return F.struct(
+                F.when(fits | ~state["filled"], state["block"]).otherwise(state["block"] + 1).alias("block"),
+                taken.alias("taken"),
+                F.when(fits, state["used"] + n).otherwise(base + taken).alias("used"),
+            )
+
+        zero = F.struct(F.lit(0).alias("block"), base.alias("used"), F.lit(False).alias("filled"))
+        follow = lambda state, got: F.struct(got["block"].alias("block"), got["used"].alias("used"), F.lit(True).alias("filled"))
+        return A.scan(lengths, zero, "struct<block:int,taken:int,used:int>", step, follow, "struct<block:int,used:int,filled:boolean>")
+
+    return T.let((query_length + 1).cast("int"), packed)
 
 
 def sentence_means(fragment_probs: Column, fragment_counts: Column) -> Column:

@@ -25,8 +25,8 @@ def tokenize(text: Column) -> Column:
 def pieces(length: Column, width: int, step: int | None = None) -> Column:
     """array<struct<i, a, b>>: ranges of `width` characters every `step`, up to the length."""
     step = step or width
-    n = F.ceil(length / step).cast("int")
-    return F.transform(A.indices(n), lambda i: F.struct(i.alias("i"), (i * step).alias("a"), F.least(i * step + width, length).alias("b")))
+    cut = lambda n: F.transform(A.indices(F.ceil(n / step).cast("int")), lambda i: F.struct(i.alias("i"), (i * step).alias("a"), F.least(i * step + width, n).alias("b")))
+    return T.let(length, cut)
 
 
 def running_ranges(lengths: Column, gap: int = 0, offset: int = 0, limit: int | None = None) -> Column:
@@ -46,7 +46,10 @@ def cumulative_ranges(lengths: Column, limit: int, gap: int = 1) -> Column:
 
 def merge_ranges(ranges: Column) -> Column:
     """array<struct<a, b>>: ranges in the order of their starts, merged where one begins at or before the furthest end so far."""
-    ends = A.scan(ranges, F.lit(-1), "int", lambda furthest, r: F.greatest(furthest, r["b"]), lambda furthest, got: got)
+    # mostly ends go up as starts do, and need no running maximum
+    b = F.transform(ranges, lambda r: r["b"])
+    rising = T.let(b, lambda v: F.forall(A.indices(F.size(v) - 1), lambda i: F.get(v, i) <= F.get(v, i + 1)))
+    ends = F.when(rising, b).otherwise(A.scan(ranges, F.lit(-1), "int", lambda furthest, r: F.greatest(furthest, r["b"]), lambda furthest, got: got))
 
     def islands(end: Column) -> Column:
         first = F.filter(F.transform(ranges, lambda r, i: F.when((i == 0) | (r["a"] > F.get(end, i - 1)), i)), lambda i: i.isNotNull())
