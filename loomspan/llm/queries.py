@@ -149,6 +149,75 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.lexical_search import top_documents
+
+    return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+items AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS k FROM items GROUP BY ALL),
+size AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM docs WHERE len(t) > 0),
+words AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM docs),
+postings AS (SELECT doc_id, n, term, count(*) AS tf FROM words SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, size GROUP BY term),
+matches AS (SELECT item_id, doc_id, k * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS s
+  FROM asked JOIN weights USING (term) JOIN postings USING (term), size),
+sums AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM matches GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM sums WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.warc import read_archives, write_archives
+
+    back = read_archives(write_archives(table(spark, sf_dir, "pages"), least_bytes=0), payloads=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+d AS (SELECT *, sha1(h) AS x FROM p),
+c AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(i * 5 + 1 AS INTEGER), 5) AS BIGINT)) AS v FROM d)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(v, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((n >> s) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM c
+"""
+
+
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text. With h the crc32 of the id in decimal, g = h div 10 and n words: where h is a multiple of 10 and n > 0, each
+    word from place a = g % n on repeats the words from there in turns of 1 + (n - a) div (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", h.alias("h"), F.floor(h / 10).alias("g"))
+
+    def tailed(words):
+        n = F.size(words).cast("long")
+        a = F.col("g") % n
+        turn = 1 + F.floor((n - a) / (3 + F.col("g") % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % turn).cast("int")))), " ")
+
+    found = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    changed = F.get(F.transform(F.array(found), lambda ws: F.when(F.size(ws) > 0, tailed(ws))), F.lit(0))
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.periodic_runs import find_runs, longest
+
+    found = find_runs(with_repeated_tails(table(spark, sf_dir, "documents")), min_words=12)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest(F.col("runs")).alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("(1000 * b.length) div b.period").alias("exponent_milli")
+    return best.select("doc_id", "n_runs", F.col("b.start").alias("start"), F.col("b.length").alias("length"), F.col("b.period").alias("period"), milli, "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -161,8 +230,11 @@ def queries() -> dict:
         "op8_chat_format": op8_chat_format,
         "op9_piece_codec": op9_piece_codec,
         "op10_phrase_dedup": op10_phrase_dedup,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_warc": op12_warc,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op8_chat_format": OP8_SQL, "op10_phrase_dedup": OP10_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op8_chat_format": OP8_SQL, "op10_phrase_dedup": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_warc": OP12_SQL}
