@@ -71,6 +71,11 @@ def mean(v: Column, empty: Column) -> Column:
     return F.when(F.size(v) > 0, total / F.size(v)).otherwise(empty)
 
 
+def millionths(x: Column) -> Column:
+    """A number in whole millionths, for sums that don't depend on their order."""
+    return F.floor(x * 1_000_000 + 0.5).cast("long")
+
+
 def find(hay: Column, needle: Column) -> Column:
     """First index at which needle occurs in hay, -1 if none or empty."""
     n, m = F.size(hay), F.size(needle)

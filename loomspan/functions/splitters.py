@@ -17,8 +17,8 @@ from loomspan.functions import text as T
 
 Splitter = Callable[[Column], Column]
 
-#: Languages of the flagship call. The Japanese one goes by sentence marks, as no trained model is at hand.
-SPLITTERS: dict[str, Splitter] = {"auto": T.split_auto, "ja": T.split_simple, "en": T.split_english}
+#: Languages of the flagship call; boundaries.learned_splitter() makes further ones from a corpus.
+SPLITTERS: dict[str, Splitter] = {"auto": T.split_auto, "ja": T.split_japanese, "en": T.split_english}
 
 # The languages with sentence models of their own, by ISO 639-1 code, and further names for them.
 LANGUAGES = {
@@ -63,14 +63,18 @@ def language_name(language: str) -> str | None:
     return LANGUAGES.get(known) or ALIASES.get(known)
 
 
-def for_conversion(language: str) -> Splitter:
-    """The splitter that dataset conversion uses: stripped sentences, blanks dropped. Japanese by its marks, the known
-    languages by theirs, others by the generic rule, with a warning."""
+def for_conversion(language: str, learned: Callable[[str], Splitter] | None = None) -> Splitter:
+    """The splitter that dataset conversion uses: stripped sentences, blanks dropped. Japanese by marks outside of brackets, the
+    known languages by their marks or, if given, by learned(marks), a splitter with boundaries learned from a corpus
+    (boundaries.learned_splitter); others by the generic rule, with a warning."""
     if language.lower() == "ja":
-        return T.split_regex
+        return lambda c: T.stripped(T.split_japanese(c), c)
     name = language_name(language)
     if name is None:
         warnings.warn(f"no splitter for language {language!r}: the generic rule is used", stacklevel=2)
         return T.split_generic
+    if learned is not None:
+        known = learned(MARKS.get(name, ""))
+        return lambda c: T.stripped(known(c), c)
     pattern = T.sentence_pattern(MARKS.get(name, ""))
     return lambda c: T.stripped(T.extract(c, pattern), c)

@@ -63,6 +63,36 @@ def split_simple(c: Column) -> Column:
     return extract(c, SIMPLE)
 
 
+# Brackets and quotes by their sides, and the marks that end a Japanese sentence.
+OPENING, CLOSING = "「『（【〈《〔［｛“(", "」』）】〉》〕］｝”)"
+JAPANESE_MARKS = "。！？!?．｡"
+#: Up to a run of marks, one bracket, or a line end. A point between digits is no mark.
+JAPANESE = rf"(?s).*?(?:(?:(?<!\p{{N}})．|．(?!\p{{N}})|[。！？!?｡])[{JAPANESE_MARKS}…♪☆]*|[{OPENING}{CLOSING}]|\n|\z)"
+
+
+def split_japanese(c: Column) -> Column:
+    """Sentences by their marks and line ends, white space kept. Marks inside brackets or quotes hold no sentence's end, however
+    deep they are nested; a line end closes all that was left open. Closing brackets behind a mark of the outside, blanks and
+    faces in brackets stay with their sentence. Nothing from an empty text."""
+    side = lambda p: F.when(p.rlike(rf"[{OPENING}]\z"), 1).when(p.rlike(rf"[{CLOSING}]\z"), -1).when(p.endswith("\n"), 0)
+
+    def cut(pieces: Column) -> Column:
+        # depth behind each piece; null turns mean no bracket
+        turns = F.transform(pieces, side)
+        depth = scan(turns, F.lit(0), "int", lambda d, t: F.when(t == 0, F.lit(0)).otherwise(F.greatest(d + F.coalesce(t, F.lit(0)), F.lit(0))), lambda d, got: got)
+
+        def ends(depths: Column) -> Column:
+            def over(p: Column, i: Column) -> Column:
+                return p.endswith("\n") | ((F.get(depths, i) == 0) & p.rlike(rf"[{JAPANESE_MARKS}…♪☆]\z") & F.get(turns, i).isNull())
+
+            stop = F.filter(F.transform(pieces, lambda p, i: F.when(over(p, i) | (i == F.size(pieces) - 1), i)), lambda i: i.isNotNull())
+            return let(stop, lambda at: F.transform(at, lambda i, k: F.array_join(F.slice(pieces, F.coalesce(F.get(at, k - 1), F.lit(-1)) + 2, i - F.coalesce(F.get(at, k - 1), F.lit(-1))), "")))
+
+        return let(depth, ends)
+
+    return let(F.filter(extract(c, JAPANESE), lambda p: p != ""), cut)
+
+
 def stripped(parts: Column, whole: Column) -> Column:
     """Stripped non-blank parts; the stripped whole, if it isn't blank, where none is left."""
     got = F.filter(F.transform(parts, strip), lambda s: s != "")
@@ -112,16 +142,18 @@ def english_splitter(limit: int = OVERLONG):
     return lambda c: split_english(c, limit)
 
 
-def split_english(c: Column, limit: int = OVERLONG) -> Column:
+def split_english(c: Column, limit: int = OVERLONG, sentences=None) -> Column:
+    """Sentences inside bullet blocks, by `sentences`, a function from a block to its sentences, or else by their marks."""
+    sentences = sentences or (lambda b: extract(b, ENGLISH))
     blocks = F.transform(english_blocks(c), lambda b: F.regexp_replace(b, rf"\A{SPACE}+", ""))
-    got = F.filter(F.flatten(F.transform(blocks, lambda b: extract(b, ENGLISH))), lambda s: strip(s) != "")
+    got = F.filter(F.flatten(F.transform(blocks, sentences)), lambda s: strip(s) != "")
     got = F.flatten(F.transform(got, lambda s: split_overlong(s, limit)))
     return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.filter(F.array(strip(c)), lambda s: s != "")))
 
 
 def split_auto(c: Column) -> Column:
-    """The simple splitter for texts with kana, else the English one."""
-    return F.when(is_japanese(c), split_simple(c)).otherwise(split_english(c))
+    """The Japanese splitter for texts with kana, else the English one."""
+    return F.when(is_japanese(c), split_japanese(c)).otherwise(split_english(c))
 
 
 def split_multiline(c: Column, strip_sentences: bool = False, limit: int = OVERLONG) -> Column:

@@ -6,13 +6,15 @@ probability of its tokens; a sentence's probability is the mean of its fragments
 threshold are put together again. All of it happens inside the row with array expressions: no shuffle until
 contexts of one question are ranked against each other.
 
-The default tokenizer has one token a character, so lengths and windows are in characters.
+The default tokenizer has one token a character, so lengths and windows are in characters; with another one (tokenizers.py)
+they are in its tokens, and fragments are cut where tokens start. A ModelScorer (models.py) gets whole blocks of token
+ids and gives each token a probability; a fragment's is the mean over those of its tokens that its block took.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 from loomspan.functions import arrays as A
 from loomspan.functions import splitters
 from loomspan.functions import text as T
+from loomspan.operators import tokens as K
+from loomspan.operators.models import ModelScorer
 from loomspan.operators.scorers import LexicalScorer, Scorer
+from loomspan.operators.tokenizers import Tokenizer
 
 THRESHOLD = 0.1
 FIRST_SENTENCE = "first_sentence"
@@ -50,9 +55,33 @@ def fragments(sentences: Column, step: int, strip_sentences: bool = False) -> Co
     return F.transform(sentences, cut)
 
 
-def or_one(flat: Column, whole: Column) -> Column:
+def token_fragments(sentences: Column, tokens: Column, step: int, strip_sentences: bool = False) -> Column:
+    """The same in stretches of `step` tokens (tokens: array<array<struct<id, a, b>>>, one array a sentence), with their ids and
+    where each token starts in the fragment. A fragment reaches up to the next one's first token, the last to the sentence's end.
+    A sentence without tokens has no fragment."""
+    step = max(1, int(step))
+
+    def cut(s: Column, i: Column) -> Column:
+        def one(part: Column, j: Column, parts: Column) -> Column:
+            a = F.when(j == 0, F.lit(0)).otherwise(F.get(part, F.lit(0))["a"])
+            b = F.coalesce(F.get(F.get(parts, j + 1), F.lit(0))["a"], F.length(s))
+            x = F.substr(s, a + 1, b - a)
+            return F.struct(
+                (T.strip(x) if strip_sentences else x).alias("text"), i.alias("sentence_index"), j.alias("fragment_index"), F.size(part).alias("length"),
+                F.transform(part, lambda t: t["id"]).alias("ids"), F.transform(part, lambda t: t["a"] - a).alias("starts"),
+            )
+
+        got = T.let(A.chunks(F.get(tokens, i), step), lambda parts: F.transform(parts, lambda part, j: one(part, j, parts)))
+        return F.filter(got, lambda f: f["text"] != "") if strip_sentences else got
+
+    return F.transform(sentences, cut)
+
+
+def or_one(flat: Column, whole: Column, tokenized: bool = False) -> Column:
     """The fragments; where there is none, the whole text as one."""
     one = F.struct(whole.alias("text"), F.lit(0).alias("sentence_index"), F.lit(0).alias("fragment_index"), F.length(whole).alias("length"))
+    if tokenized:  # it has no tokens, or it would have a fragment
+        one = one.withField("length", F.lit(0)).withField("ids", F.array().cast("array<int>")).withField("starts", F.array().cast("array<int>"))
     return T.let(flat, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(one)))
 
 
@@ -123,12 +152,14 @@ def prune(
     strip_sentences: bool = False,
     respect_sentence_boundaries: bool = False,
     window: int = 512,
-    scorer: Scorer | None = None,
+    scorer: Scorer | ModelScorer | None = None,
+    tokenizer: Tokenizer | None = None,
+    cut_fragments: str = "keep",
 ) -> DataFrame:
     """contexts: query_idx, context_idx, query, context_text; further columns stay. A column manual_sentences (array<string>),
     where it isn't null, is the context instead, split already. Adds sentences, sentence_probabilities, kept (flags),
     pruned_context, reranking_score, compression_rate, title (the sentences in front), kept_sentences, removed_sentences,
-    block_scores.
+    block_scores, scored_share.
 
     title: sentences in front of the context, scored and packed with it but never part of the pruned text: a column of
     strings or string arrays, or one string for all. "first_sentence" (default) has none, but makes the first sentence the
@@ -136,9 +167,15 @@ def prune(
     always_select_title: if any sentence passes, the title passes too.
     reorder: contexts of a question get a `rank` by score, and with top_k only the first ones stay; top_k alone does
     nothing, with a warning.
+    tokenizer: counts windows and fragments in its tokens; a ModelScorer brings its own.
+    cut_fragments: a question may leave less room in a window than a fragment needs, whose tail then isn't scored. "keep" does
+    so and tells the share of tokens that were scored in `scored_share`; "error" fails instead.
     Null texts and null questions count as empty; questions without contexts aren't rows.
     """
     splitter, scorer = splitters.resolve(sentence_splitter, language), scorer or LexicalScorer()
+    if cut_fragments not in ("keep", "error"):
+        raise ValueError("cut_fragments is keep or error")
+    tokenizer = scorer.tokenizer if isinstance(scorer, ModelScorer) else tokenizer
     if top_k is not None and not reorder:
         warnings.warn("top_k has no effect without reorder", stacklevel=2)
     manual = F.col("manual_sentences") if "manual_sentences" in contexts.columns else F.lit(None).cast("array<string>")
@@ -147,22 +184,64 @@ def prune(
     d, first_is_title = titles_of(d, title, first_line_as_title)
     own = F.coalesce("manual_", splitter(F.col("context_text")))
     d = staged(d, sentences=T.normalize(F.concat("prefix_", own), F.col("context_text"), strip_sentences))
-    d = staged(d, cut_=fragments(F.col("sentences"), fragment_limit(window, respect_sentence_boundaries), strip_sentences))
-    d = staged(d, fragments_=or_one(F.flatten("cut_"), F.col("context_text")))
-    d = staged(d, packed_=pack(F.transform("fragments_", lambda f: f["length"]), F.length("query"), window))
-    d = staged(d, texts_=F.transform("fragments_", lambda f, i: F.substr(f["text"], F.lit(1), F.get(F.col("packed_"), i)["taken"])))
+    limit = fragment_limit(window, respect_sentence_boundaries)
+    if tokenizer is None:
+        d = staged(d, cut_=fragments(F.col("sentences"), limit, strip_sentences))
+        asked = F.length("query")
+    else:
+        # the question's tokens are those of a last text behind the sentences: one call for both
+        d = staged(d, tokens_=tokenizer.tokens(F.concat("sentences", F.array("query"))))
+        d = staged(d, query_ids_=F.transform(F.element_at("tokens_", -1), lambda t: t["id"]), cut_=token_fragments(F.col("sentences"), F.col("tokens_"), limit, strip_sentences)).drop("tokens_")
+        asked = F.size("query_ids_")
+    d = staged(d, fragments_=or_one(F.flatten("cut_"), F.col("context_text"), tokenizer is not None))
+    d = staged(d, packed_=pack(F.transform("fragments_", lambda f: f["length"]), asked, window))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    whole, taken = total(F.transform("fragments_", lambda f: f["length"])), total(F.transform("packed_", lambda p: p["taken"]))
+    share = F.when(whole > 0, taken / whole).otherwise(F.lit(1.0))
+    if cut_fragments == "error":
+        share = F.when(taken < whole, F.raise_error(F.concat(F.lit(f"a question leaves less than a fragment of the window of {window}: "), F.substring("query", 1, 80))).cast("double")).otherwise(share)
+    d = staged(d, scored_share=share, texts_=F.transform("fragments_", lambda f, i: taken_text(f, F.get(F.col("packed_"), i)["taken"], tokenizer is not None)))
     # a block is a stretch of fragments: its text is a slice
     at = F.transform("packed_", lambda p, i: F.when((i == 0) | (p["block"] != F.get(F.col("packed_"), i - 1)["block"]), i))
     d = staged(d, first_=F.filter(at, lambda i: i.isNotNull()))
     stop = lambda j: F.coalesce(F.get(F.col("first_"), j + 1), F.size("texts_"))
-    d = staged(d, blocks_=F.transform("first_", lambda i, j: F.array_join(F.slice("texts_", i + 1, stop(j) - i), "")))
-    d = staged(d, block_scores=scorer.rank(F.col("query"), F.col("blocks_")), keep_=scorer.keep(F.col("query"), F.col("texts_")))
+    if isinstance(scorer, ModelScorer):
+        d = by_model(d, scorer, stop)
+    else:
+        d = staged(d, blocks_=F.transform("first_", lambda i, j: F.array_join(F.slice("texts_", i + 1, stop(j) - i), "")))
+        d = staged(d, block_scores=scorer.rank(F.col("query"), F.col("blocks_")), keep_=scorer.keep(F.col("query"), F.col("texts_")))
     d = staged(d, sentence_probabilities=sentence_means(F.col("keep_"), F.transform("cut_", F.size)))
-    d = d.withColumn("title", F.col("prefix_")).drop("manual_", "cut_", "fragments_", "packed_", "texts_", "first_", "blocks_", "keep_")
+    d = d.withColumn("title", F.col("prefix_")).drop("manual_", "cut_", "fragments_", "packed_", "texts_", "first_", "blocks_", "keep_", "query_ids_")
     out = finish(d, threshold, always_select_title, first_is_title, use_best_reranker_score, zero_score_when_empty).drop("prefix_")
     return rerank(out, top_k) if reorder else out
 
 
+def taken_text(fragment: Column, taken: Column, tokenized: bool) -> Column:
+    """The text of a fragment's first tokens, up to where the next one starts."""
+    if not tokenized:
+        return F.substr(fragment["text"], F.lit(1), taken)
+    return F.when(taken >= fragment["length"], fragment["text"]).otherwise(F.substr(fragment["text"], F.lit(1), F.get(fragment["starts"], taken)))
+
+
+def by_model(d: DataFrame, scorer: ModelScorer, stop: Callable[[Column], Column]) -> DataFrame:
+    """block_scores and keep_ of token blocks: each block's ids, the model's probabilities, means over the fragments' tokens."""
+    d = staged(d, ids_=F.transform("fragments_", lambda f, i: F.slice(f["ids"], F.lit(1), F.get(F.col("packed_"), i)["taken"])))
+    own = F.transform("first_", lambda i, j: F.flatten(F.slice("ids_", i + 1, stop(j) - i)))
+    d = staged(d, inputs_=F.transform(own, lambda b: K.block_inputs(F.col("query_ids_"), b, scorer.start, scorer.separator)))
+    head = F.size("query_ids_") + 2
+    d = staged(d, scored_=scorer.blocks(F.transform("inputs_", lambda x: x["input_ids"]), head))
+    d = staged(d, ends_=A.scan(F.transform("ids_", F.size), F.lit(0), "int", lambda at, n: at + n, lambda at, end: end))
+
+    def mean(ids: Column, i: Column) -> Column:
+        block = F.get(F.col("packed_"), i)["block"]
+        first = F.get(F.col("first_"), block)
+        at = head + F.get(F.col("ends_"), i) - F.size(ids) - F.when(first > 0, F.get(F.col("ends_"), first - 1)).otherwise(F.lit(0))
+        return A.mean(F.slice(F.get(F.col("scored_"), block)["probs"], at + 1, F.size(ids)), F.lit(1.0))
+
+    d = staged(d, block_scores=F.transform("scored_", lambda s: A.sigmoid(s["logit"])), keep_=F.transform("ids_", mean))
+    return d.drop("ids_", "inputs_", "scored_", "ends_")
+
+
 def finish(d: DataFrame, threshold: float, always_select_title: bool = False, first_is_title: bool = False, use_best_reranker_score: bool = True, zero_score_when_empty: bool = True) -> DataFrame:
     """From sentences, sentence_probabilities, block_scores and prefix_ to the pruned text; independent of the scorer, so a
     sweep over thresholds scores once."""

@@ -13,8 +13,9 @@ from loomspan.operators.scorers import LexicalScorer
 from loomspan.plans.base import d_all, d_digest, d_strip, digest, load, query, spread
 from loomspan.plans.q_text import PARTS_D, d_multiline
 
-WINDOW = 256
-STEP = 128
+#: Fits the longest question and a whole fragment behind it, so that every character of a text is scored.
+WINDOW = 2048
+STEP = 1024
 THRESHOLD = 0.1
 
 
@@ -75,7 +76,7 @@ TITLED = f"WITH {SCORED.replace('@PREFIX@', "['Title ' || doc_id || chr(10)]")}"
 
 
 def pruned(spark, d, title=None, **kw):
-    return P.prune(contexts(spark, d), title, window=WINDOW, threshold=THRESHOLD, sentence_splitter=marked, **kw)
+    return P.prune(contexts(spark, d), title, window=WINDOW, threshold=THRESHOLD, sentence_splitter=marked, cut_fragments="error", **kw)
 
 
 @query("prune", f"{PRUNED} SELECT query_idx, context_idx, md5(pruned) AS pruned_md5, round(score, 6) AS reranking_score, round(rate, 6) AS compression_rate, CAST(len(list_filter(kept, lambda x: x)) AS INT) AS n_kept, CAST(len(kept) AS INT) AS n_sentences, CAST(n_blocks AS INT) AS n_blocks FROM o")
@@ -112,12 +113,16 @@ def prune_postprocess(spark, d):
     return pruned(spark, d).select("query_idx", "context_idx", digest(F.col("kept_sentences")).alias("kept_md5"), digest(F.col("removed_sentences")).alias("removed_md5"))
 
 
-@query("sentence_scores", f"{PRUNED} SELECT query_idx, context_idx, round(list_sum(probs), 4) AS total, round(list_max(probs), 6) AS best, round(list_sum(list_transform(probs, lambda x, i: x * i)), 4) AS weighted FROM o")
+#: Probabilities are added as whole millionths: a sum of doubles depends on its order.
+MILLION_D = lambda x: f"CAST(floor({x} * 1000000 + 0.5) AS BIGINT)"
+
+
+@query("sentence_scores", f"{PRUNED} SELECT query_idx, context_idx, CAST(list_sum(list_transform(probs, lambda x: {MILLION_D('x')})) AS BIGINT) AS total, list_max(list_transform(probs, lambda x: {MILLION_D('x')})) AS best, CAST(list_sum(list_transform(probs, lambda x, i: {MILLION_D('x')} * i)) AS BIGINT) AS weighted FROM o")
 def sentence_scores(spark, d):
-    """Fragment probabilities as sentence probabilities."""
-    p = "sentence_probabilities"
-    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
-    return pruned(spark, d).select("query_idx", "context_idx", total(p).alias("total"), F.round(F.array_max(p), 6).alias("best"), total(F.transform(p, lambda x, i: x * (i + 1))).alias("weighted"))
+    """Fragment probabilities as sentence probabilities, in millionths: their sum, the largest, the sum weighted by place."""
+    got = P.staged(pruned(spark, d), m=F.transform("sentence_probabilities", A.millionths))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return got.select("query_idx", "context_idx", total("m").alias("total"), F.array_max("m").alias("best"), total(F.transform("m", lambda x, i: x * (i + 1))).alias("weighted"))
 
 
 @query("doc_score", f"{PRUNED} SELECT query_idx, context_idx, round(list_max(scores), 6) AS best, round(scores[1], 6) AS first FROM o")
@@ -159,7 +164,7 @@ def rank_only(spark, d):
     return contexts(spark, d).select("query_idx", "context_idx", F.get(LexicalScorer().rank(F.col("query"), F.array("context_text")), F.lit(0)).alias("score"))
 
 
-#: Whole sentences where they fit: fragments of 256 characters instead of 128.
+#: Whole sentences where they fit: fragments of up to a window instead of half of one.
 FRAGS_D = "list_transform(p, lambda x, i: list_transform(range(0, length(x), @S@), lambda k: i || ':' || CAST(k / @S@ AS INT) || ':' || least(length(x) - k, @S@)))"
 FRAG_SQL = f"WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {PARTS_D} AS p FROM s), f AS (SELECT doc_id, list_transform(flatten({FRAGS_D}), lambda x, g: x || ':' || g) AS f, list_transform(flatten({FRAGS_D.replace('@S@', str(WINDOW - 2))}), lambda x, g: x || ':' || g) AS w FROM p) SELECT doc_id, CAST(len(f) AS INT) AS n_fragments, {d_digest('f')} AS fragments_md5, {d_digest('w')} AS whole_md5 FROM f"
 

@@ -7,7 +7,7 @@ import importlib.util
 
 from loomspan.plans.base import QUERIES, SQL
 
-MODULES = ("q_text", "q_prune", "q_data", "q_eval", "q_stream")
+MODULES = ("q_text", "q_prune", "q_data", "q_eval", "q_learned", "q_stream")
 for _m in MODULES:
     importlib.import_module(f"loomspan.plans.{_m}")
 

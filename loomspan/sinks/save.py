@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from datetime import datetime, timezone
 from typing import Any
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators import datasets as D
-from loomspan.sinks.files import exists, settle, store, write_text
+from loomspan.sinks.files import exists, list_folders, read_bytes, settle, store, write_text
 
 
 def save(df: DataFrame, path: str, overwrite: bool = False, by: str | None = None) -> None:
@@ -100,3 +102,30 @@ def summary(name: str, threshold: int, numbers: dict[str, Any]) -> str:
 
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
+
+
+CURRENT = "CURRENT"
+
+
+def publish(df: DataFrame, folder: str, keep: int = 2, partition_by: list[str] | None = None) -> str:
+    """A new version of a table in a folder, for stores without a rename of folders: the rows go to a subfolder of their own, then
+    the file CURRENT, which names the version to read, is replaced by one write. A reader sees the old version or the new one;
+    after a crash the old one stays. The `keep` latest versions stay, for readers that are still at one. Returns the version."""
+    spark = df.sparkSession
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(f"{folder}/{version}")
+    write_text(spark, f"{folder}/{CURRENT}", version)
+    # versions behind the current one that no crash left newer than it
+    old = [v for v in list_folders(spark, folder) if v < version]
+    for v in old[: max(0, len(old) - (keep - 1))]:
+        files, at = store(spark, f"{folder}/{v}")
+        files.delete(at, True)
+    return version
+
+
+def read_published(spark: SparkSession, folder: str) -> DataFrame:
+    """The current version of a published table."""
+    if not exists(spark, f"{folder}/{CURRENT}"):
+        raise FileNotFoundError(f"nothing is published in {folder}")
+    return spark.read.parquet(f"{folder}/{read_bytes(spark, f'{folder}/{CURRENT}').decode()}")

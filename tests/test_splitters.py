@@ -113,7 +113,7 @@ def test_japanese(spark):
 
 
 def test_which_splitter(spark):
-    assert splitters.resolve() is T.split_auto and splitters.resolve(None, "EN") is T.split_english and splitters.resolve(None, "ja") is T.split_simple
+    assert splitters.resolve() is T.split_auto and splitters.resolve(None, "EN") is T.split_english and splitters.resolve(None, "ja") is T.split_japanese
     own = lambda c: F.array(c)
     assert splitters.resolve(own, "es") is own and splitters.resolve({"xx": own}, "xx") is own
     for args in ((None, "es"), ({"xx": own}, None), ({"xx": own}, "yy")):
