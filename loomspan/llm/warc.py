@@ -161,7 +161,10 @@ def with_first(pages: DataFrame, least_bytes: int) -> DataFrame:
 def dictionary_of(pages: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> bytes:
     """Trained on a bounded sample: the `rows` pages with the smallest digests, `chars` characters of each."""
     part = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.substring(F.coalesce("html", F.lit("")), 1, chars).alias("html"))
-    drawn = part.withColumn("order", F.xxhash64("page_id", "url", "html")).orderBy("order").limit(rows).collect()
+    # the last digest of the sample first: tasks send numbers, not pages, for the driver to choose from
+    part = part.withColumn("order", F.xxhash64("page_id", "url", "html"))
+    last = part.select("order").orderBy("order").limit(rows).agg(F.max("order").alias("last")).first()["last"]
+    drawn = part.where(F.col("order") <= F.lit(last)).limit(rows).collect() if last is not None else []
     return train([record(r["page_id"], r["url"], r["html"].encode()) for r in drawn]) if drawn else b""
 
 
