@@ -270,3 +270,13 @@ def similar(text: Column, part: Column) -> Column:
 def terms(c: Column) -> Column:
     """Distinct lower-case words, the units of the lexical scorer."""
     return F.array_distinct(extract(F.lower(c), TERM))
+
+
+def title(c: Column) -> Column:
+    """A stripped title; null for a blank one."""
+    return F.nullif(strip(c), F.lit(""))
+
+
+def title_of(parts: Column) -> Column:
+    """The stripped parts of a title that aren't blank, joined by blanks; null without any."""
+    return F.nullif(F.array_join(F.filter(F.transform(F.array_compact(parts), strip), lambda s: s != ""), " "), F.lit(""))

@@ -7,9 +7,11 @@ repeat it. Ranks over a whole table come from range counts, not from one sorted
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,41 +120,87 @@ def sample_items(df: DataFrame, max_items: int, aligned: list[str], seed: int, r
     return d.drop("n_", "pick_")
 
 
-def frequency_filter(rows: DataFrame, limit: int, idx: str = "idx", texts: str = "texts") -> DataFrame:
+#: Entries (a row and one of its texts) that one task decides about at a time.
+AT_ONCE = 1_000_000
+
+
+def decided_in_order(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Decides rows of one range of row order, entries (idx, h, m, held, first) sorted by idx, as far as that can be done without
+    the ranges in front of it: a text surely counts if a kept row in front has it (`held`, or one of this range), and may
+    count if an open row in front has it (`first`, or one left open here)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, kept_texts, open_texts = None, set(), set()
+        row, told = [], ([], [])
+
+        def decide() -> None:
+            at = row[0][0]
+            sure = sum(m for _, h, m, held, _ in row if (held is not None and held < at) or h in kept_texts)
+            may = sum(m for _, h, m, held, first in row if first < start or h in open_texts if not ((held is not None and held < at) or h in kept_texts))
+            kept = True if sure + may <= limit else False if sure > limit else None
+            if kept is not False:
+                (kept_texts if kept else open_texts).update(h for _, h, _, _, _ in row)
+            told[0].append(at)
+            told[1].append(kept)
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(told[0], pa.int64()), pa.array(told[1], pa.bool_())], ["idx", "kept"])
+            told[0].clear(), told[1].clear()
+            return out
+
+        for b in batches:
+            for e in zip(*(c.to_pylist() for c in b.columns)):
+                start = e[0] if start is None else start
+                if row and row[0][0] != e[0]:
+                    decide()
+                    row = []
+                row.append(e)
+            yield flush()
+        if row:
+            decide()
+        yield flush()
+
+    return run
+
+
+def frequency_filter(rows: DataFrame, limit: int, idx: str = "idx", texts: str = "texts", at_once: int = AT_ONCE, after_round: Callable[[int], None] | None = None) -> DataFrame:
     """idx, dup_count, kept: in row order, a row's dup_count is how many of its texts (with multiplicity) were seen in kept
-    rows before; it is dropped if dup_count > limit.
+    rows before; it is dropped if dup_count > limit. idx: whole numbers, no two alike.
 
-    Decided in parallel rounds. A text of a row surely counts once an earlier row that has it is kept, and surely doesn't
-    once no earlier row that has it is kept or open. A row whose sure texts pass the limit goes; one whose possible texts
-    don't reach it stays; the others wait for the next round, of which there are a handful, each on the texts of open
-    rows alone. Texts that only one row has are left out from the start. The first open row is always decided, so rounds
-    end; a chain of rows each of which depends on the one before takes as many.
+    Texts that only one row has are left out from the start. The others' entries are dealt into ranges of row order of about
+    at_once entries, and each task goes through its range row by row, deciding what doesn't hang on open rows of the
+    ranges in front. Those learn of it in the next round, which is dealt anew from what is still open. The first range is
+    always decided whole, so there are at most as many rounds as ranges of the first deal, however long the chains of rows are
+    that depend on one another; what fits one range takes one round. after_round is called with the entries still open.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
-    hashed = rows.select(F.col(idx).alias("idx"), F.explode(F.transform(texts, F.md5)).alias("h")).groupBy("h", "idx").agg(F.count(F.lit(1)).alias("m"))
+    hashed = rows.select(F.col(idx).cast("long").alias("idx"), F.explode(F.transform(texts, lambda t: F.unhex(F.md5(t)))).alias("h")).groupBy("h", "idx").agg(F.count(F.lit(1)).alias("m"))
     several = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     shared = settle(hashed.join(several, "h").select("idx", "h", "m"))
-    nothing = F.lit(None).cast("bigint")
-    open_ = settle(shared.withColumn("held", nothing))  # held: the least kept row that has the text
-    told = []
-    while open_.limit(1).count():
+    open_ = shared.withColumn("held", F.lit(None).cast("bigint"))  # held: the least kept row that has the text
+    told, before = [], None
+    while left := open_.count():
         first = open_.groupBy("h").agg(F.min("idx").alias("first"))
-        both = open_.join(first, "h")
-        sure = F.when(F.col("held") < F.col("idx"), F.col("m")).otherwise(0)
-        may = F.when(F.least("held", "first") < F.col("idx"), F.col("m")).otherwise(0)
-        bounds = both.groupBy("idx").agg(F.sum(sure).alias("sure"), F.sum(may).alias("may"))
-        done = settle(bounds.select("idx", F.when(F.col("may") <= limit, True).when(F.col("sure") > limit, False).alias("kept")))
+        both, ranges = open_.join(first, "h").select("idx", "h", "m", "held", "first"), -(-left // at_once)
+        dealt = both.repartitionByRange(ranges, "idx") if ranges > 1 else both.repartition(1)
+        done = settle(dealt.sortWithinPartitions("idx").mapInArrow(decided_in_order(limit), "idx long, kept boolean"))
         told.append(done)
         marked = open_.join(done, "idx")
         new = marked.where("kept").groupBy("h").agg(F.min("idx").alias("new"))
         rest = marked.where("kept is null").join(new, "h", "left")
-        before, open_ = open_, settle(rest.select("idx", "h", "m", F.least("held", "new").alias("held")))
+        last, open_ = before, settle(rest.select("idx", "h", "m", F.least("held", "new").alias("held")))
+        before = open_
+        if last is not None:
+            discard(last)
+        if after_round:
+            after_round(open_.count())
+    if before is not None:
         discard(before)
-    discard(open_)
     decided = reduce(DataFrame.union, [t.where("kept is not null") for t in told]) if told else shared.select("idx").withColumn("kept", F.lit(True)).limit(0)
-    decided = settle(decided)
-    discard(*told)
+    if len(told) > 1:
+        decided = settle(decided)
+        discard(*told)
     held = shared.join(decided.where("kept").select("idx"), "idx", "left_semi").groupBy("h").agg(F.min("idx").alias("held"))
     counts = shared.join(held, "h").where("held < idx").groupBy("idx").agg(F.sum("m").alias("dup_count"))
     out = rows.select(F.col(idx).alias("idx")).join(decided, "idx", "left").join(counts, "idx", "left")
@@ -309,6 +357,7 @@ class Part:
     teacher_column: str | None = None
     upsample: float | None = None
     n_samples: float | None = None
+    items: int | None = None  # goes before the mix's own
 
 
 def prepare(
@@ -337,8 +386,8 @@ def prepare(
             if relevant_items is not None:
                 lists = [f.name for f in rows.schema.fields if f.dataType.typeName() == "array"]
                 rows = filter_items(rows, relevance, relevant_items, lists, reverse, keep_first)
-            if items is not None:
-                rows = sample_any_items(rows, items, seed, part.ids[0])
+            if (most := part.items if part.items is not None else items) is not None:
+                rows = sample_any_items(rows, most, seed, part.ids[0])
             if part.teacher_column and part.teacher_column != "teacher_score" and part.teacher_column in rows.columns:
                 rows = rows.withColumnRenamed(part.teacher_column, "teacher_score")
             ids = part.ids
@@ -371,3 +420,46 @@ def prepare(
 def step_schedule(total_steps: int) -> tuple[int, int]:
     """(steps between evaluations, steps between log lines) of a training run."""
     return max(1, total_steps // 20), max(1, total_steps // 100)
+
+
+def attach_by_id(rows: DataFrame, values: DataFrame, key: str, value: str, spans: str | None = None) -> DataFrame:
+    """rows and `value`, an array of values' rows of the same key; where there is none, or an empty one, one empty array for
+    each of the row's spans, or an empty array without them. A key of values has one row at most."""
+    kind = values.schema[value].dataType.simpleString()
+    none = F.array().cast(kind)
+    if spans is not None:
+        none = F.transform(F.coalesce(F.col(spans), F.array()), lambda s: F.array().cast(kind.removeprefix("array<")[:-1]))
+    met = rows.join(values.select(key, value), key, "left")
+    return met.withColumn(value, F.when(F.size(value) > 0, F.col(value)).otherwise(none))
+
+
+def asked(rows: DataFrame, query: str = "query", texts: str | None = None, blank: bool = False) -> DataFrame:
+    """Rows with a question (blank=False: a null one is none; True: neither is a blank one) and, if texts names an array, with one
+    text at least."""
+    q = F.col(query)
+    out = rows.where(T.strip(q) != "") if blank else rows.where(q.isNotNull())
+    return out if texts is None else out.where(F.size(texts) > 0)
+
+
+def unnest_passages(rows: DataFrame, positives: str = "positive_passages", negatives: str = "negative_passages", *keep: str) -> DataFrame:
+    """keep, label, place and the passage's fields: one row a passage, positives (label 1) in their order, then negatives (0)."""
+    def side(column: str, label: int) -> Column:
+        return F.transform(F.coalesce(F.col(column), F.array()), lambda p, i: F.struct(F.lit(label).alias("label"), i.alias("place"), p.alias("p")))
+
+    both = F.concat(side(positives, 1), side(negatives, 0))
+    return rows.select(*keep, F.inline(both)).select(*keep, "label", "place", "p.*")
+
+
+def rows_of_query(rows: DataFrame, key: str, order: str, *values: str, into: str = "rows") -> DataFrame:
+    """key, n, into: a question's rows as one array of structs (order, values), in their order. All rows of a question meet in
+    one value by definition; values ought to be narrow."""
+    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias(into))
+    return g.select(key, F.size(into).cast("long").alias("n"), into)
+
+
+def moving_average(rows: DataFrame, key: str, order: str, value: Column, last: int = 10, into: str = "mean", total: int | None = None) -> DataFrame:
+    """rows and `into`, the mean of the last `last` values of a key up to each row; with `total`, the number of steps in all, also
+    `eta`: that mean for each step still to come."""
+    w = Window.partitionBy(key).orderBy(order)
+    out = rows.withColumn(into, F.avg(value).over(w.rowsBetween(1 - last, 0)))
+    return out if total is None else out.withColumn("eta", F.col(into) * F.greatest(F.lit(total) - F.row_number().over(w), F.lit(0)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import arrays as A
 from loomspan.functions import text as T
+from loomspan.operators import prune as P
 
 
 def infer_predictions(pruned: Column, sentences: Column) -> Column:
@@ -62,10 +66,48 @@ def sweep(scored: DataFrame, thresholds: list[float], *keys: str) -> DataFrame:
     return x.groupBy(*keys, "threshold").agg(F.sum(F.size(F.filter("sentence_probabilities", lambda p: p > F.col("threshold")))).alias("kept"))
 
 
-def label_stats(records: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """label, mean_score (NaN and null left out), n."""
+def label_stats(records: DataFrame, label: str = "label", score: str = "score", compression: str | None = None) -> DataFrame:
+    """label, mean_score (NaN and null left out), n, and with the name of its column mean_compression, which is added up in whole
+    millionths."""
     known = F.when(~F.isnan(score), F.col(score))
-    return records.groupBy(label).agg(F.avg(known).alias("mean_score"), F.count(F.lit(1)).alias("n"))
+    more = [(F.sum(A.millionths(F.col(compression))) / F.count(compression) / 1_000_000).alias("mean_compression")] if compression else []
+    return records.groupBy(label).agg(F.avg(known).alias("mean_score"), F.count(F.lit(1)).alias("n"), *more)
+
+
+def spans_of(rows: DataFrame, query: str = "query", texts: str = "texts", spans: str = "context_spans", relevance: str = "context_spans_relevance") -> DataFrame:
+    """One row a text of a dataset's rows that have a question: query_idx (a number for each row), context_idx, query,
+    context_text, manual_sentences (the texts of its spans), gold (their flags)."""
+    some = rows.where(F.col(query).isNotNull()).select(F.monotonically_increasing_id().alias("query_idx"), F.col(query).alias("query"), F.col(texts).alias("t_"), F.col(spans).alias("s_"), F.col(relevance).alias("r_"))
+    each = some.select("query_idx", "query", F.posexplode("t_").alias("context_idx", "context_text"), "s_", "r_")
+    own = F.coalesce(F.get("s_", F.col("context_idx")), F.array())
+    each = P.staged(each, manual_sentences=T.extract_spans(F.coalesce("context_text", F.lit("")), own))
+    # blank sentences are no sentences to prune, so they have no flag either
+    flags = A.norm_relevance(F.get("r_", F.col("context_idx")), F.size("manual_sentences"))
+    each = P.staged(each, flags_=flags)
+    gold = F.transform(F.filter(F.arrays_zip(F.col("manual_sentences").alias("s"), F.col("flags_").alias("f")), lambda x: T.strip(x["s"]) != ""), lambda x: x["f"])
+    return each.withColumn("gold", gold).drop("s_", "r_", "flags_")
+
+
+def evaluate_spans(rows: DataFrame, thresholds: list[float], columns: dict[str, str] | None = None, **options) -> DataFrame:
+    """One row a threshold: threshold, contexts, tp, fp, tn, fn, span_skipped, accuracy, precision, recall, f2, mean_compression of
+    pruning a dataset's texts by their spans. Scored once; thresholds only decide what is kept. columns: spans_of()'s names;
+    options: prune()'s."""
+    done = P.prune(spans_of(rows, **(columns or {})), None, threshold=min(thresholds), **options)
+    done = done.select("query_idx", "context_idx", "context_text", "gold", "sentences", "sentence_probabilities", "block_scores", F.col("title").alias("prefix_"))
+    done = done.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    kept = P.finish(done, F.col("threshold")).select("threshold", "gold", "compression_rate", infer_predictions(F.col("pruned_context"), F.col("sentences")).alias("pred"))
+    count = kept.groupBy("threshold").agg(F.count(F.lit(1)).alias("contexts"), (F.sum(A.millionths(F.col("compression_rate"))) / F.count(F.lit(1)) / 1_000_000).alias("mean_compression"))
+    return scores(confusion(kept, "threshold")).join(count, "threshold")
+
+
+def long_evaluation(passages: DataFrame, process_fn: Callable[..., DataFrame] = P.prune, **options) -> DataFrame:
+    """long_records() of passages (query_id, doc_index, query, text, label, given_title), pruned by process_fn, a function from
+    contexts to prune()'s columns. Options that its signature doesn't have are left out."""
+    known = inspect.signature(process_fn).parameters
+    if not any(p.kind is p.VAR_KEYWORD for p in known.values()):
+        options = {k: v for k, v in options.items() if k in known}
+    contexts = passages.withColumnsRenamed({"query_id": "query_idx", "doc_index": "context_idx", "text": "context_text"})
+    return long_records(process_fn(contexts, **options))
 
 
 def eligible(records: DataFrame, ignored: DataFrame | None = None, key: str = "query_id", include_negatives: bool = False, max_text_chars: int = 60_000) -> DataFrame:
@@ -121,6 +163,19 @@ def total_loss(ranking: Column, pruning: Column) -> Column:
     return RANKING_WEIGHT * ranking + PRUNING_WEIGHT * pruning
 
 
+Loss = Callable[[DataFrame], DataFrame]
+
+
+def losses(ranking_rows: DataFrame, token_rows: DataFrame, ranking_loss_fn: Loss | None = None, pruning_loss_fn: Loss | None = None) -> DataFrame:
+    """One row: ranking_loss, pruning_loss and their weighted sum. ranking_rows: logit, target; token_rows: drop, keep, label. A
+    loss of one's own is a function from those rows to one row with a column of that name."""
+    rank = (ranking_loss_fn or (lambda d: ranking_mse(d, F.col("logit"), F.col("target"))))(ranking_rows)
+    prune = (pruning_loss_fn or (lambda d: pruning_ce(d, F.col("drop"), F.col("keep"), F.col("label"))))(token_rows)
+    both = rank.select("ranking_loss").unionByName(prune.select("pruning_loss"), allowMissingColumns=True)
+    both = both.agg(F.max("ranking_loss").alias("ranking_loss"), F.max("pruning_loss").alias("pruning_loss"))
+    return both.withColumn("loss", total_loss(F.col("ranking_loss"), F.col("pruning_loss")))
+
+
 def loss_means(rows: DataFrame, step: str, window: int, *losses: str) -> DataFrame:
     """log_step (the last step of each window of steps) and the mean of each loss in it."""
     end = (F.floor((F.col(step) - 1) / window) + 1) * window

@@ -122,3 +122,34 @@ def process(
 
 def _title(prefix: list[str] | None) -> Any:
     return None if not prefix else prefix[0] if len(prefix) == 1 else list(prefix)
+
+
+#: One input of each shape: a text, a list, texts side by side, lists of texts, and texts split already.
+SHAPES: dict[str, tuple[Any, Any]] = {
+    "str": ("red fox", "A red fox ran. The sky is blue."),
+    "list": ("red fox", ["A red fox ran.", "The sky is blue."]),
+    "aligned": (["red fox", "sky"], ["A red fox ran.", "The sky is blue."]),
+    "nested": (["red fox", "sky"], [["A red fox ran.", "Blue."], ["The sky is blue."]]),
+    "split": ("red fox", [["A red fox ran.", "The sky is blue."]]),
+}
+
+
+def shape_check(spark: SparkSession, run: Callable[..., dict[str, Any]] = process, **options: Any) -> list[dict[str, Any]]:
+    """What a pruning call returns for each shape of input: case, ok, and the shapes of its results (list lengths, or the kind of a
+    single value), or the error. A smoke check for a scorer or a splitter before it meets a table."""
+    def shape(x: Any) -> Any:
+        return [shape(y) for y in x] if isinstance(x, list) else type(x).__name__
+
+    def like(given: Any, got: Any, level: int) -> bool:
+        return not isinstance(got, list) if level == 0 else isinstance(got, list) and len(got) == len(given) and all(like(g, x, level - 1) for g, x in zip(given, got))
+
+    out = []
+    for case, (question, context) in SHAPES.items():
+        try:
+            got = run(spark, question, context, **options)
+            level = {"str": 0, "nested": 2}.get(case, 1)
+            texts, scores = got["pruned_context"], got["reranking_score"]
+            out.append({"case": case, "ok": like(context, texts, level) and like(context, scores, level), "pruned_context": shape(texts), "reranking_score": shape(scores), "error": None})
+        except Exception as e:  # noqa: BLE001 - the check tells of any error
+            out.append({"case": case, "ok": False, "pruned_context": None, "reranking_score": None, "error": f"{type(e).__name__}: {e}"})
+    return out

@@ -242,7 +242,7 @@ def by_model(d: DataFrame, scorer: ModelScorer, stop: Callable[[Column], Column]
     return d.drop("ids_", "inputs_", "scored_", "ends_")
 
 
-def finish(d: DataFrame, threshold: float, always_select_title: bool = False, first_is_title: bool = False, use_best_reranker_score: bool = True, zero_score_when_empty: bool = True) -> DataFrame:
+def finish(d: DataFrame, threshold: float | Column, always_select_title: bool = False, first_is_title: bool = False, use_best_reranker_score: bool = True, zero_score_when_empty: bool = True) -> DataFrame:
     """From sentences, sentence_probabilities, block_scores and prefix_ to the pruned text; independent of the scorer, so a
     sweep over thresholds scores once."""
     over = F.transform("sentence_probabilities", lambda p: A.clip(p) > threshold)

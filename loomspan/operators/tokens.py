@@ -6,6 +6,8 @@ DataFrames join or group by a key.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,13 +134,39 @@ def span_labels(n: Column, spans: Column) -> Column:
     return F.concat(inside, fill(F.lit(IGNORED), n - before(F.size(spans))))
 
 
+def touched(tokens: Column, ranges: Column) -> Column:
+    """array<boolean>: for each token (array<struct<a, b>>) whether it overlaps one of the ranges (array<struct<a, b>>, in any order).
+    Ranges are merged and then found by their ends, so a long text costs no pairs of tokens and ranges."""
+
+    @F.arrow_udf("array<boolean>")
+    def run(tokens: pa.Array, ranges: pa.Array) -> pa.Array:
+        def columns(x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            flat = x.flatten()
+            return x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), flat.field("a").to_numpy(zero_copy_only=False), flat.field("b").to_numpy(zero_copy_only=False)
+
+        n, ta, tb = columns(tokens)
+        m, ra, rb = columns(ranges)
+        out, i, j = [np.zeros(0, bool)], 0, 0
+        for x, y in zip(n, m):
+            a, b = ra[j : j + y], rb[j : j + y]
+            a, b = a[b > a], b[b > a]
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])  # ends that only rise find the first range that reaches behind a token's start
+            k = np.searchsorted(b, ta[i : i + x], "right")
+            out.append((k < len(b)) & (np.append(a, np.iinfo(np.int64).max)[k] < tb[i : i + x]) & (tb[i : i + x] > ta[i : i + x]))
+            i, j = i + x, j + y
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(out)))
+
+    return run(tokens, ranges)
+
+
 def overlap_labels(tokens: Column, relevant: Column, document: Column | None = None) -> Column:
     """array<int>: 1 for tokens (array<struct<a, b>>) that touch a relevant range, 0 for others, -100 for those outside of the
     document's range (struct<a, b>), if one is given."""
-    touch = lambda t: F.exists(relevant, lambda r: (t["a"] < r["b"]) & (t["b"] > r["a"])).cast("int")
-    if document is None:
-        return F.transform(tokens, touch)
-    return F.transform(tokens, lambda t: F.when((t["a"] < document["a"]) | (t["b"] > document["b"]), F.lit(IGNORED)).otherwise(touch(t)))
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    hit = touched(bare(tokens), bare(relevant))
+    outside = (lambda t: F.lit(False)) if document is None else (lambda t: (t["a"] < document["a"]) | (t["b"] > document["b"]))
+    return F.zip_with(tokens, hit, lambda t, h: F.when(outside(t), F.lit(IGNORED)).otherwise(h.cast("int")))
 
 
 def block_inputs(query: Column, context: Column, start: int = 1, separator: int = 2) -> Column:

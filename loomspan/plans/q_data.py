@@ -124,13 +124,15 @@ def min_items_filter(spark, d):
 
 @query("null_query_skip", "SELECT doc_id FROM documents WHERE lang IS NOT NULL AND length(text) > 0")
 def null_query_skip(spark, d):
-    return load(spark, d, "documents").where("lang is not null and length(text) > 0").select("doc_id")
+    docs = load(spark, d, "documents").select("doc_id", "lang", F.filter(F.array("text"), lambda t: F.length(t) > 0).alias("texts"))
+    return D.asked(docs, "lang", "texts").select("doc_id")
 
 
 @query("attach_relevance", "SELECT d.doc_id, coalesce(CAST(l.toxic AS VARCHAR), '') AS relevance FROM documents d LEFT JOIN labels l USING (doc_id)")
 def attach_relevance(spark, d):
     l = load(spark, d, "labels").select("doc_id", F.array("toxic").alias("r"))
-    return load(spark, d, "documents").select("doc_id").join(l, "doc_id", "left").select("doc_id", F.array_join(F.transform(F.coalesce("r", F.array().cast("array<int>")), lambda x: x.cast("string")), ",").alias("relevance"))
+    met = D.attach_by_id(load(spark, d, "documents").select("doc_id"), l, "doc_id", "r")
+    return met.select("doc_id", F.array_join(F.transform("r", lambda x: x.cast("string")), ",").alias("relevance"))
 
 
 @query("zip_truncate", "SELECT doc_id, CAST(least(doc_id % 5, doc_id % 7) AS INT) AS n, array_to_string(list_transform(range(0, least(doc_id % 5, doc_id % 7)), lambda i: i || '-' || (i * 2)), ' ') AS zipped FROM documents")
@@ -144,7 +146,9 @@ def zip_truncate(spark, d):
 def unnest_passages(spark, d):
     """Positives and negatives as flat rows with their label."""
     c = load(spark, d, "conversations").where("role <> 'system'")
-    return c.select("conv_id", "turn", (F.col("role") == "assistant").cast("int").alias("label"), F.md5("text").alias("text_md5"))
+    side = lambda ok: F.array_sort(F.collect_list(F.when(ok, F.struct("turn", "text"))))
+    long = c.groupBy("conv_id").agg(side(F.col("role") == "assistant").alias("p"), side(F.col("role") != "assistant").alias("n"))
+    return D.unnest_passages(long, "p", "n", "conv_id").select("conv_id", "turn", "label", F.md5("text").alias("text_md5"))
 
 
 @query("dup_stats", "SELECT count(*) AS total, count(DISTINCT md5(text)) AS n_unique, count(*) - count(DISTINCT md5(text)) AS duplicates, CASE WHEN count(*) = 0 THEN 0.0 ELSE round((count(*) - count(DISTINCT md5(text))) / count(*), 6) END AS ratio FROM documents WHERE text IS NOT NULL")
@@ -180,8 +184,8 @@ def dup_histogram(spark, d):
 
 @query("group_by_query", "SELECT conv_id, count(*) AS n_rows, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def group_by_query(spark, d):
-    g = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    return g.select("conv_id", F.size("r").cast("long").alias("n_rows"), F.array_join(F.transform("r", lambda x: x["role"]), ",").alias("roles"))
+    g = D.rows_of_query(load(spark, d, "conversations"), "conv_id", "turn", "role", into="r")
+    return g.select("conv_id", F.col("n").alias("n_rows"), F.array_join(F.transform("r", lambda x: x["role"]), ",").alias("roles"))
 
 
 @query("flag_too_long", f"SELECT conv_id, max(length({d_strip("'T' || chr(10) || text")})) AS longest, max(length({d_strip("'T' || chr(10) || text")})) > 800 AS too_long FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
@@ -345,5 +349,5 @@ def collate_pairs(spark, d):
 
 @query("window_average", "SELECT conv_id, turn, round(avg(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean_last_10 FROM conversations")
 def window_average(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-9, 0)
-    return load(spark, d, "conversations").select("conv_id", "turn", F.round(F.avg(F.length("text")).over(w), 6).alias("mean_last_10"))
+    got = D.moving_average(load(spark, d, "conversations"), "conv_id", "turn", F.length("text"))
+    return got.select("conv_id", "turn", F.round("mean", 6).alias("mean_last_10"))

@@ -50,17 +50,22 @@ def eval_f2(spark, d):
     return s.select("query_idx", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f2")])
 
 
-@query("eval_dataset", f"WITH {EVALUATED[5:]}, z AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM conf), y AS (SELECT {F2_D} FROM z), m AS (SELECT avg(rate) AS rate, count(*) AS n FROM o) SELECT n AS contexts, round(rate, 4) AS mean_compression, round(acc, 6) AS accuracy, round(5 * p * r / nullif(4 * p + r, 0), 6) AS f2 FROM y, m")
+def mean_rate():
+    """The mean compression rate to four places, added up in whole millionths."""
+    return F.floor(F.sum(A.millionths(F.col("compression_rate"))) / F.count(F.lit(1)) / 100.0 + 0.5) / 10000
+
+
+@query("eval_dataset", f"WITH {EVALUATED[5:]}, z AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM conf), y AS (SELECT {F2_D} FROM z), m AS (SELECT floor(sum(CAST(floor(rate * 1000000 + 0.5) AS BIGINT)) / count(*) / 100.0 + 0.5) / 10000 AS rate, count(*) AS n FROM o) SELECT n AS contexts, rate AS mean_compression, round(acc, 6) AS accuracy, round(5 * p * r / nullif(4 * p + r, 0), 6) AS f2 FROM y, m")
 def eval_dataset(spark, d):
     e = evaluated(spark, d)
     ok = lambda g, p: F.sum(F.size(F.filter(F.arrays_zip("gold", "pred"), lambda x: (x["gold"] == g) & (x["pred"] == p)))).cast("long")
-    c = e.agg(ok(1, 1).alias("tp"), ok(0, 1).alias("fp"), ok(0, 0).alias("tn"), ok(1, 0).alias("fn"), F.count(F.lit(1)).alias("contexts"), F.round(F.avg("compression_rate"), 4).alias("mean_compression"))
+    c = e.agg(ok(1, 1).alias("tp"), ok(0, 1).alias("fp"), ok(0, 0).alias("tn"), ok(1, 0).alias("fn"), F.count(F.lit(1)).alias("contexts"), mean_rate().alias("mean_compression"))
     return E.scores(c).select("contexts", "mean_compression", F.round("accuracy", 6).alias("accuracy"), F.round("f2", 6).alias("f2"))
 
 
-@query("mean_compression", f"{PRUNED} SELECT round(avg(rate), 4) AS mean_compression FROM o")
+@query("mean_compression", f"{PRUNED} SELECT floor(sum(CAST(floor(rate * 1000000 + 0.5) AS BIGINT)) / count(*) / 100.0 + 0.5) / 10000 AS mean_compression FROM o")
 def mean_compression(spark, d):
-    return pruned(spark, d).agg(F.round(F.avg("compression_rate"), 4).alias("mean_compression"))
+    return pruned(spark, d).agg(mean_rate().alias("mean_compression"))
 
 
 @query("threshold_sweep", f"{PRUNED}, t AS (SELECT unnest([0.05, 0.1, 0.3, 0.5]) AS threshold) SELECT query_idx, CAST(threshold AS DOUBLE) AS threshold, CAST(sum(len(list_filter(probs, lambda x: x > threshold))) AS BIGINT) AS kept FROM o, t GROUP BY ALL")
@@ -137,9 +142,9 @@ def longdoc_original(spark, d):
     return E.original_records(longdocs(spark, d)).select("query_id", "doc_index", F.md5("pruned_text").alias("pruned_md5"), "reranking_score", "compression_rate")
 
 
-@query("longdoc_stats", f"{LONG_D} SELECT label, round(avg(score), 6) AS mean_score, count(*) AS n FROM o GROUP BY label")
+@query("longdoc_stats", f"{LONG_D} SELECT label, round(avg(score), 6) AS mean_score, floor(sum(CAST(floor(rate * 1000000 + 0.5) AS BIGINT)) / count(*) / 100.0 + 0.5) / 10000 AS mean_compression, count(*) AS n FROM o GROUP BY label")
 def longdoc_stats(spark, d):
-    return E.label_stats(E.long_records(long_pruned(spark, d)), "label", "reranking_score").withColumn("mean_score", F.round("mean_score", 6))
+    return E.label_stats(E.long_records(long_pruned(spark, d)), "label", "reranking_score", "compression_rate").withColumns({"mean_score": F.round("mean_score", 6), "mean_compression": F.floor(F.col("mean_compression") * 10000 + 0.5) / 10000})
 
 
 @query("report_top_queries", f"{LONG_D}, ranked AS (SELECT *, dense_rank() OVER (ORDER BY query_idx) AS q FROM o) SELECT query_idx AS query_id, context_idx AS doc_index, label, row_number() OVER (PARTITION BY query_idx ORDER BY label DESC, score DESC NULLS LAST, context_idx) AS place FROM ranked WHERE q <= 5")
@@ -247,13 +252,12 @@ def token_labels(spark, d):
     return x.select("doc_id", n(-100).alias("ignored"), n(1).alias("ones"), n(0).alias("zeros"))
 
 
-@query("token_labels_v1", f"{SPANS_D}, t AS (SELECT doc_id, unnest(range(0, 50)) AS i FROM (SELECT DISTINCT doc_id FROM spans)), h AS (SELECT t.doc_id, i, i < 1 AS outside, EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = t.doc_id AND rel = 1 AND i * 4 < s.b AND i * 4 + 4 > s.a) AS hit FROM t) SELECT doc_id, count(*) FILTER (WHERE outside) AS ignored, count(*) FILTER (WHERE NOT outside AND hit) AS ones, count(*) AS tokens FROM h GROUP BY doc_id")
+@query("token_labels_v1", f"{SPANS_D}, t AS (SELECT doc_id, unnest(range(0, CAST(ceil(max(b) / 4.0) AS BIGINT))) AS i FROM spans GROUP BY doc_id), hit AS (SELECT DISTINCT doc_id, unnest(range(CAST(a // 4 AS BIGINT), CAST((b - 1) // 4 + 1 AS BIGINT))) AS i FROM spans WHERE rel = 1 AND b > a) SELECT t.doc_id, count(*) FILTER (WHERE t.i < 1) AS ignored, count(*) FILTER (WHERE t.i >= 1 AND hit.i IS NOT NULL) AS ones, count(*) AS tokens FROM t LEFT JOIN hit ON hit.doc_id = t.doc_id AND hit.i = t.i GROUP BY t.doc_id")
 def token_labels_v1(spark, d):
-    """Offsets overlap: 50 tokens of four characters; those in front of the document are ignored, the document's are 0, and 1
-    where they touch a relevant span."""
-    x = spans(spark, d)
-    tokens = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.struct((i * 4).alias("a"), (i * 4 + 4).alias("b")))
-    document = F.struct(F.lit(4).alias("a"), F.lit(1 << 30).alias("b"))
-    x = P.staged(x, l=K.overlap_labels(tokens, F.filter("spans", lambda s: s["label"] == 1), document))
+    """Offsets overlap: tokens of four characters over the whole text; those in front of the document are ignored, the document's
+    are 0, and 1 where they touch a relevant span."""
+    x = P.staged(spans(spark, d), tok=K.pieces(F.array_max(F.transform("spans", lambda s: s["b"])), 4))
+    document = F.struct(F.lit(4).alias("a"), F.lit((1 << 31) - 1).alias("b"))
+    x = P.staged(x, l=K.overlap_labels(F.transform("tok", lambda t: F.struct(t["a"].alias("a"), (t["a"] + 4).alias("b"))), F.filter("spans", lambda s: s["label"] == 1), document))
     n = lambda v: F.size(F.filter("l", lambda y: y == v)).cast("long")
     return x.select("doc_id", n(-100).alias("ignored"), n(1).alias("ones"), F.size("l").cast("long").alias("tokens"))

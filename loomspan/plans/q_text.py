@@ -248,8 +248,8 @@ def ignore_reason_rule(spark, d):
 @query("norm_title", f"WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE ' ' || source END AS t, [' a', '', lang] AS l FROM documents) SELECT doc_id, nullif({d_strip('t')}, '') AS title, nullif(coalesce(array_to_string(list_filter(list_transform(l, lambda y: {d_strip('y')}), lambda y: y <> ''), ' '), ''), '') AS joined FROM x")
 def norm_title(spark, d):
     t = F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 3 == 1, "  ").otherwise(F.concat(F.lit(" "), "source"))
-    l = F.filter(F.transform(F.array(F.lit(" a"), F.lit(""), F.col("lang")), T.strip), lambda y: y != "")
-    return load(spark, d, "documents").select("doc_id", F.nullif(T.strip(t), F.lit("")).alias("title"), F.nullif(F.array_join(l, " "), F.lit("")).alias("joined"))
+    parts = F.array(F.lit(" a"), F.lit(""), F.col("lang"))
+    return load(spark, d, "documents").select("doc_id", T.title(t).alias("title"), T.title_of(parts).alias("joined"))
 
 
 @query("text_similarity", r"""WITH x AS (SELECT doc_id, trim(lower(regexp_replace(text, '[ \t\n\r\x0B\x0C]+', ' ', 'g'))) AS a, trim(lower(regexp_replace(substring(text, CAST(length(text) // 3 + 1 AS INT), CAST(length(text) // 3 AS INT)), '[ \t\n\r\x0B\x0C]+', ' ', 'g'))) AS b FROM documents WHERE text IS NOT NULL)

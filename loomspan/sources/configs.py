@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import warnings
-from dataclasses import dataclass, field, fields
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,111 +27,84 @@ def read(spark: SparkSession, path: str) -> Any:
     return parse(read_bytes(spark, path).decode())
 
 
-@dataclass(frozen=True)
-class DatasetSpec:
-    dataset_name: str
-    subset: str | None = None
-    split: str | None = None
-    n_samples: int | None = None
-
-    @property
-    def key(self) -> str:
-        return f"{self.dataset_name}:{self.subset}" if self.subset else self.dataset_name
-
-
-@dataclass(frozen=True)
-class EvalConfig:
-    datasets: list[DatasetSpec]
-    split: str = "test"
-
-
-def dataset_spec(raw: Any) -> DatasetSpec:
-    """A dataset by name alone, or as a mapping with dataset_name and what else is known."""
-    if isinstance(raw, str):
-        return DatasetSpec(raw)
-    if not isinstance(raw, dict):
-        raise TypeError(f"a dataset is a name or a mapping, not {raw!r}")
-    if "dataset_name" not in raw:
-        raise KeyError(f"no dataset_name in {raw}")
-    text = lambda k: None if raw.get(k) is None else str(raw[k])
-    return DatasetSpec(str(raw["dataset_name"]), text("subset"), text("split"), None if raw.get("n_samples") is None else int(raw["n_samples"]))
-
-
-def eval_config(payload: Any) -> EvalConfig:
-    """An evaluation's datasets, of which there must be one at least, and the split of those that name none."""
-    if not isinstance(payload, dict):
-        raise TypeError(f"an evaluation configuration is a mapping, not {type(payload).__name__}")
-    if not payload.get("datasets"):
-        raise ValueError("the evaluation configuration has no datasets")
-    return EvalConfig([dataset_spec(x) for x in payload["datasets"]], str(payload.get("split", "test")))
-
-
-def split_of(spec: DatasetSpec, config: EvalConfig, override: str | None = None) -> str:
-    """The dataset's own split, else the caller's, else the configuration's."""
-    return spec.split or override or config.split
-
-
-@dataclass
-class ModelArguments:
-    model_name_or_path: str | None = None
-    classifier_dropout: float = 0.1
-    max_length: int = 512
-    config_name: str | None = None
-    tokenizer_name: str | None = None
-    cache_dir: str | None = None
-
-
-@dataclass
-class DataArguments:
-    dataset_name: str | None = None
-    subset: str | None = None
-    teacher_column: str | None = None
-    max_train_samples: int | None = None
-    max_eval_samples: int | None = None
-    validation_split: float | None = None
-    validation_split_samples: int | None = None
-    validation_split_name: str = "validation"
-    preprocessing_num_workers: int | None = None
-    datasets: list | None = None
-    items: int | None = None
-    filter_zero_relevance_max_items: int | None = None
-    filter_zero_relevance_max_items_reverse: bool = False
-    filter_keep_first_item: bool = False
-    upsample_factor: float | None = None
-
-
-@dataclass
-class TrainingArguments:
-    """What bears on data; other training settings are kept as they are in `more`."""
-
-    output_dir: str | None = None
-    num_train_epochs: float = 1
-    per_device_train_batch_size: int = 32
-    per_device_eval_batch_size: int = 16
-    learning_rate: float = 5e-5
-    eval_steps: int | None = None
-    logging_steps: int | None = None
-    save_steps: int | None = None
-    eval_datasets: Any = None
-    resume_from_checkpoint: str | None = None
-    more: dict[str, Any] = field(default_factory=dict)
-
-
-def training_config(payload: dict[str, Any]) -> tuple[ModelArguments, DataArguments, TrainingArguments]:
-    """The three sections model_args, data_args and training_args. `checkpoint` stands for resume_from_checkpoint, which wins
-    with a warning if both are set and differ."""
-    def known(kind: type, section: dict[str, Any]) -> dict[str, Any]:
-        names = {f.name for f in fields(kind)} - {"more"}
-        return {k: v for k, v in section.items() if k in names}
-
-    model, data, training = (payload.get(k) or {} for k in ("model_args", "data_args", "training_args"))
-    args = TrainingArguments(**known(TrainingArguments, training))
-    alias = training.get("checkpoint")
-    if alias and args.resume_from_checkpoint and alias != args.resume_from_checkpoint:
-        warnings.warn("checkpoint and resume_from_checkpoint differ: the latter is used", stacklevel=2)
-    args.resume_from_checkpoint = args.resume_from_checkpoint or alias
-    args.more = {k: v for k, v in training.items() if k not in known(TrainingArguments, training) and k != "checkpoint"}
-    return ModelArguments(**known(ModelArguments, model)), DataArguments(**known(DataArguments, data)), args
+class ConfigError(ValueError):
+    """What is wrong with a configuration, and where."""
+
+
+REQUIRED = object()
+
+# Keys, kinds and defaults of the two formats. A list stands for a list of such mappings; a mapping that
+# may be given by one key's value alone names that key under "".
+EVALUATED = {"": "dataset_name", "dataset_name": (str, REQUIRED), "subset": (str, None), "split": (str, None), "n_samples": (int, None)}
+EVALUATION = {"datasets": ([EVALUATED], REQUIRED), "split": (str, "test")}
+MIXED = {
+    "dataset_name": (str, REQUIRED), "subset": (str, None), "teacher_column": (str, "teacher_score"), "items": (int, None),
+    "upsample_factor": (float, None), "n_samples": (float, None),
+}
+MIX = {
+    "datasets": ([MIXED], None), "dataset_name": (str, None), "subset": (str, None), "teacher_column": (str, None), "items": (int, None),
+    "upsample_factor": (float, None), "filter_zero_relevance_max_items": (int, None), "filter_zero_relevance_max_items_reverse": (bool, False),
+    "filter_keep_first_item": (bool, False), "validation_split": (float, None), "validation_split_samples": (int, None),
+    "validation_split_name": (str, "validation"), "max_train_samples": (int, None), "max_eval_samples": (int, None),
+}
+TRAINING = {"model_args": (dict, {}), "data_args": (MIX, REQUIRED), "training_args": (dict, {})}
+
+
+def checked(value: Any, kind: Any, at: str = "") -> Any:
+    """The value as `kind` says: a mapping by a table of keys, a list of such, or a plain kind. Keys that the table doesn't have
+    are left out with a warning; anything else that doesn't fit is a ConfigError that names its place."""
+    if isinstance(kind, list):
+        if not isinstance(value, list) or not value:
+            raise ConfigError(f"{at or 'the configuration'} is a list with one entry at least")
+        return [checked(v, kind[0], f"{at}[{i}]") for i, v in enumerate(value)]
+    if isinstance(kind, dict):
+        if "" in kind and isinstance(value, str):
+            value = {kind[""]: value}
+        if not isinstance(value, dict):
+            raise ConfigError(f"{at or 'the configuration'} is a mapping, not {type(value).__name__}")
+        names = {k: v for k, v in kind.items() if k}
+        place = lambda k: f"{at}.{k}" if at else k
+        for k in value.keys() - names.keys():
+            warnings.warn(f"{place(k)} is not known and has no effect", stacklevel=3)
+        out = {}
+        for k, (inner, default) in names.items():
+            given = value.get(k)
+            if given is None and default is REQUIRED:
+                raise ConfigError(f"{place(k)} is missing")
+            out[k] = default if given is None else checked(given, inner, place(k))
+        return out
+    if kind is dict:
+        if not isinstance(value, dict):
+            raise ConfigError(f"{at} is a mapping")
+        return value
+    if kind is bool and not isinstance(value, bool):
+        raise ConfigError(f"{at} is true or false")
+    try:
+        return kind(value)
+    except (TypeError, ValueError) as e:
+        raise ConfigError(f"{at} is {kind.__name__}, not {value!r}") from e
+
+
+def evaluation_plan(payload: Any, split: str | None = None) -> list[dict[str, Any]]:
+    """The datasets of an evaluation, each with its key (name, or name:subset) and its split: its own, else the caller's, else the
+    configuration's."""
+    plan = checked(payload, EVALUATION)
+    key = lambda d: d["dataset_name"] + (f":{d['subset']}" if d["subset"] else "")
+    return [{**d, "key": key(d), "split": d["split"] or split or plan["split"]} for d in plan["datasets"]]
+
+
+def mix_plan(payload: Any) -> dict[str, Any]:
+    """The data section of a training configuration, with one dataset at least: those listed, or the one it names itself. A
+    dataset's own `items` and `upsample_factor` go before the section's."""
+    plan = checked(payload, TRAINING)["data_args"]
+    listed = plan["datasets"]
+    if not listed:
+        if not plan["dataset_name"]:
+            raise ConfigError("data_args has neither datasets nor dataset_name")
+        listed = [checked({k: plan[k] for k in MIXED if plan.get(k) is not None}, MIXED, "data_args")]
+    inherit = lambda d, k: d[k] if d[k] is not None else plan[k]
+    plan["datasets"] = [{**d, "items": inherit(d, "items"), "upsample_factor": inherit(d, "upsample_factor")} for d in listed]
+    return plan
 
 
 def ignore_list(spark: SparkSession, payload: Any, lang: str) -> DataFrame:

@@ -40,6 +40,32 @@ def test_frequency_filter_equals_sequential(spark, limit):
     assert {r["idx"]: (r["dup_count"], r["kept"]) for r in got} == sequential(data, limit)
 
 
+@pytest.mark.parametrize("limit,at_once", [(0, 7), (1, 40), (2, 3), (5, 1)])
+def test_frequency_filter_in_ranges(spark, limit, at_once):
+    """Many small ranges, rows that share much, against the rows one after another."""
+    rng = random.Random(at_once)
+    data = [(i * 3 - 50, [rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(0, 5))]) for i in range(150)]
+    seen, want = set(), []
+    for i, texts in sorted(data):
+        n = sum(t in seen for t in texts)
+        want.append((i, n, n <= limit))
+        if n <= limit:
+            seen |= set(texts)
+    left = []
+    got = D.frequency_filter(spark.createDataFrame(data, "idx long, texts array<string>").repartition(3), limit, at_once=at_once, after_round=left.append)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert left[-1] == 0 and left == sorted(left, reverse=True)
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    """Each row depends on the one before; every other one goes."""
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").alias("idx"), F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string")).alias("texts"))
+    left = []
+    got = D.frequency_filter(chain, 0, at_once=20_000, after_round=left.append)
+    assert got.where("kept").count() == n // 2 and got.where("kept <> (idx % 2 = 0)").count() == 0 and len(left) < 20
+
+
 def test_frequency_filter_by_hand(spark):
     df = spark.createDataFrame([(1, ["a"]), (2, ["a"]), (3, ["b", "a"])], "idx long, texts array<string>")
     kept = lambda n: [r["idx"] for r in D.frequency_filter(df, n).where("kept").orderBy("idx").collect()]
@@ -270,28 +296,47 @@ def test_filtered(spark, tmp_path):
     assert (tmp_path / "g/drop_ids.txt").exists()
 
 
-def test_configs(spark):
-    c = configs.eval_config(configs.parse('{"datasets": ["a", {"dataset_name": "b", "subset": "s", "split": "dev", "n_samples": "5"}]}'))
-    assert [configs.split_of(x, c, o) for x in c.datasets for o in (None, "x")] == ["test", "x", "dev", "dev"] and c.datasets[1].n_samples == 5 and c.datasets[1].key == "b:s"
-    assert configs.eval_config({"datasets": ["a"], "split": "dev"}).split == "dev"
-    for bad, kind in (([], TypeError), ({}, ValueError), ({"datasets": [{}]}, KeyError), ({"datasets": [3]}, TypeError)):
-        with pytest.raises(kind):
-            configs.eval_config(bad)
-    m, d, t = configs.training_config({"model_args": {"max_length": 64}, "data_args": {"items": 3, "odd": 1}, "training_args": {"checkpoint": "c", "bf16": True}})
-    assert m.max_length == 64 and d.items == 3 and t.resume_from_checkpoint == "c" and t.more == {"bf16": True}
-    with pytest.warns(UserWarning):
-        assert configs.training_config({"training_args": {"checkpoint": "c", "resume_from_checkpoint": "r"}})[2].resume_from_checkpoint == "r"
+def test_evaluation_plan():
+    raw = configs.parse('{"datasets": ["a", {"dataset_name": "b", "subset": "s", "split": "dev", "n_samples": "5"}]}')
+    told = lambda split=None: [(d["key"], d["split"], d["n_samples"]) for d in configs.evaluation_plan(raw, split)]
+    assert told() == [("a", "test", None), ("b:s", "dev", 5)] and told("x") == [("a", "x", None), ("b:s", "dev", 5)]
+    assert configs.evaluation_plan({"datasets": ["a"], "split": "dev"})[0]["split"] == "dev"
+    bad = {"is a mapping, not list": [], "datasets is missing": {}, "one entry at least": {"datasets": []}, r"datasets\[1\].dataset_name is missing": {"datasets": ["a", {}]}, r"datasets\[0\] is a mapping, not int": {"datasets": [3]}, "n_samples is int": {"datasets": [{"dataset_name": "a", "n_samples": "many"}]}}
+    for message, payload in bad.items():
+        with pytest.raises(configs.ConfigError, match=message):
+            configs.evaluation_plan(payload)
+    with pytest.warns(UserWarning, match=r"datasets\[0\].odd"):
+        configs.evaluation_plan({"datasets": [{"dataset_name": "a", "odd": 1}]})
+
+
+def test_mix_plan():
+    plan = configs.mix_plan({"data_args": {"items": 3, "datasets": [{"dataset_name": "a"}, {"dataset_name": "b", "items": 5, "n_samples": 0.5}]}, "training_args": {"bf16": True}})
+    assert [(d["dataset_name"], d["items"], d["n_samples"]) for d in plan["datasets"]] == [("a", 3, None), ("b", 5, 0.5)]
+    alone = configs.mix_plan({"data_args": {"dataset_name": "a", "subset": "s", "teacher_column": "t"}})
+    assert [(d["dataset_name"], d["subset"], d["teacher_column"]) for d in alone["datasets"]] == [("a", "s", "t")]
+    for payload in ({}, {"data_args": {}}, {"data_args": {"dataset_name": "a", "filter_keep_first_item": "yes"}}):
+        with pytest.raises(configs.ConfigError):
+            configs.mix_plan(payload)
+
+
+def test_ignore_lists(spark):
     lists = {"en": [{"qid": 1, "reason": " r "}, {"reason": "x"}, {"qid": "2"}]}
     assert rows(configs.ignore_list(spark, lists, "en"), "qid", "reason") == [("1", "r"), ("2", "")] and configs.ignore_list(spark, None, "jp").count() == 0
     merged = configs.merge_ignore_list(lists, "en", [{"qid": 2, "reason": "new"}, {"qid": 7}])
     assert [str(e["qid"]) for e in merged["en"]] == ["1", "2", "7"] and merged["en"][1]["reason"] == "new"
 
 
+def test_files_of_configurations(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"split": "dev", "datasets": ["a", {"dataset_name": "b"}]}')
+    plan = configs.evaluation_plan(configs.read(spark, f"file://{tmp_path}/c.json"))
+    assert [(d["key"], d["split"]) for d in plan] == [("a", "dev"), ("b", "dev")]
+
+
 def test_yaml(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "c.yaml").write_text("split: dev\ndatasets:\n  - a\n  - dataset_name: b\n")
-    c = configs.eval_config(configs.read(spark, f"file://{tmp_path}/c.yaml"))
-    assert c.split == "dev" and [x.dataset_name for x in c.datasets] == ["a", "b"]
+    plan = configs.evaluation_plan(configs.read(spark, f"file://{tmp_path}/c.yaml"))
+    assert [(d["key"], d["split"]) for d in plan] == [("a", "dev"), ("b", "dev")]
 
 
 def test_reports(spark, tmp_path):
