@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import arrays as A
@@ -135,11 +134,14 @@ def attach_relevance(spark, d):
     return met.select("doc_id", F.array_join(F.transform("r", lambda x: x.cast("string")), ",").alias("relevance"))
 
 
-@query("zip_truncate", "SELECT doc_id, CAST(least(doc_id % 5, doc_id % 7) AS INT) AS n, array_to_string(list_transform(range(0, least(doc_id % 5, doc_id % 7)), lambda i: i || '-' || (i * 2)), ' ') AS zipped FROM documents")
+@query("zip_truncate", """WITH c AS (SELECT conv_id, coalesce(list(length(text) ORDER BY turn) FILTER (WHERE role = 'user' AND text IS NOT NULL), []) AS a, coalesce(list(length(text) ORDER BY turn) FILTER (WHERE role = 'assistant' AND text IS NOT NULL), []) AS b FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(least(len(a), len(b)) AS INT) AS n, coalesce(array_to_string(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] || '-' || b[i]), ' '), '') AS zipped FROM c""")
 def zip_truncate(spark, d):
-    a, b = (A.indices((F.col("doc_id") % k).cast("int")) for k in (5, 7))
-    z = load(spark, d, "documents").select("doc_id", A.zip_shortest(a, F.transform(b, lambda i: i * 2)).alias("z"))
-    return z.select("doc_id", F.size("z").alias("n"), F.array_join(F.transform("z", lambda x: F.concat_ws("-", x["a"].cast("string"), x["b"].cast("string"))), " ").alias("zipped"))
+    """Lengths of a conversation's user turns beside those of its assistant turns, as far as both go."""
+    side = lambda role: F.transform(F.array_sort(F.collect_list(F.when((F.col("role") == role) & F.col("text").isNotNull(), F.struct("turn", "text")))), lambda x: F.length(x["text"]))
+    c = load(spark, d, "conversations").groupBy("conv_id").agg(side("user").alias("a"), side("assistant").alias("b"))
+    z = c.select("conv_id", A.zip_shortest(F.col("a"), F.col("b")).alias("z"))
+    return z.select("conv_id", F.size("z").alias("n"), F.array_join(F.transform("z", lambda x: F.concat_ws("-", x["a"].cast("string"), x["b"].cast("string"))), " ").alias("zipped"))
 
 
 @query("unnest_passages", "SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS label, md5(text) AS text_md5 FROM conversations WHERE role <> 'system'")
@@ -216,12 +218,14 @@ def item_relevance(spark, d):
     return x.select("doc_id", F.size("r").cast("long").alias("n_items"), F.round(F.aggregate("m", F.lit(0.0), lambda a, v: a + v), 6).alias("mean_sum"), F.size(F.filter("r", lambda v: F.exists(v, lambda y: y != 0))).cast("long").alias("n_nonzero"))
 
 
-REL_D = "list_transform(range(0, doc_id % 9), lambda i: (doc_id * 3 + i * i) % 4)"
+#: Numbers of each document's sentences: how many commas they have.
+COMMAS_D = f"s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {PARTS_D} AS p FROM s), x AS (SELECT doc_id, p, list_transform(p, lambda y: CAST(len(regexp_extract_all(y, ',')) AS INT)) AS r FROM p)"
 
 
-def relevance(spark, d):
-    r = F.transform(A.indices((F.col("doc_id") % 9).cast("int")), lambda i: ((F.col("doc_id") * 3 + i * i) % 4).cast("int"))
-    return load(spark, d, "documents").select("doc_id", r.alias("r"))
+def commas(spark, d):
+    """doc_id, p (sentences) and r (their commas)."""
+    docs = spread(load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")))
+    return P.staged(docs, p=T.split_generic(F.col("t"))).select("doc_id", "p", F.transform("p", lambda x: F.regexp_count(x, F.lit(","))).alias("r"))
 
 
 @query("filter_items", f"WITH {ITEMS_D}, e AS (SELECT doc_id, unnest(r) AS v, generate_subscripts(r, 1) AS i FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(list_sum(v) / len(v), 9) DESC, i) AS n, count(*) OVER (PARTITION BY doc_id) AS c FROM e WHERE list_sum(v) > 0) SELECT doc_id, string_agg('t' || (i - 1), ',' ORDER BY i) AS items FROM k WHERE n <= 3 AND c >= 3 GROUP BY doc_id")
@@ -241,13 +245,14 @@ def filter_items_keep_first(spark, d):
 def items_sql(labels: bool) -> str:
     group = "CASE WHEN r[i + 1] = 1 THEN 0 ELSE 1 END" if labels else "1"
     key = "CASE WHEN r[i + 1] = 1 THEN lpad(CAST(i AS VARCHAR), 10, '0') ELSE md5('7:' || doc_id || ':' || i) END" if labels else "md5('7:' || doc_id || ':' || i)"
-    return f"WITH x AS (SELECT doc_id, {REL_D} AS r FROM documents), e AS (SELECT doc_id, r, unnest(range(0, len(r))) AS i FROM x WHERE len(r) >= 4), k AS (SELECT doc_id, i, r[i + 1] AS v, row_number() OVER (PARTITION BY doc_id ORDER BY {group}, {key}, i) AS n FROM e) SELECT doc_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS labels, string_agg('t' || i, ',' ORDER BY i) AS texts FROM k WHERE n <= 4 GROUP BY doc_id"
+    return f"WITH {COMMAS_D}, e AS (SELECT doc_id, r, p, unnest(range(0, len(r))) AS i FROM x WHERE len(r) >= 4), k AS (SELECT doc_id, i, r[i + 1] AS v, p[i + 1] AS t, row_number() OVER (PARTITION BY doc_id ORDER BY {group}, {key}, i) AS n FROM e) SELECT doc_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS labels, md5(string_agg(t, chr(31) ORDER BY i)) AS texts_md5 FROM k WHERE n <= 4 GROUP BY doc_id"
 
 
 def items(spark, d, labels):
-    x = relevance(spark, d).select("doc_id", F.col("r").alias("labels"), F.transform("r", lambda v, i: F.concat(F.lit("t"), i.cast("string"))).alias("texts"))
+    """Four sentences of each document, those with one comma first where that is the label."""
+    x = commas(spark, d).select("doc_id", F.col("r").alias("labels"), F.col("p").alias("texts"))
     got = D.sample_items(x, 4, ["labels", "texts"] if labels else ["texts", "labels"], 7, "doc_id", "labels" if labels else None)
-    return got.select("doc_id", F.array_join(F.transform("labels", lambda v: v.cast("string")), ",").alias("labels"), F.array_join("texts", ",").alias("texts"))
+    return got.select("doc_id", F.array_join(F.transform("labels", lambda v: v.cast("string")), ",").alias("labels"), F.md5(F.array_join("texts", "\x1f")).alias("texts_md5"))
 
 
 query("sample_items", items_sql(True))(lambda spark, d: items(spark, d, True))
@@ -323,21 +328,22 @@ def ignore_flags(spark, d):
     return L.ignore_flags(passages, 600)
 
 
-@query("norm_relevance", f"WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE {REL_D} END AS v FROM documents) SELECT doc_id, array_to_string(list_transform(range(0, 4), lambda i: CASE WHEN v IS NULL THEN 0 WHEN len(v) = 4 THEN CASE WHEN v[i + 1] <> 0 THEN 1 ELSE 0 END WHEN list_contains(v, i) THEN 1 ELSE 0 END), '') AS flags FROM x")
+@query("norm_relevance", f"WITH {COMMAS_D}, y AS (SELECT x.doc_id, CASE WHEN lang IS NULL THEN NULL ELSE r END AS v FROM x JOIN documents USING (doc_id)) SELECT doc_id, array_to_string(list_transform(range(0, 4), lambda i: CASE WHEN v IS NULL THEN 0 WHEN len(v) = 4 THEN CASE WHEN v[i + 1] <> 0 THEN 1 ELSE 0 END WHEN list_contains(v, i) THEN 1 ELSE 0 END), '') AS flags FROM y")
 def norm_relevance(spark, d):
-    v = F.when(F.col("doc_id") % 5 != 0, F.col("r"))
-    return relevance(spark, d).select("doc_id", F.array_join(F.transform(A.norm_relevance(v, F.lit(4)), lambda x: x.cast("string")), "").alias("flags"))
+    """Commas of a document's sentences as relevance of four places: a mask where there are four sentences, else indices."""
+    x = commas(spark, d).join(load(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    v = F.when(F.col("lang").isNotNull(), F.col("r"))
+    return x.select("doc_id", F.array_join(F.transform(A.norm_relevance(v, F.lit(4)), lambda y: y.cast("string")), "").alias("flags"))
 
 
-@query("mask_to_indices", f"WITH x AS (SELECT doc_id, list_transform({REL_D}, lambda y: y % (1 + doc_id % 3)) AS v FROM documents) SELECT doc_id, coalesce(array_to_string(CASE WHEN len(v) = 4 AND len(list_filter(v, lambda y: y > 1)) = 0 THEN list_transform(list_filter(range(0, 4), lambda i: v[i + 1] = 1), lambda i: CAST(i AS BIGINT)) ELSE v END, ','), '') AS indices FROM x")
+@query("mask_to_indices", f"WITH {COMMAS_D} SELECT doc_id, coalesce(array_to_string(CASE WHEN len(r) = 4 AND len(list_filter(r, lambda y: y > 1)) = 0 THEN list_transform(list_filter(range(0, 4), lambda i: r[i + 1] = 1), lambda i: CAST(i AS INT)) ELSE r END, ','), '') AS indices FROM x")
 def mask_to_indices(spark, d):
-    v = F.transform("r", lambda y: (y % (1 + F.col("doc_id") % 3)).cast("int"))
-    return relevance(spark, d).select("doc_id", v.alias("v")).select("doc_id", F.array_join(F.transform(A.mask_to_indices(F.col("v"), F.lit(4)), lambda x: x.cast("string")), ",").alias("indices"))
+    return commas(spark, d).select("doc_id", F.array_join(F.transform(A.mask_to_indices(F.col("r"), F.lit(4)), lambda x: x.cast("string")), ",").alias("indices"))
 
 
-@query("to_flags", f"WITH x AS (SELECT doc_id, {REL_D} AS v FROM documents) SELECT doc_id, array_to_string(list_transform(range(0, 5), lambda i: CASE WHEN list_contains(v, i) THEN 1 ELSE 0 END), '') AS flags FROM x")
+@query("to_flags", f"WITH {COMMAS_D} SELECT doc_id, array_to_string(list_transform(range(0, 5), lambda i: CASE WHEN list_contains(r, i) THEN 1 ELSE 0 END), '') AS flags FROM x")
 def to_flags(spark, d):
-    return relevance(spark, d).select("doc_id", F.array_join(F.transform(A.to_flags(F.col("r"), F.lit(5)), lambda x: x.cast("string")), "").alias("flags"))
+    return commas(spark, d).select("doc_id", F.array_join(F.transform(A.to_flags(F.col("r"), F.lit(5)), lambda x: x.cast("string")), "").alias("flags"))
 
 
 @query("collate_pairs", f"WITH {ITEMS_D}, x AS (SELECT doc_id, list_transform(r, lambda v: list_sum(v)) AS r FROM r), e AS (SELECT doc_id, unnest(r) AS label, generate_subscripts(r, 1) - 1 AS doc_index, len(r) AS docs_per_query FROM x) SELECT doc_id AS batch_index, doc_index, CAST(label AS DOUBLE) AS target, docs_per_query FROM e")

@@ -307,16 +307,21 @@ def merge_ranges(spark, d):
     return K.merged_rows(k.select("doc_id", F.col("i").cast("long").alias("a"), (F.col("i") + 1).cast("long").alias("b")), "doc_id")
 
 
-@query("sigmoid_softmax", "SELECT doc_id, round(1 / (1 + exp(-x)), 6) AS score, round(1 / (1 + exp(y - x)), 6) AS keep FROM (SELECT doc_id, (doc_id % 21 - 10) / 2.0 AS x, (doc_id % 13 - 6) / 2.0 AS y FROM documents)")
+@query("sigmoid_softmax", "SELECT vec_id, round(1 / (1 + exp(-x)), 6) AS score, round(1 / (1 + exp(y - x)), 6) AS keep FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)")
 def sigmoid_softmax(spark, d):
-    x, y = (F.col("doc_id") % 21 - 10) / 2.0, (F.col("doc_id") % 13 - 6) / 2.0
-    return load(spark, d, "documents").select("doc_id", F.round(A.sigmoid(x), 6).alias("score"), F.round(A.keep_probability(y, x), 6).alias("keep"))
+    """A vector's first two numbers as logits."""
+    x, y = (F.get("embedding", F.lit(i)).cast("double") for i in (0, 1))
+    return load(spark, d, "embeddings").select("vec_id", F.round(A.sigmoid(x), 6).alias("score"), F.round(A.keep_probability(y, x), 6).alias("keep"))
 
 
-@query("subsequence_find", "WITH x AS (SELECT doc_id, list_transform(range(0, 20), lambda i: (doc_id + i * i) % 5) AS h, [CAST(doc_id % 5 AS BIGINT), (doc_id + 1) % 5] AS n FROM documents) SELECT doc_id, CAST(coalesce(list_filter(range(0, 19), lambda i: h[i + 1] = n[1] AND h[i + 2] = n[2])[1], -1) AS INT) AS found, -1 AS none FROM x")
+@query("subsequence_find", "SELECT conv_id, turn, CAST(strpos(text, substring(text, CAST(length(text) // 2 + 1 AS INT), 5)) - 1 AS INT) AS found, CAST(strpos(text, role) - 1 AS INT) AS of_role, -1 AS none FROM conversations WHERE length(text) >= 20 AND length(role) > 0")
 def subsequence_find(spark, d):
-    h = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: (F.col("doc_id") + i * i) % 5)
-    return load(spark, d, "documents").select("doc_id", A.find(h, F.array(F.col("doc_id") % 5, (F.col("doc_id") + 1) % 5)).alias("found"), A.find(h, F.array().cast("array<bigint>")).alias("none"))
+    """Where the ids of five characters from a turn's middle, and those of its role, first occur among the ids of its text."""
+    c = spread(load(spark, d, "conversations").where("length(text) >= 20 and length(role) > 0").select("conv_id", "turn", "role", "text"))
+    c = P.staged(c, h=K.tokenize(F.col("text")), r=K.tokenize(F.col("role")))
+    half = F.floor(F.size("h") / 2).cast("int")
+    none = A.find(F.col("h"), F.array().cast("array<int>"))
+    return c.select("conv_id", "turn", A.find(F.col("h"), F.slice("h", half + 1, F.lit(5))).alias("found"), A.find(F.col("h"), F.col("r")).alias("of_role"), none.alias("none"))
 
 
 @query("tokenize", "WITH e AS (SELECT doc_id, length(text) AS n, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents WHERE length(text) > 0) SELECT doc_id, n AS n_tokens, CAST(sum(unicode(c)) AS BIGINT) AS id_sum FROM e GROUP BY ALL")

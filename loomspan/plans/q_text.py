@@ -190,15 +190,12 @@ def text_md5(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5("text").alias("text_md5"))
 
 
-REPLY_D = "'keep [1], 3 and 3; not ' || (doc_id % 9) || ', 99999999999999999999 or 0'"
-
-
-@query("parse_indices", f"""WITH r AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform({d_all(REPLY_D, '[0-9]+')}, lambda x: TRY_CAST(x AS BIGINT) - 1), lambda i: i IS NOT NULL AND i >= 0 AND i < 6))) AS p FROM documents)
-SELECT doc_id, array_to_string(p, ',') AS indices, array_to_string(list_transform(range(0, 6), lambda i: CASE WHEN list_contains(p, i) THEN 1 ELSE 0 END), ',') AS flags FROM r""")
+@query("parse_indices", f"""WITH r AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform({d_all("coalesce(text, '')", '[0-9]+')}, lambda x: TRY_CAST(x AS BIGINT) - 1), lambda i: i IS NOT NULL AND i >= 0 AND i < 60))) AS p FROM documents)
+SELECT doc_id, coalesce(array_to_string(p, ','), '') AS indices, array_to_string(list_transform(range(0, 60), lambda i: CASE WHEN list_contains(p, i) THEN 1 ELSE 0 END), ',') AS flags FROM r""")
 def parse_indices(spark, d):
-    reply = F.concat(F.lit("keep [1], 3 and 3; not "), (F.col("doc_id") % 9).cast("string"), F.lit(", 99999999999999999999 or 0"))
-    got = load(spark, d, "documents").select("doc_id", A.parse_indices(reply, F.lit(6)).alias("p"))
-    return got.select("doc_id", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("indices"), F.array_join(F.transform(A.to_flags(F.col("p"), F.lit(6)), lambda x: x.cast("string")), ",").alias("flags"))
+    """The numbers of each document's text as places among sixty."""
+    got = P.staged(load(spark, d, "documents").select("doc_id", "text"), p=A.parse_indices(F.coalesce("text", F.lit("")), F.lit(60)))
+    return got.select("doc_id", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("indices"), F.array_join(F.transform(A.to_flags(F.col("p"), F.lit(60)), lambda x: x.cast("string")), ",").alias("flags"))
 
 
 PARTS_D = d_stripped(d_all("t", GENERIC_D), "t")
