@@ -4,11 +4,13 @@
    of documents send their distinct minimizers to key buckets; those that occur in one document only can't lie
    in a recurring window. The runs of windows around the other ones are the candidate passages.
 2. Compile. Buckets send each distinct candidate, its words and the least and largest doc_id that hold it, to
-   the minimizer's shard. A shard codes the words, compared byte by byte, as characters, and compiles the
-   stretches of windows that several documents seem to hold into its Aho-Corasick automaton.
+   the minimizer's shard. A shard codes the words, compared byte by byte, as characters. The windows that several
+   documents seem to hold make up passages, windows none of which occurs without the others, and these are
+   compiled into the shard's Aho-Corasick automaton.
 3. Stream. Every candidate of every document that reached the shard runs through the automaton. Its
-   occurrences say which documents hold each window, hence the least doc_id that does; each bucket gets back
-   the windows of its candidates with that holder, and removes the words of those whose holder has a smaller id.
+   occurrences alone say where a passage stands, hence the least doc_id that holds its windows; each bucket gets
+   back the windows of its candidates with that holder, and removes the words of those whose holder has a smaller id.
+   Other words of a document hold no minimizer that recurs, so no passage can begin among them.
 
 A document meets exactly the shards of its minimizers, so streaming costs no more than the text that recurs.
 A minimizer with more than `hot` candidates would gather one shard's load: its windows go one by one to shards
@@ -118,9 +120,32 @@ class Bucket:
         return out
 
 
-def occurrences(code: np.ndarray, begin: np.ndarray, size: np.ndarray, stretch: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All occurrences of the stretches [first word, behind the last) in the pieces, found by an automaton compiled from
-    them: (first word of an occurrence, where its pattern stands, words). Words are one or two characters each; two
+def passages(at: np.ndarray, piece: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, windows) of the passages that the windows at `at` make up, in their pieces, by hashes h.
+
+    A window and the next one belong to one passage if neither occurs without the other: in every place the one is followed
+    by the other, and the other follows the one. So each distinct window is in one passage, which occurs wherever the window
+    does. First occurrences of a passage's windows lie one behind the other.
+    """
+    _, first, name = np.unique(h, return_index=True, return_inverse=True)
+    beside = (np.diff(at) == 1) & (np.diff(piece) == 0)
+    after = np.where(np.append(beside, False), np.append(name[1:], -1), -1)
+    front = np.where(np.concatenate([[False], beside]), np.concatenate([[-1], name[:-1]]), -1)
+    low, high = (np.full((2, len(first)), x) for x in (len(first), -2))
+    for i, other in enumerate((after, front)):
+        np.minimum.at(low[i], name, other)
+        np.maximum.at(high[i], name, other)
+    only = np.where((low == high) & (low >= 0), low, -1)  # the one name behind, the one in front
+    first.sort()
+    one = name[first]
+    joined = np.concatenate([[False], (np.diff(first) == 1) & (only[0][one[:-1]] == one[1:]) & (only[1][one[1:]] == one[:-1])])
+    new = np.flatnonzero(~joined)
+    return at[first[new]], np.diff(np.append(new, len(first)))
+
+
+def occurrences(code: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All occurrences in the pieces of the stretches of `words` words from `at` on, found by an automaton compiled from them:
+    (first word of an occurrence, number of its pattern, words of each pattern). Words are one or two characters each; two
     alphabets that differ by place keep matches on words' starts."""
     import ahocorasick
 
@@ -136,20 +161,18 @@ def occurrences(code: np.ndarray, begin: np.ndarray, size: np.ndarray, stretch:
     for i, c in enumerate(cols):
         flat[place + i] = np.where(c < 0xD800, c, c + 0x800)
     text = flat.astype("<u4").tobytes().decode("utf-32-le")
-    patterns: dict[str, int] = {}
-    for s, e in stretch:
-        patterns.setdefault(text[place[s] : place[e - 1] + width], s)
-    auto = ahocorasick.Automaton()
+    patterns = dict.fromkeys(text[i:j] for i, j in zip(place[at].tolist(), (place[at] + words * width).tolist()))
+    auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for k, p in enumerate(patterns):
         auto.add_word(p, k)
     auto.make_automaton()
-    source, words = np.fromiter(patterns.values(), np.int64), np.fromiter(map(len, patterns), np.int64) // width
+    length = np.fromiter(map(len, patterns), np.int64, len(patterns))
     ends, which = array("q"), array("q")
-    for at, k in auto.iter(text):
-        ends.append(at)
+    for end, k in auto.iter(text):
+        ends.append(end)
         which.append(k)
-    k = np.frombuffer(which, np.int64)
-    return np.searchsorted(place, np.frombuffer(ends, np.int64) + 1 - words[k] * width), source[k], words[k]
+    which = np.frombuffer(which, np.int64)
+    return np.searchsorted(place, np.frombuffer(ends, np.int64) + 1 - length[which]), which, length // width
 
 
 def hold(size: np.ndarray, ids: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -178,18 +201,22 @@ def hold(size: np.ndarray, ids: np.ndarray, data: np.ndarray, window: int) -> tu
     at, piece, h = at[several], piece[several], h[several]
     if not len(at):
         return which_one, at, at, at, at
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece) != 0)]))
-    behind = at[np.append(new[1:], len(at)) - 1] + window
-    found, source, n = occurrences(code, begin, size, list(zip(at[new].tolist(), behind.tolist())))
-    # each window of a pattern by its first equal, and the least id of the candidates in which the automaton found it
-    name = np.full(len(code), -1)
-    name[at] = exact_groups(h, code, at, np.full(len(at), window))
-    windows = n - window + 1
-    where, which = spread(found, windows), name[spread(source, windows)]
-    earliest = np.full(len(at), NO_ID)
-    np.minimum.at(earliest, which, np.repeat(least[np.searchsorted(begin, found, side="right") - 1], windows))
+    # the automaton alone tells where windows are the same: its patterns are the passages, and the least id of the candidates
+    # in which it finds one holds all of its windows. Hashes only proposed the passages; windows that none of them met, as
+    # others have their hash, are patterns of their own
     holder = np.full(len(code), NO_ID)
-    holder[where] = earliest[which]
+    seen = np.zeros(len(code), bool)
+    first, windows = passages(at, piece, h)
+    while len(first):
+        found, which, words = occurrences(code, begin, size, first, windows + window - 1)
+        earliest = np.full(len(words), NO_ID)
+        np.minimum.at(earliest, which, least[np.searchsorted(begin, found, side="right") - 1])
+        n = words[which] - window + 1
+        where = spread(found, n)
+        np.minimum.at(holder, where, np.repeat(earliest[which], n))
+        seen[where] = True
+        first = at[~seen[at]]
+        windows = np.ones(len(first), np.int64)
     # stretches of windows with one holder, where a larger id holds them
     piece = np.repeat(np.arange(len(size)), size)
     at = np.flatnonzero(holder < most[piece])

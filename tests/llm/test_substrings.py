@@ -79,3 +79,83 @@ def test_empty_tables(spark):
     assert suffix_dedup.removed_digest(empty).count() == 0
     assert phrase_dedup.removed_digest(empty).count() == 0
     assert phrase_dedup.without_phrases(empty).count() == 0
+
+
+def held_by_hand(texts, ids, window):
+    """(candidate, window) -> the least doc_id that holds it, where a larger one does."""
+    least = {}
+    for (lo, _), t in zip(ids, texts):
+        for p in range(len(t) - window + 1):
+            k = tuple(t[p : p + window])
+            least[k] = min(least.get(k, 1 << 60), lo)
+    out = {}
+    for c, ((_, hi), t) in enumerate(zip(ids, texts)):
+        for p in range(len(t) - window + 1):
+            if least[tuple(t[p : p + window])] < hi:
+                out[c, p] = least[tuple(t[p : p + window])]
+    return out
+
+
+def hold_cases():
+    rng = random.Random(9)
+    for _ in range(60):
+        base = [rng.choice("abc") for _ in range(40)]
+        texts = []
+        for _ in range(rng.randint(2, 12)):
+            i = rng.randint(0, 30)
+            t = base[i : i + rng.randint(4, 20)] + [rng.choice("abcde") for _ in range(rng.randint(0, 6))]
+            texts.append(t if len(t) >= 4 else t + ["a"] * 4)
+        ids = [tuple(sorted((rng.randint(0, 9), rng.randint(0, 9)))) for _ in texts]
+        yield texts, ids, rng.choice([2, 3, 4])
+
+
+def held(texts, ids, window):
+    size = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(w.encode() + b" " for t in texts for w in t), np.uint8)
+    which, p, first, last, holder = phrase_dedup.hold(size, np.array(ids, np.int64), data, window)
+    by_piece = {}
+    for q, a, b, h in zip(p.tolist(), first.tolist(), last.tolist(), holder.tolist()):
+        for w in range(a, b + 1):
+            by_piece[q, w] = h
+    # a distinct candidate's windows are those of each candidate that it stands for, unless none of its ids is larger
+    return {(c, w): h for c, q in enumerate(which.tolist()) for (q2, w), h in by_piece.items() if q2 == q and h < ids[c][1]}
+
+
+@pytest.mark.parametrize("bits", [None, 3, 0])
+def test_the_automaton_finds_the_holders(monkeypatch, bits):
+    """Also where hashes of a few bits propose passages that are none."""
+    if bits is not None:
+        real = phrase_dedup.Prefix.ranges
+        monkeypatch.setattr(phrase_dedup.Prefix, "ranges", lambda self, a, b: real(self, a, b) & np.uint64((1 << bits) - 1))
+    for texts, ids, window in hold_cases():
+        assert held(texts, ids, window) == held_by_hand(texts, ids, window)
+
+
+def test_without_the_automaton_nothing_is_found(monkeypatch):
+    none = np.zeros(0, np.int64)
+    calls = []
+
+    def blind(code, begin, size, at, words):
+        calls.append(len(at))
+        if len(calls) > 1:
+            raise RuntimeError("windows are left that no pattern met")
+        return none, none, words
+
+    monkeypatch.setattr(phrase_dedup, "occurrences", blind)
+    texts, ids, window = next(hold_cases())
+    with pytest.raises(RuntimeError):
+        held(texts, ids, window)
+
+
+def test_passages_hold_each_window_once():
+    rng = random.Random(2)
+    for _ in range(50):
+        t = [rng.randrange(4) for _ in range(rng.randint(3, 60))]
+        at = np.arange(len(t) - 2)
+        h = np.array([t[i] * 16 + t[i + 1] * 4 + t[i + 2] for i in at], np.uint64)
+        first, n = phrase_dedup.passages(at, np.zeros(len(at), np.int64), h)
+        inside = [h[a + k] for a, m in zip(first.tolist(), n.tolist()) for k in range(m)]
+        assert sorted(inside) == sorted(set(h.tolist()))
+        for a, m in zip(first.tolist(), n.tolist()):  # wherever one of its windows stands, all of them do
+            for k in range(m):
+                assert all((h[i - k : i - k + m] == h[a : a + m]).all() and i - k >= 0 for i in np.flatnonzero(h == h[a + k]))
