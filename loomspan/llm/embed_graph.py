@@ -8,7 +8,9 @@
    triangle inequality loses no pair. Guests are counted and dealt into slices, each beside a copy of the
    shard's home points, so no task holds a whole label. Centroids lie in tables and meet the points in
    cogroups; nothing but the number of shards that are too large reaches the driver.
-3. In a shard, points fall into small overlapping clusters; each builds its own graph, the neighbours of a
+3. In a shard, points within half the range's angle of one centre all link with one another, by the triangle
+   inequality; such balls are told first, and their links come from their weights, not from pairs. Links between a
+   ball and points around it are counted in blocks. The other points go on: they fall into small overlapping clusters; each builds its own graph, the neighbours of a
    point being pruned so that no kept neighbour is much nearer to the dropped one than the point is. The
    clusters' adjacency lists are united, with their reverse edges.
 4. Every point is searched from the clusters' medoids and its own node: a greedy beam first, then the range
@@ -21,6 +23,8 @@
 
 Links are counted at each point's home and summed over its slices; a slice hands on one star per connected
 group for the components. Null, zero and non-finite vectors, and rows without a label, link with nothing.
+A shard whose centroids coincide, as one direction dominates it, isn't cut further: a
+task holds such a group whole (8 bytes a number of each distinct vector), in time that grows with the group.
 Vectors of different length don't link. Rows with equal vec_id are rows of their own; a null vec_id takes
 part, and its component is the least known vec_id.
 """
@@ -51,6 +55,8 @@ ALPHA = 1.2
 BEAM = 32
 DENSE = 192
 AUDIT = 48
+#: Points of a ball at least, and centres that may be drawn in vain.
+BALL, MISSES = 256, 8
 
 
 def robust_graph(x: np.ndarray, clusters: list[np.ndarray]) -> list[np.ndarray]:
@@ -184,8 +190,87 @@ def search(x: np.ndarray, graph: list[np.ndarray], medoids: np.ndarray, queries:
     return np.concatenate(hit_q), np.concatenate(hit_p), np.flatnonzero(dense)
 
 
+def joined(root: np.ndarray, a: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Star roots after linking a[k] with p[k]: the least root of each class."""
+    while len(a):
+        low = np.minimum(root[a], root[p])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, p, low)
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[p], low)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
+def balls(x: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, list[int]]:
+    """(ball of each point, -1 for none; centres): disjoint sets of BALL points and more within half the threshold's angle of a
+    centre. Any two points of a ball link, by the triangle inequality of angles, so a dense group needs no pairs."""
+    half = np.cos(np.arccos(threshold) / 2) + 1e-9
+    ball, centres, misses = np.full(len(x), -1), [], 0
+    free = np.arange(len(x))
+    while len(free) >= BALL and misses < MISSES:
+        c = int(rng.choice(free))
+        near = x[free] @ x[c] >= half
+        if near.sum() >= BALL:
+            ball[free[near]] = len(centres)
+            centres.append(c)
+            free, misses = free[~near], 0
+        else:
+            misses += 1
+    return ball, centres
+
+
 def solve_shard(vec: np.ndarray, weight: np.ndarray, home: np.ndarray, threshold: float, seed: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
-    """(links of each home point counted with multiplicities, star root of each point, audited recall)."""
+    """(links of each home point counted with multiplicities, star root of each point, audited recall).
+
+    Balls of points that all link with one another are counted by their weights; the links between a ball and points outside,
+    which can only lie within one and a half times the threshold's angle of its centre, are counted in blocks, without lists of
+    pairs; all other points go by solve_sparse.
+    """
+    n = len(vec)
+    vec = vec.astype(np.float64)
+    norm = np.linalg.norm(vec, axis=1)
+    x = vec / norm[:, None]
+    ball, centres = balls(x, threshold, np.random.default_rng(seed))
+    if not centres:
+        return solve_sparse(vec, weight, home, threshold, seed)
+    links, root, recall = np.zeros(n, np.int64), np.arange(n), 1.0
+    rest = np.flatnonzero(ball < 0)
+    if len(rest):
+        got, star, recall = solve_sparse(vec[rest], weight[rest], home[rest], threshold, seed)
+        links[rest] = got
+        root = joined(root, rest, rest[star])
+    angle = np.arccos(threshold)
+    for g, c in enumerate(centres):
+        inside = np.flatnonzero(ball == g)
+        links[inside] += weight[inside].sum() - weight[inside]
+        root = joined(root, inside, np.full(len(inside), inside[0]))
+        w = weight[inside].astype(np.float64)
+        near = np.flatnonzero((ball != g) & (x @ x[c] >= np.cos(min(np.pi, 1.5 * angle)) - 1e-9))
+        step = max(1, (4 << 20) // len(inside))
+        for i in range(0, len(near), step):
+            q = near[i : i + step]
+            s = x[q] @ x[inside].T
+            hit = s >= threshold + 1e-9
+            a, b = np.nonzero(np.abs(s - threshold) < 1e-9)
+            if len(a):  # so near the threshold that the exact quotient decides
+                hit[a, b] = np.einsum("kd,kd->k", vec[q[a]], vec[inside[b]]) / (norm[q[a]] * norm[inside[b]]) >= threshold
+            number = hit.astype(np.float64)
+            links[inside] += (weight[q].astype(np.float64) @ number).astype(np.int64)
+            alone = ball[q] < 0  # other balls count theirs in their turn
+            links[q[alone]] += (number[alone] @ w).astype(np.int64)
+            met = q[hit.any(1)]
+            root = joined(root, met, np.full(len(met), inside[0]))
+    links[~home] = 0
+    return links, root, recall
+
+
+def solve_sparse(vec: np.ndarray, weight: np.ndarray, home: np.ndarray, threshold: float, seed: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
+    """The same for points in general: graph search, audited, or exact blocks."""
     n = len(vec)
     vec = vec.astype(np.float64)
     norm = np.linalg.norm(vec, axis=1)
@@ -209,15 +294,7 @@ def solve_shard(vec: np.ndarray, weight: np.ndarray, home: np.ndarray, threshold
 
     def join(a: np.ndarray, p: np.ndarray) -> None:
         nonlocal root
-        while len(a):
-            low = np.minimum(root[a], root[p])
-            new = root.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, p, low)
-            new = np.minimum(new, new[new])
-            if (new == root).all():
-                break
-            root = new
+        root = joined(root, a, p)
 
     clusters, medoids = overlapping_clusters(x, CLUSTER, rng)
     graph = robust_graph(x, clusters)

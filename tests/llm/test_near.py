@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -230,3 +231,48 @@ def test_recall_audit(spark):
     x = rng.normal(size=(200, 16))[rng.integers(0, 200, 1500)] + rng.normal(size=(1500, 16)) * 0.2
     r = embed_graph.audit_recall(vectors(spark, [(i, v, i % 2) for i, v in enumerate(x.tolist())]), every=10).first()
     assert r["wanted"] > 100 and r["found"] >= 0.9 * r["wanted"]
+
+
+def solved_by_hand(vec, weight, threshold):
+    norm = np.linalg.norm(vec, axis=1)
+    sim = (vec @ vec.T) / (norm[:, None] * norm[None, :]) >= threshold
+    np.fill_diagonal(sim, False)
+    return sim @ weight, least(len(vec), zip(*np.nonzero(sim)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_balls_as_brute_force(monkeypatch, seed):
+    """Dense groups, some near each other, points around them and points on their own."""
+    monkeypatch.setattr(embed_graph, "BALL", 20)
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(5, 24))
+    centres[1] = centres[0] + 0.25 * rng.normal(size=24)  # balls that touch
+    parts = [c + s * rng.normal(size=(n, 24)) for c, s, n in zip(centres, (0.05, 0.05, 0.02, 0.2, 0.3), (150, 120, 200, 100, 80))]
+    vec = np.concatenate([*parts, rng.normal(size=(150, 24))])
+    vec = vec[rng.permutation(len(vec))]
+    weight, home = rng.integers(0, 4, len(vec)), rng.random(len(vec)) < 0.7
+    links, root, recall = embed_graph.solve_shard(vec, weight, home, 0.93)
+    want, star = solved_by_hand(vec, weight, 0.93)
+    assert (links[home] == want[home]).all() and (links[~home] == 0).all() and recall >= 0.99
+    # links between two guests are another shard's work; with all at home the classes are whole
+    links, root, _ = embed_graph.solve_shard(vec, weight, np.ones(len(vec), bool), 0.93)
+    assert (links == want).all()
+    met = {}
+    for a, b in zip(root.tolist(), star):
+        assert met.setdefault(a, b) == b
+    assert len(set(root.tolist())) == len(set(star))
+    assert len(embed_graph.balls(vec / np.linalg.norm(vec, axis=1)[:, None], 0.93, np.random.default_rng(1))[1]) >= 3
+
+
+def test_thirty_thousand_near_copies_in_a_minute():
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=64)
+    vec = np.concatenate([base + 1e-3 * rng.normal(size=(30_000, 64)), rng.normal(size=(500, 64)), base + 0.35 * rng.normal(size=(500, 64))])
+    began = time.monotonic()
+    links, root, _ = embed_graph.solve_shard(vec, np.ones(len(vec), np.int64), np.ones(len(vec), bool), 0.93)
+    assert time.monotonic() - began < 60
+    norm = np.linalg.norm(vec, axis=1)
+    for q in (0, 29_999, 30_100, 30_600, 30_999):
+        sim = vec @ vec[q] / (norm * norm[q]) >= 0.93
+        assert links[q] == sim.sum() - 1
+    assert len(set(root[:30_000].tolist())) == 1
