@@ -440,7 +440,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, shard: int = SHARD
     alone = known.where("component is null").withColumn("component_id", F.col("least"))
     together = class_least(known.where("component is not null"), "component", "least", "node", "component_id")
     by_key = alone.unionByName(together).select("key", (F.col("links") + F.col("m") - 1).alias("n_links"), "component_id", "audited")
-    out = points.select("vec_id", "key").join(by_key, "key", "left")
+    # rows that link with nothing don't meet under the null key
+    none = points.where("key is null").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("double").alias("audited"))
+    out = points.where("key is not null").select("vec_id", "key").join(by_key, "key").drop("key").unionByName(none)
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.isnull("n_links"), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"), "audited")
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), "audited")
 

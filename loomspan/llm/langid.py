@@ -6,7 +6,7 @@ family; inside it every pair of languages has a linear SVM, the language with th
 predicted (ties: the larger sum of margins). A family with one language needs no second step.
 
 Training takes a bounded sample: at most `per_language` rows of each language, those with the smallest hash
-of their id; rows with equal ids share a rank, so repeated ids only widen the draw. Prediction reads nothing
+of their id; of rows with equal ids one is drawn. Prediction reads nothing
 but the text: each text has its score whatever rows stand beside it, repeated rows get equal ones, and whole
 texts of any length count. Null texts and texts without a letter are `und`, score 0. Without any labelled row
 every text is `und`; an empty table stays empty.
@@ -196,7 +196,7 @@ def fit(labelled: DataFrame, per_language: int = 300, max_rows: int = 1500) -> L
     executors, so whole texts count and none travels.
     """
     rows = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     if not sizes:
         return None
     each = max(1, min(per_language, max_rows // len(sizes)))
@@ -205,7 +205,8 @@ def fit(labelled: DataFrame, per_language: int = 300, max_rows: int = 1500) -> L
     limit = F.lit(0.0)
     for a, n in sizes.items():
         limit = F.when(F.col("lang") == a, F.lit(min(1.0, (1.5 * each + 40) / n))).otherwise(limit)
-    picked = rows.select("lang", "text", rank.alias("rank")).where(F.col("rank") < limit)
+    # one row of each id, so that an id repeated very often is no larger sample
+    picked = rows.select("lang", "text", rank.alias("rank")).where(F.col("rank") < limit).groupBy("lang", "rank").agg(F.min("text").alias("text")).select("lang", "text", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -172,15 +172,15 @@ def train(bags: Iterable[dict[str, int]], labels: np.ndarray, steps: int = 160,
 def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 1200)) -> ToxicityModel | None:
     """docs: doc_id, text; labels: doc_id, label 0/1 (the caller leaves out what mustn't be learned from).
 
-    At most per_class[label] rows of each class are taken, by the smallest hash of their id.
+    At most per_class[label] rows of each class are taken, by the smallest hash of their id, one of each id.
     """
     known = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", "label")
-    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 31)) / float(1 << 31)
     limit = F.when(F.col("label") == 1, min(1.0, (1.3 * per_class[1] + 40) / n[1])).otherwise(min(1.0, (1.3 * per_class[0] + 40) / n[0]))
-    picked = known.withColumn("rank", rank).where(F.col("rank") < limit)
+    picked = known.withColumn("rank", rank).where(F.col("rank") < limit).distinct()
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,9 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000,
                 got = sorted(Counter(words_of(text)).items())
                 yield pa.RecordBatch.from_pydict({"rank": [rank], "label": pa.array([label], pa.int32()), "words": pa.array(["\n".join(w for w, _ in got)]), "counts": pa.array([np.array([c for _, c in got], np.int32).tobytes()], pa.binary())})
 
-    # the sample's ids are bounded by per_class, so they may be broadcast; the texts become bags in place
+    # the sample's distinct ids are bounded by per_class, so they may be broadcast; the texts become bags in place, and of rows
+    # with equal ids one is drawn
     drawn = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("rank", F.col("label").cast("int").alias("label"), "text")
-    got = drawn.mapInArrow(bags, "rank double, label int, words string, counts binary").where("words <> ''").toArrow().to_pylist()
+    each = drawn.mapInArrow(bags, "rank double, label int, words string, counts binary").where("words <> ''")
+    got = each.groupBy("rank", "label").agg(F.min(F.struct("words", "counts")).alias("bag")).select("rank", "label", "bag.words", "bag.counts").toArrow().to_pylist()
     got.sort(key=lambda r: (r["label"], r["rank"], r["words"], r["counts"]))
     rows = [r for y in (0, 1) for r in [g for g in got if g["label"] == y][: per_class[y]]]
     del got

@@ -1,10 +1,14 @@
+import math
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontam, langid, queries, toxicity
+from loomspan.llm.common import text_bytes
 from tests.llm.helpers import AWKWARD, documents
 
 SMALL = "/root/testdata/sf0.01"
@@ -152,3 +156,51 @@ def test_item_blocks_cover_all(spark):
     bench = spark.createDataFrame([(i, "x" * 50) for i in range(20)], "item_id long, text string")
     blocks = decontam.item_blocks(bench, 200)
     assert len(blocks) == 5 and sum(b.count() for b in blocks) == 20
+
+
+def test_ids_repeated_very_often_are_no_larger_sample(spark, monkeypatch):
+    """One id a thousand times among others: it is drawn once."""
+    seen = {}
+    monkeypatch.setattr(langid, "LanguageModel", lambda x, lang: seen.setdefault("lang", list(lang)))
+    rows = [(7, f"the same words again {i % 3}", "en") for i in range(1000)] + [(100 + i, "und noch ein Satz", "de") for i in range(5)]
+    langid.fit(spark.createDataFrame(rows, "key long, text string, lang string").repartition(4))
+    assert seen["lang"] == ["de"] * 5 + ["en"]
+    monkeypatch.setattr(toxicity, "train", lambda bags, y: seen.setdefault("y", (len(list(bags)), y.tolist())))
+    docs = spark.createDataFrame([(7, "bad words")] * 300 + [(8 + i, f"good words {i}") for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] * 200 + [(8 + i, 0) for i in range(4)], "doc_id long, label int")
+    toxicity.fit(docs.repartition(3), labels)
+    assert seen["y"] == (5, [0, 0, 0, 0, 1])
+
+
+def plain_language(model, text):
+    """(language, score) by a plain loop: the family with the largest margin, then every duel inside it."""
+    x = langid.features(text).astype(np.float64)
+    margin = {f: float(x @ model.family_w[:, i].astype(np.float64) + model.family_b[i]) for i, f in enumerate(model.families)}
+    family = max(margin, key=margin.get)
+    sure = 1 / (1 + math.exp(-2 * margin[family]))
+    own = model.members[family]
+    if len(own) == 1:
+        return own[0], sure
+    wins, sums = dict.fromkeys(own, 0), dict.fromkeys(own, 0.0)
+    duels, w, b = model.pairs[family]
+    for j, (p, q) in enumerate(duels):
+        m = float(x @ w[:, j].astype(np.float64) + b[j])
+        wins[p if m >= 0 else q] += 1
+        sums[p] += m
+        sums[q] -= m
+    best = max(own, key=lambda a: (wins[a], sums[a]))
+    return best, sure / (1 + math.exp(-2 * sums[best] / (len(own) - 1)))
+
+
+def test_prediction_by_a_plain_loop():
+    rng = np.random.default_rng(4)
+    words = {"en": "the and of house water", "de": "und der das haus wasser", "nl": "en het van huis water", "fr": "le la et maison eau", "es": "el los y casa agua", "fi": "ja talo vesi on se"}
+    texts = [(lang, " ".join(rng.choice(w.split(), 12))) for lang, w in words.items() for _ in range(10)]
+    model = langid.LanguageModel(np.stack([langid.features(t) for _, t in texts]), [lang for lang, _ in texts])
+    assert len(model.families) == 3 and len(model.pairs) == 2
+    mixed = [" ".join(rng.choice([w for v in words.values() for w in v.split()], rng.integers(1, 15))) for _ in range(60)]
+    every = [t for _, t in texts] + mixed
+    got, sure = model.predict(*text_bytes(pa.array(every)))
+    for t, lang, s in zip(every, got, sure):
+        want, score = plain_language(model, t)
+        assert lang == want and s == pytest.approx(score, abs=1e-5)
