@@ -142,7 +142,7 @@ def file_system(path: str):
     """(the file system of a path, the path in it), in a task: any store that pyarrow reaches."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
 
 
 def with_first(pages: DataFrame, least_bytes: int) -> DataFrame:
