@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.sinks.files import exists, list_files, list_folders, read_bytes
-
-#: Where a shard's schema stands: it is its first message.
-SCHEMA_BYTES = 1 << 20
+from loomspan.sinks.files import exists, list_files, list_folders
+from loomspan.sources.arrow import read_shards
 
 
 def load_split(df: DataFrame, split: str, column: str = "split") -> DataFrame:
@@ -70,31 +66,6 @@ def load_dataset(spark: SparkSession, path: str, subset: str | None = None) -> D
     return out
 
 
-def read_arrow(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of a folder's *.arrow shards (IPC streams or files), each decoded by the task that reads it."""
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    shards = list_files(spark, folder, ".arrow")
-    if not shards:
-        raise FileNotFoundError(f"no Arrow shards in {folder}")
-    schema = _open(read_bytes(spark, shards[0], SCHEMA_BYTES), schema_only=True)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                for got in _open(content.as_buffer()):
-                    yield got.cast(schema) if got.schema != schema else got
-
-    return spark.read.format("binaryFile").load(shards).select("content").mapInArrow(decode, from_arrow_schema(schema))
-
-
-def _open(content, schema_only: bool = False):
-    """The record batches, or the schema, of an Arrow stream or file."""
-    data = pa.py_buffer(content) if isinstance(content, bytes) else content
-    if bytes(data[:6]) == b"ARROW1":
-        if not schema_only:
-            reader = pa.ipc.open_file(data)
-            return [reader.get_batch(i) for i in range(reader.num_record_batches)]
-        data = data[8:]  # behind the mark a file goes on like a stream
-    reader = pa.ipc.open_stream(data)
-    return reader.schema if schema_only else list(reader)
+def read_arrow(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+    """The rows of a folder's *.arrow shards (IPC streams or files), a shard's record batches in several tasks."""
+    return read_shards(spark, folder, columns)
