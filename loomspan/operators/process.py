@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators.prune import FIRST_SENTENCE, prune
+from loomspan.operators.trace import Trace
 
 LOGGER = logging.getLogger("loomspan")
 #: Results by name and column.
@@ -81,7 +82,8 @@ def process(
     debug_messages: bool | Callable[[str], None] = False,
     **options: Any,
 ) -> dict[str, Any]:
-    """pruned_context, reranking_score, compression_rate, title and timing, and on demand sentence_probabilities,
+    """pruned_context, reranking_score, compression_rate, title, timing (the driver's wall clock) and performance_trace (task
+    seconds by stage, and counts, measured in the job), and on demand sentence_probabilities,
     kept_sentences and removed_sentences, each shaped like the contexts. options: those of prune()."""
     if not isinstance(debug_messages, bool) and not callable(debug_messages):
         raise TypeError("debug_messages is a bool or a function of a text")
@@ -96,7 +98,8 @@ def process(
         for k, c in enumerate(own):
             rows.append((i, k, q, None if _many(c) else c, list(c) if _many(c) else None, titles[i][k] if isinstance(titles, list) else None))
     table = spark.createDataFrame(rows, "query_idx int, context_idx int, query string, context_text string, manual_sentences array<string>, given_titles array<string>")
-    done = prune(table, F.col("given_titles") if isinstance(titles, list) else title, first_line_as_title, **options)
+    trace = Trace()
+    done = prune(table, F.col("given_titles") if isinstance(titles, list) else title, first_line_as_title, trace=trace, **options)
     results = dict(RESULTS)
     if return_sentence_metrics:
         results["sentence_probabilities"] = "sentence_probabilities"
@@ -105,7 +108,8 @@ def process(
     order = ["query_idx", "rank" if "rank" in done.columns else "context_idx"]
     prepared = time.perf_counter()
     got: list[list[Any]] = [[] for _ in queries]
-    for r in done.select(*order, *results.values()).orderBy(*order).collect():
+    # sorted here, as a range sort would run the stages twice
+    for r in sorted(done.select(*order, *results.values()).collect(), key=lambda r: tuple(r[c] for c in order)):
         got[r["query_idx"]].append(r)
     out: dict[str, Any] = {}
     for name, column in results.items():
@@ -116,6 +120,7 @@ def process(
         out[name] = {"str": first[0] if first else empty, "list": by_query[0] if by_query else [], "aligned": first, "nested": by_query}[shape]
     total = time.perf_counter() - began
     out["timing"] = {"preprocess_seconds": prepared - began, "inference_seconds": total - (prepared - began), "total_seconds": total}
+    out["performance_trace"] = {**trace.seconds(), **trace.counts()}
     tell(f"pruned {len(rows)} contexts of {len(queries)} questions in {total:.2f} s")
     return out
 

@@ -26,6 +26,7 @@ from loomspan.operators import tokens as K
 from loomspan.operators.models import ModelScorer
 from loomspan.operators.scorers import LexicalScorer, Scorer
 from loomspan.operators.tokenizers import Tokenizer
+from loomspan.operators.trace import Trace
 
 THRESHOLD = 0.1
 FIRST_SENTENCE = "first_sentence"
@@ -155,6 +156,7 @@ def prune(
     scorer: Scorer | ModelScorer | None = None,
     tokenizer: Tokenizer | None = None,
     cut_fragments: str = "keep",
+    trace: Trace | None = None,
 ) -> DataFrame:
     """contexts: query_idx, context_idx, query, context_text; further columns stay. A column manual_sentences (array<string>),
     where it isn't null, is the context instead, split already. Adds sentences, sentence_probabilities, kept (flags),
@@ -170,6 +172,7 @@ def prune(
     tokenizer: counts windows and fragments in its tokens; a ModelScorer brings its own.
     cut_fragments: a question may leave less room in a window than a fragment needs, whose tail then isn't scored. "keep" does
     so and tells the share of tokens that were scored in `scored_share`; "error" fails instead.
+    trace: measures the stages in the job of the next action (trace.py).
     Null texts and null questions count as empty; questions without contexts aren't rows.
     """
     splitter, scorer = splitters.resolve(sentence_splitter, language), scorer or LexicalScorer()
@@ -179,21 +182,29 @@ def prune(
     if top_k is not None and not reorder:
         warnings.warn("top_k has no effect without reorder", stacklevel=2)
     manual = F.col("manual_sentences") if "manual_sentences" in contexts.columns else F.lit(None).cast("array<string>")
+    tick = trace.tick if trace else (lambda d, _: d)
+    contexts = trace.begin(contexts) if trace else contexts
     d = staged(contexts.withColumn("query", F.coalesce("query", F.lit(""))), manual_=F.filter(manual, lambda s: T.strip(s) != ""))
     d = d.withColumn("context_text", F.when(F.col("manual_").isNotNull(), F.array_join("manual_", "")).otherwise(F.coalesce("context_text", F.lit(""))))
     d, first_is_title = titles_of(d, title, first_line_as_title)
     own = F.coalesce("manual_", splitter(F.col("context_text")))
-    d = staged(d, sentences=T.normalize(F.concat("prefix_", own), F.col("context_text"), strip_sentences))
+    found = F.concat("prefix_", own)
+    if trace:
+        d = tick(staged(d, found_=found), "sentence_collect")
+        d = tick(staged(d, sentences=T.normalize(F.col("found_"), F.col("context_text"), strip_sentences)).drop("found_"), "sentence_normalize")
+    else:
+        d = staged(d, sentences=T.normalize(found, F.col("context_text"), strip_sentences))
     limit = fragment_limit(window, respect_sentence_boundaries)
     if tokenizer is None:
         d = staged(d, cut_=fragments(F.col("sentences"), limit, strip_sentences))
         asked = F.length("query")
     else:
         # the question's tokens are those of a last text behind the sentences: one call for both
-        d = staged(d, tokens_=tokenizer.tokens(F.concat("sentences", F.array("query"))))
+        d = tick(staged(d, tokens_=tokenizer.tokens(F.concat("sentences", F.array("query")))), "tokenize")
         d = staged(d, query_ids_=F.transform(F.element_at("tokens_", -1), lambda t: t["id"]), cut_=token_fragments(F.col("sentences"), F.col("tokens_"), limit, strip_sentences)).drop("tokens_")
         asked = F.size("query_ids_")
-    d = staged(d, fragments_=or_one(F.flatten("cut_"), F.col("context_text"), tokenizer is not None))
+    d = tick(d, "fragment_split")
+    d = tick(staged(d, fragments_=or_one(F.flatten("cut_"), F.col("context_text"), tokenizer is not None)), "fragment_decode")
     d = staged(d, packed_=pack(F.transform("fragments_", lambda f: f["length"]), asked, window))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     whole, taken = total(F.transform("fragments_", lambda f: f["length"])), total(F.transform("packed_", lambda p: p["taken"]))
@@ -205,14 +216,20 @@ def prune(
     at = F.transform("packed_", lambda p, i: F.when((i == 0) | (p["block"] != F.get(F.col("packed_"), i - 1)["block"]), i))
     d = staged(d, first_=F.filter(at, lambda i: i.isNotNull()))
     stop = lambda j: F.coalesce(F.get(F.col("first_"), j + 1), F.size("texts_"))
+    d = tick(d, "assembly")
     if isinstance(scorer, ModelScorer):
         d = by_model(d, scorer, stop)
     else:
         d = staged(d, blocks_=F.transform("first_", lambda i, j: F.array_join(F.slice("texts_", i + 1, stop(j) - i), "")))
         d = staged(d, block_scores=scorer.rank(F.col("query"), F.col("blocks_")), keep_=scorer.keep(F.col("query"), F.col("texts_")))
+    d = tick(d, "inference")
+    if trace:
+        d = d.withColumns({"n fragments": F.size("fragments_"), "n blocks": F.size("block_scores")})
     d = staged(d, sentence_probabilities=sentence_means(F.col("keep_"), F.transform("cut_", F.size)))
     d = d.withColumn("title", F.col("prefix_")).drop("manual_", "cut_", "fragments_", "packed_", "texts_", "first_", "blocks_", "keep_", "query_ids_")
     out = finish(d, threshold, always_select_title, first_is_title, use_best_reranker_score, zero_score_when_empty).drop("prefix_")
+    if trace:
+        out = trace.end(tick(out, "postprocess"), sentences=F.size("sentences"), fragments=F.col("n fragments"), blocks=F.col("n blocks")).drop("n fragments", "n blocks")
     return rerank(out, top_k) if reorder else out
 
 
