@@ -31,10 +31,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SMALL_BYTES = 128 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For text work on small inputs: one partition a core. The size is the planner's estimate; nothing is read for it, and a
-    table that isn't small is never shuffled."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """For text work on small inputs: one partition a core. The size is the planner's estimate of df, or of the table that it comes
+    from, where joins make an estimate useless; nothing is read for it, and a table that isn't small is never shuffled."""
+    size = int(str((df if source is None else source)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 

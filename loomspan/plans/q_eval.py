@@ -124,7 +124,7 @@ def longdocs(spark, d):
 def long_pruned(spark, d):
     """The passages pruned for their questions, the role as title in front."""
     c = longdocs(spark, d).select(F.col("query_id").alias("query_idx"), F.col("doc_index").alias("context_idx"), "query", F.col("text").alias("context_text"), "label", "given_title")
-    return P.prune(spread(c), F.col("given_title"), window=WINDOW, threshold=0.1, sentence_splitter=marked)
+    return P.prune(spread(c, load(spark, d, "conversations")), F.col("given_title"), window=WINDOW, threshold=0.1, sentence_splitter=marked)
 
 
 LONG_D = f"WITH {SCORED.replace('@PREFIX@', "[given_title || chr(10)]").replace(ASKED, LONG[5:] + f", c AS (SELECT query_id AS query_idx, doc_index AS context_idx, query, text AS context_text, label, given_title, {TERMS_D('query')} AS qt FROM l)")}{finish_d().replace('SELECT query_idx, context_idx, query,', 'SELECT query_idx, context_idx, label, given_title, query,')}"

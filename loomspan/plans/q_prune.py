@@ -25,7 +25,8 @@ def contexts(spark, d):
     n = max(1, items.count())
     asked = D.ranked_by_lot(items, 7, "query_idx", name="place").withColumn("place", F.col("place") - 1)
     docs = load(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("context_idx"), F.col("text").alias("context_text"), F.pmod("doc_id", F.lit(n)).cast("int").alias("place"))
-    return spread(docs).join(asked, "place").drop("place")
+    # spread behind the join, whose shuffle would put a small table into one partition again
+    return spread(docs.join(asked, "place").drop("place"), docs)
 
 
 #: Sentences up to their marks, white space kept, line feeds as they stand.
