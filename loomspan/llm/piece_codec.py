@@ -31,12 +31,14 @@ from loomspan.llm.common import give_back
 SPACE = "▁"
 LETTER = r"[^\W\d_]"
 MIXED = re.compile(rf"{LETTER}(?!{LETTER})[^{SPACE}]|(?!{LETTER})[^{SPACE}]{LETTER}")
-CACHE_ENTRIES, CACHE_BYTES = 500_000, 40 << 20
+CACHE_ENTRIES, CACHE_BYTES = 1_200_000, 64 << 20
 #: Longer cuts are not kept.
 LONG = 64
 WIDE, FAR = 1 << 21, 1 << 40
 #: Cuts of at most SHORT characters advance together, ROWS at a time.
-SHORT, ROWS = 32, 4096
+SHORT, ROWS = 32, 1024
+#: Texts that are encoded together: the more, the fuller the rows of cuts that advance together.
+TEXTS = 384
 
 
 class PieceCodec:
@@ -207,7 +209,7 @@ class PieceCodec:
             get = lambda c: told[c] if c in told else self.cache[c]
         for cuts in cut:
             joined = " ".join([*map(get, cuts), end])
-            out.append((list(map(int, joined.split(" "))), joined))
+            out.append((np.fromstring(joined, np.int32, sep=" ").tolist(), joined))
         return out
 
     def cuts(self, text: str) -> list[str]:
@@ -233,9 +235,9 @@ def encode_decode(docs: DataFrame, model_path: str, check: bool = True) -> DataF
         codec = codec_of(model_path, check)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for i in range(0, len(texts), 128):
-                got = [g[0] for g in codec.ids(texts[i : i + 128])]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 128], pa.array(got, pa.list_(pa.int32())), pa.array(codec.lib.decode(got, num_threads=1), pa.string())], ["doc_id", "ids", "decoded"])
+            for i in range(0, len(texts), TEXTS):
+                got = [g[0] for g in codec.ids(texts[i : i + TEXTS])]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + TEXTS], pa.array(got, pa.list_(pa.int32())), pa.array(codec.lib.decode(got, num_threads=1), pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -248,12 +250,12 @@ def encode_digest(docs: DataFrame, model_path: str, check: bool = True) -> DataF
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for i in range(0, len(texts), 128):
-                part = texts[i : i + 128]
+            for i in range(0, len(texts), TEXTS):
+                part = texts[i : i + TEXTS]
                 got = codec.ids(part)
                 decoded = codec.lib.decode([g[0] for g in got], num_threads=1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i : i + 128], pa.array([len(g[0]) for g in got], pa.int64()), pa.array([sha(g[1]) for g in got]), pa.array([sha(d) for d in decoded])],
+                    [b.column(0)[i : i + TEXTS], pa.array([len(g[0]) for g in got], pa.int64()), pa.array([sha(g[1]) for g in got]), pa.array([sha(d) for d in decoded])],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
         give_back()
