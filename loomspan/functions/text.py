@@ -243,12 +243,15 @@ def text_to_spans(text: Column, sentences: Column) -> Column:
     are skipped."""
     def found(parts: Column) -> Column:
         def step(cursor: Column, sent: Column) -> Column:
-            s = strip(sent)
-            # sentences mostly follow one another: a look at what comes next spares reading the text from its start
-            near = F.call_function("locate", s, cut(parts, cursor, cursor + F.length(s) + 64), F.lit(1))
-            ahead = let(near, lambda k: F.when(k > 0, cursor + k).otherwise(F.call_function("locate", s, text, cursor + 1)))
-            at = let(ahead, lambda k: F.when(k > 0, k).otherwise(F.call_function("locate", s, text, F.lit(1))))
-            return let(at, lambda k: F.when((s != "") & (k > 0), F.array(k - 1, k - 1 + F.length(s))))
+            def place(s: Column) -> Column:
+                span = lambda k: F.array(k, k + F.length(s))
+                seek = lambda start: F.call_function("locate", s, text, start)
+                far = let(let(seek(cursor + 1), lambda k: F.when(k > 0, k).otherwise(seek(F.lit(1)))), lambda k: F.when(k > 0, span(k - 1)))
+                # sentences mostly follow one another: a look at what comes next spares reading the text from its start
+                near = F.call_function("locate", s, cut(parts, cursor, cursor + F.length(s) + 64), F.lit(1))
+                return F.when(s != "", let(near, lambda k: F.when(k > 0, span(cursor + k - 1)).otherwise(far)))
+
+            return let(strip(sent), place)
 
         return scan(sentences, F.lit(0), "array<int>", step, lambda cursor, span: F.coalesce(F.get(span, F.lit(1)), cursor))
 

@@ -120,6 +120,15 @@ def sample_items(df: DataFrame, max_items: int, aligned: list[str], seed: int, r
     return d.drop("n_", "pick_")
 
 
+#: Stands for rows in front of all others.
+FRONT = -(1 << 63)
+
+
+def text_hashes(texts: str) -> Column:
+    """The hashes by which texts are told apart."""
+    return F.transform(texts, lambda t: F.unhex(F.md5(t)))
+
+
 #: Entries (a row and one of its texts) that one task decides about at a time.
 AT_ONCE = 1_000_000
 
@@ -163,9 +172,10 @@ def decided_in_order(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def frequency_filter(rows: DataFrame, limit: int, idx: str = "idx", texts: str = "texts", at_once: int = AT_ONCE, after_round: Callable[[int], None] | None = None) -> DataFrame:
+def frequency_filter(rows: DataFrame, limit: int, idx: str = "idx", texts: str = "texts", at_once: int = AT_ONCE, after_round: Callable[[int], None] | None = None, seen: DataFrame | None = None) -> DataFrame:
     """idx, dup_count, kept: in row order, a row's dup_count is how many of its texts (with multiplicity) were seen in kept
-    rows before; it is dropped if dup_count > limit. idx: whole numbers, no two alike.
+    rows before; it is dropped if dup_count > limit. idx: whole numbers, no two alike. seen: text_hashes() of kept rows in
+    front of all of these.
 
     Texts that only one row has are left out from the start. The others' entries are dealt into ranges of row order of about
     at_once entries, and each task goes through its range row by row, deciding what doesn't hang on open rows of the
@@ -175,10 +185,16 @@ def frequency_filter(rows: DataFrame, limit: int, idx: str = "idx", texts: str =
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
-    hashed = rows.select(F.col(idx).cast("long").alias("idx"), F.explode(F.transform(texts, lambda t: F.unhex(F.md5(t)))).alias("h")).groupBy("h", "idx").agg(F.count(F.lit(1)).alias("m"))
-    several = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    shared = settle(hashed.join(several, "h").select("idx", "h", "m"))
-    open_ = shared.withColumn("held", F.lit(None).cast("bigint"))  # held: the least kept row that has the text
+    hashed = rows.select(F.col(idx).cast("long").alias("idx"), F.explode(text_hashes(texts)).alias("h")).groupBy("h", "idx").agg(F.count(F.lit(1)).alias("m"))
+    several = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    if seen is None:
+        several = several.where("n > 1").select("h", F.lit(None).cast("bigint").alias("held"))
+    else:
+        before = seen.select("h").distinct().withColumn("held", F.lit(FRONT))
+        several = several.join(before, "h", "left").where("n > 1 or held is not null").select("h", "held")
+    # held: the least kept row that has the text
+    shared = settle(hashed.join(several, "h").select("idx", "h", "m", "held"))
+    open_ = shared
     told, before = [], None
     while left := open_.count():
         first = open_.groupBy("h").agg(F.min("idx").alias("first"))
@@ -201,8 +217,9 @@ def frequency_filter(rows: DataFrame, limit: int, idx: str = "idx", texts: str =
     if len(told) > 1:
         decided = settle(decided)
         discard(*told)
-    held = shared.join(decided.where("kept").select("idx"), "idx", "left_semi").groupBy("h").agg(F.min("idx").alias("held"))
-    counts = shared.join(held, "h").where("held < idx").groupBy("idx").agg(F.sum("m").alias("dup_count"))
+    held = shared.join(decided.where("kept").select("idx"), "idx", "left_semi").groupBy("h").agg(F.min("idx").alias("own"))
+    met = shared.join(held, "h", "left").where(F.least("held", "own") < F.col("idx"))
+    counts = met.groupBy("idx").agg(F.sum("m").alias("dup_count"))
     out = rows.select(F.col(idx).alias("idx")).join(decided, "idx", "left").join(counts, "idx", "left")
     return out.select("idx", F.coalesce("dup_count", F.lit(0)).cast("long").alias("dup_count"), F.coalesce("kept", F.lit(True)).alias("kept"))
 

@@ -30,7 +30,9 @@ class Scorer(Protocol):
 def overlap(question_terms: Column, text: Column) -> Column:
     """Share of the question's terms in a text, rounded to six places; 0 without terms."""
     n = F.size(question_terms)
-    return F.when(n > 0, F.round(F.size(F.array_intersect(question_terms, T.terms(text))) / n, 6)).otherwise(F.lit(0.0))
+    # the intersection is a set: the text's words needn't be made one first
+    words = T.extract(F.lower(text), T.TERM)
+    return F.when(n > 0, F.round(F.size(F.array_intersect(question_terms, words)) / n, 6)).otherwise(F.lit(0.0))
 
 
 class LexicalScorer:

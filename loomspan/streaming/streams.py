@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomspan.operators.datasets import frequency_filter, text_hashes
 from loomspan.operators.prune import prune
+from loomspan.sinks.files import discard, list_folders, settle, store
 
 
 def windowed(events: DataFrame, time: str = "ts", kind: str = "event_type", value: str = "value", length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -43,6 +46,42 @@ def first_copies(rows: DataFrame, text: str = "text", order: str = "seq", limit:
     return keyed.groupBy("text_hash").applyInPandasWithState(step, f"text_hash string, {order} long, seen long, kept boolean", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def filter_stream(rows: DataFrame, folder: str, limit: int = 0, idx: str = "idx", texts: str = "texts", expire: int | None = None, **how) -> DataStreamWriter:
+    """The frequency filter on a stream of rows with several texts each, which arrive in row order: start it, and read the
+    decisions with decided(). One batch's rows are decided together, as in a batch table, against the texts of the kept rows of the
+    batches before, so the stream decides like one batch over all of its rows.
+
+    Under `folder` lie, for each batch, the decisions (idx, dup_count, kept) and the hashes of its kept rows' texts. A batch that is
+    run again after a failure reads only what earlier batches left and replaces its own. expire: texts that no kept row of
+    the last `expire` batches has are forgotten, which bounds the state; None keeps all.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        settled = settle(batch.select(F.col(idx).cast("long").alias("idx"), F.col(texts).alias("texts")))
+        first = 0 if expire is None else max(0, number - expire)
+        known = [f for f in list_folders(spark, f"{folder}/seen") if first <= int(f.removeprefix("batch=")) < number]
+        seen = spark.read.parquet(*[f"{folder}/seen/{f}" for f in known]) if known else None
+        told = frequency_filter(settled, limit, seen=seen, **how)
+        told.write.mode("overwrite").parquet(f"{folder}/decided/batch={number}")
+        kept = spark.read.parquet(f"{folder}/decided/batch={number}").where("kept").select("idx")
+        hashes = settled.join(kept, "idx", "left_semi").select(F.explode(text_hashes("texts")).alias("h")).distinct()
+        hashes.write.mode("overwrite").parquet(f"{folder}/seen/batch={number}")
+        discard(settled)
+        if expire is not None:
+            for f in list_folders(spark, f"{folder}/seen"):
+                if int(f.removeprefix("batch=")) < first:
+                    files, at = store(spark, f"{folder}/seen/{f}")
+                    files.delete(at, True)
+
+    return rows.writeStream.foreachBatch(work).option("checkpointLocation", f"{folder}/checkpoint")
+
+
+def decided(spark: SparkSession, folder: str) -> DataFrame:
+    """idx, dup_count, kept and batch of all rows that filter_stream() has decided."""
+    return spark.read.parquet(f"{folder}/decided")
+
+
 def pruned(contexts: DataFrame, **options) -> DataFrame:
     """prune() on a stream: contexts are pruned one by one, without state. Reordering needs a question's contexts together
     and is refused."""
