@@ -171,3 +171,23 @@ def test_process(spark):
 def test_the_plan_stays_in_the_jvm(spark):
     plan = P.prune(table(spark, "x"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_blocks_make_room_for_whole_fragments(spark):
+    """Beside a question longer than the window, "widen" scores every character in fragments of half a window; "keep" cuts."""
+    text = "the red fox " * 40 + "."
+    rows = [(1, 1, "fox " * 100, text), (1, 2, "fox", text), (1, 3, "fox " * 30, "A red fox ran. The sky is blue.")]
+    asked = spark.createDataFrame(rows, "query_idx int, context_idx int, query string, context_text string")
+    share = lambda how: [r["scored_share"] for r in P.prune(asked, None, window=256, language="en", cut_fragments=how).orderBy("context_idx").collect()]
+    assert share("widen") == [1.0, 1.0, 1.0] and share("keep")[0] < 0.1
+    got = P.prune(asked, None, window=256, language="en", cut_fragments="widen").where("context_idx = 1").first()
+    assert len(got["block_scores"]) == -(-len(text) // 128)  # one fragment a block, as the question alone is over the window
+
+
+def test_fine_queries_keep_their_fragments(spark):
+    """Fragments of 128 characters, not of 1024."""
+    from loomspan.plans import q_eval, q_prune
+
+    longest = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("max(length(text))").first()[0]
+    assert longest > 1024 and (q_prune.SMALL_WINDOW, q_prune.SMALL_STEP) == (256, 128)
+    assert q_eval.fine_pruned(spark, "/root/testdata/sf0.001").where("scored_share < 1").count() == 0
