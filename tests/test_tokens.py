@@ -101,3 +101,65 @@ def test_blocks_and_documents(spark):
     assert tuple(one(spark, [5, 6], K.document_span)) == (0, 2) and tuple(one(spark, [1, 2, 2], K.document_span)) == (2, 2)
     assert tuple(one(spark, [1, 9, 2, 2, 5, 2], K.document_span)) == (4, 5)
     assert one(spark, [4, 5], lambda c: K.pad(c, F.lit(4))) == [4, 5, 0, 0] and one(spark, [4, 5], lambda c: K.pad(c, F.lit(1))) == [4, 5]
+
+
+def test_chunk_sums_as_pairs(spark):
+    """Against all pairs: ranges without an order, overlapping, empty; two chunks of one number; no tokens; no chunks."""
+    rng = random.Random(5)
+    some = lambda n, most: [(rng.randrange(9), a, a + rng.randrange(most)) for a in (rng.randrange(200) for _ in range(n))]
+    rows = [(k, some(rng.randrange(60), 30), some(rng.randrange(12), 50)) for k in range(20)] + [(20, [], some(3, 9)), (21, some(3, 9), []), (22, [], [])]
+    rows = [(k, t, [rng.randrange(100) / 100 for _ in t], c) for k, t, c in rows]
+    kind = "array<struct<i:int,a:int,b:int>>"
+    d = spark.createDataFrame(rows, f"k int, t {kind}, p array<double>, c {kind}").repartition(2)
+    got = {r["k"]: r["s"] for r in d.select("k", K.chunk_sums(F.col("t"), F.col("p"), F.col("c"), 0.4).alias("s")).collect()}
+    for k, t, p, c in rows:
+        want = {i: [0, 0, 0.0, 0] for i, _, _ in c}
+        for i, x, y in c:
+            for (j, a, b), v in zip(t, p):
+                if max(a, x) < min(b, y):
+                    want[i] = [want[i][0] + 1, want[i][1] + j, want[i][2] + v, want[i][3] + (v > 0.4)]
+        assert {s["chunk"]: [s["tokens"], s["index_sum"], s["over"]] for s in got[k]} == {i: [w[0], w[1], w[3]] for i, w in want.items()}
+        assert all(abs(s["p_sum"] - want[s["chunk"]][2]) < 1e-9 for s in got[k])
+
+
+def test_chunk_queries_shuffle_no_tokens(spark):
+    """Tokens are never rows: before, each was one in the shuffle of a join."""
+    from loomspan.plans.registry import queries
+
+    for name in ("chunk_overlap", "chunk_eval", "chunk_predict"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
+
+
+def test_scan_of_long_arrays(spark):
+    """Results in order, nulls among them, for lengths around the stretches' bounds; null and empty arrays as they are. A long
+    array costs far less than the square of its length."""
+    import time
+
+    rows = [(list(range(n)),) for n in (0, 1, 2, 3, 4, 5, 8, 9, 10, 99, 100, 101, 1000)] + [(None,)]
+    d = spark.createDataFrame(rows, "x array<int>")
+    sums = A.scan(F.col("x"), F.lit(0), "int", lambda at, n: F.when(n % 3 != 1, at + n), lambda at, end: F.coalesce(end, at))
+    for r in d.select("x", sums.alias("y")).collect():
+        at, want = 0, []
+        for n in r["x"] or []:
+            want.append(at + n if n % 3 != 1 else None)
+            at = want[-1] if want[-1] is not None else at
+        assert r["y"] == (None if r["x"] is None else want)
+    long = spark.range(1).select(F.sequence(F.lit(1), F.lit(30_000)).alias("x"))
+    began = time.time()
+    assert long.select(F.element_at(A.scan(F.col("x"), F.lit(0), "bigint", lambda at, n: at + n, lambda at, end: end, "bigint"), -1)).first()[0] == 30_000 * 30_001 // 2
+    assert time.time() - began < 15
+
+
+def test_text_is_dealt_by_size(spark):
+    """One part a core at least, more for larger tables; before, a table of over 128 MB was read in as few parts as it lay in."""
+    from loomspan.plans import base
+
+    rows = spark.range(1000).select("id", F.repeat(F.lit("x"), 100).alias("t"))
+    size, before = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), base.PART_BYTES
+    try:
+        base.PART_BYTES = size // 50
+        assert base.spread(rows).rdd.getNumPartitions() in (50, 51)
+    finally:
+        base.PART_BYTES = before
+    assert base.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
