@@ -8,12 +8,11 @@ inequality leaves a partner there (distance within `radius` of the median). Each
 its own down to small blocks, which are compared exactly. That join is exact: no candidate is capped.
 
 A radius that asks for a similarity rather than for a few bits leaves the top tree nothing to prune, distances
-of unrelated texts being all alike. Then the shards come from a forest: each tree splits by a few bits of its
-own choice (the distance to a vantage point in a sketch of one bit), so deep that a shard has about SHARD
-points, and there are so many trees that a pair at the radius shares no shard with a probability of MISS at
-most, and nearer pairs with a far smaller one. Inside a shard, vantage points link all that is within the
-radius of them; the triangle inequality then leaves partners of those only in the shell up to twice the
-radius, and what no vantage point gathers is compared in blocks.
+of unrelated texts being all alike. Then covering masks find the pairs, all of them (Pagh, CoveringLSH: Locality-Sensitive
+Hashing without False Negatives, ACM Transactions on Algorithms 14, 2018). The bits are dealt to a few parts; a pair within
+the radius differs in few bits of one part at least, and for each such difference one of that part's masks leaves all of it
+out. So the pair agrees under one of the masks, and what agrees is compared. Points meet in blocks, a task a pair of blocks
+and some of the masks.
 
 A shard hands on one star per connected group, not its pairs; components of all stars give the classes. Null
 texts count as empty; texts without words have the fingerprint zero, linked like any other. Repeated rows and
@@ -32,17 +31,21 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import discard, give_back, settle
 from loomspan.llm.components import class_least, components
-from loomspan.llm.windows import PACKED, deal, group_runs, mix, pack_table, unpack
+from loomspan.llm.windows import group_runs, mix
 
 SEED = 42
 SAMPLE = 6000
 #: There are about sqrt(points) / SPREAD shards, so that neither a shard nor the copies of a query grow fast.
 SPREAD = 64
 BLOCK = 192
-#: The forest: points of a shard, about; the chance to miss a pair at the radius; points of one task, in all its shards.
+#: A forest's points of a shard, about; the chance to miss a pair at the radius; points of one task, in all its shards.
 SHARD = 1024
 MISS = 0.01
 TASK = 50_000
+#: Covering masks: shards of a block; tasks at least, and for a pair of blocks; differing bits that a part's masks leave out, and one.
+SHARDS = 512
+TASKS, SPLIT = 32, 4
+DIMENSIONS = 7
 
 
 def fingerprint(text: str | None, words: int, bits: int = 64) -> np.ndarray:
@@ -125,7 +128,7 @@ class TopTree:
 
 
 class Forest:
-    """Trees that split by `depth` bits of their own choice each; a shard is a leaf of a tree."""
+    """For callers that can do with nearly all pairs; links() doesn't use it. Trees that split by `depth` bits of their own choice each; a shard is a leaf of a tree."""
 
     def __init__(self, n: int, radius: int, bits: int, shard: int = SHARD, seed: int = 1):
         self.bits, self.depth = bits, max(0, int(np.ceil(np.log2(max(1, n) / shard))))
@@ -147,6 +150,82 @@ class Forest:
             yield mix(leaf * np.uint64(len(self.chosen)) + np.uint64(t))
 
 
+def covering_masks(bits: int, radius: int, seed: int = 1) -> np.ndarray:
+    """Masks (one a row, of bits / 64 numbers) so that any two fingerprints within the radius agree under one of them.
+
+    Parts get k dimensions each, radius + 1 in all; a pair within the radius differs in less than k bits of some part. Each of
+    its bits has a vector of k bits, and each v but 0 gives a mask of those whose vector has an odd number of bits in common
+    with v: fewer than k vectors leave some v that has an even number with all of them."""
+    parts = -(-(radius + 1) // DIMENSIONS)
+    rng = np.random.default_rng(seed)
+    masks = []
+    for n, own in enumerate(np.array_split(rng.permutation(bits), parts)):
+        k = (radius + 1) // parts + (n < (radius + 1) % parts)
+        v = np.arange(1, 2**k)
+        # vectors are exchanged as long as unrelated points agree less for it
+        odd = (np.bitwise_count(v[:, None] & v[None]) & 1).astype(np.int64)
+        chosen, better = rng.integers(0, len(v), len(own)), True
+        while better:
+            better = False
+            for c in range(len(own)):
+                weight = odd[:, chosen].sum(1) - odd[:, chosen[c]]
+                agree = np.exp2(-(weight[:, None] + odd)).sum(0)
+                if agree.min() < agree[chosen[c]] * (1 - 1e-9):
+                    chosen[c], better = agree.argmin(), True
+        flat = np.zeros((len(v), bits), np.uint8)
+        flat[:, own] = odd[:, chosen]
+        masks.append(np.packbits(flat, axis=1).view(np.uint64))
+    return np.concatenate(masks)
+
+
+def keys_under(fp: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """16 bits of a hash of the masked fingerprints; equal ones have equal keys."""
+    h = np.zeros(len(fp), np.uint64)
+    for w in range(fp.shape[1]):
+        h = (h ^ (fp[:, w] & mask[w])) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16)
+
+
+def connect(root: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The roots of all points (each the least of its class) with these pairs linked, too."""
+    while True:
+        a, b = root[one], root[two]
+        apart = a != b
+        if not apart.any():
+            return root
+        one, two, a, b = one[apart], two[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def join_covered(fp: np.ndarray, masks: np.ndarray, radius: int) -> np.ndarray:
+    """For each point the least place of its class, linking all pairs within the radius that agree under one of the masks."""
+    root = np.arange(len(fp))
+    for mask in masks:
+        key = keys_under(fp, mask)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        start, size = group_runs(key)
+        for s, m in zip(start[size > BLOCK], size[size > BLOCK]):
+            run = order[s : s + m]
+            for names, centre in join_cell(fp[run], run, radius):
+                root = connect(root, names, centre)
+        end = np.repeat(np.where(size > BLOCK, 0, start + size), size)
+        words = [np.ascontiguousarray(fp[order, w]) for w in range(fp.shape[1])]
+        at, shift = np.arange(len(fp)), 1
+        while len(at := at[at + shift < end[at]]):
+            far = np.bitwise_count(words[0][at] ^ words[0][at + shift])
+            for w in words[1:]:
+                far += np.bitwise_count(w[at] ^ w[at + shift])
+            near = at[far <= radius]
+            if len(near):
+                root = connect(root, order[near], order[near + shift])
+            shift += 1
+    return root
+
+
 def join_cell(fp: np.ndarray, names: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Stars (name, centre) that connect all pairs of these points within radius."""
     order = np.argsort(names, kind="stable")
@@ -240,7 +319,7 @@ def edges_of(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
 def links(points: DataFrame, radius: int = 4, bits: int = 64, shard: int = SHARD) -> DataFrame:
     """points: node (distinct longs), fp, fp2. Returns edges (a, b) of nodes that connect all pairs within radius."""
     n = points.count()
-    return near_links(points, n, radius, bits) if by_bits(radius, bits) else forest_links(points, n, radius, bits, shard)
+    return near_links(points, n, radius, bits) if by_bits(radius, bits) else covered_links(points, n, radius, bits, shard)
 
 
 def near_links(points: DataFrame, n: int, radius: int, bits: int) -> DataFrame:
@@ -268,39 +347,33 @@ def near_links(points: DataFrame, n: int, radius: int, bits: int) -> DataFrame:
     return dealt.groupBy("leaf").applyInArrow(solve, "a long, b long")
 
 
-def forest_links(points: DataFrame, n: int, radius: int, bits: int, shard: int) -> DataFrame:
-    """For a similarity: shards of all trees of a forest, many small ones a task."""
-    forest, width = Forest(n, radius, bits, shard), bits // 64
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 8192):
-                node, fp, fp2 = (c.to_numpy() for c in b.slice(i, 8192).columns)
-                fp = np.stack([fp, fp2], 1).view(np.uint64)[:, :width]
-                out = []
-                for leaf in forest.route(fp):
-                    order, got, bound = deal(leaf, forest.tasks)
-                    out += [(int(k), 0, 0, leaf[order[s:e]], node[order[s:e]], fp[order[s:e]]) for k, s, e in zip(got, bound, bound[1:])]
-                yield from pack_table(out).to_batches()
+def covered_links(points: DataFrame, n: int, radius: int, bits: int, shard: int) -> DataFrame:
+    """For a similarity: every pair of blocks, under every mask."""
+    width, blocks = bits // 64, max(1, -(-n // (shard * SHARDS)))
+    pairs = blocks * (blocks + 1) // 2
+    split = max(SPLIT, -(-TASKS // pairs))
+    masks = covering_masks(bits, radius)
 
     def solve(key, group):
-        _, (leaf, node, fp) = unpack(group, 0, (np.uint64, np.int64, np.uint64))
-        fp = fp.reshape(-1, width)
-        order = np.argsort(leaf, kind="stable")
-        start, size = group_runs(leaf[order])
-        some = size > 1
-        got = edges_of(star for s, m in zip(start[some], size[some]) for star in join_cell(fp[order[s : s + m]], node[order[s : s + m]], radius))
+        fp = np.stack([group["fp"].to_numpy(), group["fp2"].to_numpy()], 1).view(np.uint64)[:, :width]
+        node = group["node"].to_numpy()
+        root = join_covered(fp, masks[key[0].as_py() % split :: split], radius)
+        some = root != np.arange(len(root))
         give_back()
-        return got
+        return pa.table({"a": node[some], "b": node[root[some]]})
 
-    return points.select("node", "fp", "fp2").mapInArrow(route, PACKED).groupBy("kb").applyInArrow(solve, "a long, b long")
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    each = points.select("node", "fp", "fp2", own.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pair = F.least("block", "other").cast("long") * blocks + F.greatest("block", "other")
+    each = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(split - 1)))).select((pair * split + F.col("part")).alias("task"), "node", "fp", "fp2")
+    return each.groupBy("task").applyInArrow(solve, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 26, bits: int = 128, shard: int = SHARD) -> DataFrame:
     """doc_id, fp, fp2, component_id (the smallest doc_id reachable by links) for each row.
 
-    Texts of Jaccard similarity 0.8 differ in 19 of 128 bits on average (deviation 4): a radius of 26 links all but a
-    hundredth of them. Unrelated texts differ in 64 (deviation 6).
+    Texts of Jaccard similarity 0.8 differ in 19 of 128 bits on average (deviation 4), of which a radius of 26 has all but a
+    hundredth; every pair of fingerprints within it is linked. Unrelated texts differ in 64 (deviation 6).
     """
     fps = settle(fingerprints(docs, words, bits))
     points = settle(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
