@@ -223,3 +223,18 @@ def test_scorers_and_tokens_mix(spark):
     a = P.prune(df, None, window=4096, scorer=LexicalScorer()).select(*key, "sentence_probabilities").orderBy(*key).collect()
     b = P.prune(df, None, window=4096, scorer=LexicalScorer(), tokenizer=FileTokenizer(FILE)).select(*key, "sentence_probabilities").orderBy(*key).collect()
     assert a == b
+
+
+def test_batches_go_to_a_model_in_pieces():
+    """A batch of many rows is no more to a model than its buffer, a longer row by itself; nothing is lost."""
+    import pyarrow as pa
+
+    from loomspan.operators.models import pieces_of
+
+    ids = pa.array([[[1, 2], [3]], [], [[4] * 50], None, [[5, 6]], [[7] * 4], [[8]]], pa.list_(pa.list_(pa.int32())))
+    heads = pa.array(range(7))
+    got = list(pieces_of(ids.slice(0), heads, 6))
+    assert [x for r, _ in got for x in r.to_pylist()] == ids.to_pylist() and [x for _, h in got for x in h.to_pylist()] == list(range(7))
+    assert all(len(r.flatten().flatten()) <= 6 or len(r) == 1 for r, _ in got) and len(got) == 4
+    part = ids.slice(2, 4)
+    assert [x for r, _ in pieces_of(part, heads.slice(2, 4), 6) for x in r.to_pylist()] == part.to_pylist()
