@@ -137,7 +137,8 @@ def joined(pieces: Column, known: Boundaries) -> Column:
     """Pieces of a text that end in marks and white space, put together where the period between two of them ends no
     sentence."""
     is_in = lambda c, names: c.isin(*sorted(names)) if names else F.lit(False)
-    last = F.transform(pieces, lambda s: F.regexp_extract(s, rf"({TOKEN}){T.SPACE}*\z", 1))
+    # a token begins where no letter or digit stands in front: without that, every place of every word is tried
+    last = F.transform(pieces, lambda s: F.regexp_extract(s, rf"(?<![\p{{L}}\p{{N}}])({TOKEN}){T.SPACE}*\z", 1))
     head = F.transform(pieces, lambda s: F.regexp_extract(s, rf"\A[\"'(\[]*({TOKEN})", 1))
 
     def held(token: Column, following: Column) -> Column:
