@@ -52,3 +52,50 @@ def test_strip_reads_a_long_run_of_blanks_once(spark):
     """A run inside of a text was read again from each of its blanks."""
     d = spark.createDataFrame([("a" + " " * 300_000 + "b\n",)], "t string")
     assert timed(d.select(F.length(T.strip(F.col("t"))).alias("n"), F.size(T.split_multiline(F.col("t"), True)).alias("k")), 10) == (300_002, 1)
+
+
+def test_pieces_have_the_librarys_tokens(monkeypatch):
+    """Ids and places of pieces put together are those of whole texts, and the library sees a word once, not each time."""
+    import public_tokenizers
+
+    from loomspan.operators import tokenizers as K
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert K._by_pieces(path)
+    texts = [*odd_texts(60), "", "a|endoftext|> b <|endoftext|>c", "x " * 400, "don't  stop\n\n now, 12  345　 ok " * 20, "𝒳é日本語 。" * 9]
+    asked = []
+    encoded = K._encoded
+    monkeypatch.setattr(K, "_encoded", lambda p, t: asked.append(sum(map(len, t))) or encoded(p, t))
+    got, want = K._Pieces(path).encode(texts), encoded(path, texts)
+    assert all((a == b).all() for a, b in zip(got, want))
+    assert sum(asked) < sum(map(len, texts)) / 2
+    few = K._Pieces(path)
+    monkeypatch.setattr(K, "KEPT_PIECES", 3)
+    for t in texts[-6:]:  # forgotten ones are asked for again
+        assert all((a == b).all() for a, b in zip(few.encode([t]), encoded(path, [t])))
+
+
+def test_spans_of_many_sentences(spark):
+    """60,000 sentences of one text: an expression went through them at some ten microseconds each."""
+    text = "".join(f"Sentence {i} of it. " for i in range(60_000))
+    d = spark.createDataFrame([(text,)], "t string")
+    got = timed(d.select(T.text_to_spans(F.col("t"), T.extract(F.col("t"), T.ENGLISH)).alias("s")), 8).s
+    assert len(got) == 60_000 and got[0] == [0, 17] and got[-1][1] == len(text) - 1
+
+
+def test_spans_of_odd_sentences(spark):
+    rows = [("a b a b", [" b", "a ", "b", "a", "zz", "", None, "b"]), ("𝒳é 𝒳é", ["é", "𝒳"]), ("abc", None), (None, ["a"]), ("", [])]
+    got = spark.createDataFrame(rows, "t string, s array<string>").coalesce(1).select(T.text_to_spans(F.col("t"), F.col("s")).alias("x"))
+    assert [r.x for r in got.collect()] == [[[2, 3], [4, 5], [6, 7], [0, 1], [2, 3]], [[1, 2], [3, 4]], None, [], []]
+
+
+def test_labels_take_ranges_as_they_are(spark):
+    """Tokens with further fields need no copy without them; a bound that is null bounds nothing."""
+    from loomspan.operators import tokens as K
+
+    d = spark.range(1).select(K.pieces(F.lit(10), 4).alias("t"))
+    relevant = F.array(F.struct(F.lit(5).alias("a"), F.lit(6).alias("b")))
+    document = F.struct(F.lit(4).alias("a"), F.lit(None).cast("int").alias("b"))
+    got = d.select("t", K.overlap_labels(F.col("t"), relevant).alias("x"), K.overlap_labels(F.col("t"), relevant, document).alias("y")).first()
+    assert [tuple(r) for r in got.t] == [(0, 0, 4), (1, 4, 8), (2, 8, 10)]
+    assert (got.x, got.y) == ([0, 1, 0], [-100, 1, 0])
