@@ -99,3 +99,23 @@ def test_labels_take_ranges_as_they_are(spark):
     got = d.select("t", K.overlap_labels(F.col("t"), relevant).alias("x"), K.overlap_labels(F.col("t"), relevant, document).alias("y")).first()
     assert [tuple(r) for r in got.t] == [(0, 0, 4), (1, 4, 8), (2, 8, 10)]
     assert (got.x, got.y) == ([0, 1, 0], [-100, 1, 0])
+
+
+def test_folds_of_many_sentences(spark):
+    """60,000 fragments of a text: packing and reading predictions back went through them by expressions."""
+    from loomspan.operators import evaluate as E
+    from loomspan.operators import prune as P
+
+    n = 60_000
+    d = spark.createDataFrame([([3] * n, ["ab "] * n, "ab " * (n - 1))], "n array<int>, s array<string>, p string")
+    packed, pred = P.pack(F.col("n"), F.lit(4), 37), E.infer_predictions(F.col("p"), F.col("s"))
+    got = timed(d.select(F.element_at(packed, -1).alias("last"), F.aggregate(pred, F.lit(0), lambda a, x: a + x).alias("found")), 4)
+    assert (got["last"]["block"], got["last"]["taken"], got["found"]) == (5999, 3, n - 1)
+
+
+def test_folds_of_odd_rows(spark):
+    from loomspan.operators import evaluate as E
+
+    rows = [("ab", ["a", "", None, "x", "b"]), (None, ["a"]), ("a", None), ("a", [])]
+    got = spark.createDataFrame(rows, "p string, s array<string>").coalesce(1).select(E.infer_predictions(F.col("p"), F.col("s")).alias("x"))
+    assert [r.x for r in got.collect()] == [[1, 0, 0, 0, 1], [0], None, []]
