@@ -54,6 +54,16 @@ def test_strip_reads_a_long_run_of_blanks_once(spark):
     assert timed(d.select(F.length(T.strip(F.col("t"))).alias("n"), F.size(T.split_multiline(F.col("t"), True)).alias("k")), 10) == (300_002, 1)
 
 
+def test_lines_of_a_long_text_are_read_few_times(spark):
+    """Four million characters in lines with runs of blanks: looking for a line's white space read each run again from each blank."""
+    line = "Anat with by of, höörd" + " " * 400 + "thnt eringing onheed\n"
+    n = 4_000_000 // len(line)
+    d = spark.createDataFrame([(line * n + "- and so on. ",)], "t string")
+    for strip in (False, True):
+        got = timed(d.select(T.split_multiline(F.col("t"), strip).alias("p")).select(F.size("p").alias("n"), F.array_join(F.slice("p", n, 2), "|").alias("last")), 3)
+        assert tuple(got) == (n + 1, f"{line.strip()}|- and so on." if strip else f"{line}|- and so on. ")
+
+
 def test_pieces_have_the_librarys_tokens(monkeypatch):
     """Ids and places of pieces put together are those of whole texts, and the library sees a word once, not each time."""
     import public_tokenizers

@@ -65,6 +65,14 @@ def test_multiline_as_a_loop(spark, strip):
     assert many(spark, texts, lambda c: T.split_multiline(c, strip)) == [plain_multiline(t, strip) for t in texts]
 
 
+@pytest.mark.parametrize("strip", [False, True])
+def test_multiline_counts_characters(spark, strip):
+    """The bound is on a line's characters without the white space around it, however many bytes they take."""
+    lines = ["é" * 1200, "é" * 1201, "寿" * 1200, "寿" * 601, " " * 700 + "é" * 1200 + "\u3000" * 700, " " + "é" * 1201, "b" * 1200, "b" * 1201]
+    texts = [f"a\n{x}" for x in lines] + [f"{x}\r\na\r" for x in lines] + [f"a.\x0b{x}\u2028\n\n \r" for x in lines]
+    assert many(spark, texts, lambda c: T.split_multiline(c, strip)) == [plain_multiline(t, strip) for t in texts]
+
+
 def test_normalise(spark):
     norm = lambda value, whole, strip: one(spark, value, lambda c: T.normalize(c, F.lit(whole), strip), "array<string>")
     assert norm(["  hello  ", "", "\n"], "x", True) == ["hello"]
