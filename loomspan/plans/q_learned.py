@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.operators import boundaries as B
 from loomspan.operators import prune as P
-from loomspan.operators import tokens as K
 from loomspan.operators.models import ModelScorer, overlap_model
-from loomspan.operators.tokenizers import FileTokenizer, token_ranges
+from loomspan.operators.tokenizers import FileTokenizer
 from loomspan.plans.base import d_all, digest, load, q, query, spread
 from loomspan.plans.q_prune import contexts
 
@@ -81,9 +80,9 @@ def token_labels_tokenized(spark, d):
     places in the text, tokens by theirs."""
     x = P.staged(spread(load(spark, d, "documents").where("text is not null").select("doc_id", "text")), s=T.split_english(F.col("text")))
     x = P.staged(x, at=T.text_to_spans(F.col("text"), F.col("s")))
-    x = P.staged(x, digit=F.transform(T.extract_spans(F.col("text"), F.col("at")), lambda t: t.rlike(r"\p{N}").cast("int")))
-    x = P.staged(x, tok=F.get(vocabulary().tokens(F.array("text")), F.lit(0)), spans=F.transform("at", lambda p: F.struct(p[0].alias("a"), p[1].alias("b"))))
-    x = P.staged(x, r=token_ranges(F.col("tok"), F.col("spans")))
-    x = P.staged(x, labels=K.span_labels(F.size("tok"), F.transform("r", lambda r, i: F.struct(r["a"].alias("a"), r["b"].alias("b"), F.get(F.col("digit"), i).alias("label")))))
+    # places are those of the sentences that hold something
+    x = P.staged(x, digit=F.transform(F.filter("s", T.filled), lambda t: t.rlike(r"\p{N}").cast("int")))
+    x = P.staged(x, spans=F.transform("at", lambda p, i: F.struct(p[0].alias("a"), p[1].alias("b"), F.get(F.col("digit"), i).alias("label"))))
+    x = P.staged(x, labels=vocabulary().span_labels(F.col("text"), F.col("spans")))
     n = lambda v: F.size(F.filter("labels", lambda y: y == v)).alias({1: "ones", 0: "zeros", -100: "ignored"}[v])
-    return x.select("doc_id", F.size("tok").alias("n_tokens"), n(1), n(0), n(-100))
+    return x.select("doc_id", F.size("labels").alias("n_tokens"), n(1), n(0), n(-100))

@@ -129,3 +129,73 @@ def test_folds_of_odd_rows(spark):
     rows = [("ab", ["a", "", None, "x", "b"]), (None, ["a"]), ("a", None), ("a", [])]
     got = spark.createDataFrame(rows, "p string, s array<string>").coalesce(1).select(E.infer_predictions(F.col("p"), F.col("s")).alias("x"))
     assert [r.x for r in got.collect()] == [[1, 0, 0, 0, 1], [0], None, []]
+
+
+def test_long_texts_without_marks_are_cut_in_reach(spark):
+    """Two counted repeats in a row were tried in all pairs of lengths where no line end or mark was in reach."""
+    d = spark.createDataFrame([("word " * 1_000_000,)], "t string")
+    assert timed(d.select(F.size(T.split_overlong(F.col("t"))).alias("n")), 4).n == -(-5_000_000 // 1200)
+
+
+def test_overlong_texts_by_a_plain_loop(spark):
+    rng = random.Random(7)
+    texts = odd_texts(200) + ["".join(rng.choice("ab .;\n") if rng.random() < 0.004 else "x" for _ in range(rng.randrange(5000))) for _ in range(60)]
+
+    def plain(t, limit):
+        out, at = [t] if 0 < len(t) <= limit else [], len(t) if len(t) <= limit else 0
+        while at < len(t):
+            here = t[at : at + limit]
+            end = max((i for i in range(1, len(here)) if here[i] == "\n"), default=None)
+            end = max((i for i, c in enumerate(here) if c in ".?!;:\n"), default=len(here) - 1) if end is None else end
+            out.append(here[: end + 1])
+            at += end + 1
+        return out
+
+    for limit in (2, 7, 900, 901, 1200):
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.split_overlong(F.col("t"), limit).alias("p")).collect()
+        assert [r.t for r in got if r.p != plain(r.t, limit)] == []
+
+
+def test_labels_of_many_spans(spark):
+    """Spans given as an expression were made anew for each of them, and each label one by one."""
+    from loomspan.operators import tokens as K
+
+    d = spark.createDataFrame([(60_000,)], "n int")
+    spans = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((20 * i).alias("a"), (20 * i + 19).alias("b"), (i % 2).alias("label")))
+    got = timed(d.select(K.span_labels(F.col("n") * 20, spans).alias("l")), 5).l
+    assert len(got) == 1_200_000 and got[:41] == [0] * 19 + [-100] + [1] * 19 + [-100, 0]
+
+
+def test_pieces_are_cut_where_the_pattern_cuts():
+    import re
+
+    import pyarrow as pa
+
+    from loomspan.operators import tokenizers as K
+
+    pattern = re.compile(rf"[{K.BLANK}]*[^{K.BLANK}]+|[{K.BLANK}]+")
+    blanks = [chr(i) for i in range(0x3100) if re.match(rf"[{K.BLANK}]", chr(i))]
+    texts = odd_texts(400) + [f"{b}a{b}{b}é{b}" for b in blanks] + ["".join(map(chr, range(1, 0x3100))), "", None, "𝒳 𝒳"]
+    for some in (pa.array(texts), pa.array(["xx y", *texts])[1:], pa.array([], pa.string()), pa.array(["", ""])):
+        n, pieces = K._cut(some.fill_null(""))
+        want = [pattern.findall(t or "") for t in some.to_pylist()]
+        assert n.tolist() == list(map(len, want)) and pieces.to_pylist() == [p for w in want for p in w]
+
+
+def test_span_labels_of_a_files_tokens(spark):
+    """Against ranges found token by token, with shared tokens, spans over the ends and texts without any."""
+    import public_tokenizers
+
+    from loomspan.operators.tokenizers import FileTokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    rows = []
+    for i, t in enumerate([*odd_texts(80), "naïve 😀😀 日本語 words here", "", "a b", None]):
+        at = sorted(rng.sample(range(len(t or "") + 8), 6)) if len(t or "") + 8 >= 6 else []
+        rows.append((i, t, [(at[k], at[k + 1], k) for k in range(0, 6, 2)] if i % 9 else []))
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<a:int,b:int,label:int>>").repartition(3)
+    tok = FileTokenizer(path)
+    for r in df.select("t", "s", tok.span_labels(F.col("t"), F.col("s")).alias("l"), F.get(tok.tokens(F.array("t")), F.lit(0)).alias("k")).collect():
+        want = [next((s.label for s in r.s if k.a < s.b and k.b > s.a), -100) for k in r.k]
+        assert r.l == want, (r.t, r.s)
