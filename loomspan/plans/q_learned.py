@@ -58,6 +58,8 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> FileTokenizer:
 
 
 TOKEN_WINDOW = 512
+#: Tokens and sentences take several times the memory of their text.
+TOKEN_PART_BYTES = 1 << 20
 
 
 @query("prune_tokenized")
@@ -78,11 +80,9 @@ def prune_by_model(spark, d):
 def token_labels_tokenized(spark, d):
     """Labels of each document's tokens: 1 in sentences that hold a digit, 0 in others, -100 outside; sentences found by their
     places in the text, tokens by theirs."""
-    x = P.staged(spread(load(spark, d, "documents").where("text is not null").select("doc_id", "text")), s=T.split_english(F.col("text")))
-    x = P.staged(x, at=T.text_to_spans(F.col("text"), F.col("s")))
-    # places are those of the sentences that hold something
-    x = P.staged(x, digit=F.transform(F.filter("s", T.filled), lambda t: t.rlike(r"\p{N}").cast("int")))
-    x = P.staged(x, spans=F.transform("at", lambda p, i: F.struct(p[0].alias("a"), p[1].alias("b"), F.get(F.col("digit"), i).alias("label"))))
-    x = P.staged(x, labels=vocabulary().span_labels(F.col("text"), F.col("spans")))
+    x = spread(load(spark, d, "documents").where("text is not null").select("doc_id", "text"), part=TOKEN_PART_BYTES)
+    x = P.staged(x, s=T.split_english(F.col("text")))
+    x = P.staged(x, digit=F.transform("s", lambda t: t.rlike(r"\p{N}").cast("int")))
+    x = P.staged(x, labels=vocabulary().sentence_labels(F.col("text"), F.col("s"), F.col("digit")))
     n = lambda v: F.size(F.filter("labels", lambda y: y == v)).alias({1: "ones", 0: "zeros", -100: "ignored"}[v])
     return x.select("doc_id", F.size("labels").alias("n_tokens"), n(1), n(0), n(-100))

@@ -199,3 +199,19 @@ def test_span_labels_of_a_files_tokens(spark):
     for r in df.select("t", "s", tok.span_labels(F.col("t"), F.col("s")).alias("l"), F.get(tok.tokens(F.array("t")), F.lit(0)).alias("k")).collect():
         want = [next((s.label for s in r.s if k.a < s.b and k.b > s.a), -100) for k in r.k]
         assert r.l == want, (r.t, r.s)
+
+
+def test_sentence_labels_of_a_files_tokens(spark):
+    """The same by spans, with blank, absent and null sentences between, texts and lists that are null."""
+    import public_tokenizers
+
+    from loomspan.operators.tokenizers import FileTokenizer
+
+    tok = FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [("One two. Three 4!  five", ["One two. ", " ", None, "absent", "Three 4!  ", "five"], [1, 7, 8, 9, 2, 3]), (None, ["a"], [1]), ("a b", None, None), ("x y", ["x ", "y"], [5, 6]), ("", [], [])]
+    df = spark.createDataFrame(rows, "t string, s array<string>, l array<int>").coalesce(1)
+    got = [r.x for r in df.select(tok.sentence_labels(F.col("t"), F.col("s"), F.col("l")).alias("x")).collect()]
+    spans = [[(0, 8, 1), (9, 17, 2), (19, 23, 3)], [], [], [(0, 1, 5), (2, 3, 6)], []]
+    df = spark.createDataFrame([(r[0], s) for r, s in zip(rows, spans)], "t string, s array<struct<a:int,b:int,label:int>>").coalesce(1)
+    assert got == [r.x for r in df.select(tok.span_labels(F.col("t"), F.col("s")).alias("x")).collect()]
+    assert set(got[0]) == {1, 2, 3, -100} and got[1:] == [[], [-100, -100], [5, 6], []]
