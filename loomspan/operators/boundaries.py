@@ -10,10 +10,12 @@ Three lists are estimated from counts over all texts:
   than by chance: no boundary between them.
 * sentence starters: types that stand behind periods of no abbreviation more often than by chance.
 
-The counts are Spark aggregates, pre-aggregated in each task. What a splitter needs of them is bounded: the `most` entries
-of each list with the highest scores (ties: by spelling), which become literals of an expression, so no text leaves the
-JVM. A period behind an abbreviation ends a sentence only if a sentence starter with a capital follows; one behind an
-initial or a number only if no lower-case letter follows; one inside a collocation never; any other always does.
+The counts are Spark aggregates, pre-aggregated in each task. split_learned() meets all entries of a lexicon, however many, by
+joins: periods between two pieces are rows, those behind no listed type, initial or number are left out at once, and only the
+places of periods that end no sentence come back to their texts. learned_splitter() makes an expression of the lists, for callers
+that need one and a lexicon that fits the driver. A period behind an abbreviation ends a sentence only if a sentence starter with a
+capital follows; one behind an initial or a number only if no lower-case letter follows; one inside a collocation never; any other
+always does.
 
 Null and empty texts count nothing; repeated rows count each time.
 """
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions import arrays as A
 from loomspan.functions import text as T
 from loomspan.functions.splitters import Splitter
 from loomspan.operators.prune import staged
@@ -39,8 +42,6 @@ ANY_NUMBER = "##"
 # The published method's limits.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 PERIOD_OF_ABBREVIATION = 0.99
-#: Entries of a list that a splitter takes.
-MOST = 2000
 
 
 def token_type(token: Column) -> Column:
@@ -117,45 +118,93 @@ def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Boundaries:
-    """The bounded lists that a splitter goes by: types, and collocations as "type next"."""
+    """The lists that a splitter goes by: types, and collocations as "type next"."""
 
     abbreviations: frozenset[str] = frozenset()
     collocations: frozenset[str] = frozenset()
     starters: frozenset[str] = frozenset()
 
 
-def boundaries(entries: DataFrame, most: int = MOST) -> Boundaries:
-    """The `most` entries of each kind with the highest scores, from lexicon()'s rows."""
+def boundaries(entries: DataFrame, most: int | None = None) -> Boundaries:
+    """All entries of lexicon()'s rows, gathered by the driver; on demand only the `most` of each kind with the highest scores."""
     def best(kind: str, name: Column) -> frozenset[str]:
-        rows = entries.where(F.col("kind") == kind).select(name.alias("name"), "score").orderBy(F.desc("score"), "name").limit(most).collect()
-        return frozenset(r["name"] for r in rows)
+        rows = entries.where(F.col("kind") == kind).select(name.alias("name"), "score")
+        rows = rows if most is None else rows.orderBy(F.desc("score"), "name").limit(most)
+        return frozenset(r["name"] for r in rows.collect())
 
     return Boundaries(best("abbreviation", F.col("type")), best("collocation", F.concat_ws(" ", "type", "next")), best("starter", F.col("type")))
 
 
-def joined(pieces: Column, known: Boundaries) -> Column:
-    """Pieces of a text that end in marks and white space, put together where the period between two of them ends no
-    sentence."""
-    is_in = lambda c, names: c.isin(*sorted(names)) if names else F.lit(False)
+def meetings(pieces: Column) -> Column:
+    """array<struct<type, next, capital, small>>: for each piece of a text that end in marks and white space the types around the
+    period in front of it, and how it begins; null where no token with a period and none behind it meet."""
     # a token begins where no letter or digit stands in front: without that, every place of every word is tried
     last = F.transform(pieces, lambda s: F.regexp_extract(s, rf"(?<![\p{{L}}\p{{N}}])({TOKEN}){T.SPACE}*\z", 1))
     head = F.transform(pieces, lambda s: F.regexp_extract(s, rf"\A[\"'(\[]*({TOKEN})", 1))
 
-    def held(token: Column, following: Column) -> Column:
-        def told(kind: Column, after: Column) -> Column:
-            capital = following.rlike(r"\A\p{Lu}")
-            short = is_in(kind, known.abbreviations) & ~(capital & is_in(after, known.starters))
-            # an initial or a number: a sentence may end there, but none begins with a small letter
-            open_ = (kind.rlike(INITIAL) | (kind == ANY_NUMBER)) & following.rlike(r"\A\p{Ll}")
-            return short | open_ | is_in(F.concat(kind, F.lit(" "), after), known.collocations)
+    def meeting(token: Column, following: Column) -> Column:
+        told = F.struct(token_type(token).alias("type"), token_type(following).alias("next"), following.rlike(r"\A\p{Lu}").alias("capital"), following.rlike(r"\A\p{Ll}").alias("small"))
+        return F.when(F.endswith(token, F.lit(".")) & (following != ""), told)
+
+    # the first piece has nothing in front of it: get() is null there
+    return T.let(last, lambda x: T.let(head, lambda y: F.transform(y, lambda h, i: meeting(F.get(x, i - 1), h))))
+
+
+def open_end(m: Column) -> Column:
+    """Behind an initial or a number a sentence may end, but none begins with a small letter."""
+    return (m["type"].rlike(INITIAL) | (m["type"] == ANY_NUMBER)) & m["small"]
+
 
-        return F.endswith(token, F.lit(".")) & (following != "") & T.let(token_type(token), lambda k: T.let(token_type(following), lambda a: told(k, a)))
+def places(flags: Column) -> Column:
+    """The places, from 0, of those that are true."""
+    return F.filter(F.transform(flags, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
 
-    def merge(last: Column, head: Column) -> Column:
-        first = F.filter(F.transform(pieces, lambda s, i: F.when((i == 0) | ~held(F.get(last, i - 1), F.get(head, i)), i)), lambda i: i.isNotNull())
-        return T.let(first, lambda at: F.transform(at, lambda i, k: F.array_join(F.slice(pieces, i + 1, F.coalesce(F.get(at, k + 1), F.size(pieces)) - i), "")))
 
-    return T.let(last, lambda x: T.let(head, lambda y: merge(x, y)))
+def together(pieces: Column, held: Column) -> Column:
+    """The pieces, those at the places `held` put behind the ones in front of them."""
+    first = F.array_except(A.indices(F.size(pieces)), held)
+    return T.let(first, lambda at: F.transform(at, lambda i, k: F.array_join(F.slice(pieces, i + 1, F.coalesce(F.get(at, k + 1), F.size(pieces)) - i), "")))
+
+
+def joined(pieces: Column, known: Boundaries) -> Column:
+    """Pieces of a text that end in marks and white space, put together where the period between two of them ends no
+    sentence."""
+    is_in = lambda c, names: c.isin(*sorted(names)) if names else F.lit(False)
+
+    def held(m: Column) -> Column:
+        short = is_in(m["type"], known.abbreviations) & ~(m["capital"] & is_in(m["next"], known.starters))
+        return m.isNotNull() & (short | open_end(m) | is_in(F.concat(m["type"], F.lit(" "), m["next"]), known.collocations))
+
+    return T.let(meetings(pieces), lambda m: together(pieces, places(F.transform(m, held))))
+
+
+def split_learned(docs: DataFrame, entries: DataFrame, text: str = "text", name: str = "sentences", marks: str = "", limit: int = T.OVERLONG) -> DataFrame:
+    """docs with the sentences that learned_splitter() makes of all entries of a lexicon; null texts count as empty. Nothing is
+    gathered: the lexicon is joined, so it may be of any size, and rows need no key."""
+    entries, pattern = settle(entries), T.sentence_pattern(marks)
+    d = staged(docs, t_=F.coalesce(F.col(text), F.lit("")))
+    d = staged(d, b_=F.transform(T.trimmed_blocks(F.col("t_")), lambda b: T.extract(b, pattern)))
+    d = settle(d.select(*docs.columns, "t_", "b_", F.monotonically_increasing_id().alias("id_")))
+
+    flat = staged(d.select("id_", "b_"), p_=F.flatten("b_"), new_=F.flatten(F.transform("b_", lambda b: F.transform(b, lambda s, i: i == 0))))
+    flat = staged(flat.select("id_", "p_", "new_"), m_=meetings(F.col("p_")))
+    rows = F.transform("m_", lambda m, i: F.when(m.isNotNull() & ~F.get(F.col("new_"), i), F.struct(i.alias("at"), m["type"].alias("type"), m["next"].alias("next"), m["capital"].alias("capital"), open_end(m).alias("open"))))
+    met = flat.select("id_", F.inline(F.filter(rows, lambda r: r.isNotNull())))
+
+    of = lambda kind: entries.where(F.col("kind") == kind)
+    # what can be held at all: that stands behind a type of an abbreviation or a collocation, or an open end
+    firsts = entries.where(F.col("kind") != "starter").groupBy("type").agg(F.max(F.col("kind") == "abbreviation").alias("short"))
+    met = met.join(firsts, "type", "left").where(F.col("open") | F.col("short").isNotNull())
+    met = met.join(of("starter").select(F.col("type").alias("next"), F.lit(True).alias("starter")), "next", "left")
+    met = met.join(of("collocation").select("type", "next", F.lit(True).alias("both")), ["type", "next"], "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    held = met.where(F.col("open") | (flag("short") & ~(F.col("capital") & flag("starter"))) | flag("both"))
+    held = held.groupBy("id_").agg(F.collect_set("at").alias("held_"))
+
+    d = d.join(held, "id_", "left").withColumn("held_", F.coalesce("held_", F.array().cast("array<int>")))
+    d = staged(d, p_=F.flatten("b_"))
+    d = staged(d, s_=together(F.col("p_"), F.col("held_")))
+    return d.select(*docs.columns, T.finished(F.col("s_"), F.col("t_"), limit).alias(name))
 
 
 def learned_splitter(known: Boundaries, marks: str = "", limit: int = T.OVERLONG) -> Splitter:

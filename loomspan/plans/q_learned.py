@@ -46,8 +46,7 @@ def boundary_lexicon(spark, d):
 def split_learned(spark, d):
     """Sentences of every document by the boundaries learned from all of them."""
     docs = spread(load(spark, d, "documents").select("doc_id", "text"))
-    known = B.boundaries(B.lexicon(docs))
-    s = P.staged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), s=B.learned_splitter(known)(F.col("t")))
+    s = P.staged(B.split_learned(docs, B.lexicon(docs)), s=F.col("sentences"))
     return s.select("doc_id", F.size("s").alias("n_sentences"), digest(F.col("s")).alias("sentences_md5"))
 
 

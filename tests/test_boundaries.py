@@ -121,6 +121,33 @@ def test_conversion_takes_learned_boundaries(spark, known):
     assert got == ["Wie z. B. so hier.", "Die Leute."]
 
 
+def test_no_entry_is_left_out(spark):
+    """Every list was cut at its 2000 best entries."""
+    n = 5000
+    name = F.concat(F.lit("q"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    ids = spark.range(n)
+    row = lambda kind, type_, next_: ids.select(F.lit(kind).alias("kind"), type_.alias("type"), next_.cast("string").alias("next"), (1.0 + F.col("id")).alias("score"), F.lit(9).alias("n"))
+    entries = row("abbreviation", name, F.lit(None)).unionByName(row("starter", F.concat(F.lit("s"), name), F.lit(None))).unionByName(row("collocation", F.lit("k"), F.concat(F.lit("z"), name)))
+    docs = ids.select(F.concat(F.lit("Ab "), name, F.lit(". Then "), name, F.lit(". S"), name, F.lit(" k. Z"), name, F.lit(" end. 3. small? - x. Y.")).alias("text"))
+    got = [r.sentences for r in B.split_learned(docs, entries).collect()]
+    assert len(got) == n and {len(s) for s in got} == {5}
+    known = B.boundaries(entries)
+    assert len(known.abbreviations) == len(known.collocations) == len(known.starters) == n
+    assert sorted(got) == sorted(r.s for r in docs.select(B.learned_splitter(known)(F.col("text")).alias("s")).collect())
+
+
+def test_joined_lists_split_as_the_expression(spark, known):
+    """With repeated rows, rows without a text, bullets, overlong pieces and no list at all."""
+    extra = ["- Mr. no\n- z. B. so\n1. Dr.\n2. Smith", "Mr. " * 500 + "z. B. " * 300, " Dr.  Smith. \n\n Mr. No", "x. " * 4, "No 3. men. 3. Men."]
+    docs = spark.createDataFrame([(i % 7, t) for i, t in enumerate([*TEXTS, *extra, *extra])], "k int, text string").repartition(3)
+    none = known.where("false")
+    for entries in (known, none):
+        split = B.learned_splitter(B.boundaries(entries))
+        want = docs.select("k", "text", split(F.coalesce("text", F.lit(""))).alias("sentences"))
+        got = B.split_learned(docs, entries)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 JAPANESE = {
     "彼は「はい。そうです！」と言った。次の文。": ["彼は「はい。そうです！」と言った。", "次の文。"],
     "「『深い。』まだ。（（もっと！））」終わり！？次": ["「『深い。』まだ。（（もっと！））」終わり！？", "次"],
