@@ -179,12 +179,12 @@ def joined(pieces: Column, known: Boundaries) -> Column:
 
 
 def split_learned(docs: DataFrame, entries: DataFrame, text: str = "text", name: str = "sentences", marks: str = "", limit: int = T.OVERLONG) -> DataFrame:
-    """docs with the sentences that learned_splitter() makes of all entries of a lexicon; null texts count as empty. Nothing is
-    gathered: the lexicon is joined, so it may be of any size, and rows need no key."""
-    entries, pattern = settle(entries), T.sentence_pattern(marks)
-    d = staged(docs, t_=F.coalesce(F.col(text), F.lit("")))
-    d = staged(d, b_=F.transform(T.trimmed_blocks(F.col("t_")), lambda b: T.extract(b, pattern)))
-    d = settle(d.select(*docs.columns, "t_", "b_", F.monotonically_increasing_id().alias("id_")))
+    """docs with sentences in the place of their text, those that learned_splitter() makes of all entries of a lexicon; null texts
+    count as empty. Nothing is gathered: the lexicon is joined, so it may be of any size, and rows need no key. On disk the text
+    lies once, as pieces."""
+    entries, pattern, rest = settle(entries), T.sentence_pattern(marks), [c for c in docs.columns if c != text]
+    blocks = T.trimmed_blocks(F.coalesce(F.col(text), F.lit("")))
+    d = settle(docs.select(*rest, F.transform(blocks, lambda b: T.extract(b, pattern)).alias("b_"), F.monotonically_increasing_id().alias("id_")))
 
     flat = staged(d.select("id_", "b_"), p_=F.flatten("b_"), new_=F.flatten(F.transform("b_", lambda b: F.transform(b, lambda s, i: i == 0))))
     flat = staged(flat.select("id_", "p_", "new_"), m_=meetings(F.col("p_")))
@@ -204,7 +204,7 @@ def split_learned(docs: DataFrame, entries: DataFrame, text: str = "text", name:
     d = d.join(held, "id_", "left").withColumn("held_", F.coalesce("held_", F.array().cast("array<int>")))
     d = staged(d, p_=F.flatten("b_"))
     d = staged(d, s_=together(F.col("p_"), F.col("held_")))
-    return d.select(*docs.columns, T.finished(F.col("s_"), F.col("t_"), limit).alias(name))
+    return d.select(*rest, T.finished(F.col("s_"), F.array_join("p_", ""), limit).alias(name))
 
 
 def learned_splitter(known: Boundaries, marks: str = "", limit: int = T.OVERLONG) -> Splitter:
